@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _EMPTY_INT = "array<int>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once (lambda bodies are not shared by the optimiser)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def int_range(first: Column, last: Column) -> Column:
     """first..last inclusive, empty when last < first (``sequence`` would count down)."""
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast(_EMPTY_INT))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkfolio.functions.arrays import let
+
 # Fixed formats.
 _MONTH = (r"(?:janv(?:ier)?|january|jan|fév(?:r(?:ier)?)?|fev(?:r(?:ier)?)?|feb(?:ruary)?|mars|march|mar"
           r"|avr(?:il)?|apr(?:il)?|mai|may|juin|juil(?:let)?|june?|july?|ao[uû]t?|aug(?:ust)?"
@@ -38,15 +40,18 @@ def _month_number(name: Column) -> Column:
 
 def month_year(c: Column) -> Column:
     """struct(y, m) of a date text; m is 0 when only a year is given; null when open or undated."""
-    t = F.trim(c)
-    lead = "^" + MONTH_YEAR.replace(r"(?iU)\b", "", 1)
-    lead = "(?iU)" + lead
-    year_m = F.nullif(F.regexp_extract(t, lead, 2), F.lit("")).cast("int")
-    year_o = F.regexp_substr(t, F.lit(YEAR)).cast("int")
-    with_month = F.struct(year_m.alias("y"), _month_number(F.regexp_extract(t, lead, 1)).alias("m"))
-    year_only = F.struct(year_o.alias("y"), F.lit(0).alias("m"))
-    return (F.when(t.rlike("(?iU)^" + _OPEN + r"\b"), F.lit(None))
-            .when(year_m.isNotNull(), with_month).when(year_o.isNotNull(), year_only))
+    lead = rf"(?iU)^({_MONTH})[\s./]*([12]\d{{3}})\b"
+    opened = "(?iU)^" + _OPEN + r"\b"
+
+    def parse(t):
+        year_m = F.nullif(F.regexp_extract(t, lead, 2), F.lit("")).cast("int")
+        year_o = F.regexp_substr(t, F.lit(YEAR)).cast("int")
+        return (F.when(t.rlike(opened), F.lit(None))
+                .when(t.rlike(lead), F.struct(
+                    year_m.alias("y"), _month_number(F.regexp_extract(t, lead, 1)).alias("m")))
+                .when(t.rlike(YEAR), F.struct(year_o.alias("y"), F.lit(0).alias("m"))))
+
+    return let(F.trim(c), parse)
 
 
 def date_text(d: Column) -> Column:
@@ -62,42 +67,53 @@ def months_between(start: Column, end: Column) -> Column:
 
 
 def contains_date(c: Column) -> Column:
-    return c.rlike(RANGE) | c.rlike(MONTH_YEAR) | c.rlike(YEAR)
+    return c.rlike(r"[12]\d{3}") & (c.rlike(YEAR) | c.rlike(RANGE) | c.rlike(MONTH_YEAR))
 
 
 def date_range(c: Column, as_of: tuple[int, int]) -> Column:
-    """struct(date_start, date_end, months, is_current) of one line."""
+    """struct(date_start, date_end, months, is_current) of one line.
+
+    An explicit duration wins, then the first readable range, then lone years.
+    """
     now = F.struct(F.lit(as_of[0]).alias("y"), F.lit(as_of[1]).alias("m"))
     null_s, null_i = F.lit(None).cast("string"), F.lit(None).cast("int")
 
     def result(start, end, months, current):
         return F.struct(start.alias("date_start"), end.alias("date_end"),
-                        months.cast("int").alias("months"), current.alias("is_current"))
-
-    dm = F.nullif(F.regexp_extract(c, DURATION, 1), F.lit("")).try_cast("int")
-    dy = F.nullif(F.regexp_extract(c, DURATION, 2), F.lit("")).try_cast("int")
-    explicit = F.coalesce(F.when(dm > 0, dm), dy * 12)
-
-    spans = F.transform(F.regexp_extract_all(c, F.lit(RANGE), F.lit(0)), lambda r: F.struct(
-        month_year(F.regexp_extract(r, RANGE, 1)).alias("s"),
-        month_year(F.regexp_extract(r, RANGE, 2)).alias("e"),
-        F.regexp_extract(r, RANGE, 2).rlike(OPEN_END).alias("open")))
-    span = F.get(F.filter(spans, lambda x: x["s"].isNotNull() & (x["open"] | x["e"].isNotNull())),
-                 F.lit(0))
-
-    years = F.regexp_extract_all(c, F.lit(YEAR), F.lit(0))
-    first, last = F.get(years, F.lit(0)), F.element_at(years, F.when(F.size(years) > 0, -1).otherwise(1))
-    last = F.get(years, F.size(years) - 1)
-    gap = (last.cast("int") - first.cast("int")) * 12
-    return (F.when(explicit > 0, result(null_s, null_s, explicit, F.lit(False)))
-            .when(span.isNotNull() & span["open"],
-                  result(date_text(span["s"]), F.lit("present"), months_between(span["s"], now), F.lit(True)))
-            .when(span.isNotNull(),
-                  result(date_text(span["s"]), date_text(span["e"]),
-                         months_between(span["s"], span["e"]), F.lit(False)))
-            .when(F.size(years) == 1, result(first, null_s, null_i, F.lit(False)))
-            .when(F.size(years) >= 2, result(first, last, F.when(gap > 0, gap), F.lit(False)))
-            .otherwise(result(null_s, null_s, null_i, F.lit(False))))
+                        months.cast("int").alias("months"), F.lit(current).alias("is_current"))
+
+    def lone_years(years):
+        first, last = F.get(years, F.lit(0)), F.get(years, F.size(years) - 1)
+        gap = (last.cast("int") - first.cast("int")) * 12
+        return (F.when(F.size(years) == 1, result(first, null_s, null_i, False))
+                .when(F.size(years) >= 2, result(first, last, F.when(gap > 0, gap), False))
+                .otherwise(result(null_s, null_s, null_i, False)))
+
+    def from_span(span):
+        end = F.when(span["open"], F.lit("present")).otherwise(date_text(span["e"]))
+        months = months_between(span["s"], F.when(span["open"], now).otherwise(span["e"]))
+        return F.struct(date_text(span["s"]).alias("date_start"), end.alias("date_end"),
+                        months.cast("int").alias("months"), span["open"].alias("is_current"))
+
+    def spans_of(x):
+        return F.filter(F.transform(F.regexp_extract_all(x, F.lit(RANGE), F.lit(0)), lambda r: F.struct(
+            month_year(F.regexp_extract(r, RANGE, 1)).alias("s"),
+            month_year(F.regexp_extract(r, RANGE, 2)).alias("e"),
+            F.regexp_extract(r, RANGE, 2).rlike(OPEN_END).alias("open"))),
+            lambda x: x["s"].isNotNull() & (x["open"] | x["e"].isNotNull()))
+
+    def read_ranges(x):
+        return let(spans_of(x), lambda spans: F.when(
+            F.size(spans) > 0, from_span(F.get(spans, F.lit(0)))).otherwise(
+                let(F.regexp_extract_all(x, F.lit(YEAR), F.lit(0)), lone_years)))
+
+    def read(x):
+        dm = F.nullif(F.regexp_extract(x, DURATION, 1), F.lit("")).try_cast("int")
+        dy = F.nullif(F.regexp_extract(x, DURATION, 2), F.lit("")).try_cast("int")
+        return let(F.coalesce(F.when(dm > 0, dm), dy * 12), lambda explicit: F.when(
+            explicit > 0, result(null_s, null_s, explicit, False)).otherwise(read_ranges(x)))
+
+    return let(c, read)
 
 
 def year_month(c: Column) -> Column:

@@ -23,7 +23,7 @@ def lit_array(values: Sequence) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\f\x0b"))
 
 
 def clean_blanks(c: Column) -> Column:
@@ -85,21 +85,22 @@ def word_grams(parts: Column, max_words: int, symbol_edges: bool = False) -> Col
     first = F.when(F.get(parts, F.lit(0)).rlike(f"^{WORD}"), 1).otherwise(2)
     starts = F.when(n >= first, F.sequence(first, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
     grams = [F.transform(starts, lambda i: F.get(parts, i - 1))]
-    for k in range(2, max_words + 1):
-        span = 2 * k - 1
-        fits = F.filter(starts, lambda i, span=span: i + span - 1 <= n)
-        grams.append(F.transform(fits, lambda i, span=span: F.array_join(F.slice(parts, i, span), "")))
+
+    def joined(span):
+        fits = F.filter(starts, lambda i: i + span - 1 <= n)
+        return F.transform(fits, lambda i: F.array_join(F.slice(parts, i, span), ""))
+
+    def edged(w):
+        after = F.filter(starts, lambda i: (F.length(F.get(parts, i)) > w)
+                         | ((F.length(F.get(parts, i)) == w) & (i + 1 == n)))
+        before = F.filter(starts, lambda i: (i > 1) & (
+            (F.length(F.get(parts, i - 2)) > w) | ((F.length(F.get(parts, i - 2)) == w) & (i == 2))))
+        return [F.transform(after, lambda i: F.concat(F.get(parts, i - 1), F.substring(F.get(parts, i), 1, w))),
+                F.transform(before, lambda i: F.concat(F.substring(F.get(parts, i - 2), -w, w), F.get(parts, i - 1)))]
+
+    grams += [joined(2 * k - 1) for k in range(2, max_words + 1)]
     if symbol_edges:
-        empty = F.lit("")
-        for width in (1, 2):
-            after = F.transform(starts, lambda i, w=width: F.when(
-                (F.length(F.get(parts, i)) > w) | ((F.length(F.get(parts, i)) == w) & (i + 1 == n)),
-                F.concat(F.get(parts, i - 1), F.substring(F.get(parts, i), 1, w))).otherwise(empty))
-            before = F.transform(starts, lambda i, w=width: F.when(
-                (i > 1) & ((F.length(F.get(parts, i - 2)) > w)
-                           | ((F.length(F.get(parts, i - 2)) == w) & (i == 2))),
-                F.concat(F.substring(F.get(parts, i - 2), -w, w), F.get(parts, i - 1))).otherwise(empty))
-            grams += [F.filter(after, lambda g: g != ""), F.filter(before, lambda g: g != "")]
+        grams += edged(1) + edged(2)
     return F.concat(*grams)
 
 
@@ -107,11 +108,13 @@ def title_windows(c: Column, sizes: Sequence[int] = (2, 3, 4)) -> Column:
     """The whole title followed by its 2-, 3- and 4-word windows."""
     w = words(c)
     out = [F.array(c)]
-    for k in sizes:
+
+    def windows(k):
         idx = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(
             F.array().cast("array<int>"))
-        out.append(F.transform(idx, lambda i, k=k: F.array_join(F.slice(w, i, k), " ")))
-    return F.concat(*out)
+        return F.transform(idx, lambda i: F.array_join(F.slice(w, i, k), " "))
+
+    return F.concat(*out, *[windows(k) for k in sizes])
 
 
 # --- line predicates -------------------------------------------------------------------------
