@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _EMPTY_INT = "array<int>"
@@ -24,26 +24,27 @@ def cut_at(arr: Column, starts: Column) -> Column:
         arr, s, F.coalesce(F.get(starts, j + 1), F.size(arr) + 1) - s))
 
 
-def with_ranked_terms(df: DataFrame, tokens: Column, out: str, k: int | None = None) -> DataFrame:
-    """Add ``out``: array<struct<term,n,pos>> of the k most frequent tokens of each row.
+def ranked_terms(tokens: Column, k: int | None = None) -> Column:
+    """array<struct<term,n,pos>> of the k most frequent tokens, ties to the token seen first.
 
-    Ties go to the token seen first.  The counts come from run lengths of the row's sorted
-    tokens, so a row never leaves its task: no explode, no shuffle, whatever the text length.
+    Counts are run lengths of the row's sorted tokens, so a row never leaves its task: no explode,
+    no shuffle, whatever the text length.
     """
-    df = df.withColumn("_rt", F.array_sort(F.transform(
-        tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))))
-    df = df.withColumn("_rb", F.filter(
-        int_range(F.lit(1), F.size("_rt")),
-        lambda b: (b == 1) | (F.get(F.col("_rt"), b - 1)["t"] != F.get(F.col("_rt"), b - 2)["t"])))
-    ranked = F.array_sort(F.transform("_rb", lambda b, j: F.struct(
-        (b - F.coalesce(F.get(F.col("_rb"), j + 1), F.size("_rt") + 1)).alias("neg"),
-        F.get(F.col("_rt"), b - 1)["i"].alias("pos"),
-        F.get(F.col("_rt"), b - 1)["t"].alias("term"))))
-    if k is not None:
-        ranked = F.slice(ranked, 1, k)
-    out_col = F.transform(ranked, lambda s: F.struct(
-        s["term"].alias("term"), (-s["neg"]).alias("n"), s["pos"].alias("pos")))
-    return df.withColumn(out, out_col).drop("_rt", "_rb")
+    def runs(s):
+        starts = F.filter(int_range(F.lit(1), F.size(s)), lambda b: (b == 1) | (
+            F.get(s, b - 1)["t"] != F.get(s, b - 2)["t"]))
+        return let(starts, lambda st: counted(s, st))
+
+    def counted(s, st):
+        ranked = F.array_sort(F.transform(st, lambda b, j: F.struct(
+            (b - F.coalesce(F.get(st, j + 1), F.size(s) + 1)).alias("neg"),
+            F.get(s, b - 1)["i"].alias("pos"), F.get(s, b - 1)["t"].alias("term"))))
+        if k is not None:
+            ranked = F.slice(ranked, 1, k)
+        return F.transform(ranked, lambda r: F.struct(
+            r["term"].alias("term"), (-r["neg"]).alias("n"), r["pos"].alias("pos")))
+
+    return let(F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), runs)
 
 
 def terms(ranked: Column) -> Column:

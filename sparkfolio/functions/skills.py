@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
+from sparkfolio.functions.arrays import let
 from sparkfolio.functions.text import WORD, lit_array, strip, text_parts
 
 _TOKEN = re.compile(r"\w+")
@@ -73,14 +74,11 @@ def term_hits(parts: Column, terms: list[str]) -> Column:
 
 def with_grams(df: DataFrame, text: Column, out: str, terms: list[str]) -> DataFrame:
     """Add the occurrences of the terms in ``text``."""
-    return (df.withColumn("_parts", text_parts(F.coalesce(text, F.lit(""))))
-            .withColumn(out, term_hits(F.col("_parts"), terms)).drop("_parts"))
+    return df.withColumn(out, grams_in(text, terms))
 
 
 def grams_in(text: Column, terms: list[str]) -> Column:
-    """As ``with_grams`` for use inside expressions."""
-    from sparkfolio.functions.arrays import let
-
+    """Occurrences of literal terms in a text (array<string>, repeats kept)."""
     return let(text_parts(F.coalesce(text, F.lit(""))), lambda p: term_hits(p, terms))
 
 

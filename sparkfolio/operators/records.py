@@ -42,19 +42,24 @@ def common_size(lines: Column, default: float = 10.0) -> Column:
 
 
 # --- sections --------------------------------------------------------------------------------
-def with_section_chunks(df: DataFrame, lines: str, body_size: Column, out: str) -> DataFrame:
-    """Add array<struct<section,lines>>: every line belongs to the last section header above it."""
-    df = df.withColumn("_mark", F.transform(lines, lambda x: F.when(
-        tx.is_header_line(x["text"], x["size"], x["bold"], body_size), tx.section_name(x["text"]))))
-    df = df.withColumn("_starts", F.filter(
-        int_range(F.lit(1), F.size("_mark")), lambda i: F.get(F.col("_mark"), i - 1).isNotNull()))
-    head = F.struct(F.lit("header").alias("section"), F.slice(
-        F.col(lines), F.lit(1), F.coalesce(F.get("_starts", F.lit(0)) - 1, F.size(lines))).alias("lines"))
-    rest = F.transform("_starts", lambda s, j: F.struct(
-        F.get(F.col("_mark"), s - 1).alias("section"),
-        F.slice(F.col(lines), s + 1, F.coalesce(
-            F.get(F.col("_starts"), j + 1), F.size(lines) + 1) - s - 1).alias("lines")))
-    return df.withColumn(out, F.concat(F.array(head), rest)).drop("_mark", "_starts")
+def section_chunks(lines: Column, body_size: Column) -> Column:
+    """array<struct<section,lines>>: every line belongs to the last section header above it."""
+    def marked(ls):
+        return let(F.transform(ls, lambda x: F.when(
+            tx.is_header_line(x["text"], x["size"], x["bold"], body_size), tx.section_name(x["text"]))),
+            lambda m: let(F.filter(int_range(F.lit(1), F.size(m)), lambda i: F.get(m, i - 1).isNotNull()),
+                          lambda st: cut(ls, m, st)))
+
+    def cut(ls, m, st):
+        n = F.size(ls)
+        head = F.struct(F.lit("header").alias("section"), F.slice(
+            ls, F.lit(1), F.coalesce(F.get(st, F.lit(0)) - 1, n)).alias("lines"))
+        rest = F.transform(st, lambda s, j: F.struct(
+            F.get(m, s - 1).alias("section"),
+            F.slice(ls, s + 1, F.coalesce(F.get(st, j + 1), n + 1) - s - 1).alias("lines")))
+        return F.concat(F.array(head), rest)
+
+    return let(lines, marked)
 
 
 def section_lines(chunks: Column, name: str) -> Column:
@@ -316,7 +321,7 @@ def summary_text(chunks: Column, positioned: bool) -> Column:
 def parse_lines(df: DataFrame, lines: str, body_size: Column, as_of: tuple[int, int], positioned: bool,
                 lexicon: dict[str, list[str]] = lx.SKILLS, header_lines: str | None = None) -> DataFrame:
     """Add the record columns header .. word_count to a frame with a line-array column."""
-    df = with_section_chunks(df, lines, body_size, "_chunks")
+    df = df.withColumn("_chunks", section_chunks(F.col(lines), body_size))
     df = df.withColumn("raw_text", join_lines(F.col(lines)))
     df = with_grams(df, F.col("raw_text"), "_hits", all_skills(lexicon))
     head = F.col(header_lines) if header_lines else section_lines(F.col("_chunks"), "header")
