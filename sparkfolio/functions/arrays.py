@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _EMPTY_INT = "array<int>"
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """Same rows and columns, but later filters are not rewritten into the column expressions.
+
+    Record columns are long expressions built on each other; a filter pushed below them would
+    copy and re-evaluate them many times.  Row-local, no shuffle.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once (lambda bodies are not shared by the optimiser)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

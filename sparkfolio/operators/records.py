@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkfolio import lexicon as lx
 from sparkfolio.functions import contact, dates
 from sparkfolio.functions import text as tx
-from sparkfolio.functions.arrays import cut_at, int_range, let
+from sparkfolio.functions.arrays import cut_at, int_range, let, sealed
 from sparkfolio.functions.skills import all_skills, flat_skills, grams_in, skills_by_category, with_grams
 
 LINE = "struct<text:string,size:double,bold:boolean,x0:double,top:double,col:string>"
@@ -342,9 +342,9 @@ def parse_text(df: DataFrame, text: str = "text", as_of: tuple[int, int] = (2026
     """Plain texts to records, one row in, one row out."""
     df = df.withColumn("_lines", text_lines(F.col(text)))
     df = parse_lines(df, "_lines", F.lit(12.0), as_of, positioned=False, lexicon=lexicon)
-    return (df.drop("_lines").withColumn("layout_detected", F.lit("single_column"))
-            .withColumn("extraction_method", F.lit(method))
-            .withColumn("extraction_confidence", F.round(F.least(F.lit(1.0), F.col("word_count") / 450), 2)))
+    return sealed(df.drop("_lines").withColumn("layout_detected", F.lit("single_column"))
+                  .withColumn("extraction_method", F.lit(method))
+                  .withColumn("extraction_confidence", F.round(F.least(F.lit(1.0), F.col("word_count") / 450), 2)))
 
 
 # --- whole records ---------------------------------------------------------------------------
@@ -435,6 +435,6 @@ def enrich(cv: DataFrame, current_year: int = 2026, entities: Column | None = No
               tx.job_title_from(head))))
     place = contact.cascade_location(c("header")["location"], c("header")["postal_code"], c("raw_text"),
                                      c("job_title"), contact.entity_location(head, places))
-    return (cv.withColumn("_place", place).withColumn("location", c("_place")["city"])
-            .withColumn("postal_code", c("_place")["code"]).withColumn("sector", sector_of(c("experience")))
-            .drop("_place"))
+    return sealed(cv.withColumn("_place", place).withColumn("location", c("_place")["city"])
+                  .withColumn("postal_code", c("_place")["code"]).withColumn("sector", sector_of(c("experience")))
+                  .drop("_place"))
