@@ -233,16 +233,21 @@ def education_rejected(degree: Column, school: Column, undated: Column, no_bulle
 
 
 # --- projects, languages, header -------------------------------------------------------------
-def project_entries(lines: Column, lexicon: dict[str, list[str]]) -> Column:
-    """Blocks between blank lines as project records."""
-    terms = all_skills(lexicon)
-
+def blank_chunks(texts: Column) -> Column:
+    """Texts cut at blank ones: array<array<string>>, blanks dropped."""
     def cut(ls):
         blank = F.transform(ls, lambda t: tx.strip(t) == "")
         first = F.filter(int_range(F.lit(1), F.size(ls)), lambda i: ~F.get(blank, i - 1) & (
             (i == 1) | F.get(blank, i - 2)))
         return F.transform(cut_at(ls, first), lambda block: F.filter(block, lambda t: tx.strip(t) != ""))
 
+    return let(texts, cut)
+
+
+def project_entries(lines: Column, lexicon: dict[str, list[str]]) -> Column:
+    """Blocks between blank lines as project records."""
+    terms = all_skills(lexicon)
+
     def record(b):
         joined = F.array_join(b, " ")
         bullets = F.transform(F.filter(F.slice(b, 2, F.greatest(F.size(b), F.lit(1))), lambda t: t.rlike(tx.BULLET)),
@@ -254,8 +259,7 @@ def project_entries(lines: Column, lexicon: dict[str, list[str]]) -> Column:
             F.array_intersect(tx.lit_array(terms), grams_in(joined, terms)).alias("stack"),
             contact.url(joined).alias("url"), metrics.alias("metrics")))
 
-    texts = F.transform(lines, lambda x: x["text"])
-    return let(texts, lambda ls: F.transform(cut(ls), record))
+    return F.transform(blank_chunks(F.transform(lines, lambda x: x["text"])), record)
 
 
 def language_list(lines: Column) -> Column:
