@@ -20,8 +20,8 @@ WC = rf"len(regexp_extract_all({CLEAN}, '\S+'))"
 NOW = AS_OF[0] * 12 + AS_OF[1]
 
 
-def parsed(t):
-    return rec.parse_text(t.cv_text.select("doc_id", "text"), as_of=AS_OF)
+def parsed(t, *fields):
+    return rec.parse_text(t.cv_text.select("doc_id", "text"), as_of=AS_OF, fields=fields)
 
 
 def lines_of(t):
@@ -120,7 +120,7 @@ def _(t):
 @query("t10_header_record", "SELECT doc_id, name, title, email, phone, city, postal, github, linkedin FROM cv_flat", uses=("cv_flat",))
 def _(t):
     h = F.col("header")
-    return parsed(t).select("doc_id", h["name"].alias("name"), h["title"].alias("title"), h["email"].alias("email"), h["phone"].alias("phone"),
+    return parsed(t, "header").select("doc_id", h["name"].alias("name"), h["title"].alias("title"), h["email"].alias("email"), h["phone"].alias("phone"),
                             h["location"].alias("city"), h["postal_code"].alias("postal"), h["github"].alias("github"), h["linkedin"].alias("linkedin"))
 
 
@@ -135,7 +135,7 @@ EDUS = """SELECT doc_id, 1 AS i, d1_degree AS degree, d1_school AS school, d1_sy
 
 @query("e24_experience_entries", EXPS, uses=("cv_flat",))
 def _(t):
-    return parsed(t).select("doc_id", F.posexplode("experience").alias("i", "e")).select(
+    return parsed(t, "experience").select("doc_id", F.posexplode("experience").alias("i", "e")).select(
         "doc_id", (F.col("i") + 1).alias("i"), "e.title", "e.company", "e.date_start", "e.date_end",
         F.col("e.duration_months").alias("months"), "e.is_current")
 
@@ -157,14 +157,14 @@ def _(t):
    SELECT doc_id, 1 AS i, unnest(bl) AS bullet, generate_subscripts(bl, 1) AS k FROM b WHERE n_exp >= 1
    UNION ALL SELECT doc_id, 2, e2_bullet, 1 FROM b WHERE n_exp >= 2""", uses=("cv_flat",))
 def _(t):
-    e = parsed(t).select("doc_id", F.posexplode("experience").alias("i", "e"))
+    e = parsed(t, "experience").select("doc_id", F.posexplode("experience").alias("i", "e"))
     return e.select("doc_id", (F.col("i") + 1).alias("i"), F.posexplode("e.bullets").alias("k", "bullet")).select(
         "doc_id", "i", "bullet", (F.col("k") + 1).alias("k"))
 
 
 @query("p15_education_entries", EDUS, uses=("cv_flat",))
 def _(t):
-    return parsed(t).select("doc_id", F.posexplode("education").alias("i", "e")).select(
+    return parsed(t, "education").select("doc_id", F.posexplode("education").alias("i", "e")).select(
         "doc_id", (F.col("i") + 1).alias("i"), "e.degree", "e.school", F.col("e.date_start").cast("int").alias("sy"), F.col("e.date_end").cast("int").alias("ey"))
 
 
@@ -182,14 +182,14 @@ def _(t):
 def _(t):
     noisy = F.concat(F.lit("PROFESSIONAL EXPERIENCE\nPEN\n"), F.regexp_replace("text", "(?s)^.*?PROFESSIONAL EXPERIENCE\n", ""))
     src = t.cv_text.select("doc_id", F.when(F.col("n_exp") >= 1, noisy).otherwise("PROFESSIONAL EXPERIENCE\nPEN").alias("text"))
-    return rec.parse_text(src, as_of=AS_OF).select("doc_id", F.size("experience").alias("kept"))
+    return rec.parse_text(src, as_of=AS_OF, fields=["experience"]).select("doc_id", F.size("experience").alias("kept"))
 
 
 @query("e25_project_entries", """SELECT doc_id, 1 AS i, p1_name AS name, p1_desc AS description, p1_url AS url, p1_metric AS metric,
      'docker,' || split_part('python,scala,rust,java', ',', CAST(1 + doc_id % 4 AS INT)) AS stack FROM cv_flat WHERE n_proj >= 1
    UNION ALL SELECT doc_id, 2, p2_name, p2_desc, NULL, '', 'php' FROM cv_flat WHERE n_proj >= 2""", uses=("cv_flat",))
 def _(t):
-    return parsed(t).select("doc_id", F.posexplode("projects").alias("i", "p")).select(
+    return parsed(t, "projects").select("doc_id", F.posexplode("projects").alias("i", "p")).select(
         "doc_id", (F.col("i") + 1).alias("i"), "p.name", "p.description", "p.url", F.array_join(F.filter("p.metrics", lambda m: ~m.startswith("http")), "|").alias("metric"),
         F.array_join("p.stack", ",").alias("stack"))
 
@@ -205,18 +205,18 @@ def _(t):
 
 @query("p17_language_list", "SELECT doc_id, CASE n_lang WHEN 0 THEN '' WHEN 1 THEN 'Français' ELSE 'Français,Anglais' END AS languages FROM cv_flat", uses=("cv_flat",))
 def _(t):
-    return parsed(t).select("doc_id", F.array_join("languages", ",").alias("languages"))
+    return parsed(t, "languages").select("doc_id", F.array_join("languages", ",").alias("languages"))
 
 
 @query("p14_summary", "SELECT doc_id, summary FROM cv_flat", uses=("cv_flat",))
 def _(t):
-    return parsed(t).select("doc_id", "summary")
+    return parsed(t, "summary").select("doc_id", "summary")
 
 
 @query("p14_summary_from_header", "SELECT doc_id, summary FROM cv_flat", uses=("cv_flat",))
 def _(t):
     src = t.cv_text.select("doc_id", F.regexp_replace("text", "\nSUMMARY\n", "\n").alias("text"))
-    return rec.parse_text(src, as_of=AS_OF).select("doc_id", "summary")
+    return rec.parse_text(src, as_of=AS_OF, fields=["summary"]).select("doc_id", "summary")
 
 
 @query("w3_text_sections", """SELECT doc_id, 'summary' AS section, summary AS text FROM cv_flat WHERE summary IS NOT NULL UNION ALL

@@ -6,6 +6,8 @@ with array expressions, so parsing needs no shuffle and no Python.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from sparkfolio import lexicon as lx
 from sparkfolio.functions import contact, dates
 from sparkfolio.functions import text as tx
 from sparkfolio.functions.arrays import cut_at, int_range, let, sealed
-from sparkfolio.functions.skills import all_skills, flat_skills, grams_in, skills_by_category, with_grams
+from sparkfolio.functions.skills import all_skills, flat_skills, grams_in, skills_by_category
 
 LINE = "struct<text:string,size:double,bold:boolean,x0:double,top:double,col:string>"
 _STRS = "array<string>"
@@ -322,33 +324,45 @@ def summary_text(chunks: Column, positioned: bool) -> Column:
     return F.coalesce(own, F.nullif(join_lines(F.filter(section_lines(chunks, "header"), prose)), F.lit("")))
 
 
+RECORD_FIELDS = ("raw_text", "header", "summary", "skills", "experience", "education", "projects", "languages",
+                 "word_count")
+
+
 def parse_lines(df: DataFrame, lines: str, body_size: Column, as_of: tuple[int, int], positioned: bool,
-                lexicon: dict[str, list[str]] = lx.SKILLS, header_lines: str | None = None) -> DataFrame:
-    """Add the record columns header .. word_count to a frame with a line-array column."""
-    df = df.withColumn("_chunks", section_chunks(F.col(lines), body_size))
-    df = df.withColumn("raw_text", join_lines(F.col(lines)))
-    df = with_grams(df, F.col("raw_text"), "_hits", all_skills(lexicon))
-    head = F.col(header_lines) if header_lines else section_lines(F.col("_chunks"), "header")
-    return (df.withColumn("_head", head)
-            .withColumn("header", header_record(F.col("_head"), F.col("raw_text")))
-            .withColumn("summary", summary_text(F.col("_chunks"), positioned))
-            .withColumn("skills", skills_by_category(F.col("_hits"), lexicon))
-            .withColumn("experience", timed_entries(section_lines(F.col("_chunks"), "experience"), as_of))
-            .withColumn("education", education_entries(section_lines(F.col("_chunks"), "education"), as_of, lexicon))
-            .withColumn("projects", project_entries(section_lines(F.col("_chunks"), "projects"), lexicon))
-            .withColumn("languages", language_list(section_lines(F.col("_chunks"), "languages")))
-            .withColumn("word_count", tx.word_count(F.col("raw_text")))
-            .drop("_chunks", "_hits", "_head"))
+                lexicon: dict[str, list[str]] = lx.SKILLS, header_lines: str | None = None,
+                fields: Sequence[str] = RECORD_FIELDS) -> DataFrame:
+    """Add the asked record fields to a frame with a line-array column."""
+    df = df.withColumn("_chunks", section_chunks(F.col(lines), body_size)).withColumn("raw_text", join_lines(F.col(lines)))
+
+    def section(name):
+        return section_lines(F.col("_chunks"), name)
+
+    make = {
+        "header": lambda: header_record(F.col(header_lines) if header_lines else section("header"), F.col("raw_text")),
+        "summary": lambda: summary_text(F.col("_chunks"), positioned),
+        "skills": lambda: let(grams_in(F.col("raw_text"), all_skills(lexicon)), lambda h: skills_by_category(h, lexicon)),
+        "experience": lambda: timed_entries(section("experience"), as_of),
+        "education": lambda: education_entries(section("education"), as_of, lexicon),
+        "projects": lambda: project_entries(section("projects"), lexicon),
+        "languages": lambda: language_list(section("languages")),
+        "word_count": lambda: tx.word_count(F.col("raw_text")),
+    }
+    for f in fields:
+        if f != "raw_text":
+            df = df.withColumn(f, make[f]())
+    return df.drop("_chunks")
 
 
 def parse_text(df: DataFrame, text: str = "text", as_of: tuple[int, int] = (2026, 1), method: str = "ocr",
-               lexicon: dict[str, list[str]] = lx.SKILLS) -> DataFrame:
-    """Plain texts to records, one row in, one row out."""
-    df = df.withColumn("_lines", text_lines(F.col(text)))
-    df = parse_lines(df, "_lines", F.lit(12.0), as_of, positioned=False, lexicon=lexicon)
-    return sealed(df.drop("_lines").withColumn("layout_detected", F.lit("single_column"))
-                  .withColumn("extraction_method", F.lit(method))
-                  .withColumn("extraction_confidence", F.round(F.least(F.lit(1.0), F.col("word_count") / 450), 2)))
+               lexicon: dict[str, list[str]] = lx.SKILLS, fields: Sequence[str] = RECORD_FIELDS) -> DataFrame:
+    """Plain texts to records, one row in, one row out; only the asked fields are computed."""
+    df = parse_lines(df.withColumn("_lines", text_lines(F.col(text))), "_lines", F.lit(12.0), as_of,
+                     positioned=False, lexicon=lexicon, fields=fields)
+    df = (df.drop("_lines").withColumn("layout_detected", F.lit("single_column"))
+          .withColumn("extraction_method", F.lit(method)))
+    if "word_count" in fields:
+        df = df.withColumn("extraction_confidence", F.round(F.least(F.lit(1.0), F.col("word_count") / 450), 2))
+    return sealed(df)
 
 
 # --- whole records ---------------------------------------------------------------------------
