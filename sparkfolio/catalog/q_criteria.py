@@ -212,7 +212,6 @@ def _(t):
     return cr.unmet_brief(_evaluated(t))
 
 
-_SEG = ", ".join(f"('{k}')" for k in lx.SECTOR_TEMPLATES)
 _TPL = sql_values([(k, i, c, w, r) for k, v in lx.SECTOR_TEMPLATES.items() for i, (c, w, r) in enumerate(v)], "sector_key, ord, criterion_id, weight, required")
 _OVR = sql_values([(k, i, c, w, r) for k, v in lx.PROFILE_OVERRIDES.items() for i, (c, w, r) in enumerate(v)], "profile_id, ord, criterion_id, weight, required")
 _PART_SECTORS = "CASE p_type WHEN 'ECONOMY' THEN 'btp' WHEN 'SMALL' THEN 'sport' WHEN 'MEDIUM' THEN 'informatique_digital' WHEN 'PROMO' THEN 'securite' WHEN 'STANDARD' THEN 'immobilier' ELSE 'artisanat' END"
@@ -249,18 +248,15 @@ def _(t):
     return cr.weight_errors(t.part.select(F.col("p_brand").alias("profile_id"), F.col("p_size").alias("weight")))
 
 
-_S8 = f"SELECT DISTINCT {_PART_SECTORS} AS sector, {_PART_PROFILE} AS profile_id FROM part"
-
-
 @query("s8_profile_dimension", f"SELECT profile_id, sector_key AS sector FROM (SELECT {_PART_PROFILE} AS profile_id, min({_PART_SECTORS}) AS sector_key FROM part WHERE p_size <> 7 GROUP BY 1)")
 def _(t):
     return _part_profiles(t).filter("profile_id <> 'infirmier'").select("profile_id", "sector")
 
 
-@query("a24_profiles_per_sector", f"SELECT sector, count(*) AS profiles, string_agg(profile_id, ',' ORDER BY profile_id) AS ids FROM ({_S8}) GROUP BY sector")
+@query("a24_profiles_per_sector", f"SELECT sector, count(*) AS profiles, string_agg(profile_id, ',' ORDER BY profile_id) AS ids FROM (SELECT DISTINCT {_PART_SECTORS} AS sector, p_brand AS profile_id FROM part) GROUP BY sector")
 def _(t):
     from sparkfolio.sources.profiles import profiles_by_sector
-    p = t.part.select(F.expr(_PART_SECTORS).alias("sector"), F.expr(_PART_PROFILE).alias("profile_id"))
+    p = t.part.select(F.expr(_PART_SECTORS).alias("sector"), F.col("p_brand").alias("profile_id"))
     return profiles_by_sector(p).select("sector", F.size("profile_ids").alias("profiles"), F.array_join("profile_ids", ",").alias("ids"))
 
 
@@ -293,9 +289,9 @@ def _(t):
     return _best(t).select("owner", "phrase", F.round("sim", 5).alias("sim"))
 
 
-@query("m1_semantic_skills", f"WITH {_SIM} SELECT owner, string_agg(CAST(phrase AS STRING), ',' ORDER BY phrase) AS phrases FROM bp WHERE sim >= 0.51 GROUP BY owner")
+@query("m1_semantic_skills", f"WITH {_SIM} SELECT owner, string_agg(CAST(phrase AS STRING), ',' ORDER BY phrase) AS phrases FROM bp WHERE sim >= 0.4 GROUP BY owner")
 def _(t):
-    return vj.semantic_skills(_best(t)).select("owner", F.array_join(F.transform("phrases", lambda p: p.cast("string")), ",").alias("phrases"))
+    return vj.semantic_skills(_best(t), 0.4).select("owner", F.array_join(F.transform("phrases", lambda p: p.cast("string")), ",").alias("phrases"))
 
 
 @query("a21_threshold_sweep", f"""WITH {_SIM}, th AS (SELECT owner, sim, unnest([0.45, 0.50, 0.55, 0.60, 0.65, 0.70]) AS threshold FROM bp),

@@ -11,6 +11,9 @@ from sparkfolio.session import spread
 
 _TEXT_TABLES = {"documents", "pages", "conversations"}
 
+# Lazy plans by session and folder: saves rebuilding long expressions, holds no data.
+_PLANS: dict[tuple, DataFrame] = {}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +27,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
+        key = (self.spark.sparkContext.applicationId, id(self.spark), self.sf_dir, name)
+        if key not in _PLANS:
+            _PLANS[key] = self._plan(name)
+        return _PLANS[key]
+
+    def _plan(self, name: str) -> DataFrame:
         if name in derived.SQL:
             sql, inputs = derived.SQL[name]
             return self.spark.sql(sql, **{i: getattr(self, i) for i in inputs})

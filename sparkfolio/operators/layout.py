@@ -1,8 +1,12 @@
-"""Line and word tables: sections, columns, reading order."""
+"""Line and word tables: sections, columns, reading order.
+
+Per-document facts come from partial aggregates over distinct coordinates, which a page bounds,
+so a document or source holding very many words is never gathered whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,3 +23,108 @@ def carry_sections(lines: DataFrame, key: str, line_no: str, mark: Column) -> Da
     body = marked.filter("_m is null").drop("_m").join(heads, key, "left")
     last = F.array_max(F.filter("_h", lambda h: h["n"] < F.col(line_no)))
     return body.withColumn("section", F.coalesce(last["s"], F.lit("header"))).drop("_h")
+
+
+def gutters(words: DataFrame, min_gap: float = 25.0) -> DataFrame:
+    """(doc_id, width, body_top, gutter, layout): column layout of each document.
+
+    The gutter is the middle of the widest empty band between word starts in the central 70 % of
+    the page below its top fifth; both sides must hold a tenth of the words.
+    """
+    size = words.groupBy("doc_id").agg(F.max(F.coalesce("x1", "x0")).alias("width"),
+                                       (F.max(F.coalesce("bottom", F.col("top") + 12)) * 0.20).alias("body_top"))
+    starts = words.join(size, "doc_id").filter(F.col("top") > F.col("body_top")).groupBy(
+        "doc_id", "width", "body_top", F.round("x0", 1).alias("x")).agg(F.count("*").alias("n"))
+    central = starts.filter((F.col("x") >= F.col("width") * 0.15) & (F.col("x") <= F.col("width") * 0.85))
+    nxt = F.lead("x").over(Window.partitionBy("doc_id").orderBy("x"))
+    widest = central.withColumn("nx", nxt).filter("nx is not null").groupBy("doc_id").agg(
+        F.max_by(F.struct("x", "nx"), F.struct(F.round(F.col("nx") - F.col("x"), 6), -F.col("x"))).alias("g"))
+    wide = widest.filter(F.round(F.col("g.nx") - F.col("g.x"), 6) >= min_gap).select(
+        "doc_id", ((F.col("g.x") + F.col("g.nx")) / 2).alias("gutter"))
+    sides = starts.join(wide, "doc_id").groupBy("doc_id", "gutter").agg(
+        F.sum("n").alias("total"), F.sum(F.when(F.col("x") < F.col("gutter"), F.col("n")).otherwise(0)).alias("left"))
+    both = (F.col("total") >= 5) & (F.col("left") >= F.col("total") * 0.10) & (F.col("total") - F.col("left") >= F.col("total") * 0.10)
+    good = sides.filter(both).select("doc_id", "gutter")
+    return size.join(good, "doc_id", "left").withColumn(
+        "layout", F.when(F.col("gutter").isNotNull(), "two_columns").otherwise("single_column"))
+
+
+def line_anchors(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
+    """(doc_id, page, top, anchor): each distinct height with the height its line starts at.
+
+    A word joins a line while within ``tolerance`` of the line's first word, so the heights of a
+    page are folded in order; only distinct heights are gathered.
+    """
+    tops = words.groupBy("doc_id", "page", "top").agg(F.lit(1).alias("_")).groupBy("doc_id", "page").agg(
+        F.array_sort(F.collect_list("top")).alias("tops"))
+    start = F.struct(F.lit(None).cast("double").alias("a"), F.array().cast("array<double>").alias("out"))
+
+    def step(s, t):
+        a = F.when(s["a"].isNull() | (t - s["a"] > tolerance), t).otherwise(s["a"])
+        return F.struct(a.alias("a"), F.concat(s["out"], F.array(a)).alias("out"))
+
+    folded = F.aggregate("tops", start, step)["out"]
+    return tops.select("doc_id", "page", F.explode(F.arrays_zip("tops", folded.alias("anchors"))).alias("z")).select(
+        "doc_id", "page", F.col("z.tops").alias("top"), F.col("z.anchors").alias("anchor"))
+
+
+def assemble_lines(words: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, anchor, col, text, size, bold, x0, top): words of a line joined left to right.
+
+    With a layout, lines below the page head are cut at the gutter into left and right.
+    """
+    w = words.join(line_anchors(words), ["doc_id", "page", "top"])
+    if layout is not None:
+        w = w.join(layout.select("doc_id", "gutter", "body_top"), "doc_id")
+        col = F.when(F.col("gutter").isNull() | (F.col("anchor") < F.col("body_top")), "full").when(
+            F.col("x0") < F.col("gutter"), "left").otherwise("right")
+    else:
+        col = F.lit("full")
+    w = w.withColumn("col", col)
+    parts = F.array_sort(F.collect_list(F.struct("x0", "top", "text")))
+    return w.groupBy("doc_id", "page", "anchor", "col").agg(
+        F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("text"),
+        F.coalesce(F.max("size"), F.lit(10.0)).alias("size"),
+        F.bool_or(F.contains(F.lower(F.coalesce("fontname", F.lit(""))), F.lit("bold"))).alias("bold"),
+        F.min("x0").alias("x0"), F.min("top").alias("top"))
+
+
+def reading_key(body_top: Column | None = None) -> Column:
+    """Sort key of a line: page, then head, left and right zones, then height."""
+    zone = F.when(F.col("col") == "full", 0).when(F.col("col") == "left", 1).otherwise(2)
+    return F.struct(F.col("page"), zone.alias("zone"), F.col("anchor"))
+
+
+def body_sizes(lines: DataFrame, order: Column) -> DataFrame:
+    """(doc_id, body_size): most frequent line size rounded to 0.1, first seen on ties, 10 if none."""
+    counted = lines.filter((F.trim("text") != "") & (F.col("size") > 0)).groupBy(
+        "doc_id", F.round("size", 1).alias("s")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    best = counted.groupBy("doc_id").agg(F.min_by("s", F.struct(-F.col("n"), "first")).alias("body_size"))
+    return lines.select("doc_id").distinct().join(best, "doc_id", "left").withColumn(
+        "body_size", F.coalesce("body_size", F.lit(10.0)))
+
+
+def head_threshold(lines: DataFrame, share: float = 0.12) -> DataFrame:
+    """(doc_id, head_top): the height below which a line counts as top of the document."""
+    per = lines.groupBy("doc_id", "top").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("doc_id")
+    cum = per.withColumn("c", F.sum("n").over(w.orderBy("top"))).withColumn("total", F.sum("n").over(w))
+    return cum.filter(F.col("c") >= F.floor(F.col("total") * share) + 1).groupBy("doc_id").agg(F.min("top").alias("head_top"))
+
+
+def document_lines(words: DataFrame) -> DataFrame:
+    """(doc_id, lines, head_lines, body_size, layout): each document's lines in reading order.
+
+    A document is one record, so its assembled lines are gathered in one row for parsing;
+    ``head_lines`` are the header candidates of two-column documents, by height.
+    """
+    layout = gutters(words)
+    lines = assemble_lines(words, layout).withColumn("key", reading_key())
+    head = head_threshold(lines)
+    size = body_sizes(lines, F.col("key"))
+    line = F.struct(F.col("text"), F.col("size"), F.col("bold"), F.col("x0"), F.col("top"), F.col("col"))
+    packed = lines.join(head, "doc_id").groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("key"), line.alias("line")))), lambda x: x["line"]).alias("lines"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("top") <= F.col("head_top"), F.struct(
+            F.col("top"), F.col("key"), line.alias("line"))))), lambda x: x["line"]).alias("top_lines"))
+    return packed.join(size, "doc_id").join(layout.select("doc_id", "layout"), "doc_id")
