@@ -185,7 +185,7 @@ _ACT = ", ".join("'" + w.replace("'", "''") + "'" for w in lx.action_words())
    SELECT c.doc_id, coalesce(string_agg(w, ',' ORDER BY w), '') AS found FROM cv_text c LEFT JOIN w ON w.doc_id = c.doc_id GROUP BY c.doc_id""", uses=("cv_text",))
 def _(t):
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return t.cv_text.select("doc_id", F.array_join(F.array_sort(F.array_intersect(tokens, tx.lit_array(lx.action_words()))), ",").alias("found"))
+    return t.cv_text.select("doc_id", F.array_join(F.sort_array(F.array_intersect(tokens, tx.lit_array(lx.action_words()))), ",").alias("found"))
 
 
 @query("u2_exact_and_semantic_skills", f"SELECT doc_id, concat_ws(',', nullif(array_to_string({SKILL_LIST}, ','), ''), CASE WHEN n_skill < 2 THEN 'Docker' END, 'team work') AS skills FROM cv_flat", uses=("cv_flat",))

@@ -240,11 +240,7 @@ MATCH = f"""{QUERY_SQL}, {JD},
 
 
 def _match_parts(t):
-    cv, listings = t.cv, t.listing
-    searches = mt.search_table(cv)
-    shown = mt.candidates(searches, mt.answer_searches(searches, listings), listings)
-    scored = mt.score_candidates(cv, mt.first_shown(shown), listings)
-    return scored, mt.rank_matches(scored)
+    return mt.match_report(t.cv, t.listing)
 
 
 @query("m4_find_matching_jobs", f"WITH {MATCH} SELECT doc_id, listing_id, source, round(keyword, 6) AS keyword, round(structure, 6) AS structure, overall, rank FROM fm",
@@ -279,9 +275,8 @@ def _(t):
    b AS (SELECT doc_id, count(*) AS matches, count(*) FILTER (WHERE source = 'adzuna') AS n_adzuna, count(*) FILTER (WHERE source = 'jooble') AS n_jooble FROM fm GROUP BY doc_id)
    SELECT doc_id, duplicates_removed, few_results, matches, n_adzuna, n_jooble FROM a JOIN b USING (doc_id)""", uses=("cv_text", "listing"))
 def _(t):
-    scored, ranked = _match_parts(t)
     m = F.col("source_counts")
-    return mt.match_summary(scored, ranked).select("doc_id", "duplicates_removed", "few_results", "matches",
+    return _match_parts(t)[2].select("doc_id", "duplicates_removed", "few_results", "matches",
         F.coalesce(F.try_element_at(m, F.lit("adzuna")), F.lit(0)).alias("n_adzuna"), F.coalesce(F.try_element_at(m, F.lit("jooble")), F.lit(0)).alias("n_jooble"))
 
 

@@ -475,7 +475,7 @@ def _(t):
 @query("t6_recommendations_by_priority", f"WITH {SIGNALS}, {_REC} SELECT doc_id, r.a AS action, row_number() OVER (PARTITION BY doc_id ORDER BY r.p, r.o) AS pos FROM rc", uses=CV)
 def _(t):
     cv = signals(t).join(t.documents.select("doc_id", "n_chars"), "doc_id")
-    keyed = F.array_sort(F.transform(rp.recommendations((F.col("n_chars") % 10) / 10.0), lambda r, i: F.struct(r["priority"].alias("p"), i.alias("i"), r["action"].alias("a"))))
+    keyed = F.sort_array(F.transform(rp.recommendations((F.col("n_chars") % 10) / 10.0), lambda r, i: F.struct(r["priority"].alias("p"), i.alias("i"), r["action"].alias("a"))))
     return cv.select("doc_id", F.posexplode(keyed).alias("i", "r")).select("doc_id", F.col("r.a").alias("action"), (F.col("i") + 1).alias("pos"))
 
 

@@ -108,6 +108,12 @@ def _(t):
     return kw.lexicon_matches(t.cv_text, "doc_id", "text", lex, max_words=3).select("doc_id", "category", "skill")
 
 
+@query("j1_lexicon_match_by_join", f"WITH {LEX_SQL} SELECT doc_id, category, skill FROM mk, lex WHERE {HIT}", uses=("cv_text",))
+def _(t):
+    lex = kw.lexicon_frame(t.spark, lx.SKILLS)
+    return kw.lexicon_matches_by_join(t.cv_text, "doc_id", "text", lex, max_words=3).select("doc_id", "category", "skill")
+
+
 @query("j1_lexicon_match_in_row", f"""WITH {LEX_SQL} SELECT doc_id, category, string_agg(skill, '|' ORDER BY ord) AS skills
   FROM mk, lex WHERE {HIT} GROUP BY doc_id, category""", uses=("cv_text",))
 def _(t):
@@ -120,7 +126,7 @@ def _(t):
   SELECT doc_id, category, skill FROM mk, lex WHERE contains(m, form)""")
 def _(t):
     lex = kw.lexicon_frame(t.spark, FREQUENT)
-    return kw.lexicon_matches(t.documents, "doc_id", "text", lex, max_words=2, symbol_edges=False).select(
+    return kw.lexicon_matches(t.documents, "doc_id", "text", lex, max_words=2).select(
         "doc_id", "category", "skill")
 
 

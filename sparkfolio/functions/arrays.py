@@ -45,7 +45,7 @@ def ranked_terms(tokens: Column, k: int | None = None) -> Column:
         return let(starts, lambda st: counted(s, st))
 
     def counted(s, st):
-        ranked = F.array_sort(F.transform(st, lambda b, j: F.struct(
+        ranked = F.sort_array(F.transform(st, lambda b, j: F.struct(
             (b - F.coalesce(F.get(st, j + 1), F.size(s) + 1)).alias("neg"),
             F.get(s, b - 1)["i"].alias("pos"), F.get(s, b - 1)["t"].alias("term"))))
         if k is not None:
@@ -53,7 +53,7 @@ def ranked_terms(tokens: Column, k: int | None = None) -> Column:
         return F.transform(ranked, lambda r: F.struct(
             r["term"].alias("term"), (-r["neg"]).alias("n"), r["pos"].alias("pos")))
 
-    return let(F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), runs)
+    return let(F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), runs)
 
 
 def terms(ranked: Column) -> Column:

@@ -89,7 +89,7 @@ def cascade_location(structured_city: Column, structured_code: Column, raw_text:
 def longest_proper_run(c: Column) -> Column:
     """Longest capitalised run, first on ties, outer blanks, commas and dashes removed."""
     runs = F.regexp_extract_all(c, F.lit(PROPER_RUN), F.lit(0))
-    best = F.array_sort(F.transform(runs, lambda r, i: F.struct(
+    best = F.sort_array(F.transform(runs, lambda r, i: F.struct(
         (-F.length(r)).alias("neg"), i.alias("i"), r.alias("r"))))
     return F.regexp_replace(F.get(best, F.lit(0))["r"], r"^[ ,\-]+|[ ,\-]+$", "")
 
@@ -106,7 +106,7 @@ def entity_location(header_text: Column, candidates: Column) -> Column:
                     & ~has_street_word(x))
     cleaned = F.array_distinct(F.filter(F.transform(kept, longest_proper_run),
                                         lambda x: x.isNotNull() & (x != "")))
-    placed = F.array_sort(F.transform(
+    placed = F.sort_array(F.transform(
         F.filter(cleaned, lambda x: F.contains(header_text, x)),
         lambda x: F.struct(F.instr(header_text, x).alias("at"), x.alias("x"))))
     in_header = F.get(placed, F.lit(0))["x"]

@@ -105,7 +105,7 @@ def alternation_skills(text: Column, lexicon: dict[str, list[str]]) -> Column:
     names = sorted(set(all_skills(lexicon)))
     body = "|".join(re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", n) for n in names)
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{body})(?![\p{{L}}\p{{N}}_])"), F.lit(0))
-    return F.array_sort(F.array_distinct(found))
+    return F.sort_array(F.array_distinct(found))
 
 
 def normalise_skill(c: Column) -> Column:

@@ -214,7 +214,7 @@ def evaluate(cv: DataFrame, criteria: DataFrame, profile: str = "profile_id") ->
     """
     spark = cv.sparkSession
     both = criteria.select(*[c.split()[0] for c in CRITERION.split(", ")]).unionByName(generic_criteria(spark))
-    packed = both.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct(
+    packed = both.groupBy("profile_id").agg(F.sort_array(F.collect_list(F.struct(
         "ord", "criterion_id", "label", "rule", "weight", "required", "keywords"))).alias("criteria"))
     dims = small_or_shuffled(packed)
     joined = cv.withColumn("_p", F.coalesce(F.col(profile), F.lit(lx.GENERIC_PROFILE_ID))).join(
@@ -252,7 +252,7 @@ def totals(results: DataFrame) -> DataFrame:
 def unmet_brief(results: DataFrame) -> DataFrame:
     """(doc_id, required_unmet, optional_unmet): text lines in criterion order."""
     def lines(cond, text):
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("ord"), text.alias("t"))))),
+        return F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct(F.col("ord"), text.alias("t"))))),
                                         lambda x: x["t"]), "\n")
 
     req = F.concat(F.lit("- **"), "label", F.lit("** ("), F.col("weight").cast("string"), F.lit(" pts) : "), "evidence")

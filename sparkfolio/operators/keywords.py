@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
 from sparkfolio.functions import text as tx
-from sparkfolio.functions.arrays import ranked_terms, terms
-from sparkfolio.functions.skills import with_grams
+from sparkfolio.functions.arrays import let, ranked_terms, terms
+from sparkfolio.functions.skills import grams_in, with_grams
 
 
 def lexicon_frame(spark, lexicon: dict[str, list[str]]) -> DataFrame:
@@ -19,18 +19,50 @@ def lexicon_frame(spark, lexicon: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "category string, skill string, term string, ord int")
 
 
+MAX_LITERAL_TERMS = 2_000
+
+
 def lexicon_matches(docs: DataFrame, key: str, text: str, lexicon: DataFrame, max_words: int = 4,
-                    symbol_edges: bool = True) -> DataFrame:
+                    max_literal: int = MAX_LITERAL_TERMS) -> DataFrame:
     """(key, category, skill, ord) for every lexicon term standing in a text.
 
-    Scale path for lexicons held as tables: texts become distinct n-grams, which meet the terms
-    by equality.  The cost follows the text, not text times lexicon.  No broadcast is forced; the
-    planner broadcasts the lexicon while it is below its size threshold and shuffles otherwise.
+    The lexicon is a table with category, skill, term (lower case), ord.  Up to ``max_literal``
+    terms are matched inside the row by hash lookup and only hits leave it; a larger lexicon is
+    joined, see ``lexicon_matches_by_join``.
+    """
+    few = [r.term for r in lexicon.select("term").distinct().limit(max_literal + 1).collect()]
+    if len(few) > max_literal:
+        return lexicon_matches_by_join(docs, key, text, lexicon, max_words)
+    hits = docs.select(key, F.explode(F.array_distinct(grams_in(F.col(text), few))).alias("term"))
+    return hits.join(lexicon, "term").select(key, "category", "skill", "ord")
+
+
+def lexicon_matches_by_join(docs: DataFrame, key: str, text: str, lexicon: DataFrame, max_words: int = 4) -> DataFrame:
+    """As ``lexicon_matches`` for lexicons of any size.
+
+    Every word of a text meets the terms that start with it by equality, and the rest of the term
+    is compared with the few words that follow.  Cost follows the text, not text times lexicon.
+    No broadcast is forced: the planner broadcasts the lexicon below its size threshold and
+    shuffles otherwise; common words are thinned first because a head must exist in the lexicon.
     """
-    grams = (docs.select(key, tx.text_parts(F.coalesce(F.col(text), F.lit(""))).alias("_p"))
-             .select(key, F.explode(F.array_distinct(
-                 tx.word_grams(F.col("_p"), max_words, symbol_edges))).alias("term")))
-    return grams.join(lexicon, "term").select(key, "category", "skill", "ord")
+    lead = F.regexp_extract("term", rf"^([^\p{{L}}\p{{N}}_]*)", 1)
+    terms_ = lexicon.withColumn("lead", lead).withColumn("body", F.expr("substr(term, length(lead) + 1)")) \
+        .withColumn("head", F.regexp_extract("body", rf"^({tx.WORD}+)", 1))
+
+    def places(parts):
+        n = F.size(parts)
+        first = F.when(F.get(parts, F.lit(0)).rlike(f"^{tx.WORD}"), 1).otherwise(2)
+        starts = F.when(n >= first, F.sequence(first, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(
+            F.get(parts, i - 1).alias("head"), F.array_join(F.slice(parts, i, 2 * max_words), "").alias("tail"),
+            F.when(i == 1, "  ").when(i == 2, F.concat(F.lit("   "), F.get(parts, F.lit(0))))
+            .otherwise(F.get(parts, i - 2)).alias("before")))
+
+    at = docs.select(key, F.explode(let(tx.text_parts(F.coalesce(F.col(text), F.lit(""))), places)).alias("p")).select(key, "p.*")
+    rest = F.expr("substr(tail, length(body) + 1, 1)")
+    led = (F.col("lead") == "") | (F.endswith("before", "lead") & (F.length("before") > F.length("lead")))
+    hit = F.startswith("tail", "body") & ~rest.rlike(f"^{tx.WORD}") & led
+    return at.join(terms_, "head").filter(hit).select(key, "category", "skill", "ord").distinct()
 
 
 def matches_by_pattern(docs: DataFrame, key: str, text: str, terms_: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ def carry_sections(lines: DataFrame, key: str, line_no: str, mark: Column) -> Da
     """
     marked = lines.withColumn("_m", mark)
     heads = marked.filter("_m is not null").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col("_m").alias("s")))).alias("_h"))
+        F.sort_array(F.collect_list(F.struct(F.col(line_no).alias("n"), F.col("_m").alias("s")))).alias("_h"))
     body = marked.filter("_m is null").drop("_m").join(heads, key, "left")
     last = F.array_max(F.filter("_h", lambda h: h["n"] < F.col(line_no)))
     return body.withColumn("section", F.coalesce(last["s"], F.lit("header"))).drop("_h")
@@ -56,7 +56,7 @@ def line_anchors(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     page are folded in order; only distinct heights are gathered.
     """
     tops = words.groupBy("doc_id", "page", "top").agg(F.lit(1).alias("_")).groupBy("doc_id", "page").agg(
-        F.array_sort(F.collect_list("top")).alias("tops"))
+        F.sort_array(F.collect_list("top")).alias("tops"))
     start = F.struct(F.lit(None).cast("double").alias("a"), F.array().cast("array<double>").alias("out"))
 
     def step(s, t):
@@ -81,7 +81,7 @@ def assemble_lines(words: DataFrame, layout: DataFrame | None = None) -> DataFra
     else:
         col = F.lit("full")
     w = w.withColumn("col", col)
-    parts = F.array_sort(F.collect_list(F.struct("x0", "top", "text")))
+    parts = F.sort_array(F.collect_list(F.struct("x0", "top", "text")))
     return w.groupBy("doc_id", "page", "anchor", "col").agg(
         F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("text"),
         F.coalesce(F.max("size"), F.lit(10.0)).alias("size"),
@@ -124,7 +124,7 @@ def document_lines(words: DataFrame) -> DataFrame:
     size = body_sizes(lines, F.col("key"))
     line = F.struct(F.col("text"), F.col("size"), F.col("bold"), F.col("x0"), F.col("top"), F.col("col"))
     packed = lines.join(head, "doc_id").groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col("key"), line.alias("line")))), lambda x: x["line"]).alias("lines"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("top") <= F.col("head_top"), F.struct(
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col("key"), line.alias("line")))), lambda x: x["line"]).alias("lines"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("top") <= F.col("head_top"), F.struct(
             F.col("top"), F.col("key"), line.alias("line"))))), lambda x: x["line"]).alias("top_lines"))
     return packed.join(size, "doc_id").join(layout.select("doc_id", "layout"), "doc_id")

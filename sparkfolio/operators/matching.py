@@ -13,6 +13,7 @@ from sparkfolio.functions import contact, search
 from sparkfolio.functions import text as tx
 from sparkfolio.functions.arrays import sealed
 from sparkfolio.operators import keywords as kw
+from sparkfolio.session import persisted
 from sparkfolio.sources.listings import source_order
 
 MIN_SCORE = 25.0
@@ -124,7 +125,7 @@ def match_summary(scored: DataFrame, ranked: DataFrame) -> DataFrame:
     per_source = ranked.groupBy("doc_id", "source").agg(F.count("*").alias("n"))
     counts = per_source.groupBy("doc_id").agg(
         F.sum("n").alias("matches"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("source_counts"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("source_counts"))
     return seen.join(counts, "doc_id")
 
 
@@ -132,10 +133,21 @@ def find_matching_jobs(cv: DataFrame, listings: DataFrame, max_results: int = 20
                        active: list[str] | None = None, semantic: DataFrame | None = None) -> DataFrame:
     """Ranked matches of every record against a listing table.
 
-    ``listings`` needs listing_id, title, location, description, url, source.
+    ``listings`` needs listing_id, title, location, description, url, source.  The searches are
+    read three times, so they are written once to the shared folder instead of being rebuilt from
+    the records.
     """
     if active is not None:
         listings = listings.filter(F.col("source").isin(*active))
-    searches = search_table(cv, max_results, region)
+    searches = persisted(search_table(cv, max_results, region), "searches")
     shown = candidates(searches, answer_searches(searches, listings, max_results), listings)
     return rank_matches(score_candidates(cv, first_shown(shown), listings, semantic))
+
+
+def match_report(cv: DataFrame, listings: DataFrame, max_results: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scored, ranked, summary); the scored pairs are written once and read by the other two."""
+    searches = persisted(search_table(cv, max_results), "searches")
+    shown = candidates(searches, answer_searches(searches, listings, max_results), listings)
+    scored = persisted(score_candidates(cv, first_shown(shown), listings), "scored")
+    ranked = rank_matches(scored)
+    return scored, ranked, match_summary(scored, ranked)

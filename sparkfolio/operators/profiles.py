@@ -85,7 +85,7 @@ def best_profile(scores: Column, profiles: Sequence[Profile]) -> Column:
             F.round(conf, 3).alias("confidence"),
             F.transform(alt, lambda a: F.struct(a["id"].alias("id"), F.round(-a["neg"], 3).alias("score"))).alias("alternatives"))
 
-    ranked = F.array_sort(F.transform(scores, lambda s: F.struct((-s["score"]).alias("neg"), s["ord"].alias("ord"), s["id"].alias("id"))))
+    ranked = F.sort_array(F.transform(scores, lambda s: F.struct((-s["score"]).alias("neg"), s["ord"].alias("ord"), s["id"].alias("id"))))
     return let(ranked, choose)
 
 

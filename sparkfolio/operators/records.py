@@ -38,7 +38,7 @@ def common_size(lines: Column, default: float = 10.0) -> Column:
     """Most frequent line size rounded to 0.1, first seen on ties."""
     sizes = F.transform(F.filter(lines, lambda x: (tx.strip(x["text"]) != "") & (x["size"] > 0)),
                         lambda x: F.round(x["size"], 1))
-    ranked = let(sizes, lambda s: F.array_sort(F.transform(F.array_distinct(s), lambda v, i: F.struct(
+    ranked = let(sizes, lambda s: F.sort_array(F.transform(F.array_distinct(s), lambda v, i: F.struct(
         (-F.size(F.filter(s, lambda y: y == v))).alias("neg"), i.alias("i"), v.alias("v")))))
     return F.coalesce(F.get(ranked, F.lit(0))["v"], F.lit(default))
 
@@ -127,7 +127,7 @@ def entry_groups(lines: Column) -> Column:
             F.array_max(F.filter(s["b"], lambda b: b < q)), F.lit(1)))
         first = F.when(F.size(s["f"]) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
         return cut_at(F.transform(s["f"], lambda x: x["text"]),
-                      F.array_sort(F.array_distinct(F.concat(first, by_date, s["b"]))))
+                      F.sort_array(F.array_distinct(F.concat(first, by_date, s["b"]))))
 
     return let(F.filter(lines, lambda x: tx.strip(x["text"]) != ""), lambda ls: let(facts(ls), cut))
 
@@ -182,7 +182,7 @@ def by_recency(entries: Column) -> Column:
         F.coalesce(-F.get(F.split(e["date_start"], "-"), F.lit(0)).cast("int"), F.lit(0)).alias("y"),
         F.coalesce(-F.get(F.split(e["date_start"], "-"), F.lit(1)).cast("int"), F.lit(0)).alias("m"),
         i.alias("i"), e.alias("e")))
-    return F.transform(F.array_sort(keyed), lambda k: k["e"])
+    return F.transform(F.sort_array(keyed), lambda k: k["e"])
 
 
 def _present(c: Column) -> Column:
@@ -305,7 +305,7 @@ def header_record(lines: Column, raw_text: Column) -> Column:
 
 def name_line(lines: Column) -> Column:
     """Largest line without email or phone, first on ties."""
-    ranked = F.array_sort(F.transform(
+    ranked = F.sort_array(F.transform(
         F.filter(lines, lambda x: (tx.strip(x["text"]) != "") & ~contact.has_contact(x["text"], links=False)),
         lambda x, i: F.struct((-x["size"]).alias("neg"), i.alias("i"), x.alias("x"))))
     return F.get(ranked, F.lit(0))["x"]

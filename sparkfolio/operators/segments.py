@@ -33,7 +33,7 @@ def flat_sections(text: Column, phrases=tuple(lx.FLAT_SECTION_PHRASES)) -> Colum
         for section, options in order.items():
             found = F.coalesce(*[opening(w, o) for o in options])
             opens.append(F.struct(found["at"].alias("at"), found["n"].alias("n"), F.lit(section).alias("section")))
-        return let(F.array_sort(F.filter(F.array(*opens), lambda o: o["at"].isNotNull())), lambda o: build(w, o))
+        return let(F.sort_array(F.filter(F.array(*opens), lambda o: o["at"].isNotNull())), lambda o: build(w, o))
 
     def build(w, o):
         head = F.struct(F.lit("header").alias("section"), F.array_join(

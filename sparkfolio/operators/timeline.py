@@ -36,7 +36,7 @@ def career_gaps(experience: Column, education: Column, as_of: tuple[int, int], m
     """
     def ordered(iv):
         keyed = F.transform(iv, lambda x, i: F.struct(x["s"].alias("s"), i.alias("i"), x["e"].alias("e")))
-        return let(F.array_sort(keyed), gaps)
+        return let(F.sort_array(keyed), gaps)
 
     def gaps(iv):
         idx = int_range(F.lit(1), F.size(iv) - 1)
@@ -100,4 +100,4 @@ def timeline(experience: Column, education: Column) -> Column:
 
     both = F.concat(F.transform(experience, job), F.transform(education, school))
     keyed = F.transform(both, lambda x, i: F.struct((-x["y"]).alias("y"), (-x["m"]).alias("m"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+    return F.transform(F.sort_array(keyed), lambda k: k["x"])

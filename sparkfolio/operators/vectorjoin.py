@@ -16,7 +16,7 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, vector): mean vector per label, averaged per position before anything is collected."""
     pos = vectors.select(F.col(label).alias("label"), F.posexplode(vector).alias("p", "v"))
     mean = pos.groupBy("label", "p").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    return mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("vector"))
+    return mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda x: x["m"]).alias("vector"))
 
 
 def _unit(vectors) -> np.ndarray:
@@ -77,7 +77,7 @@ def best_per_phrase(pairs: DataFrame, owners: DataFrame) -> DataFrame:
 
 def semantic_skills(best: DataFrame, threshold: float = 0.51) -> DataFrame:
     """(owner, phrases): phrases whose best line reaches the threshold, in phrase order."""
-    return best.filter(F.col("sim") >= threshold).groupBy("owner").agg(F.array_sort(F.collect_list("phrase")).alias("phrases"))
+    return best.filter(F.col("sim") >= threshold).groupBy("owner").agg(F.sort_array(F.collect_list("phrase")).alias("phrases"))
 
 
 def threshold_sweep(best: DataFrame, corpus, flagged, thresholds=(0.45, 0.50, 0.55, 0.60, 0.65, 0.70)) -> DataFrame:

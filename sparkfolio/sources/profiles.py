@@ -29,4 +29,4 @@ def profile_list(profiles: DataFrame) -> list[Profile]:
 def profiles_by_sector(profiles: DataFrame) -> DataFrame:
     """(sector, profile_ids): sorted ids per sector, repeats removed before collecting."""
     return profiles.select("sector", "profile_id").distinct().groupBy("sector").agg(
-        F.array_sort(F.collect_list("profile_id")).alias("profile_ids"))
+        F.sort_array(F.collect_list("profile_id")).alias("profile_ids"))

@@ -23,7 +23,7 @@ def parse_words(words: DataFrame, as_of: tuple[int, int] = (2026, 1), lexicon: d
     docs = document_lines(words)
     chunks = rec.section_chunks(F.col("lines"), F.col("body_size"))
     own = rec.section_lines(chunks, "header")
-    both = F.when(F.col("layout") == "two_columns", F.transform(F.array_sort(F.transform(
+    both = F.when(F.col("layout") == "two_columns", F.transform(F.sort_array(F.transform(
         F.array_distinct(F.concat(own, "top_lines")), lambda x, i: F.struct(x["top"].alias("t"), i.alias("i"), x.alias("x")))),
         lambda k: k["x"])).otherwise(own)
     df = rec.parse_lines(docs.withColumn("_head", both), "lines", F.col("body_size"), as_of, positioned=True,
