@@ -95,10 +95,9 @@ def _centroids(t):
 
 def _title_scores(t):
     """map profile -> title similarity per record; aliases are the label centroids."""
-    pairs = vj.similar_pairs(_vectors(t), _centroids(t))
-    names = F.element_at(tx.lit_array([p.profile_id for p in CATALOGUE]), (F.col("phrase") + 1).cast("int"))
-    return pairs.filter(F.col("phrase") < len(CATALOGUE)).groupBy(F.col("id").alias("doc_id")).agg(
-        F.map_from_entries(F.collect_list(F.struct(names.alias("p"), F.col("sim")))).alias("title_scores"))
+    sims = vj.similarity_maps(_vectors(t), _centroids(t))
+    pairs = F.array(*[F.struct(F.lit(p.profile_id), F.element_at("sims", F.lit(i).cast("bigint"))) for i, p in enumerate(CATALOGUE)])
+    return sims.select(F.col("id").alias("doc_id"), F.map_from_entries(pairs).alias("title_scores"))
 
 
 def _scored(t):
@@ -281,7 +280,7 @@ def _(t):
 
 
 def _best(t):
-    return vj.best_per_phrase(vj.similar_pairs(_vectors(t), _centroids(t)), t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("owner")))
+    return vj.best_per_phrase(t.embeddings.select(F.col("label").alias("owner"), F.col("embedding").alias("vector")), _centroids(t))
 
 
 @query("a9_best_similarity", f"WITH {_SIM} SELECT owner, phrase, round(sim, 5) AS sim FROM bp")

@@ -31,18 +31,18 @@ def _pairs(ids, vectors, phrase_ids, phrases, threshold) -> pd.DataFrame:
     return pd.DataFrame({"id": np.asarray(ids)[i], "phrase": np.asarray(phrase_ids)[j], "sim": sim[i, j]})
 
 
-def similar_pairs(vectors: DataFrame, phrases: DataFrame, threshold: float = -1.0, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def similar_pairs(vectors: DataFrame, phrases: DataFrame, threshold: float, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(id, phrase, sim) with cosine of at least ``threshold``.
 
     ``vectors`` is (id, vector), ``phrases`` is (phrase, vector).  Up to ``max_broadcast`` phrases
     are sent to every task as one matrix and nothing is shuffled.  A larger set is cut into blocks
     of fixed size on both sides that meet by block number: still exact, bounded memory per task.
     """
-    head = phrases.limit(max_broadcast + 1).toPandas()
-    if head.empty:
-        return vectors.sparkSession.createDataFrame([], PAIR)
-    if len(head) <= max_broadcast:
-        shared = vectors.sparkSession.sparkContext.broadcast((head["phrase"].to_numpy(), _unit(head["vector"])))
+    head = _small(phrases, max_broadcast)
+    if head is not None:
+        if not len(head[0]):
+            return vectors.sparkSession.createDataFrame([], PAIR)
+        shared = vectors.sparkSession.sparkContext.broadcast(head)
 
         def run(batches):
             ids, matrix = shared.value
@@ -70,9 +70,55 @@ def _blocked(vectors: DataFrame, phrases: DataFrame, threshold: float, block: in
     return left.groupBy("vb", "pb").cogroup(right.groupBy("vb", "pb")).applyInPandas(run, PAIR)
 
 
-def best_per_phrase(pairs: DataFrame, owners: DataFrame) -> DataFrame:
-    """(owner, phrase, sim): best similarity over the lines (id) of each owner."""
-    return pairs.join(owners, "id").groupBy("owner", "phrase").agg(F.max("sim").alias("sim"))
+def best_per_phrase(vectors: DataFrame, phrases: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(owner, phrase, sim): best similarity over the vectors of each owner.
+
+    ``vectors`` is (owner, vector).  Each batch is reduced to one row per owner and phrase before
+    anything is shuffled, so the pairs themselves never leave a task.
+    """
+    head = _small(phrases, max_broadcast)
+    if head is None:
+        keyed = vectors.withColumn("id", F.xxhash64("owner", "vector")).dropDuplicates(["owner", "id"])
+        pairs = _blocked(keyed.select("id", "vector").dropDuplicates(["id"]), phrases, -1.0)
+        return pairs.join(keyed.select("id", "owner"), "id").groupBy("owner", "phrase").agg(F.max("sim").alias("sim"))
+    shared = vectors.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches):
+        ids, matrix = shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            sims = pd.DataFrame(_unit(b["vector"]) @ matrix.T, columns=ids)
+            best = sims.groupby(b["owner"].to_numpy()).max()
+            yield best.rename_axis("owner").reset_index().melt("owner", var_name="phrase", value_name="sim").astype(
+                {"phrase": "int64"})
+
+    partial = vectors.select(F.col("owner").cast("bigint").alias("owner"), "vector").mapInPandas(run, "owner long, phrase long, sim double")
+    return partial.groupBy("owner", "phrase").agg(F.max("sim").alias("sim"))
+
+
+def similarity_maps(vectors: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(id, sims): one map phrase -> cosine per vector; phrases above the bound are refused."""
+    head = _small(phrases, MAX_BROADCAST)
+    if head is None:
+        raise ValueError(f"more than {MAX_BROADCAST} phrases: use similar_pairs with a threshold")
+    shared = vectors.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches):
+        _ids, matrix = shared.value
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"id": b["id"], "s": list(_unit(b["vector"]) @ matrix.T)})
+
+    keys = F.array(*[F.lit(int(i)).cast("bigint") for i in head[0]])
+    return vectors.select("id", "vector").mapInPandas(run, "id long, s array<double>").select(
+        "id", F.map_from_arrays(keys, "s").alias("sims"))
+
+
+def _small(phrases: DataFrame, bound: int):
+    """(ids, unit matrix) of a phrase set within the bound, else None."""
+    head = phrases.orderBy("phrase").limit(bound + 1).toPandas()
+    return (head["phrase"].to_numpy(), _unit(head["vector"])) if len(head) <= bound else None
 
 
 def semantic_skills(best: DataFrame, threshold: float = 0.51) -> DataFrame:

@@ -28,11 +28,15 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """New folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """New folder under ``spark.checkpoint.dir``, which all executors must share.
+
+    Only a local session may leave it unset; it then gets a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = os.path.join(tempfile.gettempdir(), "sparkfolio")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
