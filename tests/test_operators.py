@@ -189,7 +189,7 @@ def test_line_anchor_does_not_drift(spark):
 
 
 def test_two_column_words(spark):
-    rows, y = [], 0
+    rows = []
 
     def put(text, x, top, size=10.0, font="F"):
         for k, part in enumerate(text.split()):
@@ -199,14 +199,13 @@ def test_two_column_words(spark):
     put("PEN", 310, 24, 18.0)
     for i, line in enumerate(["PROFESSIONAL EXPERIENCE", "2019 - 2021", "Data engineer | Novalis", "- reduced costs by 20%"]):
         put(line, 50, 300 + 20 * i)
-    for i, line in enumerate(["SKILLS", "python docker", "LANGUAGES", "- Anglais"]):
+    for i, line in enumerate(["SKILLS", "python docker kubernetes terraform spark", "LANGUAGES", "- Anglais"]):
         put(line, 310, 300 + 20 * i)
     put("footer", 50, 800)
     w = spark.createDataFrame(rows, "doc_id bigint, page int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string")
     r = parse_words(w).first()
     assert r.layout_detected == "two_columns" and [e.title for e in r.experience] == ["Data engineer"]
     assert r.languages == ["Anglais"] and r.skills["languages"] == ["python"]
-    _ = y
 
 
 def test_cv_json_bad_rows(spark):
