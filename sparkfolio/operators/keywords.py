@@ -96,8 +96,7 @@ def top_keyword_rows(df: DataFrame, key: str, text: str, k: int = 40, content: b
                      stop_words: Sequence[str] = tuple(lx.STOP_WORDS)) -> DataFrame:
     """(key, rank, term, n) of the k most frequent keywords of each text."""
     tokens = tx.content_tokens if content else tx.keyword_tokens
-    return (df.select(key, ranked_terms(tokens(F.col(text), stop_words), k).alias("_rank"))
-            .select(key, F.posexplode("_rank").alias("i", "r"))
+    return (df.select(key, F.posexplode(ranked_terms(tokens(F.col(text), stop_words), k)).alias("i", "r"))
             .select(key, (F.col("i") + 1).alias("rank"), F.col("r.term").alias("term"), F.col("r.n").alias("n")))
 
 
