@@ -86,10 +86,14 @@ def keyword_density(docs: DataFrame, text: str, terms_: Sequence[str]) -> DataFr
 
 
 def with_top_keywords(df: DataFrame, text: str, out: str, k: int = 40, content: bool = False,
-                      stop_words: Sequence[str] = tuple(lx.STOP_WORDS)) -> DataFrame:
-    """Add the k most frequent keywords of each text, ties by first occurrence (array<string>)."""
-    tokens = tx.content_tokens if content else tx.keyword_tokens
-    return df.withColumn(out, terms(ranked_terms(tokens(F.col(text), stop_words), k)))
+                      stop_words: Sequence[str] = tuple(lx.STOP_WORDS), tokens: Column | None = None) -> DataFrame:
+    """Add the k most frequent keywords of each text, ties by first occurrence (array<string>).
+
+    ``tokens`` is an optional array<string> of the caller's own tokens, such as lemmas of nouns.
+    """
+    if tokens is None:
+        tokens = (tx.content_tokens if content else tx.keyword_tokens)(F.col(text), stop_words)
+    return df.withColumn(out, terms(ranked_terms(tokens, k)))
 
 
 def top_keyword_rows(df: DataFrame, key: str, text: str, k: int = 40, content: bool = False,

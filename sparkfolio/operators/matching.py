@@ -93,14 +93,16 @@ def score_candidates(cv: DataFrame, first: DataFrame, listings: DataFrame,
     rec = cv.select("doc_id", F.lower("raw_text").alias("low"),
                     kw.structure_score(F.col("sections"), F.col("skills_flat")).alias("structure"))
     rows = packed.join(rec, "doc_id").select("doc_id", "low", "structure", F.explode("c").alias("x"))
-    keyword = kw.match_ratio(F.col("x.keywords"), F.col("low"))
-    return sealed(rows.select(
+    rows = sealed(rows.select("doc_id", "structure", "x", kw.matched(F.col("x.keywords"), F.col("low")).alias("hit")))
+    n = F.size("x.keywords")
+    keyword = F.when(n > 0, F.size("hit") / n).otherwise(0.5)
+    return rows.select(
         "doc_id", F.col("x.listing_id").alias("listing_id"), F.col("x.source").alias("source"),
         (F.col("x.query_ord") * 1000 + F.col("x.r")).alias("seen_ord"), F.col("x.shown").alias("shown"),
         keyword.alias("keyword"), "structure", F.col("x.semantic").alias("semantic"),
         kw.overall_score(F.col("x.semantic"), keyword, F.col("structure")).alias("overall"),
-        F.slice(kw.matched(F.col("x.keywords"), F.col("low")), 1, 20).alias("matched"),
-        F.slice(kw.missing(F.col("x.keywords"), F.col("low")), 1, 20).alias("missing")))
+        F.slice("hit", 1, 20).alias("matched"),
+        F.slice(F.array_except("x.keywords", "hit"), 1, 20).alias("missing"))
 
 
 def rank_matches(scored: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

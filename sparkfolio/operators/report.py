@@ -8,7 +8,40 @@ from pyspark.sql import functions as F
 from sparkfolio.functions import text as tx
 
 REQUIRED_SECTIONS = ["experience", "education", "skills"]
+
+# --- fixed values: report texts ---------------------------------------------------------------
 SECTION_LABELS = {"experience": "Expérience professionnelle", "skills": "Compétences", "education": "Formation"}
+STRENGTHS = {
+    "skills": "Compétences techniques riches (%d skills détectés)",
+    "role": "Expérience réelle (%s, %d an(s))",
+    "years": "Expérience réelle (%d an(s))",
+    "experience": "Expériences professionnelles présentes",
+    "summary": "Accroche/profil présent",
+    "metrics": "Métriques chiffrées dans les expériences",
+    "projects": "%d projet(s) documenté(s)",
+    "words": "CV bien développé (%d mots)",
+}
+IMPROVEMENTS = {
+    "skills": "Enrichir les compétences techniques (%d détectées, cible ≥ 10)",
+    "experience": "Ajouter une expérience professionnelle",
+    "summary": "Ajouter une accroche/profil en tête de CV",
+    "metrics": "Quantifier les résultats dans les expériences (%, chiffres, volumes)",
+    "projects": "Créer une section Projets avec stack et résultats",
+    "words": "Développer le contenu (%d mots détectés, cible ≥ 300)",
+}
+# name -> (priority, impact, action, why)
+RECOMMENDATIONS = {
+    "layout": (1, "Fort", "Convertir en 1 colonne", "Les parseurs ATS ignorent souvent la colonne droite — données perdues"),
+    "section": (1, "Fort", "Ajouter une section « %s »", "Section obligatoire pour passer les filtres ATS automatiques"),
+    "metrics": (2, "Moyen", "Ajouter des métriques chiffrées dans les expériences", "Différencie les profils à compétences équivalentes (%, volumes, délais)"),
+    "projects": (2, "Moyen", "Créer une section Projets avec stack et résultats", "Signal fort de pratique autonome, très valorisé en tech"),
+    "summary": (2, "Moyen", "Ajouter une accroche/profil en début de CV", "Aide les recruteurs à positionner rapidement votre profil"),
+    "dates": (2, "Moyen", "Compléter les dates de début/fin dans les expériences", "Les ATS utilisent les dates pour calculer les années d'expérience"),
+    "verbs": (3, "Faible", "Débuter les bullets par des verbes ou noms d'action", "Style attendu par les recruteurs (réalisé, développé, optimisé…)"),
+    "skills": (3, "Faible", "Enrichir les compétences (%d détectées, cible ≥ 10)", "Plus de mots-clés techniques = meilleur taux de correspondance ATS"),
+    "words": (3, "Faible", "Développer le contenu du CV (%d mots, cible ≥ 300)", "CV trop court — enrichir avec contexte et bullets détaillés"),
+    "density": (3, "Faible", "Réduire la répétition de mots-clés techniques", "Densité actuelle %d%% — risque de sur-optimisation détectée par certains ATS"),
+}
 
 
 def level(score: Column) -> Column:
@@ -105,66 +138,64 @@ def most_recent_role() -> Column:
     return F.nullif(F.concat_ws(" @ ", F.nullif(e["title"], F.lit("")), F.nullif(e["company"], F.lit(""))), F.lit(""))
 
 
+def _filled(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")) != ""
+
+
 def strengths() -> Column:
-    c = F.col
-    years, role = total_experience_years(), F.coalesce(most_recent_role(), F.lit(""))
-    whole = F.bround(years, 0).cast("int").cast("string")
-    real = (F.when((years > 0) & (role != ""), F.concat(F.lit("Expérience réelle ("), role, F.lit(", "), whole, F.lit(" an(s))")))
-            .when(years > 0, F.concat(F.lit("Expérience réelle ("), whole, F.lit(" an(s))")))
-            .otherwise("Expériences professionnelles présentes"))
+    c, t = F.col, STRENGTHS
+    years, role = total_experience_years(), most_recent_role()
+    whole = F.bround(years, 0).cast("int")
+    real = (F.when((years > 0) & role.isNotNull(), F.format_string(t["role"], role, whole))
+            .when(years > 0, F.format_string(t["years"], whole)).otherwise(t["experience"]))
     return F.array_compact(F.array(
-        F.when(c("total_skills") >= 10, F.format_string("Compétences techniques riches (%d skills détectés)", c("total_skills"))),
+        F.when(c("total_skills") >= 10, F.format_string(t["skills"], c("total_skills"))),
         F.when(F.size("experience") >= 1, real),
-        F.when(F.coalesce(c("summary"), F.lit("")) != "", "Accroche/profil présent"),
-        F.when(c("has_metrics"), "Métriques chiffrées dans les expériences"),
-        F.when(F.size("projects") > 0, F.format_string("%d projet(s) documenté(s)", F.size("projects"))),
-        F.when(c("word_count") >= 300, F.format_string("CV bien développé (%d mots)", c("word_count")))))
+        F.when(_filled("summary"), t["summary"]),
+        F.when(c("has_metrics"), t["metrics"]),
+        F.when(F.size("projects") > 0, F.format_string(t["projects"], F.size("projects"))),
+        F.when(c("word_count") >= 300, F.format_string(t["words"], c("word_count")))))
 
 
 def improvements() -> Column:
-    c = F.col
+    c, t = F.col, IMPROVEMENTS
     return F.array_compact(F.array(
-        F.when(c("total_skills") < 10, F.format_string("Enrichir les compétences techniques (%d détectées, cible ≥ 10)", c("total_skills"))),
-        F.when(F.size("experience") < 1, "Ajouter une expérience professionnelle"),
-        F.when(F.coalesce(c("summary"), F.lit("")) == "", "Ajouter une accroche/profil en tête de CV"),
-        F.when(~c("has_metrics"), "Quantifier les résultats dans les expériences (%, chiffres, volumes)"),
-        F.when(F.size("projects") == 0, "Créer une section Projets avec stack et résultats"),
-        F.when(c("word_count") < 300, F.format_string("Développer le contenu (%d mots détectés, cible ≥ 300)", c("word_count")))))
+        F.when(c("total_skills") < 10, F.format_string(t["skills"], c("total_skills"))),
+        F.when(F.size("experience") < 1, t["experience"]),
+        F.when(~_filled("summary"), t["summary"]),
+        F.when(~c("has_metrics"), t["metrics"]),
+        F.when(F.size("projects") == 0, t["projects"]),
+        F.when(c("word_count") < 300, F.format_string(t["words"], c("word_count")))))
 
 
 def recommendations(density: Column) -> Column:
-    """array<struct<priority,impact,action,why>> ordered by priority."""
+    """array<struct<priority,impact,action,why>> ordered by priority.
+
+    ``density`` is the share of skill words in the text.
+    """
     c = F.col
-    exp = F.size("experience") > 0
+    worked = F.size("experience") > 0
+    gone = missing_sections()
 
-    def rec(cond, priority, impact, action, why):
-        action = F.lit(action) if isinstance(action, str) else action
-        why = F.lit(why) if isinstance(why, str) else why
-        return F.when(cond, F.struct(F.lit(priority).alias("priority"), F.lit(impact).alias("impact"),
-                                     action.alias("action"), why.alias("why")))
+    def row(when: Column, name: str, action: Column | None = None, why: Column | None = None) -> Column:
+        priority, impact, action_text, why_text = RECOMMENDATIONS[name]
+        return F.when(when, F.struct(
+            F.lit(priority).alias("priority"), F.lit(impact).alias("impact"),
+            (F.lit(action_text) if action is None else action).alias("action"),
+            (F.lit(why_text) if why is None else why).alias("why")))
 
-    gone = missing_sections()
-    rows = [rec(c("layout_detected") == "two_columns", 1, "Fort", "Convertir en 1 colonne",
-                "Les parseurs ATS ignorent souvent la colonne droite — données perdues")]
-    rows += [rec(F.array_contains(gone, s), 1, "Fort", f"Ajouter une section « {SECTION_LABELS[s]} »",
-                 "Section obligatoire pour passer les filtres ATS automatiques") for s in REQUIRED_SECTIONS]
-    rows += [
-        rec(~c("has_metrics") & exp, 2, "Moyen", "Ajouter des métriques chiffrées dans les expériences",
-            "Différencie les profils à compétences équivalentes (%, volumes, délais)"),
-        rec((F.size("projects") == 0) & exp, 2, "Moyen", "Créer une section Projets avec stack et résultats",
-            "Signal fort de pratique autonome, très valorisé en tech"),
-        rec(F.coalesce(c("summary"), F.lit("")) == "", 2, "Moyen", "Ajouter une accroche/profil en début de CV",
-            "Aide les recruteurs à positionner rapidement votre profil"),
-        rec(~c("has_dates") & exp, 2, "Moyen", "Compléter les dates de début/fin dans les expériences",
-            "Les ATS utilisent les dates pour calculer les années d'expérience"),
-        rec(~c("has_verbs"), 3, "Faible", "Débuter les bullets par des verbes ou noms d'action",
-            "Style attendu par les recruteurs (réalisé, développé, optimisé…)"),
-        rec(c("total_skills") < 10, 3, "Faible", F.format_string("Enrichir les compétences (%d détectées, cible ≥ 10)", c("total_skills")),
-            "Plus de mots-clés techniques = meilleur taux de correspondance ATS"),
-        rec(c("word_count") < 300, 3, "Faible", F.format_string("Développer le contenu du CV (%d mots, cible ≥ 300)", c("word_count")),
-            "CV trop court — enrichir avec contexte et bullets détaillés"),
-        rec(density > 0.35, 3, "Faible", "Réduire la répétition de mots-clés techniques",
-            F.concat(F.lit("Densité actuelle "), F.bround(density * 100, 0).cast("int").cast("string"),
-                     F.lit("% — risque de sur-optimisation détectée par certains ATS"))),
-    ]
-    return F.array_compact(F.array(*rows))
+    def count(name: str, column: str) -> Column:
+        return F.format_string(RECOMMENDATIONS[name][2], c(column))
+
+    percent = F.format_string(RECOMMENDATIONS["density"][3], F.bround(density * 100, 0).cast("int"))
+    return F.array_compact(F.array(
+        row(c("layout_detected") == "two_columns", "layout"),
+        *[row(F.array_contains(gone, s), "section", F.lit(RECOMMENDATIONS["section"][2] % SECTION_LABELS[s])) for s in REQUIRED_SECTIONS],
+        row(~c("has_metrics") & worked, "metrics"),
+        row((F.size("projects") == 0) & worked, "projects"),
+        row(~_filled("summary"), "summary"),
+        row(~c("has_dates") & worked, "dates"),
+        row(~c("has_verbs"), "verbs"),
+        row(c("total_skills") < 10, "skills", count("skills", "total_skills")),
+        row(c("word_count") < 300, "words", count("words", "word_count")),
+        row(density > 0.35, "density", why=percent)))
