@@ -75,33 +75,17 @@ def text_parts(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(rf"{WORD}+|[^\p{{L}}\p{{N}}_]+"), F.lit(0))
 
 
-def word_grams(parts: Column, max_words: int, symbol_edges: bool = False) -> Column:
-    """All 1..max_words word n-grams of ``text_parts`` output, separators kept as written.
-
-    With ``symbol_edges`` the single words are also emitted with one or two neighbouring
-    symbols (``c++``, ``c#``, ``.net``), so lexicon terms with symbols meet by equality.
-    """
+def word_grams(parts: Column, max_words: int) -> Column:
+    """All 1..max_words word n-grams of ``text_parts`` output, separators kept as written."""
     n = F.size(parts)
     first = F.when(F.get(parts, F.lit(0)).rlike(f"^{WORD}"), 1).otherwise(2)
     starts = F.when(n >= first, F.sequence(first, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    grams = [F.transform(starts, lambda i: F.get(parts, i - 1))]
 
     def joined(span):
         fits = F.filter(starts, lambda i: i + span - 1 <= n)
         return F.transform(fits, lambda i: F.array_join(F.slice(parts, i, span), ""))
 
-    def edged(w):
-        after = F.filter(starts, lambda i: (F.length(F.get(parts, i)) > w)
-                         | ((F.length(F.get(parts, i)) == w) & (i + 1 == n)))
-        before = F.filter(starts, lambda i: (i > 1) & (
-            (F.length(F.get(parts, i - 2)) > w) | ((F.length(F.get(parts, i - 2)) == w) & (i == 2))))
-        return [F.transform(after, lambda i: F.concat(F.get(parts, i - 1), F.substring(F.get(parts, i), 1, w))),
-                F.transform(before, lambda i: F.concat(F.substring(F.get(parts, i - 2), -w, w), F.get(parts, i - 1)))]
-
-    grams += [joined(2 * k - 1) for k in range(2, max_words + 1)]
-    if symbol_edges:
-        grams += edged(1) + edged(2)
-    return F.concat(*grams)
+    return F.concat(*[joined(2 * k - 1) for k in range(1, max_words + 1)])
 
 
 def title_windows(c: Column, sizes: Sequence[int] = (2, 3, 4)) -> Column:

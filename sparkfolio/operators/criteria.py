@@ -12,7 +12,30 @@ from sparkfolio.functions import text as tx
 from sparkfolio.operators import report as rp
 from sparkfolio.session import small_or_shuffled
 
-# rule name -> builder(keywords column) -> (met, evidence)
+# --- fixed values: evidence texts, (met, not met) or one text ---------------------------------
+EVIDENCE = {
+    "experience": ("%d expérience(s) détectée(s)", "Aucune expérience détectée"),
+    "education": ("%d formation(s) / diplôme(s) détecté(s)", "Aucune formation détectée"),
+    "summary": ("Accroche/profil présent", "Accroche/profil absente"),
+    "dates": ("%d/%d expériences datées (%d%%)", "Aucune expérience — dates non vérifiables"),
+    "words": "%d mots détectés (seuil : 300)",
+    "email": "Email détecté",
+    "phone": "Téléphone détecté",
+    "no_contact": "Ni email ni téléphone détectés",
+    "tech_skills": "%d compétences techniques détectées",
+    "sector_count": "%d compétences sectorielles",
+    "sector": ("Mots-clés trouvés : %s", "Aucun mot-clé sectoriel détecté"),
+    "metrics": ("Métriques chiffrées présentes", "Aucune métrique chiffrée détectée"),
+    "projects": ("%d projet(s) documenté(s)", "Aucun projet documenté"),
+    "profile": ("%d/%d mots-clés métier (%d%%)", "Aucun mot-clé métier configuré"),
+    "qualification": ("Habilitations trouvées : %s", "Aucune habilitation détectée"),
+    "languages": ("%d langue(s) détectée(s)", "Aucune langue étrangère détectée"),
+    "own": ("Mots-clés trouvés : %s", "Aucun mot-clé détecté dans le CV"),
+    "own_empty": "Aucun mot-clé configuré",
+    "unknown": "Fonction '%s' non implémentée",
+}
+
+# rule name -> builder(keywords column) -> (met, evidence), both Columns over a record
 Rule = Callable[[Column], tuple[Column, Column]]
 RULES: dict[str, Rule] = {}
 
@@ -27,124 +50,99 @@ def rule(name: str):
     return add
 
 
-def _n(column: str) -> Column:
-    return F.size(column)
+def _say(met: Column, key: str, *values: Column) -> Column:
+    yes, no = EVIDENCE[key]
+    return F.when(met, F.format_string(yes, *values) if values else F.lit(yes)).otherwise(no)
 
 
-def _num(c: Column) -> Column:
-    return c.cast("string")
+def _at_least_one(rule_name: str, column: str, key: str) -> None:
+    """Rules that only ask whether a list of the record has an entry."""
 
+    @rule(rule_name)
+    def _(_keywords):
+        n = F.size(column)
+        return n >= 1, _say(n >= 1, key, n)
 
-def _percent(ratio: Column) -> Column:
-    return F.concat(_num(F.bround(ratio * 100, 0).cast("int")), F.lit("%"))
 
+for _rule, _column, _key in (("has_experience", "experience", "experience"), ("has_education", "education", "education"),
+                             ("has_projects", "projects", "projects"), ("has_languages", "languages", "languages")):
+    _at_least_one(_rule, _column, _key)
 
-def _either(met: Column, yes: Column | str, no: Column | str) -> tuple[Column, Column]:
-    yes, no = (F.lit(x) if isinstance(x, str) else x for x in (yes, no))
-    return met, F.when(met, yes).otherwise(no)
 
+def _percent(part: Column, whole: Column) -> Column:
+    return F.bround(part / F.greatest(whole, F.lit(1)) * 100, 0).cast("int")
 
-@rule("has_experience")
-def _(_k):
-    n = _n("experience")
-    return _either(n >= 1, F.concat(_num(n), F.lit(" expérience(s) détectée(s)")), "Aucune expérience détectée")
+
+def _check_text() -> Column:
+    return F.lower(F.concat(F.col("raw_text"), F.lit(" "), F.array_join("skills_flat", " ")))
 
 
-@rule("has_education")
-def _(_k):
-    n = _n("education")
-    return _either(n >= 1, F.concat(_num(n), F.lit(" formation(s) / diplôme(s) détecté(s)")), "Aucune formation détectée")
+def _found(keywords: Column, text_lower: Column) -> Column:
+    return F.filter(keywords, lambda k: F.contains(text_lower, F.lower(k)))
 
 
 @rule("has_summary")
-def _(_k):
-    return _either(F.coalesce("summary", F.lit("")) != "", "Accroche/profil présent", "Accroche/profil absente")
+def _(_keywords):
+    met = F.coalesce("summary", F.lit("")) != ""
+    return met, _say(met, "summary")
 
 
 @rule("has_dates")
-def _(_k):
-    n = _n("experience")
+def _(_keywords):
+    n = F.size("experience")
     dated = F.size(F.filter("experience", lambda e: F.coalesce(e["date_start"], F.lit("")) != ""))
-    ratio = dated / F.greatest(n, F.lit(1))
-    text = F.concat(_num(dated), F.lit("/"), _num(n), F.lit(" expériences datées ("), _percent(ratio), F.lit(")"))
-    return (n > 0) & (ratio >= 0.5), F.when(n > 0, text).otherwise("Aucune expérience — dates non vérifiables")
+    return rp.has_dates(), _say(n > 0, "dates", dated, n, _percent(dated, n))
 
 
 @rule("has_sufficient_words")
-def _(_k):
-    return F.col("word_count") >= 300, F.concat(_num(F.col("word_count")), F.lit(" mots détectés (seuil : 300)"))
+def _(_keywords):
+    return F.col("word_count") >= 300, F.format_string(EVIDENCE["words"], F.col("word_count"))
 
 
 @rule("has_contact")
-def _(_k):
-    mail = F.coalesce(F.col("header")["email"], F.lit("")) != ""
-    tel = F.coalesce(F.col("header")["phone"], F.lit("")) != ""
-    found = F.concat_ws(" | ", F.when(mail, "Email détecté"), F.when(tel, "Téléphone détecté"))
-    return _either(mail | tel, found, "Ni email ni téléphone détectés")
+def _(_keywords):
+    mail, tel = (F.coalesce(F.col("header")[f], F.lit("")) != "" for f in ("email", "phone"))
+    names = F.concat_ws(" | ", F.when(mail, EVIDENCE["email"]), F.when(tel, EVIDENCE["phone"]))
+    return mail | tel, F.coalesce(F.nullif(names, F.lit("")), F.lit(EVIDENCE["no_contact"]))
 
 
 @rule("has_tech_skills")
-def _(_k):
-    return _n("skills_flat") >= 5, F.concat(_num(_n("skills_flat")), F.lit(" compétences techniques détectées"))
-
-
-def _check_text() -> Column:
-    return F.lower(F.concat(F.col("raw_text"), F.lit(" "), F.array_join("skills_flat", " ")))
-
-
-def _found(keywords: Column, text_lower: Column) -> Column:
-    return F.filter(keywords, lambda k: F.contains(text_lower, F.lower(k)))
+def _(_keywords):
+    n = F.size("skills_flat")
+    return n >= 5, F.format_string(EVIDENCE["tech_skills"], n)
 
 
 @rule("has_sector_skills")
-def _(k):
-    hits = _found(k, _check_text())
-    none, n = F.size(k) == 0, _n("skills_flat")
-    met = F.when(none, n >= 3).otherwise(F.size(hits) >= 1)
-    text = F.when(none, F.concat(_num(n), F.lit(" compétences sectorielles"))).when(
-        F.size(hits) > 0, F.concat(F.lit("Mots-clés trouvés : "), F.array_join(hits, ", "))).otherwise(
-        "Aucun mot-clé sectoriel détecté")
-    return met, text
+def _(keywords):
+    hits, n = _found(keywords, _check_text()), F.size("skills_flat")
+    free = F.size(keywords) == 0
+    some = F.size(hits) > 0
+    return (F.when(free, n >= 3).otherwise(some),
+            F.when(free, F.format_string(EVIDENCE["sector_count"], n)).otherwise(_say(some, "sector", F.array_join(hits, ", "))))
 
 
 @rule("has_metrics")
-def _(_k):
-    return _either(rp.has_metrics(), "Métriques chiffrées présentes", "Aucune métrique chiffrée détectée")
-
-
-@rule("has_projects")
-def _(_k):
-    n = _n("projects")
-    return _either(n >= 1, F.concat(_num(n), F.lit(" projet(s) documenté(s)")), "Aucun projet documenté")
+def _(_keywords):
+    return rp.has_metrics(), _say(rp.has_metrics(), "metrics")
 
 
 @rule("has_profile_keywords")
-def _(k):
-    hits, n = F.size(_found(k, _check_text())), F.size(k)
-    ratio = hits / F.greatest(n, F.lit(1))
-    text = F.concat(_num(hits), F.lit("/"), _num(n), F.lit(" mots-clés métier ("), _percent(ratio), F.lit(")"))
-    return (n > 0) & (ratio >= 0.3), F.when(n > 0, text).otherwise("Aucun mot-clé métier configuré")
+def _(keywords):
+    hits, n = F.size(_found(keywords, _check_text())), F.size(keywords)
+    return (n > 0) & (hits / F.greatest(n, F.lit(1)) >= 0.3), _say(n > 0, "profile", hits, n, _percent(hits, n))
 
 
 @rule("has_habilitations")
-def _(_k):
+def _(_keywords):
     hits = _found(tx.lit_array(lx.QUALIFICATION_WORDS), F.lower("raw_text"))
-    return _either(F.size(hits) >= 1, F.concat(F.lit("Habilitations trouvées : "), F.array_join(F.slice(hits, 1, 5), ", ")),
-                   "Aucune habilitation détectée")
-
-
-@rule("has_languages")
-def _(_k):
-    n = _n("languages")
-    return _either(n >= 1, F.concat(_num(n), F.lit(" langue(s) détectée(s)")), "Aucune langue étrangère détectée")
+    return F.size(hits) > 0, _say(F.size(hits) > 0, "qualification", F.array_join(F.slice(hits, 1, 5), ", "))
 
 
 @rule("has_ai_criterion")
-def _(k):
-    hits = _found(k, F.lower("raw_text"))
-    return F.size(hits) >= 1, F.when(F.size(k) == 0, "Aucun mot-clé configuré").when(
-        F.size(hits) > 0, F.concat(F.lit("Mots-clés trouvés : "), F.array_join(hits, ", "))).otherwise(
-        "Aucun mot-clé détecté dans le CV")
+def _(keywords):
+    hits = _found(keywords, F.lower("raw_text"))
+    text = F.when(F.size(keywords) == 0, EVIDENCE["own_empty"]).otherwise(_say(F.size(hits) > 0, "own", F.array_join(hits, ", ")))
+    return F.size(hits) > 0, text
 
 
 def rule_result(name: str, keywords: Column) -> Column:
@@ -229,8 +227,7 @@ def evaluate(cv: DataFrame, criteria: DataFrame, profile: str = "profile_id") ->
             hit = c["rule"] == name
             res = rule_result(name, c["keywords"])
             out = F.when(hit, res) if out is None else out.when(hit, res)
-        unknown = F.struct(F.lit(0).alias("score"), F.concat(
-            F.lit("Fonction '"), c["rule"], F.lit("' non implémentée")).alias("evidence"))
+        unknown = F.struct(F.lit(0).alias("score"), F.format_string(EVIDENCE["unknown"], c["rule"]).alias("evidence"))
         return F.struct(c.alias("c"), out.otherwise(unknown).alias("r"))
 
     rows = joined.select("doc_id", F.explode(F.transform(F.coalesce("criteria", "generic"), one)).alias("x"))

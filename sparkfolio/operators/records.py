@@ -134,8 +134,6 @@ def entry_groups(lines: Column) -> Column:
 
 def entry_record(group: Column, as_of: tuple[int, int]) -> Column:
     """One entry's texts as struct<title,company,period,...,bullets>."""
-    null_s = F.lit(None).cast("string")
-
     def split_lines(g):
         f = F.transform(g, lambda t: F.struct(t.alias("t"), tx.is_bullet(t).alias("b"),
                                               (~tx.is_bullet(t) & dates.contains_date(t)).alias("d")))
@@ -172,7 +170,6 @@ def entry_record(group: Column, as_of: tuple[int, int]) -> Column:
             r["months"].alias("duration_months"), F.coalesce(r["is_current"], F.lit(False)).alias("is_current"),
             F.when(r["months"] > 0, F.round(r["months"] / 12, 1)).alias("years"), s["bullets"].alias("bullets"))
 
-    _ = null_s
     return let(F.transform(group, tx.strip), split_lines)
 
 
