@@ -368,7 +368,7 @@ def _(t):
 # --- streams ----------------------------------------------------------------------------------
 @query("r1_listing_stream_dedup", "SELECT DISTINCT 'https://jobs.example.org/' || CAST(user_id AS VARCHAR) AS url FROM events")
 def _(t):
-    s = jobs.file_stream(t.spark, t.sf_dir, "events.parquet", t.events.schema)
+    s = jobs.file_stream(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)
     s = s.withColumn("url", F.concat(F.lit("https://jobs.example.org/"), F.col("user_id").cast("string")))
     return jobs.run_available(jobs.first_seen_listings(s.select("ts", "url"), delay="3650 days"), "listings").select("url")
 
@@ -376,7 +376,7 @@ def _(t):
 @query("r2_windowed_figures", """WITH w AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL)
    SELECT CAST(day AS VARCHAR) AS day, event_type, n, avg_value FROM w WHERE day + 1 <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def _(t):
-    s = jobs.file_stream(t.spark, t.sf_dir, "events.parquet", t.events.schema)
+    s = jobs.file_stream(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)
     out = jobs.run_available(jobs.windowed_figures(s, "event_type", "value"), "figures")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("avg_value", 6).alias("avg_value"))
 

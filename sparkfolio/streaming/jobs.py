@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from sparkfolio.session import scratch_dir
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_files: int = 1000) -> DataFrame:
-    """Parquet files arriving in a folder."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", max_files).parquet(folder))
+def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
+    """Parquet files arriving under a path or glob."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def _timed(stream: DataFrame, time: str) -> DataFrame:

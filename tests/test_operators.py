@@ -215,3 +215,50 @@ def test_cv_json_bad_rows(spark):
     r = ok.collect()
     assert [(x.doc_id, x.header.name, x.languages, x.extraction_confidence) for x in r] == [(1, "Ada", ["English", "Latin"], 0.95)]
     assert sorted(x.doc_id for x in bad.collect()) == [2, 3]
+
+
+def test_stream_reads_folders_and_drops_late_rows(spark, tmp_path):
+    from sparkfolio.streaming import jobs
+
+    rows = [("2024-01-01 10:00:00", "a", 1.0), ("2024-01-01 11:00:00", "a", 3.0), ("2024-01-02 10:00:00", "a", 5.0)]
+    df = spark.createDataFrame(rows, "t string, g string, v double").select(F.col("t").cast("timestamp").alias("ts"), "g", "v")
+    df.repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    stream = jobs.file_stream(spark, str(tmp_path / "events*.parquet"), df.schema)
+    out = jobs.run_available(jobs.windowed_figures(stream, "g", "v"), "test-figures").collect()
+    assert [(str(r.start), r.n, r.avg_value) for r in out] == [("2024-01-01 00:00:00", 2, 2.0)]
+
+
+def test_analysis_log_appends_by_day(spark, tmp_path):
+    from sparkfolio.sources import logs
+
+    row = spark.sql("select timestamp'2024-01-01 10:00:00' ts, 'p' profile_id, 's' sector, 'ocr' extraction_method, 0.5D detection_confidence, "
+                    "70D profile_strength_score, 300D word_count, 12D latency_ms")
+    path = str(tmp_path / "log")
+    logs.append_analysis_log(row, path)
+    logs.append_analysis_log(row, path)
+    assert spark.read.parquet(path).filter("day = '2024-01-01'").count() == 2
+
+
+def test_embedding_hook(spark):
+    from sparkfolio.functions.embedding import embedding_udf, hashed_embedding
+
+    embed = embedding_udf(lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], batch=2)
+    df = spark.createDataFrame([("abc",), (None,), ("python spark",)], "text string")
+    assert sorted(r.e for r in df.select(embed(F.col("text")).alias("e")).collect()) == [[0.0, 1.0], [3.0, 1.0], [12.0, 1.0]]
+    v = hashed_embedding(df.filter("text = 'python spark'"), "text", "v", 32).first().v
+    assert len(v) == 32 and abs(sum(x * x for x in v) - 1) < 1e-9
+
+
+def test_csv_report_round_trip(spark, tmp_path):
+    from sparkfolio.sources import logs
+
+    df = spark.createDataFrame([("a", 1), ("é, b", 2)], "name string, score int")
+    logs.write_csv_report(df, str(tmp_path / "r"))
+    assert sorted(map(tuple, logs.read_csv_report(spark, str(tmp_path / "r"), "name string, score int").collect())) == [("a", 1), ("é, b", 2)]
+
+
+def test_profile_catalogue_round_trip(spark, tmp_path):
+    from sparkfolio.sources.profiles import SCHEMA, profile_list, read_profiles
+
+    spark.createDataFrame([("a", "btp", "BTP", "Maçon", ["maçon"], ["béton"])], SCHEMA).write.parquet(str(tmp_path / "p.parquet"))
+    assert profile_list(read_profiles(spark, str(tmp_path / "p.parquet")))[0].keywords == ["béton"]
