@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkfolio.llm.textnum import ddl
+from sparkfolio.llm.textnum import ddl, slices
 
 UNIT = 576  # bytes: 24 grey samples wide and 24 high, or 24 by 8 in colour
 WIDTH = 24
@@ -169,7 +169,7 @@ def media_from_text(docs: DataFrame, text: str = "text", media: str = "media", f
     encode = {"netpbm": encode_netpbm, "bmp": encode_bmp}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             images = pa.array([encode(payload_image(t)) for t in b.column(text).to_pylist()], pa.binary())
             kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n != media]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [images], [n for n, _ in kept] + [media])
@@ -177,6 +177,7 @@ def media_from_text(docs: DataFrame, text: str = "text", media: str = "media", f
     return docs.mapInArrow(run, ", ".join([*ddl(docs, (n for n in docs.columns if n != media)), f"`{media}` binary"]))
 
 
+DIGESTS = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 TILE_FIELDS = ("shape array<int>, dhash string, tiles array<binary>, media_bytes bigint, media_sha256 string, "
                "error string")
 
@@ -189,7 +190,7 @@ def decode_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ()
     bytes give equal values. Names in ``keep`` must differ from the added ones.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = []
             for data in b.column(media):
                 data = data.as_py()
@@ -211,18 +212,23 @@ def decode_media(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ()
     return df.mapInArrow(run, ", ".join([*ddl(df, keep), TILE_FIELDS]))
 
 
-def payload_digests(tiled: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """What the tiles of text media hold: size, SHA-256 and the last CRC-32 of the payload read back."""
+def payload_digests(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (), rows: int = TILE_ROWS) -> DataFrame:
+    """What text media hold: ``keep``, payload_bytes, payload_sha256 and tail_crc32 of the payload as its NPY tiles give it back,
+    media_bytes and media_sha256 of the stored image, and its difference hash as feature. Made where the images are, so
+    neither image nor tiles move."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size, sha, crc = [], [], []
-            for tiles in b.column("tiles"):
-                back = from_tiles(tiles.as_py()).tobytes()
-                size.append(len(back))
-                sha.append(hashlib.sha256(back).hexdigest())
-                crc.append(zlib.crc32(back[-32:]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(k) for k in keep] + [pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(crc, pa.int64())],
-                [*keep, "payload_bytes", "payload_sha256", "tail_crc32"])
-
-    return tiled.mapInArrow(run, ", ".join([*ddl(tiled, keep), "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint"]))
+        for b in slices(batches):
+            found: list[list] = [[] for _ in range(6)]
+            for data in b.column(media):
+                data = data.as_py()
+                image = decode(data)
+                back = from_tiles(npy_tiles(image, rows)).tobytes()
+                for out, v in zip(found, (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data),
+                                          hashlib.sha256(data).hexdigest(), difference_hash(image)), strict=True):
+                    out.append(v)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(v, t) for v, t in zip(found, kinds, strict=True)],
+                                             [*keep, *DIGESTS])
+
+    types = ("bigint", "string", "bigint", "bigint", "string", "string")
+    return df.mapInArrow(run, ", ".join([*ddl(df, keep), *(f"{n} {t}" for n, t in zip(DIGESTS, types, strict=True))]))

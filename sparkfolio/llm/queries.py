@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import media, rules, toxicity
+from sparkfolio.llm import licenses, media, pieces, rules, toxicity
 from sparkfolio.llm.training import labelled_sample, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,9 +28,12 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as a P6 image, decoded, hashed and written as NPY tiles; the payload is read back from the tiles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     stored = media.media_from_text(docs).select("doc_id", "n_bytes", "media")
-    tiled = media.decode_media(stored, keep=("doc_id", "n_bytes"))
-    keep = ("doc_id", "n_bytes", "media_bytes", "media_sha256", "dhash")
-    return media.payload_digests(tiled, keep).withColumnRenamed("dhash", "feature")
+    return media.payload_digests(stored, keep=("doc_id", "n_bytes"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
 
 
 @query
@@ -50,3 +53,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rules.with_stats(docs.select("doc_id", "text")).select("doc_id", model.score_column().alias("score"))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.from_model(piece_model())
+    return pieces.token_digests(table(spark, sf_dir, "documents"), vocabulary)

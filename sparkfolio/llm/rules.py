@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.textnum import SPACE, ddl, mixed, prefix_sums, range_hash, runs_of_rows, text_bytes, U, words
+from sparkfolio.llm.textnum import SPACE, ddl, slices, mixed, prefix_sums, range_hash, runs_of_rows, text_bytes, U, words
 
 STATS = ("bytes", "words", "word_bytes", "word_spread", "marks", "digits", "upper", "beyond_ascii", "lines", "line_bytes",
          "distinct_words", "repeated_next", "ended_words", "odd_marks", "distinct_lines", "top_byte")
@@ -83,7 +83,7 @@ def with_stats(docs: DataFrame, text: str = "text", prefix: str = "stat_") -> Da
     own = [prefix + s for s in STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             figures = text_stats(b.column(text))
             kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n not in own]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(figures[:, k]) for k in range(len(STATS))],

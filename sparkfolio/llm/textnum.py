@@ -59,6 +59,13 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0]:offs[-1]], offs - offs[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a task holds the Python values of few rows at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def ddl(df, names) -> list[str]:
     """Schema of the named columns, in this order, for the Arrow functions."""
     return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]

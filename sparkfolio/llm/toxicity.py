@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.textnum import U, ddl, runs_of_rows, text_bytes
+from sparkfolio.llm.textnum import U, ddl, slices, runs_of_rows, text_bytes
 
 BITS = 20
 SIZES = (4, 5, 6)
@@ -83,7 +83,7 @@ def class_counts(sample: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros((2, 1 << BITS), np.int32)
-        for b in batches:
+        for b in slices(batches, 2048):
             y = np.asarray(b.column("y"), np.int64)
             for i, _, h, row in features(b.column("text")):
                 f, r = present(h, row)
@@ -126,7 +126,7 @@ def fit_toxicity(sample: DataFrame, steps: int = 300, shrink: float = 1e-4) -> N
     place[kept] = np.arange(len(kept))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             found = [np.zeros(0, np.uint16)] * b.num_rows
             for i, j, h, row in features(b.column("text")):
                 at = place[h]
@@ -159,7 +159,7 @@ def with_toxicity(docs: DataFrame, model: NgramModel, text: str = "text", score:
     """``keep`` and the score (0 to 1) of each whole text; a null text scores as the empty one. The model is bounded
     by ``MAX_FEATURES`` and travels with the function."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2048):
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(model.score(b.column(text)))], [*keep, score])
 
     needed = docs.select(*(F.col(f"`{k}`") for k in dict.fromkeys([*keep, text])))
