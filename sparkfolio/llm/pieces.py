@@ -22,8 +22,9 @@ from sparkfolio.llm.textnum import ddl, slices
 BLANK = "▁"
 CONTROL, UNKNOWN, BYTE, NORMAL = "control", "unknown", "byte", "normal"
 UNKNOWN_TEXT = " ⁇ "
-MAX_SEGMENTS = 250_000  # kept results per task: bounds memory, never changes a result
-MAX_PAIRS = 1_000_000
+MAX_SEGMENTS = 200_000  # kept results per task: these bound memory and never change a result
+MAX_PARTS = 200_000
+MAX_PAIRS = 500_000
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,8 @@ class Codec:
 
     vocabulary: Vocabulary
     kept: dict = field(default_factory=dict)
+    older: dict = field(default_factory=dict)
+    parts: dict = field(default_factory=dict)
     pairs: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -68,10 +71,7 @@ class Codec:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k == BYTE}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.unknown = v.kinds.index(UNKNOWN) if UNKNOWN in v.kinds else None
-        self.matcher = ahocorasick.Automaton()
-        for p, i in self.ids.items():
-            self.matcher.add_word(p, (i, len(p)))
-        self.matcher.make_automaton()
+        self.plain = {i: p.replace(BLANK, " ") for p, i in self.ids.items()}
         inner = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         together = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         joined = {c for two in together for c in two}
@@ -81,6 +81,13 @@ class Codec:
         cut = re.escape(alone + "".join(c for c in loose if c not in alone))
         self.segments = re.compile(".+" if inner else (f"[{cut}]|" if cut else "") + f"{BLANK}*[^{BLANK}{cut}]+|{BLANK}+", re.DOTALL)
         self.together = together
+        # Pieces that merging never makes cannot be tokens.
+        self.made = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
+        self.matcher = ahocorasick.Automaton()
+        for p in self.made:
+            if len(p) > 1:
+                self.matcher.add_word(p, len(p))
+        self.matcher.make_automaton()
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE: join the neighbours of best score, the leftmost first. For the check of two tokens."""
@@ -121,46 +128,38 @@ class Codec:
     def backtracked(self, text: str) -> list[str]:
         """Tokens of one segment; a character outside the vocabulary is a token of its own."""
         n = len(text)
-        at: list[list[int]] = [[] for _ in range(n)]  # lengths of the matches from each place, shortest first
-        for end, (_, size) in self.matcher.iter(text):
-            at[end - size + 1].append(size)
-        for i in range(n):
-            if not at[i] or at[i][0] != 1:
-                at[i].insert(0, 1)
+        if not n or text in self.made:
+            return [text] if n else []
+        ends = [[i + 1] for i in range(n)]  # of the matches from each place, shortest first
+        for last, size in self.matcher.iter(text):
+            ends[last - size + 1].append(last + 1)
         failed = 0  # bit p: no encoding goes on from place p
         tokens: list[str] = []
-        tried: list[int] = [len(at[0])] if n else []  # for the token to come at each depth: matches not tried yet
-        pos = 0
-        while pos < n:
-            k = tried[-1] - 1
+        tried: list[int] = []  # for each token: which match of its place it is
+        pos, before, k, known = 0, "", len(ends[0]) - 1, self.pairs
+        while True:
+            here = ends[pos]
             while k >= 0:
-                end = pos + at[pos][k]
-                token = text[pos:end]
-                if not failed >> end & 1 and (not tokens or self.compatible(tokens[-1], token)) and self.whole(token):
-                    break
+                end = here[k]
+                if not failed >> end & 1:
+                    token = text[pos:end]
+                    if not before or (known[before, token] if (before, token) in known else self.compatible(before, token)):
+                        break
                 k -= 1
             if k >= 0:
-                tried[-1] = k
                 tokens.append(token)
-                pos = end
-                if pos < n:
-                    tried.append(len(at[pos]))
+                if end == n:
+                    return tokens
+                tried.append(k)
+                before, pos = token, end
+                k = len(ends[pos]) - 1
             else:
                 if not tokens:
                     raise ValueError("the vocabulary cannot encode this text")
                 failed |= 1 << pos
-                tried.pop()
                 pos -= len(tokens.pop())
-        return tokens
-
-    def whole(self, token: str) -> bool:
-        """Does merging ever make this piece?"""
-        if len(token) == 1:
-            return True
-        ok = self.pairs.get(token)
-        if ok is None:
-            ok = self.pairs[token] = self.merged(token) == [token]
-        return ok
+                before = tokens[-1] if tokens else ""
+                k = tried.pop() - 1
 
     def ids_of(self, token: str) -> list[int]:
         i = self.ids.get(token)
@@ -168,29 +167,34 @@ class Codec:
             return [i]
         return [self.byte_ids[b] for b in token.encode()] if self.byte_ids else [self.unknown]
 
+    def part(self, s: str) -> tuple[int, ...]:
+        ids = self.parts.get(s)
+        if ids is None:
+            ids = tuple(k for t in self.backtracked(s) for k in self.ids_of(t))
+            if len(s) < 40:
+                if len(self.parts) >= MAX_PARTS:
+                    self.parts.clear()
+                self.parts[s] = ids
+        return ids
+
     def segment(self, s: str) -> tuple[int, str, str]:
         """Number of ids, ids joined by commas, and what they decode to, of one segment."""
-        got = self.kept.get(s)
+        got = self.older.get(s)
         if got is None:
-            ids: list[int] = []
-            i = 0
-            for j in range(1, len(s) + 1):  # no piece holds these two neighbours: what follows starts afresh
-                if j == len(s) or s[j - 1:j + 1] not in self.together:
-                    part = s[i:j]
-                    known = self.pairs.get((part,))
-                    if known is None:
-                        known = [k for t in self.backtracked(part) for k in self.ids_of(t)]
-                        if len(part) < 40:
-                            if len(self.pairs) >= MAX_PAIRS:
-                                self.pairs.clear()
-                            self.pairs[(part,)] = known
-                    ids += known
-                    i = j
+            together = self.together
+            cut = [j for j in range(1, len(s)) if s[j - 1:j + 1] not in together]  # no piece holds these neighbours
+            if cut:
+                ids: tuple[int, ...] = ()
+                for i, j in zip([0, *cut], [*cut, len(s)], strict=True):
+                    ids += self.part(s[i:j])
+            else:
+                ids = tuple(k for t in self.backtracked(s) for k in self.ids_of(t))
             got = (len(ids), ",".join(map(str, ids)), self.joined(ids))
-            if len(self.kept) >= MAX_SEGMENTS:
+        if len(s) < 100:
+            if len(self.kept) >= MAX_SEGMENTS:  # what was not met since the last change is forgotten
+                self.older = dict(self.kept)
                 self.kept.clear()
-            if len(s) < 100:
-                self.kept[s] = got
+            self.kept[s] = got
         return got
 
     def prepared(self, text: str) -> str:
@@ -198,15 +202,20 @@ class Codec:
         return BLANK + text if text and self.vocabulary.dummy_prefix else text
 
     def encoded(self, text: str | None) -> list[tuple[int, str, str]]:
-        return list(map(self.segment, self.segments.findall(self.prepared(text or ""))))
+        get, make = self.kept.get, self.segment
+        return [get(s) or make(s) for s in self.segments.findall(self.prepared(text or ""))]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids without begin and end; null and empty texts have none."""
         return [int(i) for _, ids, _ in self.encoded(text) for i in ids.split(",")]
 
-    def joined(self, ids: list[int]) -> str:
+    def joined(self, ids: list[int] | tuple[int, ...]) -> str:
         """Text of the ids, blanks for their sign; runs of byte pieces are read as UTF-8, bytes that are none give U+FFFD each."""
         v, out, raw = self.vocabulary, [], bytearray()
+        try:
+            return "".join(map(self.plain.__getitem__, ids))
+        except KeyError:  # some id is no plain piece
+            pass
 
         def flush() -> None:
             i = 0
@@ -288,9 +297,10 @@ def token_digests(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...]
             n, ids, back = [], [], []
             for t in b.column(text):
                 got = c.encoded(t.as_py())
-                n.append(sum(g[0] for g in got))
-                ids.append(hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest())
-                whole = "".join([g[2] for g in got])
+                sizes, said, texts = zip(*got, strict=True) if got else ((), (), ())
+                n.append(sum(sizes))
+                ids.append(hashlib.sha256(",".join(said).encode()).hexdigest())
+                whole = "".join(texts)
                 back.append(hashlib.sha256((whole[1:] if c.vocabulary.dummy_prefix else whole).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)],
                                              [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
