@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import licenses, media, pieces, rules, toxicity
+from sparkfolio.llm import licenses, media, mixing, pieces, rules, toxicity, vectors
 from sparkfolio.llm.training import labelled_sample, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,46 @@ def piece_model() -> str:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.Vocabulary.from_model(piece_model())
     return pieces.token_digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
+# Shares of tokens that the mixed corpus should have: no source alone more than a twentieth, English half.
+MIX_TARGETS = {
+    "source": {**{f"src{i}": 0.05 for i in range(20)}, "*": 0.0001},
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.17, "es": 0.13, "*": 0.0001},
+    "topic": {"prose": 0.86, "legal": 0.03, "contact": 0.06, "table": 0.03, "code": 0.01, "*": 0.01},
+}
+MIX_KEEP = 0.4  # of all tokens
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source) with topic, weight, probability and decision; the larger helper of two callers."""
+    own = docs.withColumn("topic", mixing.topic_of(F.col("text")))
+    mix = mixing.fit_mix(own, MIX_TARGETS, mixing.token_count(F.col("text")), MIX_KEEP)
+    return mixing.with_mix(own, mix, MIX_TARGETS, F.col("doc_id"), seed=6)
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+        "doc_id", "source", "lang", "topic", "mix_weight", "mix_probability", "mix_kept")
+
+
+@query
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op8_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, x -> x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.x = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = v.vec_id
+"""
