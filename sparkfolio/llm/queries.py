@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import licenses, media, mixing, pieces, rules, toxicity, vectors
+from sparkfolio.llm import backoff, licenses, media, mixing, pieces, rules, suffixes, toxicity, vectors
 from sparkfolio.llm.training import labelled_sample, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.token_digests(table(spark, sf_dir, "documents"), vocabulary)
 
 
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 # Shares of tokens that the mixed corpus should have: no source alone more than a twentieth, English half.
 MIX_TARGETS = {
     "source": {**{f"src{i}": 0.05 for i in range(20)}, "*": 0.0001},
@@ -89,6 +94,13 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "lang", "topic", "mix_weight", "mix_probability", "mix_kept")
 
 
+@query
+def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    return (backoff.lm_scores(table(spark, sf_dir, "documents"), ~held_out)
+            .select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
 @query
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
