@@ -22,7 +22,7 @@ from sparkfolio.llm.textnum import ddl, slices
 BLANK = "▁"
 CONTROL, UNKNOWN, BYTE, NORMAL = "control", "unknown", "byte", "normal"
 UNKNOWN_TEXT = " ⁇ "
-MAX_SEGMENTS = 200_000  # kept results per task: these bound memory and never change a result
+MAX_SEGMENTS = 400_000  # kept results per task: these bound memory and never change a result
 MAX_PARTS = 200_000
 MAX_PAIRS = 500_000
 
@@ -79,7 +79,14 @@ class Codec:
         loose = "".join(sorted({c for p in self.ids for c in p} - joined - {BLANK}))
         alone = "\n\r\t" if not joined & set("\n\r\t") else ""
         cut = re.escape(alone + "".join(c for c in loose if c not in alone))
-        self.segments = re.compile(".+" if inner else (f"[{cut}]|" if cut else "") + f"{BLANK}*[^{BLANK}{cut}]+|{BLANK}+", re.DOTALL)
+        # Marks that no piece holds right after a letter start a segment there, so words with and without them share one.
+        letter = re.compile("[A-Za-z0-9À-ÖØ-öø-ɏ]")
+        marks = {two[1] for two in together if not two[1].isalnum()} - {BLANK} - set(alone)
+        marks -= {two[1] for two in together if letter.match(two[0])}
+        mark, other = re.escape("".join(sorted(marks))), f"[^{BLANK}{cut}{re.escape(''.join(sorted(marks)))}]"
+        rest = f"(?:{other}|(?<!{letter.pattern})[{mark}])*" if mark else f"{other}*"
+        start = f"(?:[{mark}]|{other})" if mark else other
+        self.segments = re.compile(".+" if inner else (f"[{cut}]|" if cut else "") + f"{BLANK}*{start}{rest}|{BLANK}+", re.DOTALL)
         self.together = together
         # Pieces that merging never makes cannot be tokens.
         self.made = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
