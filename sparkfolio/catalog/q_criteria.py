@@ -218,8 +218,9 @@ _PART_PROFILE = "CASE WHEN p_size = 7 THEN 'infirmier' ELSE 'part_' || CAST(p_pa
 
 
 def _part_profiles(t):
-    return t.part.select(F.expr(_PART_PROFILE).alias("profile_id"), F.expr(_PART_SECTORS).alias("sector_key"), F.split("p_name", " ").alias("keywords"),
-                         F.expr(_PART_SECTORS).alias("sector")).dropDuplicates(["profile_id"])
+    return t.part.select(F.expr(_PART_PROFILE).alias("profile_id"), F.expr(_PART_SECTORS).alias("sector_key"), "p_partkey", F.split("p_name", " ").alias("keywords")).groupBy("profile_id").agg(
+        F.min(F.struct("sector_key", "p_partkey", "keywords")).alias("p")).select(
+        "profile_id", "p.sector_key", "p.keywords", F.col("p.sector_key").alias("sector"))
 
 
 _PP = f"pp AS (SELECT profile_id, min(sector_key) AS sector_key FROM (SELECT {_PART_PROFILE} AS profile_id, {_PART_SECTORS} AS sector_key FROM part) GROUP BY profile_id)"
@@ -247,9 +248,9 @@ def _(t):
     return cr.weight_errors(t.part.select(F.col("p_brand").alias("profile_id"), F.col("p_size").alias("weight")))
 
 
-@query("s8_profile_dimension", f"SELECT profile_id, sector_key AS sector FROM (SELECT {_PART_PROFILE} AS profile_id, min({_PART_SECTORS}) AS sector_key FROM part WHERE p_size <> 7 GROUP BY 1)")
+@query("s8_profile_dimension", f"SELECT profile_id, sector_key AS sector FROM (SELECT {_PART_PROFILE} AS profile_id, min({_PART_SECTORS}) AS sector_key FROM part GROUP BY 1)")
 def _(t):
-    return _part_profiles(t).filter("profile_id <> 'infirmier'").select("profile_id", "sector")
+    return _part_profiles(t).select("profile_id", "sector")
 
 
 @query("a24_profiles_per_sector", f"SELECT sector, count(*) AS profiles, string_agg(profile_id, ',' ORDER BY profile_id) AS ids FROM (SELECT DISTINCT {_PART_SECTORS} AS sector, p_brand AS profile_id FROM part) GROUP BY sector")

@@ -225,16 +225,16 @@ MATCH = f"""{QUERY_SQL}, {JD},
    pt AS (SELECT DISTINCT listing_id, source, substr(location, 1, 2) AS department, lower(title) AS query FROM listing
       UNION SELECT listing_id, source, substr(location, 1, 2), lower(split_part(title, ' ', 1)) FROM listing
       UNION SELECT listing_id, source, substr(location, 1, 2), lower(split_part(title, ' ', 2)) FROM listing),
-   an AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, department ORDER BY CASE source WHEN 'adzuna' THEN 1
-      WHEN 'jooble' THEN 2 ELSE 3 END, listing_id) AS r FROM pt) WHERE r <= 20),
-   sh AS (SELECT sr.doc_id, an.listing_id, an.source, l.url, sr.qo, an.r FROM sr JOIN an ON an.query = sr.query AND an.department = sr.department
+   an AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, department, source ORDER BY listing_id) AS r,
+      CASE source WHEN 'adzuna' THEN 1 WHEN 'jooble' THEN 2 ELSE 3 END AS sx FROM pt) WHERE r <= 20),
+   sh AS (SELECT sr.doc_id, an.listing_id, an.source, l.url, sr.qo, an.sx, an.r FROM sr JOIN an ON an.query = sr.query AND an.department = sr.department
       AND an.r <= sr.page JOIN listing l ON l.listing_id = an.listing_id),
-   fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, url ORDER BY qo, r) AS u, count(*) OVER (PARTITION BY doc_id, url) AS shown FROM sh) WHERE u = 1),
-   sc AS (SELECT fs.doc_id, fs.listing_id, fs.source, fs.qo, fs.r, fs.shown, {STRUCT} AS structure,
+   fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, url ORDER BY qo, sx, r) AS u, count(*) OVER (PARTITION BY doc_id, url) AS shown FROM sh) WHERE u = 1),
+   sc AS (SELECT fs.doc_id, fs.listing_id, fs.source, fs.qo, fs.sx, fs.r, fs.shown, {STRUCT} AS structure,
       coalesce((SELECT avg(CASE WHEN contains(lower(c.text), jk.w) THEN 1.0 ELSE 0.0 END) FROM jk WHERE jk.listing_id = fs.listing_id), 0.5) AS keyword
       FROM fs JOIN cv_text c ON c.doc_id = fs.doc_id),
    so AS (SELECT *, round(keyword * 40 + structure * 25, 1) AS overall FROM sc),
-   ra AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overall DESC, qo, r) AS rank,
+   ra AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overall DESC, qo, sx, r) AS rank,
       max(CASE WHEN overall >= 25 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS passed FROM so),
    fm AS (SELECT * FROM ra WHERE overall >= 25 OR passed = 0)"""
 

@@ -105,13 +105,13 @@ def _(t):
 @query("j1_lexicon_match", f"WITH {LEX_SQL} SELECT doc_id, category, skill FROM mk, lex WHERE {HIT}", uses=("cv_text",))
 def _(t):
     lex = kw.lexicon_frame(t.spark, lx.SKILLS)
-    return kw.lexicon_matches(t.cv_text, "doc_id", "text", lex, max_words=3).select("doc_id", "category", "skill")
+    return kw.lexicon_matches(t.cv_text, "doc_id", "text", lex).select("doc_id", "category", "skill")
 
 
 @query("j1_lexicon_match_by_join", f"WITH {LEX_SQL} SELECT doc_id, category, skill FROM mk, lex WHERE {HIT}", uses=("cv_text",))
 def _(t):
     lex = kw.lexicon_frame(t.spark, lx.SKILLS)
-    return kw.lexicon_matches_by_join(t.cv_text, "doc_id", "text", lex, max_words=3).select("doc_id", "category", "skill")
+    return kw.lexicon_matches_by_join(t.cv_text, "doc_id", "text", lex).select("doc_id", "category", "skill")
 
 
 @query("j1_lexicon_match_in_row", f"""WITH {LEX_SQL} SELECT doc_id, category, string_agg(skill, '|' ORDER BY ord) AS skills
@@ -126,7 +126,7 @@ def _(t):
   SELECT doc_id, category, skill FROM mk, lex WHERE contains(m, form)""")
 def _(t):
     lex = kw.lexicon_frame(t.spark, FREQUENT)
-    return kw.lexicon_matches(t.documents, "doc_id", "text", lex, max_words=2).select(
+    return kw.lexicon_matches(t.documents, "doc_id", "text", lex).select(
         "doc_id", "category", "skill")
 
 
@@ -147,7 +147,7 @@ _COUNTS = ", ".join(f"count(*) FILTER (WHERE category = '{c}') AS n_{c}" for c i
        uses=("cv_text",))
 def _(t):
     lex = kw.lexicon_frame(t.spark, lx.SKILLS)
-    hits = kw.lexicon_matches(t.cv_text, "doc_id", "text", lex, max_words=3)
+    hits = kw.lexicon_matches(t.cv_text, "doc_id", "text", lex)
     return hits.groupBy("doc_id").agg(*[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in _CATS],
                                       F.count("*").alias("total"))
 

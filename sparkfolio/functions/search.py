@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
+from sparkfolio.functions import contact
 from sparkfolio.functions import text as tx
 from sparkfolio.functions.arrays import int_range, let
 
@@ -56,6 +57,37 @@ def query_variants(job_title: Column, skills_flat: Column, sector: Column) -> Co
     return let(base_query(job_title, skills_flat), build)
 
 
+# Departments of the regions, names without accents.
+REGIONS = {
+    "auvergne-rhone-alpes": "01 03 07 15 26 38 42 43 63 69 73 74", "bourgogne-franche-comte": "21 25 39 58 70 71 89 90", "bretagne": "22 29 35 56",
+    "centre-val de loire": "18 28 36 37 41 45", "corse": "20", "grand est": "08 10 51 52 54 55 57 67 68 88", "hauts-de-france": "02 59 60 62 80",
+    "ile-de-france": "75 77 78 91 92 93 94 95", "normandie": "14 27 50 61 76", "nouvelle-aquitaine": "16 17 19 23 24 33 40 47 64 79 86 87",
+    "occitanie": "09 11 12 30 31 32 34 46 48 65 66 81 82", "pays de la loire": "44 49 53 72 85", "provence-alpes-cote d'azur": "04 05 06 13 83 84",
+}
+
+
+def place_names(place: Column) -> Column:
+    """Names between the commas of a place, without digits and accents, in lower case."""
+    plain = F.translate(F.lower(place), "àâäéèêëîïôöùûüç", "aaaeeeeiioouuuc")
+    parts = F.transform(F.split(F.regexp_replace(plain, "[0-9]+", " "), ","), lambda x: tx.strip(F.regexp_replace(x, r"\s+", " ")))
+    return F.filter(parts, lambda x: x != "")
+
+
+def listing_area(location: Column) -> Column:
+    """Where a listing is: its department if a postal code gives one, else the names of the place."""
+    code = contact.department_code(location)
+    return F.when(code.isNotNull(), F.array(code)).otherwise(F.coalesce(place_names(location), F.array().cast("array<string>")))
+
+
+def search_area(place: Column) -> Column:
+    """Sorted keys of which a listing must have one: department, town, and for a region also its departments."""
+    regions = F.create_map(*(F.lit(x) for name, codes in REGIONS.items() for x in (name, codes)))
+    names = place_names(place)
+    inside = F.flatten(F.transform(names, lambda x: F.split(F.coalesce(F.try_element_at(regions, x), F.lit("")), " ")))
+    code = F.array_compact(F.array(contact.department_code(place)))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(names, inside, code), lambda x: x != "")))
+
+
 def search_place(region: Column, postal: Column, city: Column) -> Column:
     """struct(place, distance): region first, then postal code and city with a 30 km radius."""
     given = region.isNotNull() & (region != "")

@@ -49,16 +49,17 @@ def term_hits(parts: Column, terms: list[str]) -> Column:
         return F.filter(grams, lambda g: g.isin(*group))
 
     def with_symbols(t):
-        core = _TOKEN.search(t)
-        lead, tail, word = t[:core.start()], t[core.end():], core.group()
-        if _TOKEN.search(tail):
-            raise ValueError(f"term {t!r}: symbols at the edge are supported for single words")
+        found = list(_TOKEN.finditer(t))
+        lead, core, tail = t[:found[0].start()], t[found[0].start():found[-1].end()], t[found[-1].end():]
+        span = 2 * len(found) - 1
 
         def fits(i):
-            ok = F.get(parts, i - 1) == word
+            ok = F.get(parts, i - 1) == found[0].group()
+            if span > 1:
+                ok = ok & (F.array_join(F.slice(parts, i, span), "") == core)
             if tail:
-                sep = F.coalesce(F.get(parts, i), F.lit(""))
-                ok = ok & sep.startswith(tail) & ((F.length(sep) > len(tail)) | (i + 1 == n))
+                sep = F.coalesce(F.get(parts, i + span - 1), F.lit(""))
+                ok = ok & sep.startswith(tail) & ((F.length(sep) > len(tail)) | (i + span == n))
             if lead:
                 sep = F.coalesce(F.when(i > 1, F.get(parts, i - 2)), F.lit(""))
                 ok = ok & sep.endswith(lead) & ((F.length(sep) > len(lead)) | (i == 2))

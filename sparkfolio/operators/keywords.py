@@ -22,29 +22,30 @@ def lexicon_frame(spark, lexicon: dict[str, list[str]]) -> DataFrame:
 MAX_LITERAL_TERMS = 2_000
 
 
-def lexicon_matches(docs: DataFrame, key: str, text: str, lexicon: DataFrame, max_words: int = 4,
+def lexicon_matches(docs: DataFrame, key: str, text: str, lexicon: DataFrame,
                     max_literal: int = MAX_LITERAL_TERMS) -> DataFrame:
     """(key, category, skill, ord) for every lexicon term standing in a text.
 
     The lexicon is a table with category, skill, term (lower case), ord.  Up to ``max_literal``
     terms are matched inside the row by hash lookup and only hits leave it; a larger lexicon is
-    joined, see ``lexicon_matches_by_join``.
+    joined, see ``lexicon_matches_by_join``, with the same results.
     """
     few = [r.term for r in lexicon.select("term").distinct().limit(max_literal + 1).collect()]
     if len(few) > max_literal:
-        return lexicon_matches_by_join(docs, key, text, lexicon, max_words)
+        return lexicon_matches_by_join(docs, key, text, lexicon)
     hits = docs.select(key, F.explode(F.array_distinct(grams_in(F.col(text), few))).alias("term"))
     return hits.join(lexicon, "term").select(key, "category", "skill", "ord")
 
 
-def lexicon_matches_by_join(docs: DataFrame, key: str, text: str, lexicon: DataFrame, max_words: int = 4) -> DataFrame:
+def lexicon_matches_by_join(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """As ``lexicon_matches`` for lexicons of any size.
 
     Every word of a text meets the terms that start with it by equality, and the rest of the term
-    is compared with the few words that follow.  Cost follows the text, not text times lexicon.
-    No broadcast is forced: the planner broadcasts the lexicon below its size threshold and
-    shuffles otherwise; common words are thinned first because a head must exist in the lexicon.
+    is compared with the words that follow, as many as the longest term has (found by a small job
+    over the lexicon).  Cost follows the text, not text times lexicon.  No broadcast is forced: the
+    planner broadcasts the lexicon below its size threshold and shuffles otherwise.
     """
+    max_words = lexicon.agg(F.max(F.size(F.regexp_extract_all("term", F.lit(f"({tx.WORD}+)"), F.lit(1))))).first()[0] or 1
     lead = F.regexp_extract("term", rf"^([^\p{{L}}\p{{N}}_]*)", 1)
     terms_ = lexicon.withColumn("lead", lead).withColumn("body", F.expr("substr(term, length(lead) + 1)")) \
         .withColumn("head", F.regexp_extract("body", rf"^({tx.WORD}+)", 1))
@@ -54,7 +55,7 @@ def lexicon_matches_by_join(docs: DataFrame, key: str, text: str, lexicon: DataF
         first = F.when(F.get(parts, F.lit(0)).rlike(f"^{tx.WORD}"), 1).otherwise(2)
         starts = F.when(n >= first, F.sequence(first, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(
-            F.get(parts, i - 1).alias("head"), F.array_join(F.slice(parts, i, 2 * max_words), "").alias("tail"),
+            F.get(parts, i - 1).alias("head"), F.array_join(F.slice(parts, i, 2 * max_words + 1), "").alias("tail"),
             F.when(i == 1, "  ").when(i == 2, F.concat(F.lit("   "), F.get(parts, F.lit(0))))
             .otherwise(F.get(parts, i - 2)).alias("before")))
 

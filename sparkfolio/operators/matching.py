@@ -1,6 +1,6 @@
 """Listing search and ranking for many records at once.
 
-Records never meet every listing.  Equal searches (query, department) are answered once, each
+Records never meet every listing.  Equal searches (query, area) are answered once, each
 answer is cut to the page size the search asks for, and only those listings are scored.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.functions import contact, search
+from sparkfolio.functions import search
 from sparkfolio.functions import text as tx
 from sparkfolio.functions.arrays import sealed
 from sparkfolio.operators import keywords as kw
@@ -21,7 +21,7 @@ FEW_RESULTS = 3
 
 
 def search_table(cv: DataFrame, max_results: int = 20, region: Column | None = None) -> DataFrame:
-    """(doc_id, query_ord, query, place, department, page) for every search of every record.
+    """(doc_id, query_ord, query, place, area, page) for every search of every record.
 
     Records without place or query make no search.
     """
@@ -34,43 +34,38 @@ def search_table(cv: DataFrame, max_results: int = 20, region: Column | None = N
     return (base.filter((F.size("q") > 0) & F.col("p.place").isNotNull())
             .select("doc_id", "p", page.alias("page"), F.posexplode("q").alias("query_ord", "query"))
             .select("doc_id", "query_ord", F.lower("query").alias("query"), F.col("p.place").alias("place"),
-                    contact.department_code(F.col("p.place")).alias("department"), "page"))
+                    search.search_area(F.col("p.place")).alias("area"), "page"))
 
 
-def answer_searches(searches: DataFrame, listings: DataFrame, max_results: int = 20,
-                    max_words: int = 6) -> DataFrame:
-    """(query, department, listing_id, r): first listings whose title holds the query phrase.
+def answer_searches(searches: DataFrame, listings: DataFrame, max_results: int = 20) -> DataFrame:
+    """(query, area, source, listing_id, r): each source's first listings whose title holds the query phrase.
 
-    Titles become phrases that meet the distinct searches by equality; ``row_number`` with a
-    bound lets Spark drop surplus rows in each task before the shuffle, so a query asked for by a
-    third of all records, or a title shared by a third of all listings, stays bounded.
+    Titles become phrases, up to the words of the longest search (found by a job over the searches), that meet the
+    distinct searches by equality of phrase and place key; ``row_number`` with a bound lets Spark drop surplus rows in
+    each task before the shuffle, so a query asked for by a third of all records, or a title shared by a third of all
+    listings, stays bounded.
     """
-    distinct = searches.select("query", "department").distinct()
+    longest = (searches.agg(F.max(F.size(tx.text_parts(F.col("query"))))).first()[0] or 0) // 2 + 1
+    asked = searches.select("query", "area").distinct().select("query", "area", F.explode("area").alias("at"))
     phrases = listings.select(
-        "listing_id", "source", contact.department_code(F.col("location")).alias("dept"),
-        F.explode(F.array_distinct(tx.word_grams(tx.text_parts(F.col("title")), max_words))).alias("query"))
-    local = phrases.withColumn("department", F.col("dept"))
-    nation = phrases.join(distinct.filter("department is null").select("query").distinct(), "query", "left_semi") \
-        .withColumn("department", F.lit(None).cast("string"))
-    found = local.join(distinct, ["query", "department"], "left_semi").unionByName(nation)
-    order = Window.partitionBy("query", "department").orderBy(source_order(F.col("source")), "listing_id")
-    return (found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_results)
-            .select("query", "department", "listing_id", "r"))
+        "listing_id", "source", search.listing_area(F.col("location")).alias("place"),
+        F.explode(F.array_distinct(tx.word_grams(tx.text_parts(F.col("title")), longest))).alias("query")) \
+        .select("listing_id", "source", "query", F.explode("place").alias("at"))
+    found = phrases.join(asked, ["query", "at"]).select("query", "area", "source", "listing_id").distinct()
+    order = Window.partitionBy("query", "area", "source").orderBy("listing_id")
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_results)
 
 
 def candidates(searches: DataFrame, answers: DataFrame, listings: DataFrame) -> DataFrame:
-    """(doc_id, listing_id, url, source, query_ord, r): every listing shown to a record, repeats kept."""
-    s, a = searches.alias("s"), answers.alias("a")
-    on = (F.col("s.query") == F.col("a.query")) & F.col("s.department").eqNullSafe(F.col("a.department"))
-    shown = s.join(a, on).filter(F.col("a.r") <= F.col("s.page")).select(
-        "s.doc_id", "a.listing_id", "s.query_ord", "a.r")
-    return shown.join(listings.select("listing_id", "url", "source"), "listing_id")
+    """(doc_id, listing_id, url, source, query_ord, source_ord, r): every listing shown to a record, repeats kept."""
+    shown = searches.join(answers, ["query", "area"]).filter(F.col("r") <= F.col("page")).select("doc_id", "listing_id", "query_ord", "r")
+    return shown.join(listings.select("listing_id", "url", "source", source_order(F.col("source")).alias("source_ord")), "listing_id")
 
 
 def first_shown(cands: DataFrame) -> DataFrame:
     """First listing per record and URL, with how often listings were shown."""
     return cands.groupBy("doc_id", "url").agg(
-        F.min_by(F.struct("listing_id", "source", "query_ord", "r"), F.struct("query_ord", "r")).alias("f"),
+        F.min_by(F.struct("listing_id", "source", "query_ord", "source_ord", "r"), F.struct("query_ord", "source_ord", "r", "listing_id")).alias("f"),
         F.count("*").alias("shown")).select("doc_id", "url", "f.*", "shown")
 
 
@@ -88,7 +83,7 @@ def score_candidates(cv: DataFrame, first: DataFrame, listings: DataFrame,
         first = first.withColumn("semantic", F.lit(0.0))
     jd = kw.with_top_keywords(listings.select("listing_id", "description"), "description", "keywords", 40)
     packed = (first.join(jd.select("listing_id", "keywords"), "listing_id").groupBy("doc_id").agg(
-        F.collect_list(F.struct("listing_id", "source", "query_ord", "r", "shown", "keywords",
+        F.collect_list(F.struct("listing_id", "source", "query_ord", "source_ord", "r", "shown", "keywords",
                                 F.coalesce("semantic", F.lit(0.0)).alias("semantic"))).alias("c")))
     rec = cv.select("doc_id", F.lower("raw_text").alias("low"),
                     kw.structure_score(F.col("sections"), F.col("skills_flat")).alias("structure"))
@@ -98,7 +93,7 @@ def score_candidates(cv: DataFrame, first: DataFrame, listings: DataFrame,
     keyword = F.when(n > 0, F.size("hit") / n).otherwise(0.5)
     return rows.select(
         "doc_id", F.col("x.listing_id").alias("listing_id"), F.col("x.source").alias("source"),
-        (F.col("x.query_ord") * 1000 + F.col("x.r")).alias("seen_ord"), F.col("x.shown").alias("shown"),
+        F.struct("x.query_ord", "x.source_ord", "x.r").alias("seen_ord"), F.col("x.shown").alias("shown"),
         keyword.alias("keyword"), "structure", F.col("x.semantic").alias("semantic"),
         kw.overall_score(F.col("x.semantic"), keyword, F.col("structure")).alias("overall"),
         F.slice("hit", 1, 20).alias("matched"),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
+from sparkfolio.functions import search
 from sparkfolio.operators import criteria as cr
 from sparkfolio.operators import keywords as kw
 from sparkfolio.operators import layout as lo
@@ -155,13 +156,40 @@ def test_hot_search_is_cut_to_its_page(spark):
         F.lit("python spark").alias("description"), F.concat(F.lit("u"), (F.col("id") % 7).cast("string")).alias("url"), F.lit("jooble").alias("source"))
     searches = spark.range(300).select(
         F.col("id").alias("doc_id"), F.lit(0).alias("query_ord"), F.lit("data engineer").alias("query"), F.lit("59000 Lille").alias("place"),
-        F.lit("59").alias("department"), F.lit(20).alias("page"))
+        F.array(F.lit("59"), F.lit("lille")).alias("area"), F.lit(20).alias("page"))
     answers = mt.answer_searches(searches, listings)
     assert [r.listing_id for r in answers.orderBy("r").collect()] == list(range(20))
     first = mt.first_shown(mt.candidates(searches, answers, listings))
     assert first.groupBy("doc_id").count().select(F.min("count"), F.max("count")).first()[:] == (7, 7)
 
 
+def test_listing_search(spark):
+    """A page for each source, places without postal codes, regions, and long queries."""
+    long = "data engineer for public health care and research"
+    rows = [(i, "Data engineer", "59000 Lille", "adzuna") for i in range(30)] + [(100 + i, "Data engineer", "Lille, Nord", "france_travail") for i in range(5)]
+    rows += [(200, long.title(), "Lyon", "jooble"), (201, "Data engineer", "Paris, Île-de-France", "jooble"), (202, "Data engineer", "75002 Paris", "jooble"), (203, "Data engineer", None, "jooble")]
+    listings = spark.createDataFrame(rows, "listing_id long, title string, location string, source string")
+    asks = [("data engineer", "59000 Lille"), (long, "69001 Lyon"), ("data engineer", "Ile-de-France")]
+    searches = spark.createDataFrame(asks, "query string, place string").withColumn("area", search.search_area(F.col("place")))
+    got = {}
+    for r in mt.answer_searches(searches, listings).collect():
+        got.setdefault((r.query, tuple(r.area)), []).append(r.listing_id)
+    by_place = {k[1]: sorted(v) for k, v in got.items()}
+    assert by_place[("59", "lille")] == [*range(20), *range(100, 105)]
+    assert by_place[("69", "lyon")] == [200]
+    assert [v for k, v in by_place.items() if "ile-de-france" in k] == [[201, 202]]
+
+
+def test_long_terms_in_both_paths(spark):
+    terms = ["natural language processing for finance", "machine learning (ml)", "(ml)"]
+    texts = ["Natural Language Processing for Finance", "machine learning (ml) here", "machine learning (ml)x", "machine learning (ml)", "natural language processing"]
+    docs, frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), kw.lexicon_frame(spark, {"a": terms})
+    rows = lambda d: sorted((r.doc_id, r.skill) for r in d.collect())
+    want = [(0, terms[0]), (1, terms[2]), (1, terms[1]), (3, terms[2]), (3, terms[1])]
+    slow = sorted((r.doc_id, r.term) for r in kw.matches_by_pattern(docs, "doc_id", "text", terms).collect())
+    assert rows(kw.lexicon_matches(docs, "doc_id", "text", frame)) == rows(kw.lexicon_matches(docs, "doc_id", "text", frame, max_literal=0)) == slow == sorted(want)
+
+
 def test_detect_profile(spark, record):
     catalogue = [pf.Profile("a", "A", "Data engineer", [], ["python", "spark"]), pf.Profile("b", "B", "Nurse", [], ["soins"])]
     d = {r.doc_id: r for r in pf.detect(record, catalogue).collect()}
