@@ -181,6 +181,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     open_ = (first.groupBy("cluster").agg(F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest"),
                                           F.sum((~F.col("linked")).cast("int")).alias("asking"), F.count(F.lit(1)).alias("size"))
              .filter("asking > 0 and size > 1"))
+    open_ = persisted(open_, "open")  # a table, not an aggregate: Spark can then split a large cluster in the join
     left = (first.join(open_, "cluster").filter(~F.col("linked") | (F.col("far") >= F.col("nearest") - (1 - PER_CENT / 100) - 1e-9))
             .select("node", "cluster", "linked", F.ceil(F.col("asking") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("size") / BLOCK).cast("int").alias("columns")))
     left = left.join(held.select("node", "text"), "node")
@@ -194,7 +195,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     further = asks.unionByName(gives).unionByName(leads).groupBy("cluster", "i", "j").applyInArrow(lambda t: _block(t), "a bigint, b bigint")
     links = first.filter("linked").select(F.col("node").alias("a"), F.col("cluster").alias("b")).unionByName(further)
     joined = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = persisted(joined.groupBy("component").agg(F.min("least").alias("component_id")), "names")  # large components are split in the join
     named = joined.join(names, "component").select("node", "component_id")
     return (sets.select("doc_id", "node", "n").join(named, "node", "left")
             .select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
