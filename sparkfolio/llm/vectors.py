@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfolio.llm.graph import components, forest
+from sparkfolio.session import persisted
 
 CELL = 1_000  # vectors of a label for each pivot
 MAX_PIVOTS = 64  # of a label; bounds what is broadcast
@@ -52,7 +53,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     cells = (points.join(F.broadcast(pivots), "group", "left")  # at most MAX_PIVOTS vectors for each label
              .mapInPandas(lambda it: _placed(it, reach), "point long, group long, cell long, home boolean, copies long, least long, v array<double>"))
     # Blocks of a cell: each home block meets every block of the cell.
-    per = cells.groupBy("group", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # Sizes and names are written: a join with a table can be split where a cell or component is large, one with an aggregate cannot.
+    per = persisted(cells.groupBy("group", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "cells")
     tagged = cells.join(per, ["group", "cell"]).withColumn("block", F.pmod(F.xxhash64("point", F.lit(3)), F.col("blocks")).cast("int"))
     asked = tagged.filter("home").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("asks", F.lit(True))
     given = tagged.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine")).select(
@@ -63,7 +65,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     roots = components(met.filter("root is not null").select(F.col("point").alias("a"), F.col("root").alias("b")))
     classes = (points.select("point", "label", "v", "copies", "least").join(counted, "point", "left").join(roots, F.col("point") == F.col("node"), "left")
                .withColumn("component", F.coalesce("component", "point")))
-    names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = persisted(classes.groupBy("component").agg(F.min("least").alias("component_id")), "names")
     named = classes.join(names, "component").select("point", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     keyed = rows.withColumn("point", F.when(usable("v", "label"), F.xxhash64("label", "v")))
     return (keyed.join(named, "point", "left")
