@@ -52,6 +52,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9  # distance of unit vectors at the threshold
     cells = (points.join(F.broadcast(pivots), "group", "left")  # at most MAX_PIVOTS vectors for each label
              .mapInPandas(lambda it: _placed(it, reach), "point long, group long, cell long, home boolean, copies long, least long, v array<double>"))
+    cells = persisted(cells, "placed")
     # Blocks of a cell: each home block meets every block of the cell.
     # Sizes and names are written: a join with a table can be split where a cell or component is large, one with an aggregate cannot.
     per = persisted(cells.groupBy("group", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "cells")
@@ -61,6 +62,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         *[F.col("mine").alias("block") if c == "block" else F.col(c) for c in tagged.columns], F.col("block").alias("other"), F.lit(False).alias("asks"))
     met = (asked.unionByName(given).repartition("group", "cell", "block", "other").groupBy("group", "cell", "block", "other")
            .applyInPandas(lambda t: _met(t, threshold), "point long, links long, root long"))
+    met = persisted(met, "met")  # read for the counts and for the components; compared once
     counted = met.groupBy("point").agg(F.sum("links").alias("links"))
     roots = components(met.filter("root is not null").select(F.col("point").alias("a"), F.col("root").alias("b")))
     classes = (points.select("point", "label", "v", "copies", "least").join(counted, "point", "left").join(roots, F.col("point") == F.col("node"), "left")
