@@ -13,6 +13,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,7 +85,7 @@ class Codec:
         marks = {two[1] for two in together if not two[1].isalnum()} - {BLANK} - set(alone)
         marks -= {two[1] for two in together if letter.match(two[0])}
         mark, other = re.escape("".join(sorted(marks))), f"[^{BLANK}{cut}{re.escape(''.join(sorted(marks)))}]"
-        rest = f"(?:{other}|(?<!{letter.pattern})[{mark}])*" if mark else f"{other}*"
+        rest = f"{other}*+" + (f"(?:(?<!{letter.pattern})[{mark}]{other}*+)*+" if mark else "")
         start = f"(?:[{mark}]|{other})" if mark else other
         self.segments = re.compile(".+" if inner else (f"[{cut}]|" if cut else "") + f"{BLANK}*{start}{rest}|{BLANK}+", re.DOTALL)
         self.together = together
@@ -188,8 +189,9 @@ class Codec:
         """Number of ids, ids joined by commas, and what they decode to, of one segment."""
         got = self.older.get(s)
         if got is None:
-            together = self.together
-            cut = [j for j in range(1, len(s)) if s[j - 1:j + 1] not in together]  # no piece holds these neighbours
+            cut = []  # where no piece holds the neighbours
+            if not all(map(self.together.__contains__, map(add, s, s[1:]))):
+                cut = [j for j in range(1, len(s)) if s[j - 1:j + 1] not in self.together]
             if cut:
                 ids: tuple[int, ...] = ()
                 for i, j in zip([0, *cut], [*cut, len(s)], strict=True):
