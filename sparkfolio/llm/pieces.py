@@ -13,6 +13,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from operator import add
 
 import pyarrow as pa
@@ -23,9 +24,9 @@ from sparkfolio.llm.textnum import ddl, slices
 BLANK = "▁"
 CONTROL, UNKNOWN, BYTE, NORMAL = "control", "unknown", "byte", "normal"
 UNKNOWN_TEXT = " ⁇ "
-MAX_SEGMENTS = 400_000  # kept results per task: these bound memory and never change a result
-MAX_PARTS = 200_000
-MAX_PAIRS = 500_000
+MAX_SEGMENTS = 300_000  # kept results per task, some 250 bytes each: these bound memory and never change a result
+MAX_PARTS = 100_000
+MAX_PAIRS = 300_000
 
 
 @dataclass(frozen=True)
@@ -65,8 +66,6 @@ class Codec:
     pairs: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        import ahocorasick
-
         v = self.vocabulary
         self.ids = {p: i for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k == NORMAL}
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds, strict=True)) if k == BYTE}
@@ -89,13 +88,22 @@ class Codec:
         start = f"(?:[{mark}]|{other})" if mark else other
         self.segments = re.compile(".+" if inner else (f"[{cut}]|" if cut else "") + f"{BLANK}*{start}{rest}|{BLANK}+", re.DOTALL)
         self.together = together
-        # Pieces that merging never makes cannot be tokens.
-        self.made = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
-        self.matcher = ahocorasick.Automaton()
+
+    @cached_property
+    def made(self) -> set[str]:
+        """Pieces that merging makes; others cannot be tokens. Built for encoding only, as is the matcher."""
+        return {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
+
+    @cached_property
+    def matcher(self):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
         for p in self.made:
             if len(p) > 1:
-                self.matcher.add_word(p, len(p))
-        self.matcher.make_automaton()
+                found.add_word(p, len(p))
+        found.make_automaton()
+        return found
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE: join the neighbours of best score, the leftmost first. For the check of two tokens."""
@@ -185,8 +193,8 @@ class Codec:
                 self.parts[s] = ids
         return ids
 
-    def segment(self, s: str) -> tuple[int, str, str]:
-        """Number of ids, ids joined by commas, and what they decode to, of one segment."""
+    def segment(self, s: str) -> str | tuple[str, str]:
+        """Ids of one segment joined by commas; with what they decode to where that is not the segment itself."""
         got = self.older.get(s)
         if got is None:
             cut = []  # where no piece holds the neighbours
@@ -198,7 +206,9 @@ class Codec:
                     ids += self.part(s[i:j])
             else:
                 ids = tuple(k for t in self.backtracked(s) for k in self.ids_of(t))
-            got = (len(ids), ",".join(map(str, ids)), self.joined(ids))
+            got, back = ",".join(map(str, ids)), self.joined(ids)
+            if back != s.replace(BLANK, " "):
+                got = got, back
         if len(s) < 100:
             if len(self.kept) >= MAX_SEGMENTS:  # what was not met since the last change is forgotten
                 self.older = dict(self.kept)
@@ -210,13 +220,20 @@ class Codec:
         text = text.replace(" ", BLANK)
         return BLANK + text if text and self.vocabulary.dummy_prefix else text
 
-    def encoded(self, text: str | None) -> list[tuple[int, str, str]]:
-        get, make = self.kept.get, self.segment
-        return [get(s) or make(s) for s in self.segments.findall(self.prepared(text or ""))]
+    def encoded(self, text: str | None) -> tuple[str, str]:
+        """Ids of a text joined by commas, and what they decode to with the blank put before it."""
+        get, make, whole = self.kept.get, self.segment, self.prepared(text or "")
+        found = self.segments.findall(whole)
+        got = [get(s) or make(s) for s in found]
+        if tuple not in set(map(type, got)):
+            return ",".join(got), whole.replace(BLANK, " ")
+        pairs = [g if type(g) is tuple else (g, s.replace(BLANK, " ")) for g, s in zip(got, found, strict=True)]
+        return ",".join(ids for ids, _ in pairs), "".join(back for _, back in pairs)
 
     def encode(self, text: str | None) -> list[int]:
         """Ids without begin and end; null and empty texts have none."""
-        return [int(i) for _, ids, _ in self.encoded(text) for i in ids.split(",")]
+        ids, _ = self.encoded(text)
+        return list(map(int, ids.split(","))) if ids else []
 
     def joined(self, ids: list[int] | tuple[int, ...]) -> str:
         """Text of the ids, blanks for their sign; runs of byte pieces are read as UTF-8, bytes that are none give U+FFFD each."""
@@ -305,11 +322,9 @@ def token_digests(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...]
         for b in slices(batches):
             n, ids, back = [], [], []
             for t in b.column(text):
-                got = c.encoded(t.as_py())
-                sizes, said, texts = zip(*got, strict=True) if got else ((), (), ())
-                n.append(sum(sizes))
-                ids.append(hashlib.sha256(",".join(said).encode()).hexdigest())
-                whole = "".join(texts)
+                said, whole = c.encoded(t.as_py())
+                n.append(said.count(",") + 1 if said else 0)
+                ids.append(hashlib.sha256(said.encode()).hexdigest())
                 back.append(hashlib.sha256((whole[1:] if c.vocabulary.dummy_prefix else whole).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)],
                                              [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
