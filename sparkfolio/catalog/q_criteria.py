@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
 from sparkfolio.catalog.q_matching import JD, SKILL_LIST, STRUCT
-from sparkfolio.catalog.q_records import _BODY_LINES, CLEAN, EXPS, HAS_METRICS, METRIC_TEXT, WC, LEVEL, SIGNALS
+from sparkfolio.catalog.q_records import _BODY_LINES, CLEAN, HAS_METRICS, METRIC_TEXT, SIGNALS, WC
 from sparkfolio.catalog.q_text import sql_values
 from sparkfolio.catalog.registry import query
 from sparkfolio.functions import text as tx
@@ -304,7 +304,9 @@ def _(t):
 @query("s15_vector_cache", f"WITH {_CEN} SELECT label AS phrase, len(cv) AS dims FROM cen")
 def _(t):
     phrases = t.embeddings.select(F.col("label").cast("bigint").alias("phrase")).distinct()
-    return vj.cached_vectors(phrases, _centroids(t)).select("phrase", F.size("vector").alias("dims"))
+    fresh = _centroids(t)  # the cache holds the even labels and one that no phrase has; the rest is computed
+    cache = fresh.filter("phrase % 2 = 0").unionByName(fresh.groupBy().agg((F.max("phrase") + 1).alias("phrase"), F.first("vector").alias("vector")))
+    return vj.cached_vectors(phrases, cache, lambda lacking: lacking.join(fresh, "phrase")).select("phrase", F.size("vector").alias("dims"))
 
 
 @query("m3_score_pairs", f"""WITH {JD}, v AS (SELECT a.vec_id AS doc_id, least(1.0, greatest(0.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS sem FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
@@ -347,6 +349,3 @@ def _(t):
 def _(t):
     from sparkfolio.plans.groups import detection_checks
     return detection_checks(_bench(t))
-
-
-_ = EXPS, LEVEL

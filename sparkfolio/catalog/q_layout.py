@@ -8,12 +8,10 @@ from sparkfolio import lexicon as lx
 from sparkfolio.catalog.derived import AS_OF, pick
 from sparkfolio.catalog.q_matching import JOB_TITLE, SKILL_LIST
 from sparkfolio.catalog.q_records import WC
-from sparkfolio.catalog.q_text import sql_values
 from sparkfolio.catalog.registry import query
 from sparkfolio.functions import contact
 from sparkfolio.functions import skills as sk
 from sparkfolio.functions import text as tx
-from sparkfolio.operators import keywords as kw
 from sparkfolio.operators import layout as lo
 from sparkfolio.operators import lexicon_build as lb
 from sparkfolio.operators import records as rec
@@ -393,6 +391,3 @@ def _(t):
     from sparkfolio.functions.embedding import hashed_embedding
     return hashed_embedding(t.documents.select("doc_id", "text"), "text", "vector", 64).select(
         "doc_id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v), 4).alias("norm2"))
-
-
-_ = kw, sql_values

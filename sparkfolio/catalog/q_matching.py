@@ -8,7 +8,6 @@ from sparkfolio import lexicon as lx
 from sparkfolio.catalog.q_text import FOLD, STOPS, sql_values
 from sparkfolio.catalog.registry import query
 from sparkfolio.functions import contact, search
-from sparkfolio.operators import keywords as kw
 from sparkfolio.operators import matching as mt
 from sparkfolio.operators import records
 from sparkfolio.sources import listings as ls
@@ -288,6 +287,3 @@ def _(t):
     from sparkfolio.operators.report import card_meta, pay_range
     return t.listing.select("listing_id", pay_range(F.col("salary_min"), F.col("salary_max")).alias("pay"),
                             card_meta(F.col("company"), F.col("location"), F.col("contract_type")).alias("meta"))
-
-
-_ = kw

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
 from sparkfolio.catalog.derived import AS_OF, pick
-from sparkfolio.catalog.q_matching import EXP_TEXT, JOB_TITLE, SKILL_LIST, STRUCT
-from sparkfolio.catalog.q_text import sql_values
+from sparkfolio.catalog.q_matching import JOB_TITLE, SKILL_LIST, STRUCT
 from sparkfolio.catalog.registry import query
 from sparkfolio.functions import contact, dates
 from sparkfolio.functions import text as tx
@@ -487,6 +486,3 @@ def _(t):
     from sparkfolio.plans.report import quality_report
     return quality_report(t.cv, AS_OF).select("doc_id", "strength", "level", F.size("career_gaps").alias("gaps"), F.col("total_experience_years").alias("years"),
                                              F.col("is_machine_readable").alias("readable"), F.size("sections_missing").alias("sections_missing"))
-
-
-_ = sql_values, EXP_TEXT, contact

@@ -12,7 +12,6 @@ from sparkfolio.functions import contact
 from sparkfolio.functions import text as tx
 from sparkfolio.functions.skills import all_skills, alternation_skills, skills_by_category, with_grams
 from sparkfolio.operators import keywords as kw
-from sparkfolio.operators import records
 
 # Words that do occur in the documents, in four languages, plus two-word terms.
 FREQUENT = {"en": ["the", "and", "of the", "in the"], "fr": ["que", "les", "de la"], "de": ["und", "der", "die"],
@@ -287,6 +286,3 @@ def _(t):
 def _(t):
     return t.documents.select("lang", tx.word_count(F.col("text")).alias("n")).groupBy("lang").agg(
         F.count("*").alias("docs"), F.sum("n").alias("words"), F.max("n").alias("longest"))
-
-
-_ = records

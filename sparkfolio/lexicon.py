@@ -63,6 +63,12 @@ TITLE_WORDS: list[str] = [
     "conductrice", "chauffeur", "chauffeure", "exploitant",
 ]
 
+# --- fixed values: patterns of bullets, headings, title parts and names -----------------------
+BULLET = r"^\s*[•–\-—▪◦◆▸→★*·]\s*"
+TITLE_CASE_LINE = r"^[A-ZÀ-Ý][A-Za-zÀ-ÿ\s&/éèêàûùâôî]+$"
+TITLE_SPLIT = r"\s+[-–—,]\s+|\s*\|\s*"
+PERSON_WORD = r"^[A-Z][A-Za-zà-öù-ÿ'-]+$"
+
 # --- fixed values: action words --------------------------------------------------------------
 ACTION_VERBS_EN: list[str] = [
     "led", "built", "designed", "developed", "implemented", "optimized", "automated", "deployed",
@@ -275,7 +281,7 @@ CATEGORY_PATTERNS: dict[str, list[str]] = {
              "business intelligence", "statistical analysis", "unstructured data", "big data"],
 }
 
-# Phrases that open a section in flat, unpunctuated text (longest first per section).
+# --- fixed values: phrases that open a section in flat, unpunctuated text (longest first per section)
 FLAT_SECTION_PHRASES: list[tuple[str, str]] = [
     ("summary", "professional summary"), ("summary", "career objective"),
     ("summary", "executive summary"), ("summary", "summary"),

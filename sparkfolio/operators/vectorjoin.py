@@ -136,10 +136,12 @@ def threshold_sweep(best: DataFrame, corpus, flagged, thresholds=(0.45, 0.50, 0.
 
 
 def cached_vectors(phrases: DataFrame, cache: DataFrame, recompute=None) -> DataFrame:
-    """Phrases with cached vectors when the cache has as many rows as there are phrases, else
-    ``recompute(phrases)``."""
-    if cache.count() == phrases.count():
-        return phrases.join(cache, "phrase")
-    if recompute is None:
-        raise ValueError("vector cache does not match the phrases and no recompute function is given")
-    return recompute(phrases)
+    """Phrases with the vectors the cache holds under the same phrase, and ``recompute`` of those it lacks. Without a
+    ``recompute`` a lacking phrase is an error, found by a job that runs when this is called. Further cache rows are ignored."""
+    once = cache.dropDuplicates(["phrase"])
+    held, lacking = phrases.join(once, "phrase"), phrases.join(once, "phrase", "left_anti")
+    if recompute is not None:
+        return held.unionByName(recompute(lacking))
+    if not lacking.isEmpty():
+        raise ValueError("the vector cache lacks phrases and no recompute function is given")
+    return held
