@@ -24,7 +24,7 @@ from sparkfolio.llm.textnum import ddl, slices
 BLANK = "▁"
 CONTROL, UNKNOWN, BYTE, NORMAL = "control", "unknown", "byte", "normal"
 UNKNOWN_TEXT = " ⁇ "
-MAX_SEGMENTS = 300_000  # kept results per task, some 250 bytes each: these bound memory and never change a result
+MAX_SEGMENTS = 300_000  # kept results per task (twice that with the older ones): these bound memory and never change a result
 MAX_PARTS = 100_000
 MAX_PAIRS = 300_000
 
