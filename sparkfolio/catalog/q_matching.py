@@ -238,14 +238,17 @@ MATCH = f"""{QUERY_SQL}, {JD},
    fm AS (SELECT * FROM ra WHERE overall >= 25 OR passed = 0)"""
 
 
+_SEARCHED = ("title",)  # what the twin states: it reads titles only
+
+
 def _match_parts(t):
-    return mt.match_report(t.cv, t.listing)
+    return mt.match_report(t.cv, t.listing, fields=_SEARCHED)
 
 
 @query("m4_find_matching_jobs", f"WITH {MATCH} SELECT doc_id, listing_id, source, round(keyword, 6) AS keyword, round(structure, 6) AS structure, overall, rank FROM fm",
        uses=("cv_text", "listing"))
 def _(t):
-    return mt.find_matching_jobs(t.cv, t.listing).select(
+    return mt.find_matching_jobs(t.cv, t.listing, fields=_SEARCHED).select(
         "doc_id", "listing_id", "source", F.round("keyword", 6).alias("keyword"), F.round("structure", 6).alias("structure"), "overall", "rank")
 
 

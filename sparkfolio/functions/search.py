@@ -66,26 +66,50 @@ REGIONS = {
 }
 
 
+# Names of the whole country, which narrow nothing.
+COUNTRY = ("france", "france entiere", "toute la france", "france metropolitaine")
+NATIONWIDE = "*"
+# A name key of a listing that has a department: only searches without one may use it.
+BY_NAME = "~"
+
+
 def place_names(place: Column) -> Column:
-    """Names between the commas of a place, without digits and accents, in lower case."""
-    plain = F.translate(F.lower(place), "àâäéèêëîïôöùûüç", "aaaeeeeiioouuuc")
-    parts = F.transform(F.split(F.regexp_replace(plain, "[0-9]+", " "), ","), lambda x: tx.strip(F.regexp_replace(x, r"\s+", " ")))
-    return F.filter(parts, lambda x: x != "")
+    """Names between the commas, brackets and dashes of a place, without digits and accents, in lower case; no country."""
+    plain = F.translate(F.lower(place), "àâäéèêëîïôöùûüç’", "aaaeeeeiioouuuc'")
+    words = F.regexp_replace(plain, "[0-9]+(?:(?:er|eme|e)\\b)?(?: +arrondissement)?", " ")
+    parts = F.transform(F.split(words, r"[,;()/|]|\s[-–—]\s"), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[^\p{L}]+|[^\p{L}]+$", ""))
+    return F.filter(parts, lambda x: (x != "") & ~x.isin(*COUNTRY))
+
+
+def is_department(key: Column) -> Column:
+    return key.rlike("^[0-9]")
 
 
 def listing_area(location: Column) -> Column:
-    """Where a listing is: its department if a postal code gives one, else the names of the place."""
+    """Keys a listing is found by: its department and the names of the place, and the whole country.
+
+    Beside a department the names are marked, so that a town of the same name elsewhere does not answer a search with one."""
+    names = F.coalesce(place_names(location), F.array().cast("array<string>"))
     code = contact.department_code(location)
-    return F.when(code.isNotNull(), F.array(code)).otherwise(F.coalesce(place_names(location), F.array().cast("array<string>")))
+    own = F.when(code.isNotNull(), F.concat(F.array(code), F.transform(names, lambda x: F.concat(F.lit(BY_NAME), x)))).otherwise(names)
+    return F.array_distinct(F.concat(own, F.array(F.lit(NATIONWIDE))))
 
 
 def search_area(place: Column) -> Column:
-    """Sorted keys of which a listing must have one: department, town, and for a region also its departments."""
+    """Sorted keys of which a listing must have one: department, town, and for a region also its departments; the whole
+    country for a place that names none of them."""
     regions = F.create_map(*(F.lit(x) for name, codes in REGIONS.items() for x in (name, codes)))
     names = place_names(place)
     inside = F.flatten(F.transform(names, lambda x: F.split(F.coalesce(F.try_element_at(regions, x), F.lit("")), " ")))
     code = F.array_compact(F.array(contact.department_code(place)))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(names, inside, code), lambda x: x != "")))
+    keys = F.array_sort(F.array_distinct(F.filter(F.concat(names, inside, code), lambda x: x != "")))
+    return F.when(F.size(keys) == 0, F.array(F.lit(NATIONWIDE))).otherwise(keys)
+
+
+def asked_keys(area: Column) -> Column:
+    """Listing keys that a ``search_area`` meets: its own, and without a department also the names of listings that have one."""
+    marked = F.transform(F.filter(area, lambda x: x != NATIONWIDE), lambda x: F.concat(F.lit(BY_NAME), x))
+    return F.when(F.exists(area, is_department), area).otherwise(F.concat(area, marked))
 
 
 def search_place(region: Column, postal: Column, city: Column) -> Column:

@@ -18,6 +18,7 @@ from sparkfolio.sources.listings import source_order
 
 MIN_SCORE = 25.0
 FEW_RESULTS = 3
+SEARCHED = ("title", "description")
 
 
 def search_table(cv: DataFrame, max_results: int = 20, region: Column | None = None) -> DataFrame:
@@ -37,23 +38,40 @@ def search_table(cv: DataFrame, max_results: int = 20, region: Column | None = N
                     search.search_area(F.col("p.place")).alias("area"), "page"))
 
 
-def answer_searches(searches: DataFrame, listings: DataFrame, max_results: int = 20) -> DataFrame:
-    """(query, area, source, listing_id, r): each source's first listings whose title holds the query phrase.
+def place_keys(areas: DataFrame, listings: DataFrame) -> DataFrame:
+    """(area, at): the listing keys each distinct ``area`` meets.  An area that is no department or region, and whose names
+    stand in no listing, cannot be placed and meets the whole country."""
+    asked = areas.select("area", F.explode(search.asked_keys(F.col("area"))).alias("at"))
+    known = listings.select(F.explode(search.listing_area(F.col("location"))).alias("at")).distinct().withColumn("known", F.lit(True))
+    unplaced = (asked.join(known, "at", "left").groupBy("area").agg(F.coalesce(F.bool_or("known"), F.lit(False)).alias("known"))
+                .filter(~F.col("known") & ~F.exists("area", search.is_department)).select("area", F.lit(search.NATIONWIDE).alias("at")))
+    return asked.unionByName(unplaced)
 
-    Titles become phrases, up to the words of the longest search (found by a job over the searches), that meet the
-    distinct searches by equality of phrase and place key; ``row_number`` with a bound lets Spark drop surplus rows in
-    each task before the shuffle, so a query asked for by a third of all records, or a title shared by a third of all
-    listings, stays bounded.
+
+def answer_searches(searches: DataFrame, listings: DataFrame, max_results: int = 20, fields: tuple[str, ...] = SEARCHED) -> DataFrame:
+    """(query, area, source, listing_id, r): each source's first listings of which one of ``fields`` holds the query phrase.
+
+    Titles come before descriptions.  Fields become phrases, up to the words of the longest search (found by a job over the
+    searches); those that are asked for meet the distinct searches by equality of phrase and place key; ``row_number`` with a
+    bound lets Spark drop surplus rows in each task before the shuffle, so a query asked for by a third of all records, or a
+    title shared by a third of all listings, stays bounded.  Fields that listings lack as columns are passed over.
     """
     longest = (searches.agg(F.max(F.size(tx.text_parts(F.col("query"))))).first()[0] or 0) // 2 + 1
-    asked = searches.select("query", "area").distinct().select("query", "area", F.explode("area").alias("at"))
-    phrases = listings.select(
-        "listing_id", "source", search.listing_area(F.col("location")).alias("place"),
-        F.explode(F.array_distinct(tx.word_grams(tx.text_parts(F.col("title")), longest))).alias("query")) \
-        .select("listing_id", "source", "query", F.explode("place").alias("at"))
-    found = phrases.join(asked, ["query", "at"]).select("query", "area", "source", "listing_id").distinct()
-    order = Window.partitionBy("query", "area", "source").orderBy("listing_id")
-    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_results)
+    queries = searches.select("query", "area").distinct()
+    asked = queries.join(place_keys(queries.select("area").distinct(), listings), "area")
+
+    def grams(c):
+        return F.array_distinct(tx.word_grams(tx.text_parts(F.coalesce(c, F.lit(""))), longest))
+
+    place, phrases = search.listing_area(F.col("location")).alias("place"), None
+    for part, field in enumerate(f for f in fields if f in listings.columns):
+        more = listings.select("listing_id", "source", place, F.explode(grams(F.col(field))).alias("query"), F.lit(part).alias("part"))
+        phrases = more if phrases is None else phrases.unionByName(more)
+    held = phrases.join(queries.select("query").distinct(), "query", "left_semi").select("listing_id", "source", "query", "part", F.explode("place").alias("at"))
+    found = held.join(asked, ["query", "at"]).groupBy("query", "area", "source", "listing_id").agg(F.min("part").alias("part"))
+    order = Window.partitionBy("query", "area", "source").orderBy("part", "listing_id")
+    return (found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_results)
+            .select("query", "area", "source", "listing_id", "r"))
 
 
 def candidates(searches: DataFrame, answers: DataFrame, listings: DataFrame) -> DataFrame:
@@ -127,7 +145,8 @@ def match_summary(scored: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def find_matching_jobs(cv: DataFrame, listings: DataFrame, max_results: int = 20, region: Column | None = None,
-                       active: list[str] | None = None, semantic: DataFrame | None = None) -> DataFrame:
+                       active: list[str] | None = None, semantic: DataFrame | None = None,
+                       fields: tuple[str, ...] = SEARCHED) -> DataFrame:
     """Ranked matches of every record against a listing table.
 
     ``listings`` needs listing_id, title, location, description, url, source.  The searches are
@@ -137,14 +156,15 @@ def find_matching_jobs(cv: DataFrame, listings: DataFrame, max_results: int = 20
     if active is not None:
         listings = listings.filter(F.col("source").isin(*active))
     searches = persisted(search_table(cv, max_results, region), "searches")
-    shown = candidates(searches, answer_searches(searches, listings, max_results), listings)
+    shown = candidates(searches, answer_searches(searches, listings, max_results, fields), listings)
     return rank_matches(score_candidates(cv, first_shown(shown), listings, semantic))
 
 
-def match_report(cv: DataFrame, listings: DataFrame, max_results: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def match_report(cv: DataFrame, listings: DataFrame, max_results: int = 20,
+                 fields: tuple[str, ...] = SEARCHED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored, ranked, summary); the scored pairs are written once and read by the other two."""
     searches = persisted(search_table(cv, max_results), "searches")
-    shown = candidates(searches, answer_searches(searches, listings, max_results), listings)
+    shown = candidates(searches, answer_searches(searches, listings, max_results, fields), listings)
     scored = persisted(score_candidates(cv, first_shown(shown), listings), "scored")
     ranked = rank_matches(scored)
     return scored, ranked, match_summary(scored, ranked)

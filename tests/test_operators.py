@@ -180,6 +180,23 @@ def test_listing_search(spark):
     assert [v for k, v in by_place.items() if "ile-de-france" in k] == [[201, 202]]
 
 
+def test_listing_search_by_town_country_and_description(spark):
+    """A town without a postal code meets coded listings, a country or unknown place all of them, same names elsewhere do not."""
+    rows = [(1, "Data engineer", "59000 Lille", ""), (2, "Data engineer", "59 - LILLE", None), (3, "Data engineer", "Lille, Nord", ""), (4, "Data engineer", "75001 Paris, France", ""),
+            (5, "Data engineer", None, ""), (6, "Data engineer", "93200 Saint-Denis", ""), (7, "Data engineer", "97400 Saint-Denis", ""), (8, "Data engineer", "Lyon, France", ""),
+            (9, "Consultant", "59000 Lille", "A senior data engineer is wanted"), (0, "Consultant", "59000 Lille", "A metadata engineer")]
+    listings = spark.createDataFrame(rows, "listing_id long, title string, location string, description string").withColumn("source", F.lit("jooble"))
+    places = ["Lille", "59000 Lille", "Lille, France", "Saint-Denis", "93200 Saint-Denis", "France", "Atlantis", "Lyon", "Paris"]
+    searches = spark.createDataFrame([("data engineer", p) for p in places], "query string, place string").withColumn("area", search.search_area(F.col("place")))
+    answers = mt.answer_searches(searches, listings)
+    got = {p: [] for p in places}
+    for r in searches.select("place", "query", "area").join(answers, ["query", "area"]).orderBy("place", "r").collect():
+        got[r.place].append(r.listing_id)
+    everywhere = [1, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert got == {"Lille": [1, 2, 3, 9], "59000 Lille": [1, 2, 3, 9], "Lille, France": [1, 2, 3, 9], "Saint-Denis": [6, 7], "93200 Saint-Denis": [6],
+                   "France": everywhere, "Atlantis": everywhere, "Lyon": [8], "Paris": [4]}
+
+
 def test_long_terms_in_both_paths(spark):
     terms = ["natural language processing for finance", "machine learning (ml)", "(ml)"]
     texts = ["Natural Language Processing for Finance", "machine learning (ml) here", "machine learning (ml)x", "machine learning (ml)", "natural language processing"]
