@@ -3,7 +3,8 @@
 Token counts are added up by cell (source, language, topic). The cells' weights are raked until the weighted tokens have the target
 shares of every margin, then turned into keep probabilities that give the asked number of tokens, and documents are drawn by a hash of
 their id. Values without a target of their own share the margin's "*", so there are never more cells than the product of the
-targets' sizes, however large the table is: only these few sums reach the driver.
+targets' sizes, however large the table is: only these few sums reach the driver. A margin without a target for "*" leaves
+these values, nulls among them, the share of tokens that they have; the targets divide the rest.
 """
 
 from __future__ import annotations
@@ -87,6 +88,16 @@ def probabilities(sums: np.ndarray, weights: np.ndarray, tokens: float) -> np.nd
         full |= new
 
 
+def goals(target: dict[str, float], values: list[str], tokens: np.ndarray) -> np.ndarray:
+    """Target shares of ``values``, of which the last is "*", for a margin with these ``tokens``."""
+    t = np.where(tokens > 0, [target.get(v, 0.0) for v in values], 0.0)
+    if REST not in target and tokens.sum():
+        rest = tokens[-1] / tokens.sum()
+        t = t / t.sum() * (1 - rest) if t.sum() else t
+        t[-1] = rest
+    return t
+
+
 def fit_mix(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: Column, keep: float) -> Mix:
     """Rake ``docs`` (with one string column for each margin of ``targets``) and keep the share ``keep`` of its tokens."""
     margins = tuple(targets)
@@ -97,7 +108,8 @@ def fit_mix(docs: DataFrame, targets: dict[str, dict[str, float]], tokens: Colum
     rows = docs.select(*(pooled(F.col(f"`{m}`"), targets[m]).alias(m) for m in margins), tokens.alias("tokens")).groupBy(*margins).agg(F.sum("tokens").alias("tokens"))
     for r in rows.collect():
         sums[tuple(v.index(r[m]) for m, v in zip(margins, values, strict=True))] += r["tokens"] or 0
-    weights, miss, steps = rake(sums, [np.array([targets[m].get(x, 0.0) for x in v]) for m, v in zip(margins, values, strict=True)])
+    weights, miss, steps = rake(sums, [goals(targets[m], v, sums.sum(axis=tuple(i for i in range(sums.ndim) if i != a)))
+                                       for a, (m, v) in enumerate(zip(margins, values, strict=True))])
     p = probabilities(sums, weights, keep * sums.sum())
     cells = tuple((*(v[i] for v, i in zip(values, at, strict=True)), float(sums[at]), float(weights[at]), float(p[at]))
                   for at in np.ndindex(*sums.shape) if sums[at] > 0)

@@ -77,10 +77,11 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"))
 
 
-# Shares of tokens that the mixed corpus should have: no source alone more than a twentieth, English half.
+# Shares of tokens that the mixed corpus should have: no listed source alone more than another, English half. Other sources and
+# languages, and nulls, keep the shares they have.
 MIX_TARGETS = {
-    "source": {**{f"src{i}": 0.05 for i in range(20)}, "*": 0.0001},
-    "lang": {"en": 0.5, "de": 0.2, "fr": 0.17, "es": 0.13, "*": 0.0001},
+    "source": {**{f"src{i}": 0.05 for i in range(20)}},
+    "lang": {"en": 0.5, "de": 0.2, "fr": 0.17, "es": 0.13},
     "topic": {"prose": 0.86, "legal": 0.03, "contact": 0.06, "table": 0.03, "code": 0.01, "*": 0.01},
 }
 MIX_KEEP = 0.4  # of all tokens

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sparkfolio.llm import mixing
-from sparkfolio.llm.queries import MIX_KEEP, MIX_TARGETS, QUERIES
+from sparkfolio.llm.queries import MIX_KEEP, MIX_TARGETS, QUERIES, mixed
 from tests.conftest import SF
 
 
@@ -58,3 +58,64 @@ def test_edges(spark):
     assert got[0].mix_kept == got[1].mix_kept
     none = docs.limit(0)
     assert mixing.with_mix(none, mixing.fit_mix(none, targets, mixing.token_count(mixing.F.col("text")), 0.5), targets, mixing.F.col("doc_id")).count() == 0
+
+
+def plain_probabilities(rows):
+    """doc_id -> keep probability, for (doc_id, text, lang, source) rows, by sums in dictionaries."""
+    def topic(t):
+        for name, words in (("legal", ["License", "rights reserved"]), ("contact", ["@", "+1 ("]), ("table", [" | "]), ("code", ["{", "};", "$$"])):
+            if any(w in t for w in words):
+                return name
+        return "prose"
+
+    cell, sums = {}, {}
+    for i, text, lang, source in rows:
+        key = tuple(v if v in MIX_TARGETS[m] else "*" for m, v in (("source", source), ("lang", lang), ("topic", topic(text or ""))))
+        cell[i] = key
+        sums[key] = sums.get(key, 0) + (1 + sum(text.count(c) for c in " \n\t\r") if text else 0)
+    sums = {k: v for k, v in sums.items() if v}
+    total = sum(sums.values())
+
+    def margin(x, a):
+        out = {}
+        for k, v in x.items():
+            out[k[a]] = out.get(k[a], 0) + v
+        return out
+
+    goal = []
+    for a, m in enumerate(("source", "lang", "topic")):
+        have = margin(sums, a)
+        listed = {v: MIX_TARGETS[m][v] for v in have if v in MIX_TARGETS[m]}
+        rest = have.get("*", 0) / total if "*" not in MIX_TARGETS[m] else 0
+        goal.append({v: rest if v not in listed else listed[v] / sum(listed.values()) * (1 - rest) for v in have})
+    x = dict(sums)
+    for _ in range(500):
+        for a in range(3):
+            now, all_ = margin(x, a), sum(x.values())
+            x = {k: v * goal[a][k[a]] / (now[k[a]] / all_) for k, v in x.items()}
+    full = set()
+    while True:
+        scale = (MIX_KEEP * total - sum(sums[k] for k in full)) / sum(v for k, v in x.items() if k not in full)
+        more = {k for k in x if k not in full and scale * x[k] / sums[k] > 1}
+        if not more:
+            return {i: 1.0 if k in full or k not in sums else scale * x[k] / sums[k] for i, k in cell.items()}
+        full |= more
+
+
+def plain_kept(spark, rows):
+    p = plain_probabilities(rows)
+    ids = spark.createDataFrame([(i,) for i in p], "doc_id long")
+    return {r.doc_id for r in ids.select("doc_id", mixing.draw(mixing.F.col("doc_id"), 6).alias("u")).collect() if r.u < p[r.doc_id]}
+
+
+def test_values_without_targets_keep_their_share(spark):
+    """A third of all tokens in a source and a language without targets, nulls among them."""
+    langs, odd = ["en", "de", "fr", "es"], [("new", "it"), (None, None), ("new", None)]
+    rows = [(i, "a b c d", *(odd[i // 3 % 3] if i % 3 == 0 else (f"src{i % 20}", langs[i // 20 % 4]))) for i in range(3000)]
+    rows = [(i, text, lang, source) for i, text, source, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixed(docs).collect()
+    other = [r.mix_probability for r in got if r.doc_id % 3 == 0]
+    assert np.allclose(other, MIX_KEEP, atol=1e-6)
+    assert {r.doc_id for r in got if r.mix_kept} == plain_kept(spark, rows)
+    assert 300 < sum(r.mix_kept for r in got if r.doc_id % 3 == 0) < 500

@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from sparkfolio.session import persisted
 from tests.conftest import SF
+from tests.llm import test_mixing as plain_mixing
 from tests.llm import test_setjoin, test_suffixes
 
 
@@ -54,6 +55,11 @@ def test_mixing(outputs):
     assert set(after) < set(before) and all(after[i] == before[i] for i in after)
 
 
+def test_mixing_keeps_the_drawn_ids(outputs, spark):
+    before, after = (rows(x) for x in outputs[3])
+    assert set(after) == plain_mixing.plain_kept(spark, [(i, r.text, r.lang, r.source) for i, r in before.items()])
+
+
 def test_encoding(outputs):
     sentencepiece = pytest.importorskip("sentencepiece")
     sp = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.queries.piece_model())
