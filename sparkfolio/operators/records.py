@@ -15,7 +15,8 @@ from sparkfolio import lexicon as lx
 from sparkfolio.functions import contact, dates
 from sparkfolio.functions import text as tx
 from sparkfolio.functions.arrays import cut_at, int_range, let, sealed
-from sparkfolio.functions.skills import all_skills, flat_skills, grams_in, skills_by_category
+from sparkfolio.functions.skills import all_skills, alternation_skills, flat_skills, grams_in, skills_by_category
+from sparkfolio.operators.keywords import with_top_keywords
 
 LINE = "struct<text:string,size:double,bold:boolean,x0:double,top:double,col:string>"
 _STRS = "array<string>"
@@ -424,15 +425,16 @@ def first_sector(text_lower: Column, sectors=tuple(lx.SECTOR_WORDS)) -> Column:
 
 
 def cv_record(df: DataFrame, **cols: Column) -> DataFrame:
-    """Select the base record columns and add the fields that follow from them."""
+    """Select the base record columns and add the fields that follow from them; skills stay as stated."""
     base = df.select(*[c.alias(n) for n, c in cols.items()])
-    return enrich(base)
+    return enrich(base, text_skills=False)
 
 
-def enrich(cv: DataFrame, current_year: int = 2026, entities: Column | None = None) -> DataFrame:
-    """Add sections, skills_flat, experience_years, job_title, location, postal_code, sector.
+def enrich(cv: DataFrame, current_year: int = 2026, entities: Column | None = None, text_skills: bool = True) -> DataFrame:
+    """Add sections, skills_flat, experience_years, job_title, location, postal_code, sector, keywords.
 
-    ``entities`` is an optional array<string> of place names found by the caller's own tagger.
+    ``entities`` is an optional array<string> of place names found by the caller's own tagger.  A record without skills
+    gets those that stand in its text, unless ``text_skills`` is off.
     """
     c = F.col
     places = entities if entities is not None else F.array().cast(_STRS)
@@ -441,7 +443,10 @@ def enrich(cv: DataFrame, current_year: int = 2026, entities: Column | None = No
                                                c("skills"), c("projects"), c("languages")))
     months = F.aggregate(c("experience"), F.lit(0), lambda a, e: a + F.coalesce(e["duration_months"], F.lit(0)))
     head = F.coalesce(F.try_element_at(c("sections"), F.lit("header")), F.lit(""))
-    cv = (cv.withColumn("skills_flat", flat_skills(c("skills")))
+    flat = flat_skills(c("skills"))
+    if text_skills:
+        flat = F.when(F.size(flat) > 0, flat).otherwise(F.coalesce(alternation_skills(c("raw_text"), lx.SKILLS), F.array().cast(_STRS)))
+    cv = (cv.withColumn("skills_flat", flat)
           .withColumn("experience_years", F.when(months > 0, F.round(months / 12, 1)).otherwise(
               dates.years_from_spans(F.coalesce(F.try_element_at(c("sections"), F.lit("experience")), F.lit("")),
                                      current_year)))
@@ -450,6 +455,7 @@ def enrich(cv: DataFrame, current_year: int = 2026, entities: Column | None = No
               tx.job_title_from(head))))
     place = contact.cascade_location(c("header")["location"], c("header")["postal_code"], c("raw_text"),
                                      c("job_title"), contact.entity_location(head, places))
-    return sealed(cv.withColumn("_place", place).withColumn("location", c("_place")["city"])
+    done = sealed(cv.withColumn("_place", place).withColumn("location", c("_place")["city"])
                   .withColumn("postal_code", c("_place")["code"]).withColumn("sector", sector_of(c("experience")))
                   .drop("_place"))
+    return with_top_keywords(done, "raw_text", "keywords", 50, content=True)

@@ -14,7 +14,7 @@ CV = (f"doc_id bigint, header {HEADER}, summary string, skills {SKILLS}, experie
       f"education {EDUCATION}, projects {PROJECTS}, languages array<string>, raw_text string, "
       "layout_detected string, word_count int, extraction_method string, extraction_confidence double, "
       "sections map<string,string>, skills_flat array<string>, experience_years double, "
-      "job_title string, location string, postal_code string, sector string")
+      "job_title string, location string, postal_code string, sector string, keywords array<string>")
 
 WORD = ("doc_id bigint, page int, text string, x0 double, x1 double, top double, bottom double, "
         "size double, fontname string")

@@ -138,6 +138,18 @@ def test_first_seen_is_idempotent_and_keeps_order(spark):
     assert sorted(map(tuple, ls.first_seen(once, ["url"], ["o"]).collect())) == [("u1", 1, "a"), ("u2", 5, "c")]
 
 
+def test_enrich_keywords_and_skills_from_text(spark, record):
+    """Top words of the whole text; a record that states no skills gets those of its text, one with keeps its own."""
+    text = "Keo Pen\n\nPROFESSIONAL EXPERIENCE\n2019 - 2021\nData engineer | Novalis\n- Pipelines of spark and docker, pipelines in python\n"
+    df = spark.createDataFrame([(1, text), (2, "")], "doc_id bigint, text string")
+    bare = rec.parse_text(df, as_of=(2026, 1)).withColumn("skills", F.create_map().cast("map<string,array<string>>"))
+    r, empty = rec.enrich(bare).orderBy("doc_id").collect()
+    assert r.skills_flat == ["docker", "python", "spark"] and empty.skills_flat == [] and empty.keywords == []
+    assert r.keywords[0] == "pipelines" and {"novalis", "spark"} <= set(r.keywords) and not {"of", "and"} & set(r.keywords)
+    r = record.filter("doc_id = 1").first()
+    assert sorted(r.skills_flat) == ["c++", "docker", "python", "scala", "spark"] and 0 < len(r.keywords) <= 50
+
+
 def test_lexicon_paths_agree(spark):
     texts = ["C++ and c# and .net, next.js", "machine learning machine learnings", "r&d in r", "asp.net x.net", "", "ci/cd ci / cd"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
