@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import backoff, licenses, media, mixing, pieces, rules, setjoin, suffixes, toxicity, vectors
+from sparkfolio.llm import backoff, licenses, media, mixing, pieces, rules, runs, setjoin, suffixes, toxicity, vectors
 from sparkfolio.llm.training import labelled_sample, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,17 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def id_hash(doc_id: Column) -> Column:
+    """Unsigned crc32 of the id in decimal; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.with_runs(table(spark, sf_dir, "documents"), mark=id_hash(F.col("doc_id")), outputs=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 ORACLES["op8_embedding_near_dedup"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
