@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import backoff, licenses, media, merkle, mixing, pieces, rules, runs, setjoin, suffixes, toxicity, vectors
+from sparkfolio.llm import backoff, licenses, media, merkle, mixing, pieces, piecewise, rules, runs, setjoin, suffixes, toxicity, vectors
 from sparkfolio.llm.training import labelled_sample, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,30 +132,30 @@ _VALUE = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':
 _HEAD = " || ".join(_VALUE.format(c) for c in merkle.FIELDS[:-1])
 # crc32, bit by bit, of the id in decimal: eight steps a byte, of which the first takes the byte in.
 _CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1),
-  i -> [CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
-  (c, b) -> xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
+  lambda i: [CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
 ORACLES["op12_merkle_manifest"] = f"""
 WITH RECURSIVE digests AS (
   SELECT doc_id, source, sha256({_HEAD} || {_VALUE.format("text")}) AS leaf,
     CASE WHEN ({_CRC}) % 2 = 0 THEN sha256({_HEAD} || {_VALUE.format("replace(text, chr(10), '')")}) END AS tampered FROM documents),
 leaves AS (
   SELECT *, row_number() OVER () AS rid, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS size,
-    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at FROM digests),
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM digests),
 up AS (
-  SELECT 0 AS depth, tree, at, size, leaf AS digest FROM leaves UNION ALL
-  SELECT depth + 1, tree, at // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY at)) FROM up WHERE size > 1 GROUP BY depth, tree, at // 3, size),
+  SELECT 0 AS depth, tree, pos, size, leaf AS digest FROM leaves UNION ALL
+  SELECT depth + 1, tree, pos // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE size > 1 GROUP BY depth, tree, pos // 3, size),
 tops AS (SELECT tree, digest FROM up WHERE size = 1),
 high AS (
-  SELECT 0 AS depth, tree AS at, (SELECT count(*) FROM tops) AS size, digest FROM tops UNION ALL
-  SELECT depth + 1, at // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY at)) FROM high WHERE size > 1 GROUP BY depth, at // 3, size),
+  SELECT 0 AS depth, tree AS pos, (SELECT count(*) FROM tops) AS size, digest FROM tops UNION ALL
+  SELECT depth + 1, pos // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE size > 1 GROUP BY depth, pos // 3, size),
 steps AS (
-  SELECT l.rid, u.depth AS k, string_agg(u.digest, '' ORDER BY u.at) FILTER (u.at < l.at // CAST(pow(3, u.depth) AS BIGINT)) AS before,
-    string_agg(u.digest, '' ORDER BY u.at) FILTER (u.at > l.at // CAST(pow(3, u.depth) AS BIGINT)) AS after
-  FROM leaves l JOIN up u ON u.tree = l.tree AND u.size > 1 AND u.at // 3 = l.at // CAST(pow(3, u.depth + 1) AS BIGINT) GROUP BY ALL
+  SELECT l.rid, u.depth AS k, string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos < l.pos // CAST(pow(3, u.depth) AS BIGINT)) AS before,
+    string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos > l.pos // CAST(pow(3, u.depth) AS BIGINT)) AS after
+  FROM leaves l JOIN up u ON u.tree = l.tree AND u.size > 1 AND u.pos // 3 = l.pos // CAST(pow(3, u.depth + 1) AS BIGINT) GROUP BY ALL
   UNION ALL
-  SELECT l.rid, 1000 + u.depth, string_agg(u.digest, '' ORDER BY u.at) FILTER (u.at < l.tree // CAST(pow(3, u.depth) AS BIGINT)),
-    string_agg(u.digest, '' ORDER BY u.at) FILTER (u.at > l.tree // CAST(pow(3, u.depth) AS BIGINT))
-  FROM leaves l JOIN high u ON u.size > 1 AND u.at // 3 = l.tree // CAST(pow(3, u.depth + 1) AS BIGINT) GROUP BY ALL),
+  SELECT l.rid, 1000 + u.depth, string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos < l.tree // CAST(pow(3, u.depth) AS BIGINT)),
+    string_agg(u.digest, '' ORDER BY u.pos) FILTER (u.pos > l.tree // CAST(pow(3, u.depth) AS BIGINT))
+  FROM leaves l JOIN high u ON u.size > 1 AND u.pos // 3 = l.tree // CAST(pow(3, u.depth + 1) AS BIGINT) GROUP BY ALL),
 path AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY k) AS n, coalesce(before, '') AS before, coalesce(after, '') AS after FROM steps),
 fold AS (
   SELECT rid, CAST(0 AS BIGINT) AS n, coalesce(tampered, leaf) AS own FROM leaves UNION ALL
@@ -167,12 +167,17 @@ SELECT l.doc_id, l.leaf, t.digest AS subroot, r.digest AS root, coalesce(p.proof
 FROM leaves l JOIN tops t ON t.tree = l.tree CROSS JOIN (SELECT digest FROM high WHERE size = 1) r JOIN last f ON f.rid = l.rid LEFT JOIN proof p ON p.rid = l.rid
 """
 
+@query
+def op13_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.edit_report(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op8_embedding_near_dedup"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 good AS (
-  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0),
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
 link AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
