@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
-from sparkfolio.catalog.q_matching import JD, SKILL_LIST, STRUCT
+from sparkfolio.catalog.hashing import vectors_sql
+from sparkfolio.catalog.q_matching import DIMS, JD, SKILL_LIST, STRUCT, _embed
 from sparkfolio.catalog.q_records import _BODY_LINES, CLEAN, HAS_METRICS, METRIC_TEXT, SIGNALS, WC
 from sparkfolio.catalog.q_text import sql_values
 from sparkfolio.catalog.registry import query
@@ -15,6 +16,7 @@ from sparkfolio.operators import criteria as cr
 from sparkfolio.operators import matching as mt
 from sparkfolio.operators import profiles as pf
 from sparkfolio.operators import report as rp
+from sparkfolio.operators import semantic as sm
 from sparkfolio.operators import vectorjoin as vj
 
 CV = ("cv_text",)
@@ -309,19 +311,21 @@ def _(t):
     return vj.cached_vectors(phrases, cache, lambda lacking: lacking.join(fresh, "phrase")).select("phrase", F.size("vector").alias("dims"))
 
 
-@query("m3_score_pairs", f"""WITH {JD}, v AS (SELECT a.vec_id AS doc_id, least(1.0, greatest(0.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS sem FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
-   p AS (SELECT c.doc_id, coalesce(sem, 0) AS sem, {STRUCT} AS st, coalesce((SELECT avg(CASE WHEN contains(lower(c.text), jk.w) THEN 1.0 ELSE 0.0 END) FROM jk WHERE jk.listing_id = c.doc_id), 0.5) AS kw
-     FROM cv_text c JOIN listing l ON l.listing_id = c.doc_id LEFT JOIN v ON v.doc_id = c.doc_id)
-   SELECT doc_id, round(sem * 100, 1) AS semantic_similarity, round(kw * 100, 1) AS keyword_match, round(st * 100, 1) AS structure_completeness, round(sem * 35 + kw * 40 + st * 25, 1) AS overall FROM p""", uses=("cv_text", "listing"))
+@query("m3_score_pairs", f"""WITH {JD}, nl AS (SELECT count(*) AS n FROM listing), pr AS (SELECT c.doc_id, l.listing_id, c.text AS raw, l.description FROM cv_text c
+     JOIN listing l ON l.listing_id = 1 + c.doc_id % (SELECT n FROM nl)),
+   dx AS (SELECT raw AS txt FROM pr UNION SELECT description FROM pr), {vectors_sql("dx", DIMS, 256)},
+   pk AS MATERIALIZED (SELECT doc_id, md5(raw) AS x, md5(description) AS y FROM pr),
+   sm AS (SELECT doc_id, list_inner_product(a.vec, b.vec) AS sim FROM pk JOIN hv a ON a.tid = x JOIN hv b ON b.tid = y),
+   p AS (SELECT c.doc_id, pr.listing_id, least(1.0, coalesce(sim, 0.0)) AS sem, {STRUCT} AS st, coalesce((SELECT avg(CASE WHEN contains(lower(c.text), jk.w) THEN 1.0 ELSE 0.0 END) FROM jk WHERE jk.listing_id = pr.listing_id), 0.5) AS kw
+     FROM cv_text c JOIN pr USING (doc_id) LEFT JOIN sm USING (doc_id))
+   SELECT doc_id, listing_id, round(sem * 100, 1) AS semantic_similarity, round(kw * 100, 1) AS keyword_match, round(st * 100, 1) AS structure_completeness, round(sem * 35 + kw * 40 + st * 25, 1) AS overall FROM p""", uses=("cv_text", "listing"))
 def _(t):
-    e = t.embeddings
-    sem = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("a")).join(
-        e.select((F.col("vec_id") - 1).alias("doc_id"), F.col("embedding").alias("b")), "doc_id").select(
-        "doc_id", F.col("doc_id").alias("listing_id"), vx.clipped_cosine(F.col("a"), F.col("b")).alias("semantic"))
-    first = t.documents.select("doc_id").join(t.listing.select("listing_id", "source"), F.col("doc_id") == F.col("listing_id")).select(
-        "doc_id", "listing_id", "source", F.lit(0).alias("query_ord"), F.lit(1).alias("r"), F.lit(1).cast("bigint").alias("shown"))
-    s = mt.score_candidates(t.cv, first, t.listing, sem)
-    return s.select("doc_id", F.round(F.col("semantic") * 100, 1).alias("semantic_similarity"), F.round(F.col("keyword") * 100, 1).alias("keyword_match"),
+    from sparkfolio.sources.listings import source_order
+    n = t.part.count()  # one listing for each record, dealt round
+    pairs = t.documents.select("doc_id", (1 + F.col("doc_id") % n).alias("listing_id")).join(t.listing.select("listing_id", "source"), "listing_id").select(
+        "doc_id", "listing_id", "source", F.lit(0).alias("query_ord"), source_order(F.col("source")).alias("source_ord"), F.lit(1).alias("r"), F.lit(1).cast("bigint").alias("shown"))
+    s = mt.score_candidates(t.cv, pairs, t.listing, sm.pair_similarity(pairs, t.cv, t.listing, _embed))
+    return s.select("doc_id", "listing_id", F.round(F.col("semantic") * 100, 1).alias("semantic_similarity"), F.round(F.col("keyword") * 100, 1).alias("keyword_match"),
                     F.round(F.col("structure") * 100, 1).alias("structure_completeness"), "overall")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
+from sparkfolio.catalog.hashing import vectors_sql
 from sparkfolio.catalog.q_text import FOLD, STOPS, sql_values
 from sparkfolio.catalog.registry import query
 from sparkfolio.functions import contact, search
+from sparkfolio.functions.embedding import hashed_embedding
 from sparkfolio.operators import matching as mt
 from sparkfolio.operators import records
 from sparkfolio.sources import listings as ls
@@ -218,38 +220,58 @@ JD = rf"""jt0 AS (SELECT listing_id, lower(unnest(ws)) AS w, generate_subscripts
 STRUCT = """least(1.0, CASE WHEN n_exp > 0 THEN 0.25 ELSE 0.0 END + CASE WHEN n_edu > 0 THEN 0.25 ELSE 0.0 END + CASE WHEN n_skill > 0 THEN 0.25 ELSE 0.0 END
    + CASE WHEN summary IS NOT NULL THEN 0.083 ELSE 0.0 END + CASE WHEN n_proj > 0 THEN 0.083 ELSE 0.0 END
    + CASE WHEN n_skill > 0 THEN least(n_skill / 10.0, 0.15) ELSE 0.0 END)"""
-MATCH = f"""{QUERY_SQL}, {JD},
-   sv AS (SELECT doc_id, place, substr(place, 1, 2) AS department, string_split({VARIANTS}, '|') AS qv FROM qs WHERE base <> ''),
-   sr AS (SELECT doc_id, department, greatest(5, CAST(floor(20 / len(qv)) AS INT)) AS page, lower(unnest(qv)) AS query, generate_subscripts(qv, 1) - 1 AS qo FROM sv),
-   pt AS (SELECT DISTINCT listing_id, source, substr(location, 1, 2) AS department, lower(title) AS query FROM listing
-      UNION SELECT listing_id, source, substr(location, 1, 2), lower(split_part(title, ' ', 1)) FROM listing
-      UNION SELECT listing_id, source, substr(location, 1, 2), lower(split_part(title, ' ', 2)) FROM listing),
-   an AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, department, source ORDER BY listing_id) AS r,
-      CASE source WHEN 'adzuna' THEN 1 WHEN 'jooble' THEN 2 ELSE 3 END AS sx FROM pt) WHERE r <= 20),
-   sh AS (SELECT sr.doc_id, an.listing_id, an.source, l.url, sr.qo, an.sx, an.r FROM sr JOIN an ON an.query = sr.query AND an.department = sr.department
+# Coordinates of the towns that records and listings name: what a caller would bring as a table.
+TOWNS = [("croix", "59", 50.678, 3.149), ("lille", "59", 50.629, 3.057), ("lyon", "69", 45.758, 4.835), ("saint-etienne", "42", 45.439, 4.387),
+         ("aix-en-provence", "13", 43.529, 5.447), ("nantes", "44", 47.218, -1.554), ("paris", "75", 48.857, 2.352)]
+DIMS = 64  # of the hashed embedding in these queries
+_KM = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+_TOWN = "strip_accents(lower(trim(regexp_replace({0}, '[0-9]', '', 'g'))))"
+_MARKED = r"regexp_replace({0}, '([\p{{L}}\p{{N}}_]+)', '|\1|', 'g')"  # bars at the ends of words
+MATCH = rf"""{QUERY_SQL}, {JD},
+   tw AS (SELECT * FROM {sql_values(TOWNS, "town, department, lat, lon")}),
+   nr AS (SELECT a.town, b.town AS other FROM tw a, tw b WHERE {_KM} <= 30),
+   sv AS (SELECT doc_id, {_TOWN.format("place")} AS town, string_split({VARIANTS}, '|') AS qv FROM qs WHERE base <> ''),
+   sr AS (SELECT doc_id, town, greatest(5, CAST(floor(20 / len(qv)) AS INT)) AS page, lower(unnest(qv)) AS query, generate_subscripts(qv, 1) - 1 AS qo FROM sv),
+   qd AS (SELECT query, {_MARKED.format("query")} AS phrase FROM (SELECT DISTINCT query FROM sr)),
+   tx AS (SELECT listing_id, source, {_TOWN.format("location")} AS spot, 0 AS part, {_MARKED.format("lower(title)")} AS body FROM listing
+      UNION ALL SELECT listing_id, source, {_TOWN.format("location")}, 1, {_MARKED.format("lower(description)")} FROM listing),
+   pt AS (SELECT query, listing_id, source, spot, min(part) AS part FROM qd JOIN tx ON contains(body, phrase) GROUP BY ALL),
+   an AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, town, source ORDER BY part, listing_id) AS r,
+      CASE source WHEN 'adzuna' THEN 1 WHEN 'jooble' THEN 2 ELSE 3 END AS sx FROM (SELECT pt.*, nr.town FROM pt JOIN nr ON nr.other = pt.spot)) WHERE r <= 20),
+   sh AS (SELECT sr.doc_id, an.listing_id, an.source, l.url, sr.qo, an.sx, an.r FROM sr JOIN an ON an.query = sr.query AND an.town = sr.town
       AND an.r <= sr.page JOIN listing l ON l.listing_id = an.listing_id),
    fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, url ORDER BY qo, sx, r) AS u, count(*) OVER (PARTITION BY doc_id, url) AS shown FROM sh) WHERE u = 1),
-   sc AS (SELECT fs.doc_id, fs.listing_id, fs.source, fs.qo, fs.sx, fs.r, fs.shown, {STRUCT} AS structure,
+   cr AS (SELECT doc_id, text AS raw FROM cv_text),
+   dx AS (SELECT raw AS txt FROM cr WHERE doc_id IN (SELECT doc_id FROM fs) UNION SELECT description FROM listing WHERE listing_id IN (SELECT listing_id FROM fs)),
+   {vectors_sql("dx", DIMS, 256)},
+   pk AS MATERIALIZED (SELECT doc_id, listing_id, md5(raw) AS x, md5(description) AS y FROM fs JOIN cr USING (doc_id) JOIN listing USING (listing_id)),
+   sm AS (SELECT doc_id, listing_id, list_inner_product(a.vec, b.vec) AS sim FROM pk JOIN hv a ON a.tid = x JOIN hv b ON b.tid = y),
+   sc AS (SELECT fs.doc_id, fs.listing_id, fs.source, fs.qo, fs.sx, fs.r, fs.shown, {STRUCT} AS structure, least(1.0, coalesce(sim, 0.0)) AS semantic,
       coalesce((SELECT avg(CASE WHEN contains(lower(c.text), jk.w) THEN 1.0 ELSE 0.0 END) FROM jk WHERE jk.listing_id = fs.listing_id), 0.5) AS keyword
-      FROM fs JOIN cv_text c ON c.doc_id = fs.doc_id),
-   so AS (SELECT *, round(keyword * 40 + structure * 25, 1) AS overall FROM sc),
+      FROM fs JOIN cv_text c ON c.doc_id = fs.doc_id LEFT JOIN sm ON sm.doc_id = fs.doc_id AND sm.listing_id = fs.listing_id),
+   so AS (SELECT *, round(semantic * 35 + keyword * 40 + structure * 25, 1) AS overall FROM sc),
    ra AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overall DESC, qo, sx, r) AS rank,
       max(CASE WHEN overall >= 25 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS passed FROM so),
    fm AS (SELECT * FROM ra WHERE overall >= 25 OR passed = 0)"""
 
 
-_SEARCHED = ("title",)  # what the twin states: it reads titles only
+def _embed(rows, text, out):
+    return hashed_embedding(rows, text, out, DIMS)
+
+
+def _places(t):
+    return t.spark.createDataFrame([(name, *rest) for name, *rest in TOWNS], "name string, department string, lat double, lon double").withColumn("id", F.col("name"))
 
 
 def _match_parts(t):
-    return mt.match_report(t.cv, t.listing, fields=_SEARCHED)
+    return mt.match_report(t.cv, t.listing, embed=_embed, places=_places(t))
 
 
-@query("m4_find_matching_jobs", f"WITH {MATCH} SELECT doc_id, listing_id, source, round(keyword, 6) AS keyword, round(structure, 6) AS structure, overall, rank FROM fm",
-       uses=("cv_text", "listing"))
+@query("m4_find_matching_jobs", f"""WITH {MATCH} SELECT doc_id, listing_id, source, round(semantic, 5) AS semantic, round(keyword, 6) AS keyword,
+   round(structure, 6) AS structure, overall, rank FROM fm""", uses=("cv_text", "listing"))
 def _(t):
-    return mt.find_matching_jobs(t.cv, t.listing, fields=_SEARCHED).select(
-        "doc_id", "listing_id", "source", F.round("keyword", 6).alias("keyword"), F.round("structure", 6).alias("structure"), "overall", "rank")
+    return mt.find_matching_jobs(t.cv, t.listing, embed=_embed, places=_places(t)).select(
+        "doc_id", "listing_id", "source", F.round("semantic", 5).alias("semantic"), F.round("keyword", 6).alias("keyword"), F.round("structure", 6).alias("structure"), "overall", "rank")
 
 
 @query("j5_scored_pairs", f"WITH {MATCH} SELECT doc_id, listing_id, overall FROM so", uses=("cv_text", "listing"))

@@ -75,8 +75,8 @@ def text_parts(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(rf"{WORD}+|[^\p{{L}}\p{{N}}_]+"), F.lit(0))
 
 
-def word_grams(parts: Column, max_words: int) -> Column:
-    """All 1..max_words word n-grams of ``text_parts`` output, separators kept as written."""
+def word_grams(parts: Column, max_words: int = 0, lengths: Sequence[int] = ()) -> Column:
+    """All 1..max_words word n-grams of ``text_parts`` output (or those of the given ``lengths``), separators kept as written."""
     n = F.size(parts)
     first = F.when(F.get(parts, F.lit(0)).rlike(f"^{WORD}"), 1).otherwise(2)
     starts = F.when(n >= first, F.sequence(first, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
@@ -85,7 +85,7 @@ def word_grams(parts: Column, max_words: int) -> Column:
         fits = F.filter(starts, lambda i: i + span - 1 <= n)
         return F.transform(fits, lambda i: F.array_join(F.slice(parts, i, span), ""))
 
-    return F.concat(*[joined(2 * k - 1) for k in range(1, max_words + 1)])
+    return F.concat(*[joined(2 * k - 1) for k in (lengths or range(1, max_words + 1))])
 
 
 def title_windows(c: Column, sizes: Sequence[int] = (2, 3, 4)) -> Column:

@@ -9,20 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfolio.functions import search
+from sparkfolio.functions import contact, search
 from sparkfolio.functions import text as tx
 from sparkfolio.functions.arrays import sealed
+from sparkfolio.functions.embedding import hashed_embedding
 from sparkfolio.operators import keywords as kw
+from sparkfolio.operators import semantic as sm
+from sparkfolio.operators.nearby import within
 from sparkfolio.session import persisted
 from sparkfolio.sources.listings import source_order
+from sparkfolio.sources.vector_store import VectorStore
 
 MIN_SCORE = 25.0
 FEW_RESULTS = 3
+TOWN, UNMEASURED = "@", "?"  # keys of a town with coordinates, and of listings without any
 SEARCHED = ("title", "description")
 
 
 def search_table(cv: DataFrame, max_results: int = 20, region: Column | None = None) -> DataFrame:
-    """(doc_id, query_ord, query, place, area, page) for every search of every record.
+    """(doc_id, query_ord, query, place, distance, area, page) for every search of every record.
 
     Records without place or query make no search.
     """
@@ -34,40 +39,96 @@ def search_table(cv: DataFrame, max_results: int = 20, region: Column | None = N
     page = F.greatest(F.lit(5), F.floor(F.lit(max_results) / F.size("q"))).cast("int")
     return (base.filter((F.size("q") > 0) & F.col("p.place").isNotNull())
             .select("doc_id", "p", page.alias("page"), F.posexplode("q").alias("query_ord", "query"))
-            .select("doc_id", "query_ord", F.lower("query").alias("query"), F.col("p.place").alias("place"),
+            .select("doc_id", "query_ord", F.lower("query").alias("query"), F.col("p.place").alias("place"), F.col("p.distance").alias("distance"),
                     search.search_area(F.col("p.place")).alias("area"), "page"))
 
 
-def place_keys(areas: DataFrame, listings: DataFrame) -> DataFrame:
-    """(area, at): the listing keys each distinct ``area`` meets.  An area that is no department or region, and whose names
-    stand in no listing, cannot be placed and meets the whole country."""
-    asked = areas.select("area", F.explode(search.asked_keys(F.col("area"))).alias("at"))
-    known = listings.select(F.explode(search.listing_area(F.col("location"))).alias("at")).distinct().withColumn("known", F.lit(True))
+def towns_named(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(text, town): the towns of ``places`` (id, name, department, lat, lon; name in lower case without accents) that place texts name. A
+    department on both sides must be the same."""
+    named = texts.select("text", F.explode(search.place_names(F.col("text"))).alias("name"), contact.department_code(F.col("text")).alias("own"))
+    same = (named.name == places.name) & (F.col("own").isNull() | F.col("department").isNull() | (F.col("own") == F.col("department")))
+    return named.join(places, same).select("text", F.col("id").cast("string").alias("town")).distinct()
+
+
+def listing_keys(listings: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """(text, at): the keys of each distinct location, null as empty: what ``listing_area`` says, and with ``places`` its towns, or where none has
+    coordinates the same keys marked as unmeasured."""
+    texts = listings.select(F.coalesce("location", F.lit("")).alias("text")).distinct()
+    plain = texts.select("text", F.explode(search.listing_area(F.col("text"))).alias("at"))
+    if places is None:
+        return plain
+    towns = towns_named(texts, places).select("text", F.concat(F.lit(TOWN), "town").alias("at"))
+    rest = plain.join(towns.select("text").distinct(), "text", "left_anti").select("text", F.concat(F.lit(UNMEASURED), "at").alias("at"))
+    return plain.unionByName(towns).unionByName(rest)
+
+
+def place_keys(areas: DataFrame, keys: DataFrame, places: DataFrame | None = None, km: float = search.CV_RADIUS_KM) -> DataFrame:
+    """(area, at): the listing keys (of ``listing_keys``) each distinct ``area`` meets.  An area that is no department or region, and whose
+    names stand in no listing, cannot be placed and meets the whole country.  An area with towns meets the towns within ``km`` of them, and
+    listings that cannot be measured by its other keys."""
+    plain = areas.filter(~F.exists("area", lambda x: x.startswith(TOWN)))
+    asked = plain.select("area", F.explode(search.asked_keys(F.col("area"))).alias("at"))
+    known = keys.select("at").distinct().withColumn("known", F.lit(True))
     unplaced = (asked.join(known, "at", "left").groupBy("area").agg(F.coalesce(F.bool_or("known"), F.lit(False)).alias("known"))
                 .filter(~F.col("known") & ~F.exists("area", search.is_department)).select("area", F.lit(search.NATIONWIDE).alias("at")))
-    return asked.unionByName(unplaced)
+    out = asked.unionByName(unplaced)
+    if places is None:
+        return out
+    is_town = lambda x: x.startswith(TOWN)
+    round_towns = areas.filter(F.exists("area", is_town))
+    point = places.select(F.concat(F.lit(TOWN), F.col("id").cast("string")).alias("id"), "lat", "lon")
+    asking = round_towns.select("area", F.explode(F.filter("area", is_town)).alias("town"))
+    standing = point.join(keys.select(F.col("at").alias("id")).distinct(), "id", "left_semi")
+    near = within(point.join(asking.select(F.col("town").alias("id")).distinct(), "id", "left_semi"), standing, km)
+    towns = asking.join(near, asking.town == near.left_id).select("area", F.col("right_id").alias("at"))
+    rest = round_towns.select("area", F.explode(search.asked_keys(F.filter("area", lambda x: ~is_town(x)))).alias("at"))
+    return out.unionByName(towns).unionByName(rest.select("area", F.concat(F.lit(UNMEASURED), "at").alias("at"))).distinct()
+
+
+def settled(searches: DataFrame, listings: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """``searches`` with one ``area`` for all that ask the same: places that cannot be placed become the whole country, so that they are
+    answered once, and with ``places`` a search that has a distance gets the towns it names."""
+    asked = searches.select("place", "distance", "area").distinct()
+    if places is not None:
+        towns = towns_named(asked.filter("distance is not null").select(F.col("place").alias("text")).distinct(), places)
+        towns = towns.groupBy(F.col("text").alias("place")).agg(F.sort_array(F.collect_set(F.concat(F.lit(TOWN), "town"))).alias("towns"))
+        asked = asked.join(towns, "place", "left").withColumn("spot", F.when(F.col("towns").isNotNull() & F.col("distance").isNotNull(), F.concat("towns", "area"))
+                                                              .otherwise(F.col("area"))).drop("towns")
+    else:
+        asked = asked.withColumn("spot", F.col("area"))
+    everywhere = place_keys(asked.select(F.col("spot").alias("area")).distinct(), listing_keys(listings)).filter(
+        (F.col("at") == search.NATIONWIDE)).select(F.col("area").alias("spot")).distinct().withColumn("all", F.lit(True))
+    asked = asked.join(everywhere, "spot", "left").select("place", "distance", F.when(F.col("all"), F.array(F.lit(search.NATIONWIDE))).otherwise(F.col("spot")).alias("spot"))
+    other = asked.select(F.col("place").alias("_p"), F.col("distance").alias("_d"), "spot")
+    return (searches.join(other, (F.col("place") == F.col("_p")) & F.col("distance").eqNullSafe(F.col("_d")))
+            .select(*(F.col("spot").alias("area") if c == "area" else F.col(c) for c in searches.columns)))
 
 
-def answer_searches(searches: DataFrame, listings: DataFrame, max_results: int = 20, fields: tuple[str, ...] = SEARCHED) -> DataFrame:
+def answer_searches(searches: DataFrame, listings: DataFrame, max_results: int = 20, fields: tuple[str, ...] = SEARCHED,
+                    places: DataFrame | None = None) -> DataFrame:
     """(query, area, source, listing_id, r): each source's first listings of which one of ``fields`` holds the query phrase.
 
-    Titles come before descriptions.  Fields become phrases, up to the words of the longest search (found by a job over the
-    searches); those that are asked for meet the distinct searches by equality of phrase and place key; ``row_number`` with a
-    bound lets Spark drop surplus rows in each task before the shuffle, so a query asked for by a third of all records, or a
-    title shared by a third of all listings, stays bounded.  Fields that listings lack as columns are passed over.
+    Titles come before descriptions.  Fields become phrases of as many words as some search has (a job over the searches finds those few
+    numbers), so one long search adds its own length only; those that are asked for meet the distinct searches by equality of phrase and place
+    key; ``row_number`` with a bound lets Spark drop surplus rows in each task before the shuffle, so a query asked for by a third of all
+    records, or a title shared by a third of all listings, stays bounded.  Fields that listings lack as columns are passed over.
     """
-    longest = (searches.agg(F.max(F.size(tx.text_parts(F.col("query"))))).first()[0] or 0) // 2 + 1
     queries = searches.select("query", "area").distinct()
-    asked = queries.join(place_keys(queries.select("area").distinct(), listings), "area")
+    lengths = sorted(r.n for r in queries.select((F.floor(F.size(tx.text_parts(F.col("query"))) / 2) + 1).alias("n")).distinct().collect())
+    keys = listing_keys(listings, places)
+    asked = queries.join(place_keys(queries.select("area").distinct(), keys, places), "area")
 
     def grams(c):
-        return F.array_distinct(tx.word_grams(tx.text_parts(F.coalesce(c, F.lit(""))), longest))
+        return F.array_distinct(tx.word_grams(tx.text_parts(F.coalesce(c, F.lit(""))), lengths=lengths))
 
-    place, phrases = search.listing_area(F.col("location")).alias("place"), None
-    for part, field in enumerate(f for f in fields if f in listings.columns):
-        more = listings.select("listing_id", "source", place, F.explode(grams(F.col(field))).alias("query"), F.lit(part).alias("part"))
+    text, phrases = F.coalesce("location", F.lit("")).alias("text"), None
+    for part, field in enumerate(f for f in fields if f in listings.columns and lengths):
+        more = listings.select("listing_id", "source", text, F.explode(grams(F.col(field))).alias("query"), F.lit(part).alias("part"))
         phrases = more if phrases is None else phrases.unionByName(more)
-    held = phrases.join(queries.select("query").distinct(), "query", "left_semi").select("listing_id", "source", "query", "part", F.explode("place").alias("at"))
+    if phrases is None:
+        phrases = listings.select("listing_id", "source", text, F.lit("").alias("query"), F.lit(0).alias("part")).limit(0)
+    held = phrases.join(queries.select("query").distinct(), "query", "left_semi").join(keys, "text")
     found = held.join(asked, ["query", "at"]).groupBy("query", "area", "source", "listing_id").agg(F.min("part").alias("part"))
     order = Window.partitionBy("query", "area", "source").orderBy("part", "listing_id")
     return (found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_results)
@@ -91,7 +152,7 @@ def score_candidates(cv: DataFrame, first: DataFrame, listings: DataFrame,
                      semantic: DataFrame | None = None) -> DataFrame:
     """(doc_id, listing_id, source, seen_ord, keyword, structure, semantic, overall, shown, matched, missing).
 
-    Keywords are taken once per listing.  A record's candidates (bounded by the page size) travel
+    Keywords are taken once for each listing that is shown.  A record's candidates (bounded by the page size) travel
     to the record in one array, so its text moves once.  ``semantic`` is an optional
     (doc_id, listing_id, semantic) frame; without it the semantic part is 0.
     """
@@ -99,7 +160,8 @@ def score_candidates(cv: DataFrame, first: DataFrame, listings: DataFrame,
         first = first.join(semantic, ["doc_id", "listing_id"], "left")
     else:
         first = first.withColumn("semantic", F.lit(0.0))
-    jd = kw.with_top_keywords(listings.select("listing_id", "description"), "description", "keywords", 40)
+    shown = listings.select("listing_id", "description").join(first.select("listing_id").distinct(), "listing_id", "left_semi")
+    jd = kw.with_top_keywords(shown, "description", "keywords", 40)
     packed = (first.join(jd.select("listing_id", "keywords"), "listing_id").groupBy("doc_id").agg(
         F.collect_list(F.struct("listing_id", "source", "query_ord", "source_ord", "r", "shown", "keywords",
                                 F.coalesce("semantic", F.lit(0.0)).alias("semantic"))).alias("c")))
@@ -144,27 +206,37 @@ def match_summary(scored: DataFrame, ranked: DataFrame) -> DataFrame:
     return seen.join(counts, "doc_id")
 
 
+def scored_candidates(cv: DataFrame, listings: DataFrame, max_results: int = 20, region: Column | None = None, fields: tuple[str, ...] = SEARCHED,
+                      semantic: DataFrame | None = None, embed: sm.Embed | None = hashed_embedding, store: VectorStore | None = None,
+                      places: DataFrame | None = None) -> DataFrame:
+    """Scores of the listings that each record's searches show.  The semantic part comes from ``semantic``, or else from texts embedded by
+    ``embed`` (each distinct one once, kept in ``store``); with neither it is 0.  Searches and shown pairs are read several times, so they are written once."""
+    searches = persisted(search_table(cv, max_results, region), "searches")
+    searches = persisted(settled(searches, listings, places), "settled")
+    first = persisted(first_shown(candidates(searches, answer_searches(searches, listings, max_results, fields, places), listings)), "shown")
+    if semantic is None and embed is not None:
+        semantic = sm.pair_similarity(first, cv, listings, embed, store=store)
+    return score_candidates(cv, first, listings, semantic)
+
+
 def find_matching_jobs(cv: DataFrame, listings: DataFrame, max_results: int = 20, region: Column | None = None,
                        active: list[str] | None = None, semantic: DataFrame | None = None,
-                       fields: tuple[str, ...] = SEARCHED) -> DataFrame:
+                       fields: tuple[str, ...] = SEARCHED, embed: sm.Embed | None = hashed_embedding, store: VectorStore | None = None,
+                       places: DataFrame | None = None) -> DataFrame:
     """Ranked matches of every record against a listing table.
 
-    ``listings`` needs listing_id, title, location, description, url, source.  The searches are
-    read three times, so they are written once to the shared folder instead of being rebuilt from
-    the records.
+    ``listings`` needs listing_id, title, location, description, url, source.  ``places`` (id, name, department, lat, lon) gives towns
+    coordinates: a record's own town then finds the listings within 30 km, in whatever department.  Without it, or for towns it lacks, departments
+    and names decide.
     """
     if active is not None:
         listings = listings.filter(F.col("source").isin(*active))
-    searches = persisted(search_table(cv, max_results, region), "searches")
-    shown = candidates(searches, answer_searches(searches, listings, max_results, fields), listings)
-    return rank_matches(score_candidates(cv, first_shown(shown), listings, semantic))
+    return rank_matches(scored_candidates(cv, listings, max_results, region, fields, semantic, embed, store, places))
 
 
-def match_report(cv: DataFrame, listings: DataFrame, max_results: int = 20,
-                 fields: tuple[str, ...] = SEARCHED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def match_report(cv: DataFrame, listings: DataFrame, max_results: int = 20, fields: tuple[str, ...] = SEARCHED, embed: sm.Embed | None = hashed_embedding,
+                 store: VectorStore | None = None, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored, ranked, summary); the scored pairs are written once and read by the other two."""
-    searches = persisted(search_table(cv, max_results), "searches")
-    shown = candidates(searches, answer_searches(searches, listings, max_results, fields), listings)
-    scored = persisted(score_candidates(cv, first_shown(shown), listings), "scored")
+    scored = persisted(scored_candidates(cv, listings, max_results, None, fields, None, embed, store, places), "scored")
     ranked = rank_matches(scored)
     return scored, ranked, match_summary(scored, ranked)
