@@ -33,7 +33,7 @@ def buckets_sql(tokens: str, dims: int) -> str:
   SELECT tok, hex(encode(tok)) AS x, CAST(octet_length(encode(tok)) AS UBIGINT) AS n FROM (SELECT DISTINCT tok FROM {tokens}))))))"""
 
 
-def vectors_sql(texts: str, dims: int, max_words: int, name: str = "hv") -> str:
+def vectors_sql(texts: str, dims: int, max_words: int = 1 << 40, name: str = "hv", kind: str = "FLOAT") -> str:
     """CTEs ``<name>`` (tid, vec; tid is the md5 of the text) of the distinct texts of the table ``texts`` (txt) that have tokens: their unit vectors."""
     return rf"""{name}_w AS (SELECT tid, unnest(ws) AS w, (generate_subscripts(ws, 1) - 1) // {max_words} AS p FROM (
      SELECT md5(txt) AS tid, regexp_extract_all(replace(txt, chr(160), ' '), '\S+') AS ws FROM (SELECT DISTINCT txt FROM {texts} WHERE txt IS NOT NULL))),
@@ -44,6 +44,6 @@ def vectors_sql(texts: str, dims: int, max_words: int, name: str = "hv") -> str:
    {name}_c AS (SELECT tid, p, bucket, sum(c) AS c FROM {name}_t JOIN {name}_h USING (tok) GROUP BY ALL),
    {name}_s AS (SELECT tid, p, sqrt(sum(c * c)) AS size FROM {name}_c GROUP BY ALL),
    {name}_m AS (SELECT tid, bucket, sum(n * c / size) AS m FROM {name}_c JOIN {name}_s USING (tid, p) JOIN {name}_n USING (tid, p) GROUP BY ALL),
-   {name}_u AS (SELECT tid, bucket, CAST(m / sqrt(sum(m * m) OVER (PARTITION BY tid)) AS FLOAT) AS v FROM {name}_m),
+   {name}_u AS (SELECT tid, bucket, CAST(m / sqrt(sum(m * m) OVER (PARTITION BY tid)) AS {kind}) AS v FROM {name}_m),
    {name} AS (SELECT tid, list(CAST(coalesce(v, 0) AS DOUBLE) ORDER BY bucket) AS vec FROM (SELECT DISTINCT tid FROM {name}_u) CROSS JOIN
      (SELECT unnest(range({dims})) AS bucket) LEFT JOIN {name}_u USING (tid, bucket) GROUP BY tid)"""

@@ -291,9 +291,18 @@ def _(t):
     return _best(t).select("owner", "phrase", F.round("sim", 5).alias("sim"))
 
 
-@query("m1_semantic_skills", f"WITH {_SIM} SELECT owner, string_agg(CAST(phrase AS STRING), ',' ORDER BY phrase) AS phrases FROM bp WHERE sim >= 0.4 GROUP BY owner")
+_LINES = r"""ln AS (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0B\f]')), '^[ \t]+|[ \t]+$', '', 'g') AS txt FROM documents),
+   lt AS (SELECT doc_id, txt FROM ln WHERE len(regexp_extract_all(replace(txt, chr(160), ' '), '\S+')) >= 2)"""
+
+
+@query("m1_semantic_skills", f"""WITH {_LINES}, {vectors_sql("lt", DIMS, name="lv", kind="DOUBLE")}, {vectors_sql("(SELECT text AS txt FROM benchmark)", DIMS, 256, name="pv")},
+   bl AS (SELECT md5(l.txt) AS line, b.item_id, list_cosine_similarity(lv.vec, list_transform(pv.vec, lambda x: CAST(x AS DOUBLE))) AS sim FROM (SELECT DISTINCT txt FROM lt) l JOIN lv ON lv.tid = md5(l.txt)
+     CROSS JOIN benchmark b JOIN pv ON pv.tid = md5(b.text)),
+   bh AS (SELECT doc_id, item_id, max(sim) AS sim FROM lt JOIN bl ON bl.line = md5(lt.txt) WHERE sim >= 0.51 GROUP BY ALL)
+   SELECT doc_id, item_id AS phrase, round(sim, 5) AS sim FROM bh""")
 def _(t):
-    return vj.semantic_skills(_best(t), 0.4).select("owner", F.array_join(F.transform("phrases", lambda p: p.cast("string")), ",").alias("phrases"))
+    phrases = t.benchmark.select(F.col("item_id").cast("bigint").alias("phrase"), "text")
+    return sm.semantic_skills_from_text(t.documents, phrases, 0.51, _embed).select(F.col("owner").alias("doc_id"), "phrase", F.round("sim", 5).alias("sim"))
 
 
 @query("a21_threshold_sweep", f"""WITH {_SIM}, th AS (SELECT owner, sim, unnest([0.45, 0.50, 0.55, 0.60, 0.65, 0.70]) AS threshold FROM bp),
@@ -303,12 +312,21 @@ def _(t):
     return vj.threshold_sweep(_best(t), F.when(F.col("owner") < 6, "hf").otherwise("synth"), F.col("owner") >= 8)
 
 
-@query("s15_vector_cache", f"WITH {_CEN} SELECT label AS phrase, len(cv) AS dims FROM cen")
+@query("s15_vector_cache", f"""WITH {_CEN}, v AS (SELECT label, unnest(cv) AS v, generate_subscripts(cv, 1) - 1 AS place FROM cen)
+   SELECT label AS phrase, place, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS value, label % 2 = 0 AS from_cache, 0 AS computed_again FROM v""")
 def _(t):
-    phrases = t.embeddings.select(F.col("label").cast("bigint").alias("phrase")).distinct()
-    fresh = _centroids(t)  # the cache holds the even labels and one that no phrase has; the rest is computed
-    cache = fresh.filter("phrase % 2 = 0").unionByName(fresh.groupBy().agg((F.max("phrase") + 1).alias("phrase"), F.first("vector").alias("vector")))
-    return vj.cached_vectors(phrases, cache, lambda lacking: lacking.join(fresh, "phrase")).select("phrase", F.size("vector").alias("dims"))
+    from sparkfolio.session import scratch_dir
+    from sparkfolio.sources.vector_store import VectorStore
+    fresh = _centroids(t).select(F.col("phrase").cast("string").alias("key"), "vector")
+    store = VectorStore(t.spark, scratch_dir(t.spark, "vectors"))
+    compute = lambda lacking: lacking.select("key").join(fresh, "key")
+    wanted = t.embeddings.select(F.col("label").cast("string").alias("key")).distinct()
+    store.ensure(wanted.filter("key % 2 = 0"), compute)  # what an earlier run has left
+    held = store.read().select("key").withColumn("from_cache", F.lit(True))
+    store.ensure(wanted, compute)
+    again = store.ensure(wanted, compute)
+    found = store.read().join(held, "key", "left").select(F.col("key").cast("bigint").alias("phrase"), "from_cache", F.posexplode("vector").alias("place", "value"))
+    return found.select("phrase", "place", F.round(F.col("value").cast("double"), 6).alias("value"), F.coalesce("from_cache", F.lit(False)).alias("from_cache"), F.lit(again).alias("computed_again"))
 
 
 @query("m3_score_pairs", f"""WITH {JD}, nl AS (SELECT count(*) AS n FROM listing), pr AS (SELECT c.doc_id, l.listing_id, c.text AS raw, l.description FROM cv_text c

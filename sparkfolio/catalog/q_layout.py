@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
+from sparkfolio.catalog.hashing import vectors_sql
 from sparkfolio.catalog.derived import AS_OF, pick
 from sparkfolio.catalog.q_matching import JOB_TITLE, SKILL_LIST
 from sparkfolio.catalog.q_records import WC
@@ -386,8 +387,9 @@ def _(t):
     return rec.enrich(p).select("doc_id", "job_title", "location", "postal_code", F.size("experience").alias("n_exp"), F.size("languages").alias("n_lang"))
 
 
-@query("udf1_hashed_embedding")
+@query("udf1_hashed_embedding", f"""WITH {vectors_sql("(SELECT text AS txt FROM documents)", 64, kind="DOUBLE")}, v AS (SELECT tid, unnest(vec) AS v, generate_subscripts(vec, 1) - 1 AS place FROM hv)
+   SELECT doc_id, place, round(v, 6) AS value FROM documents JOIN v ON tid = md5(text) WHERE v <> 0""")
 def _(t):
     from sparkfolio.functions.embedding import hashed_embedding
-    return hashed_embedding(t.documents.select("doc_id", "text"), "text", "vector", 64).select(
-        "doc_id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v), 4).alias("norm2"))
+    return hashed_embedding(t.documents.select("doc_id", "text"), "text", "vector", 64).select("doc_id", F.posexplode("vector").alias("place", "value")).filter(
+        "value <> 0").select("doc_id", "place", F.round("value", 6).alias("value"))
