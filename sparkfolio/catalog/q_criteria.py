@@ -78,8 +78,9 @@ CATALOGUE = [
 _PK = f"pk AS (SELECT * FROM {sql_values([(p.profile_id, p.sector, p.job_title, i, k) for i, p in enumerate(CATALOGUE) for k in p.keywords], 'profile_id, sector, job_title, ord, keyword')})"
 _EXPTXT = rf"""lower(concat_ws(' ', CASE WHEN n_exp >= 1 THEN array_to_string({_BODY_LINES}, ' ') || ' ' || e1_title || ' — ' || e1_company END,
    CASE WHEN n_exp >= 2 THEN e2_bullet || ' ' || e2_title || ' — ' || e2_company END, CASE WHEN n_exp >= 3 THEN e3_title || ' — ' || e3_company END))"""
-_PS = f"""{_PK}, tx AS (SELECT doc_id, lower(array_to_string({SKILL_LIST}, ' ') || ' ' || array_to_string({SKILL_LIST}, ', ')) AS sk,
-     CASE WHEN n_exp >= 1 THEN {_EXPTXT} ELSE lower({CLEAN}) END AS ex FROM cv_text),
+_PROFILE_TEXTS = f"""tx AS (SELECT doc_id, lower(array_to_string({SKILL_LIST}, ' ') || ' ' || array_to_string({SKILL_LIST}, ', ')) AS sk,
+     CASE WHEN n_exp >= 1 THEN {_EXPTXT} ELSE lower({CLEAN}) END AS ex FROM cv_text)"""
+_PS = f"""{_PK}, {_PROFILE_TEXTS},
    ps AS (SELECT doc_id, profile_id, sector, job_title, ord, avg(CASE WHEN contains(sk, keyword) THEN 1.0 ELSE 0.0 END) AS s_skills,
      avg(CASE WHEN contains(ex, keyword) THEN 1.0 ELSE 0.0 END) AS s_exp FROM tx, pk GROUP BY ALL)"""
 _CEN = """cen AS (SELECT label, list(m ORDER BY p) AS cv FROM (SELECT label, p, avg(v::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings) GROUP BY label, p) GROUP BY label)"""
@@ -102,18 +103,9 @@ def _title_scores(t):
     return sims.select(F.col("id").alias("doc_id"), F.map_from_entries(pairs).alias("title_scores"))
 
 
-def _scored(t):
-    cv = t.cv.join(_title_scores(t), "doc_id", "left")
-    s = pf.profile_scores(CATALOGUE, pf.skills_text(F.col("skills_flat"), F.col("sections")),
-                          pf.experience_text(F.col("experience"), F.col("sections"), F.col("raw_text")), F.col("title_scores"))
-    return cv, s
-
-
 @query("j3_profile_keyword_coverage", f"WITH {_PS} SELECT doc_id, profile_id, round(s_skills, 6) AS s_skills, round(s_exp, 6) AS s_exp FROM ps", uses=CV)
 def _(t):
-    s = pf.profile_scores(CATALOGUE, pf.skills_text(F.col("skills_flat"), F.col("sections")),
-                          pf.experience_text(F.col("experience"), F.col("sections"), F.col("raw_text")))
-    return t.cv.select("doc_id", F.explode(s).alias("s")).select("doc_id", F.col("s.id").alias("profile_id"), F.round("s.skills", 6).alias("s_skills"), F.round("s.exp", 6).alias("s_exp"))
+    return pf.profile_coverage(t.cv, CATALOGUE).select("doc_id", "profile_id", F.round("skills", 6).alias("s_skills"), F.round("exp", 6).alias("s_exp"))
 
 
 _RANKED = f"""{_PS}, {_TS}, sc AS (SELECT ps.*, 0.4 * coalesce(s_title, 0) + 0.35 * s_skills + 0.25 * s_exp AS score FROM ps LEFT JOIN ts USING (doc_id, profile_id)),
@@ -122,8 +114,8 @@ _RANKED = f"""{_PS}, {_TS}, sc AS (SELECT ps.*, 0.4 * coalesce(s_title, 0) + 0.3
 
 @query("a8_profile_score", f"WITH {_RANKED} SELECT doc_id, profile_id, round(score, 4) AS score FROM sc", uses=CV)
 def _(t):
-    cv, s = _scored(t)
-    return cv.select("doc_id", F.explode(s).alias("s")).select("doc_id", F.col("s.id").alias("profile_id"), F.round("s.score", 4).alias("score"))
+    cv = t.cv.join(_title_scores(t), "doc_id", "left")
+    return pf.profile_coverage(cv, CATALOGUE, F.col("title_scores")).select("doc_id", "profile_id", F.round("score", 4).alias("score"))
 
 
 _BEST = f"""{_RANKED}, bs AS (SELECT doc_id, profile_id, sector, job_title, least(1.0, greatest(0.0, score)) AS conf FROM rk WHERE r = 1)"""
@@ -136,6 +128,27 @@ def _(t):
     return pf.detect(cv, CATALOGUE, F.col("title_scores")).drop("alternatives")
 
 
+# A catalogue that grows with the tables: one profile for each part.
+_PARTS = """SELECT p_partkey AS ord, 'part_' || CAST(p_partkey AS VARCHAR) AS profile_id, p_brand AS sector, p_name AS job_title,
+   lower(split_part(p_name, ' ', 1)) AS k1, lower(split_part(p_name, ' ', 2)) AS k2, lower(p_type) AS k3, lower(p_brand) AS k4 FROM part"""
+
+
+@query("m2_large_catalogue", f"""WITH pf AS ({_PARTS}), pk AS (SELECT ord, profile_id, sector, job_title, unnest([k1, k2, k3, k4]) AS keyword FROM pf), {_PROFILE_TEXTS},
+   kd AS (SELECT doc_id, keyword, CASE WHEN contains(sk, keyword) THEN 1.0 ELSE 0.0 END AS a, CASE WHEN contains(ex, keyword) THEN 1.0 ELSE 0.0 END AS b
+     FROM tx CROSS JOIN (SELECT DISTINCT keyword FROM pk)),
+   sc AS (SELECT doc_id, ord, profile_id, sector, job_title, sum(a) / 4 * 0.35 + sum(b) / 4 * 0.25 AS score FROM kd JOIN pk USING (keyword) GROUP BY ALL),
+   rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, ord) AS r FROM sc),
+   al AS (SELECT doc_id, string_agg(profile_id, ',' ORDER BY r) AS others FROM (SELECT *, max(CASE WHEN r = 1 AND score >= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS sure FROM rk)
+     WHERE r BETWEEN 1 + sure AND 3 + sure GROUP BY doc_id)
+   SELECT rk.doc_id, CASE WHEN score >= 0.3 THEN profile_id ELSE 'non_detecte' END AS profile_id, CASE WHEN score >= 0.3 THEN job_title ELSE 'Non détecté' END AS job_title,
+     round(score, 3) AS confidence, others FROM rk JOIN al USING (doc_id) WHERE r = 1""", uses=CV)
+def _(t):
+    keywords = "array(lower(split_part(p_name, ' ', 1)), lower(split_part(p_name, ' ', 2)), lower(p_type), lower(p_brand)) AS keywords"
+    parts = t.part.selectExpr("p_partkey AS ord", "concat('part_', p_partkey) AS profile_id", "p_brand AS sector", "p_name AS job_title", keywords)
+    d = pf.detect(t.cv, parts)
+    return d.select("doc_id", "profile_id", "job_title", "confidence", F.array_join(F.transform("alternatives", lambda a: a["id"]), ",").alias("others"))
+
+
 @query("w9_profile_alternatives", f"""WITH {_BEST} SELECT rk.doc_id, string_agg(rk.profile_id || ':' || CAST(CAST(round(score * 1000) AS INT) AS STRING), ',' ORDER BY r) AS alternatives FROM rk JOIN bs USING (doc_id)
    WHERE r BETWEEN CASE WHEN conf >= 0.3 THEN 2 ELSE 1 END AND CASE WHEN conf >= 0.3 THEN 4 ELSE 3 END GROUP BY rk.doc_id""", uses=CV)
 def _(t):

@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
 from sparkfolio.functions import text as tx
 from sparkfolio.functions.arrays import let
+from sparkfolio.session import persisted
 
 CONFIDENT = 0.3
-MAX_PROFILES = 2_000
+PART = 50_000  # profiles of a catalogue that a task holds at a time
+BEST = 4  # the best and three others
 
 
 @dataclass
@@ -48,10 +52,8 @@ def coverage(keywords: Sequence[str], text_lower: Column) -> Column:
 
 
 def profile_scores(profiles: Sequence[Profile], skills: Column, experience: Column, title_scores: Column | None = None) -> Column:
-    """array<struct<id,title,skills,exp,score,ord>> of every profile for one record."""
-    if len(profiles) > MAX_PROFILES:
-        raise ValueError(f"{len(profiles)} profiles: catalogues above {MAX_PROFILES} are not supported")
-
+    """array<struct<id,title,skills,exp,score,ord>> of every profile for one record, as one expression: for a handful of profiles that a
+    caller states. ``detect`` and ``profile_coverage`` take catalogues of any size."""
     def all_of(s):
         rows = []
         for i, p in enumerate(profiles):
@@ -66,34 +68,139 @@ def profile_scores(profiles: Sequence[Profile], skills: Column, experience: Colu
     return let(F.struct(skills.alias("sk"), experience.alias("ex")), all_of)
 
 
-def best_profile(scores: Column, profiles: Sequence[Profile]) -> Column:
-    """struct(profile_id, sector, job_title, confidence, alternatives) from ``profile_scores``."""
-    by_id = {p.profile_id: p for p in profiles}
-    names = F.create_map(*[x for k, p in by_id.items() for x in (
-        F.lit(k), F.struct(F.lit(p.sector).alias("sector"), F.lit(p.job_title).alias("job_title")))])
+CATALOGUE_SCHEMA = "ord long, profile_id string, sector string, job_title string, keywords array<string>"
+_TOP = "array<struct<neg:double,ord:bigint,id:string,sector:string,job_title:string>>"
+
+
+def as_table(spark: SparkSession, profiles: Sequence[Profile] | DataFrame) -> DataFrame:
+    """A catalogue as rows (ord, profile_id, sector, job_title, keywords); ``ord`` decides ties. Tables without one are taken by profile_id; a
+    profile that is there twice counts once, and one without an id not at all."""
+    if not isinstance(profiles, DataFrame):
+        return spark.createDataFrame([(i, p.profile_id, p.sector, p.job_title, p.keywords) for i, p in enumerate(profiles)], CATALOGUE_SCHEMA)
+    order = F.col("ord").cast("long") if "ord" in profiles.columns else F.lit(0).cast("long")
+    return (profiles.filter("profile_id is not null").select(order.alias("ord"), "profile_id", "sector", "job_title", "keywords")
+            .dropDuplicates(["profile_id"]))
+
+
+class _Catalogue:
+    """One automaton for the distinct keywords of a part of a catalogue, and who has which."""
+
+    def __init__(self, rows: list):
+        import ahocorasick
+
+        self.rows = rows
+        kept = [[k.lower() for k in (r["keywords"] or []) if k is not None] for r in rows]
+        self.sizes = np.array([len(k) for k in kept], float)
+        self.always = np.array([k.count("") for k in kept], float)  # the empty keyword stands in every text
+        owners: dict[str, list[int]] = {}
+        for i, keywords in enumerate(kept):
+            for k in keywords:
+                if k:
+                    owners.setdefault(k, []).append(i)
+        self.owners = [np.array(v) for v in owners.values()]
+        self.found = ahocorasick.Automaton()
+        for i, k in enumerate(owners):
+            self.found.add_word(k, i)
+        if owners:
+            self.found.make_automaton()
+
+    def coverage(self, text: str | None) -> np.ndarray:
+        """Share of each profile's keywords that the lower-cased text contains; 0 without keywords."""
+        hits = self.always.copy()
+        if self.owners and text:
+            for i in {i for _, i in self.found.iter(text)}:
+                np.add.at(hits, self.owners[i], 1)
+        return np.divide(hits, self.sizes, out=np.zeros(len(hits)), where=self.sizes > 0)
+
+
+def _parts(spark: SparkSession, profiles: Sequence[Profile] | DataFrame):
+    """Broadcast parts of the catalogue, PART profiles each. A part is what the driver and a task hold at a time."""
+    table = as_table(spark, profiles)
+    n = max(1, -(-table.count() // PART))
+    dealt = persisted(table.withColumn("part", F.pmod(F.xxhash64("profile_id"), F.lit(n))), "catalogue") if n > 1 else table.withColumn("part", F.lit(0))
+    for i in range(n):
+        yield spark.sparkContext.broadcast([r.asDict() for r in dealt.filter(F.col("part") == i).orderBy("ord", "profile_id").collect()])
+
+
+def _texts(cv: DataFrame, title_scores: Column | None) -> DataFrame:
+    titles = title_scores if title_scores is not None else F.lit(None)
+    return cv.select("doc_id", skills_text(F.col("skills_flat"), F.col("sections")).alias("sk"),
+                     experience_text(F.col("experience"), F.col("sections"), F.col("raw_text")).alias("ex"), titles.cast("map<string,double>").alias("titles"))
+
+
+def profile_coverage(cv: DataFrame, profiles: Sequence[Profile] | DataFrame, title_scores: Column | None = None) -> DataFrame:
+    """(doc_id, profile_id, title, skills, exp, score) of every record and profile, for a catalogue of any size.
+
+    Each task reads a text once with an automaton of all keywords, whatever their number. The result has records times profiles rows; ``detect`` keeps
+    the best and never makes them.
+    """
+    schema = "doc_id long, profile_id string, title double, skills double, exp double, score double"
+    out = None
+    for part in _parts(cv.sparkSession, profiles):
+        def run(batches, part=part):
+            catalogue = _Catalogue(part.value)
+            ids = [r["profile_id"] for r in part.value]
+            for b in batches:
+                for d, sk, ex, titles in zip(b["doc_id"], b["sk"], b["ex"], b["titles"], strict=True):
+                    t, s, e = _signals(catalogue, ids, sk, ex, titles)
+                    yield pd.DataFrame({"doc_id": d, "profile_id": ids, "title": t, "skills": s, "exp": e, "score": t * 0.4 + s * 0.35 + e * 0.25})
+
+        more = _texts(cv, title_scores).mapInPandas(run, schema)
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
+def _signals(catalogue: _Catalogue, ids: list[str], skills: str | None, experience: str | None, titles) -> tuple[np.ndarray, ...]:
+    held = dict(titles) if titles is not None else {}
+    title = np.array([held.get(i) or 0.0 for i in ids]) if held else np.zeros(len(ids))
+    return title, catalogue.coverage(skills), catalogue.coverage(experience)
 
+
+def chosen(top: Column) -> Column:
+    """struct(profile_id, sector, job_title, confidence, alternatives) from the best profiles, best first."""
     def choose(r):
-        top = F.get(r, F.lit(0))
-        conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), -top["neg"]))
+        best = F.get(r, F.lit(0))
+        conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(-best["neg"], F.lit(0.0))))
         sure = conf >= CONFIDENT
-        info = F.try_element_at(names, top["id"])
         alt = F.slice(r, F.when(sure, 2).otherwise(1), F.lit(3))
         return F.struct(
-            F.when(sure, top["id"]).otherwise(lx.GENERIC_PROFILE_ID).alias("profile_id"),
-            F.when(sure, info["sector"]).otherwise(lx.GENERIC_SECTOR).alias("sector"),
-            F.when(sure, info["job_title"]).otherwise(lx.GENERIC_TITLE).alias("job_title"),
+            F.when(sure, best["id"]).otherwise(lx.GENERIC_PROFILE_ID).alias("profile_id"),
+            F.when(sure, best["sector"]).otherwise(lx.GENERIC_SECTOR).alias("sector"),
+            F.when(sure, best["job_title"]).otherwise(lx.GENERIC_TITLE).alias("job_title"),
             F.round(conf, 3).alias("confidence"),
             F.transform(alt, lambda a: F.struct(a["id"].alias("id"), F.round(-a["neg"], 3).alias("score"))).alias("alternatives"))
 
-    ranked = F.sort_array(F.transform(scores, lambda s: F.struct((-s["score"]).alias("neg"), s["ord"].alias("ord"), s["id"].alias("id"))))
-    return let(ranked, choose)
-
-
-def detect(cv: DataFrame, profiles: Sequence[Profile], title_scores: Column | None = None) -> DataFrame:
-    """(doc_id, profile_id, sector, job_title, confidence, alternatives); one projection, no join."""
-    scores = profile_scores(profiles, skills_text(F.col("skills_flat"), F.col("sections")),
-                            experience_text(F.col("experience"), F.col("sections"), F.col("raw_text")), title_scores)
-    return cv.select("doc_id", best_profile(scores, profiles).alias("d")).select("doc_id", "d.*")
+    return let(top, choose)
+
+
+def detect(cv: DataFrame, profiles: Sequence[Profile] | DataFrame, title_scores: Column | None = None) -> DataFrame:
+    """(doc_id, profile_id, sector, job_title, confidence, alternatives) for a catalogue of any size: a list, or a table like ``sources.profiles``.
+
+    Up to PART profiles stay row-local: texts meet an automaton of all keywords in their task, and the best four profiles leave it. Larger
+    catalogues are read in parts of that size, whose best are merged by record. An empty catalogue finds the generic profile.
+    """
+    tops = []
+    for part in _parts(cv.sparkSession, profiles):
+        def run(batches, part=part):
+            catalogue = _Catalogue(part.value)
+            ids, order = [r["profile_id"] for r in part.value], np.array([r["ord"] for r in part.value], np.int64)
+            for b in batches:
+                out = []
+                for sk, ex, titles in zip(b["sk"], b["ex"], b["titles"], strict=True):
+                    t, s, e = _signals(catalogue, ids, sk, ex, titles)
+                    score = t * 0.4 + s * 0.35 + e * 0.25
+                    best = np.lexsort((np.arange(len(ids)), -score))[:BEST]
+                    out.append([{"neg": -float(score[i]), "ord": int(order[i]), "id": ids[i], "sector": part.value[i]["sector"], "job_title": part.value[i]["job_title"]}
+                                for i in best])
+                yield pd.DataFrame({"doc_id": b["doc_id"], "row": b["row"], "top": out})
+
+        tops.append(_texts(cv, title_scores).withColumn("row", F.monotonically_increasing_id()).mapInPandas(run, f"doc_id long, row long, top {_TOP}"))
+    found = tops[0]
+    if len(tops) > 1:
+        for more in tops[1:]:
+            found = found.unionByName(more)
+        found = found.groupBy("doc_id", "row").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, BEST).alias("top"))
+    return found.select("doc_id", chosen(F.col("top")).alias("d")).select("doc_id", "d.*")
 
 
 def forced(chosen: Column, profiles: Sequence[Profile]) -> Column:

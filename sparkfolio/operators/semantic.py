@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from sparkfolio.functions import text as tx
 from sparkfolio.functions.arrays import int_range, let
 from sparkfolio.functions.embedding import hashed_embedding
+from sparkfolio.operators import vectorjoin as vj
 from sparkfolio.sources.vector_store import VectorStore
 
 MAX_WORDS = 256  # of a piece that a model sees at once
@@ -86,3 +87,24 @@ def pair_similarity(pairs: DataFrame, cv: DataFrame, listings: DataFrame, embed:
     met = (keyed.join(vectors.select(F.col("key").alias("job_key"), F.col("vector").alias("b")), "job_key", "left")
            .join(vectors.select(F.col("key").alias("doc_key"), F.col("vector").alias("a")), "doc_key", "left"))
     return met.select("doc_id", "listing_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot("a", "b"))).alias("semantic"))
+
+
+def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 2) -> DataFrame:
+    """(owner, at, line): the stripped lines of each text that have at least ``min_words`` words."""
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"), tx.strip)
+    rows = docs.select(F.col(key).alias("owner"), F.posexplode(lines).alias("at", "line"))
+    return rows.filter(tx.word_count(F.col("line")) >= min_words)
+
+
+def semantic_skills_from_text(docs: DataFrame, phrases: DataFrame, threshold: float = 0.51, embed: Embed = hashed_embedding, key: str = "doc_id", text: str = "text",
+                              store: VectorStore | None = None, max_broadcast: int = vj.MAX_BROADCAST) -> DataFrame:
+    """(owner, phrase, sim): the phrases whose best line in a text reaches ``threshold``.
+
+    ``phrases`` is (phrase long, text). Their vectors come from ``store`` where it has them. Lines of two words or more are embedded where they stand,
+    compared in the task and leave it as hits only, so that no pair of line and phrase is shuffled; a phrase set above the bound is
+    met through its index. Texts without such lines have no rows; owners are whole numbers, not null.
+    """
+    keyed = phrases.select("phrase", F.col("text"), text_id(F.col("text")).alias("key"))
+    vectors = keyed.join(vectors_of(keyed.select("key", "text"), embed, store=store), "key").filter(F.size("vector") > 0).select("phrase", "vector")
+    lines = embed(lines_of(docs.filter(F.col(key).isNotNull()), key, text), "line", "vector").select("owner", "vector")
+    return vj.hits_per_phrase(lines, vectors, threshold, max_broadcast)

@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkfolio.session import persisted
+
 MAX_BROADCAST = 8_192
 BLOCK = 4_096
+MAX_PIVOTS, PER_CELL, RINGS = 1_024, 256, 32
 PAIR = "id long, phrase long, sim double"
 
 
@@ -35,8 +38,7 @@ def similar_pairs(vectors: DataFrame, phrases: DataFrame, threshold: float, max_
     """(id, phrase, sim) with cosine of at least ``threshold``.
 
     ``vectors`` is (id, vector), ``phrases`` is (phrase, vector).  Up to ``max_broadcast`` phrases
-    are sent to every task as one matrix and nothing is shuffled.  A larger set is cut into blocks
-    of fixed size on both sides that meet by block number: still exact, bounded memory per task.
+    are sent to every task as one matrix and nothing is shuffled.  A larger set becomes an index, see ``indexed_pairs``; same results.
     """
     head = _small(phrases, max_broadcast)
     if head is not None:
@@ -51,23 +53,91 @@ def similar_pairs(vectors: DataFrame, phrases: DataFrame, threshold: float, max_
                     yield _pairs(b["id"], b["vector"], ids, matrix, threshold)
 
         return vectors.select("id", "vector").mapInPandas(run, PAIR)
-    return _blocked(vectors, phrases, threshold)
+    return indexed_pairs(vectors, phrases, threshold)
+
+
+def _pivots(phrases: DataFrame) -> np.ndarray:
+    """Unit vectors of up to MAX_PIVOTS phrases, about one for each PER_CELL, taken by a hash of the phrase."""
+    n = phrases.count()
+    wanted = max(1, min(MAX_PIVOTS, n // PER_CELL))
+    drawn = phrases.orderBy(F.xxhash64("phrase")).limit(wanted).toPandas()
+    return _unit(drawn["vector"]) if len(drawn) else np.zeros((0, 0))
 
 
-def _blocked(vectors: DataFrame, phrases: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    n_p = max(1, -(-phrases.count() // block))
-    n_v = max(1, -(-vectors.count() // block))
-    left = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n_v)).alias("vb")).withColumn(
-        "pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
-    right = phrases.select("phrase", "vector", F.pmod(F.xxhash64("phrase"), F.lit(n_p)).cast("int").alias("pb")).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_v - 1).cast("bigint"))))
+def indexed_pairs(vectors: DataFrame, phrases: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """As ``similar_pairs`` for phrase sets of any size, exactly, by pivots and rings.
+
+    A phrase belongs to the ring of its distance around its nearest pivot. Unit vectors with a cosine of ``threshold`` are at most sqrt(2 - 2
+    threshold) apart, so by the triangle inequality a vector can only meet rings whose distances to the pivot come that near to its own, and only
+    these get a copy of it. Zero vectors have no direction: their cosine is 0 with everything, so they have pairs only where the threshold lets
+    them, and then go to every ring. Rings with many phrases or vectors are cut into blocks. Pivots (MAX_PIVOTS at most) and the bounds of rings (RINGS for each
+    pivot at most) are what tasks share.
+    """
+    spark = vectors.sparkSession
+    pivots = _pivots(phrases)
+    if not len(pivots):
+        return spark.createDataFrame([], PAIR)
+    radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def placed(batches):
+        for b in batches:
+            if len(b):
+                m = _unit(b["vector"])
+                far = np.sqrt(np.maximum(0, (m ** 2).sum(1)[:, None] + 1 - 2 * m @ shared.value.T))
+                cell = far.argmin(1)
+                near = far[np.arange(len(m)), cell]
+                yield pd.DataFrame({"phrase": b["phrase"], "vector": list(m), "cell": cell, "ring": (near * RINGS / 2.0001).astype(int), "far": near})
+
+    index = persisted(phrases.select("phrase", "vector").mapInPandas(placed, "phrase long, vector array<double>, cell int, ring int, far double"), "index")
+    rings = index.groupBy("cell", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count(F.lit(1)).alias("n")).toPandas()
+    bounds = spark.sparkContext.broadcast((rings["cell"].to_numpy(), rings["ring"].to_numpy(), rings["low"].to_numpy(), rings["high"].to_numpy()))
+
+    def asking(batches):
+        cell, ring, low, high = bounds.value
+        for b in batches:
+            for i in range(0, len(b), 1024):
+                part = b.iloc[i:i + 1024]
+                m = _unit(part["vector"])
+                zero = ~m.any(1)
+                far = np.sqrt(np.maximum(0, (m ** 2).sum(1)[:, None] + 1 - 2 * m @ shared.value.T))[:, cell]
+                x, y = np.nonzero((far + radius >= low) & (far - radius <= high) & ~zero[:, None] | (zero[:, None] & (threshold <= 0)))
+                yield pd.DataFrame({"id": part["id"].to_numpy()[x], "vector": list(m[x]), "cell": cell[y], "ring": ring[y]})
+
+    asks = persisted(vectors.select("id", "vector").mapInPandas(asking, "id long, vector array<double>, cell int, ring int"), "asks")
+    sizes = (asks.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rows"))
+             .join(index.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("columns")), ["cell", "ring"]))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = (asks.join(sizes, ["cell", "ring"]).select("cell", "ring", F.pmod(F.xxhash64("id", F.lit(1)), "rows").cast("int").alias("i"), every("columns").alias("j"), "id", "vector"))
+    right = (index.join(sizes, ["cell", "ring"]).select("cell", "ring", every("rows").alias("i"), F.pmod(F.xxhash64("phrase", F.lit(2)), "columns").cast("int").alias("j"), "phrase", "vector"))
 
     def run(a, b):
         if not len(a) or not len(b):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "phrase": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         return _pairs(a["id"], a["vector"], b["phrase"], _unit(b["vector"]), threshold)
 
-    return left.groupBy("vb", "pb").cogroup(right.groupBy("vb", "pb")).applyInPandas(run, PAIR)
+    keys = ("cell", "ring", "i", "j")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, PAIR)
+
+
+def _best_in_blocks(vectors: DataFrame, phrases: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(owner, phrase, sim): blocks of phrases meet blocks of vectors, and each block is reduced to its best before anything is shuffled on."""
+    n_p, n_v = (max(1, -(-d.count() // block)) for d in (phrases, vectors))
+    left = vectors.withColumn("i", F.pmod(F.xxhash64("owner", "vector"), F.lit(n_v)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
+    right = phrases.withColumn("j", F.pmod(F.xxhash64("phrase"), F.lit(n_p)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+
+    def run(a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({"owner": pd.Series(dtype="int64"), "phrase": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+        return _best_of(a["owner"], a["vector"], b["phrase"].to_numpy(), _unit(b["vector"]))
+
+    part = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "owner long, phrase long, sim double")
+    return part.groupBy("owner", "phrase").agg(F.max("sim").alias("sim"))
+
+
+def _best_of(owners, vectors, ids, matrix) -> pd.DataFrame:
+    best = pd.DataFrame(_unit(vectors) @ matrix.T, columns=ids).groupby(owners.to_numpy()).max()
+    return best.rename_axis("owner").reset_index().melt("owner", var_name="phrase", value_name="sim").astype({"phrase": "int64"})
 
 
 def best_per_phrase(vectors: DataFrame, phrases: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -77,24 +147,26 @@ def best_per_phrase(vectors: DataFrame, phrases: DataFrame, max_broadcast: int =
     anything is shuffled, so the pairs themselves never leave a task.
     """
     head = _small(phrases, max_broadcast)
+    owned = vectors.select(F.col("owner").cast("bigint").alias("owner"), "vector")
     if head is None:
-        keyed = vectors.withColumn("id", F.xxhash64("owner", "vector")).dropDuplicates(["owner", "id"])
-        pairs = _blocked(keyed.select("id", "vector").dropDuplicates(["id"]), phrases, -1.0)
-        return pairs.join(keyed.select("id", "owner"), "id").groupBy("owner", "phrase").agg(F.max("sim").alias("sim"))
+        return _best_in_blocks(owned, phrases)
     shared = vectors.sparkSession.sparkContext.broadcast(head)
 
     def run(batches):
         ids, matrix = shared.value
         for b in batches:
-            if not len(b):
-                continue
-            sims = pd.DataFrame(_unit(b["vector"]) @ matrix.T, columns=ids)
-            best = sims.groupby(b["owner"].to_numpy()).max()
-            yield best.rename_axis("owner").reset_index().melt("owner", var_name="phrase", value_name="sim").astype(
-                {"phrase": "int64"})
-
-    partial = vectors.select(F.col("owner").cast("bigint").alias("owner"), "vector").mapInPandas(run, "owner long, phrase long, sim double")
-    return partial.groupBy("owner", "phrase").agg(F.max("sim").alias("sim"))
+            if len(b):
+                yield _best_of(b["owner"], b["vector"], ids, matrix)
+
+    return owned.mapInPandas(run, "owner long, phrase long, sim double").groupBy("owner", "phrase").agg(F.max("sim").alias("sim"))
+
+
+def hits_per_phrase(vectors: DataFrame, phrases: DataFrame, threshold: float, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(owner, phrase, sim) of ``best_per_phrase`` where it reaches ``threshold``: only hits leave a task, whatever the size of ``phrases``.
+
+    ``vectors`` is (owner, vector)."""
+    numbered = vectors.select(F.col("owner").cast("bigint").alias("id"), "vector")
+    return similar_pairs(numbered, phrases, threshold, max_broadcast).groupBy(F.col("id").alias("owner"), "phrase").agg(F.max("sim").alias("sim"))
 
 
 def similarity_maps(vectors: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.operators.profiles import MAX_PROFILES, Profile
+from sparkfolio.operators.profiles import Profile
 
 SCHEMA = "profile_id string, sector_key string, sector string, job_title string, aliases array<string>, keywords array<string>"
 
@@ -18,11 +18,12 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path) if path.endswith(".parquet") else reader.json(path, multiLine=True)
 
 
-def profile_list(profiles: DataFrame) -> list[Profile]:
-    """Catalogue rows as literals for ``detect``; refuses catalogues above the fixed bound."""
-    rows = profiles.orderBy("profile_id").limit(MAX_PROFILES + 1).collect()
-    if len(rows) > MAX_PROFILES:
-        raise ValueError(f"more than {MAX_PROFILES} profiles")
+def profile_list(profiles: DataFrame, most: int = 2_000) -> list[Profile]:
+    """Catalogue rows as a list, for ``forced`` and other expressions over few profiles; more than ``most`` are an error. ``detect`` takes the
+    table itself, of any size."""
+    rows = profiles.orderBy("profile_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} profiles")
     return [Profile(r.profile_id, r.sector, r.job_title, list(r.aliases or []), list(r.keywords or []), r.sector_key) for r in rows]
 
 
