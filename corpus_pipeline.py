@@ -26,10 +26,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the one with the smallest id. Rows that repeat an id wholly stay one row;
-    documents without words link with nothing and stay; so do rows without an id."""
-    classes = setjoin.jaccard_components(docs.select("doc_id", "text")).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"]).join(classes, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of linked ones: the one with the smallest id (rows without an id last, then the first in the table).
+    Rows that repeat another, with or without an id, are of its group. Rows without words link with nothing and all stay."""
+    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())  # docs is a table, so a row keeps its number
+    found = persisted(setjoin.jaccard_components(rows, keep=("_row",), group="_group").filter("_group is not null").select("doc_id", "_row", "_group"), "groups")
+    stays = found.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_stays"))
+    goes = found.join(persisted(stays, "stays"), "_group").filter("_row <> _stays").select("_row")
+    return rows.join(goes, "_row", "left_anti").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.corpus import batches_for, counted, keyed, summed
+from sparkfolio.llm.corpus import batches_for, counted, dealt, keyed, summed
 from sparkfolio.llm.textnum import U, mixed, word_hashes
 
 LAMBDA = 0.1  # share of the bigram in the smoothed probability
@@ -88,7 +88,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str
     """
     own = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learned")))
     n = n_batches or batches_for(own)
-    batched = own.withColumn("batch", F.pmod("key", F.lit(n)).cast("int")).drop("key")
+    batched = dealt(own, n).drop("key")
 
     def ask(t: pa.Table):
         tokens, before, row = token_stream(t["text"])

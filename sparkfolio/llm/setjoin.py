@@ -9,16 +9,16 @@ leader's and the few shingles in between; what the distance to the leader alread
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.corpus import batches_for, counted, keyed, summed
+from sparkfolio.llm.corpus import batches_for, counted, dealt, keyed, summed
 from sparkfolio.llm.graph import components
-from sparkfolio.llm.textnum import U, mixed, shingles, slices, word_hashes
+from sparkfolio.llm.textnum import U, ddl, mixed, shingles, slices, word_hashes
 from sparkfolio.session import persisted
 
 WORDS, PER_CENT = 5, 80
@@ -50,12 +50,13 @@ def size_class(n):
     return F.floor(F.log(n.cast("double")) / np.log(100 / PER_CENT) + 1e-12)
 
 
-def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, node (null without words), n, and for documents that may have a partner their opening shingles that others
-    hold (token, place) and their text; written to the shared folder."""
-    own = keyed(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+def document_sets(docs: DataFrame, id_col: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, _k0.. (the columns ``keep``), node (null without words), n, and for documents that may have a partner their opening shingles
+    that others hold (token, place) and their text; written to the shared folder."""
+    names = [f"_k{i}" for i in range(len(keep))]
+    own = keyed(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{k}`").alias(n) for k, n in zip(keep, names, strict=True))))
     n = batches_for(own)
-    batched = own.withColumn("batch", F.pmod("key", F.lit(n)).cast("int"))
+    batched = dealt(own, n)
     # Shingles are counted by the leading bits of their hash, enough for the corpus: equal shingles have equal counts, so the
     # order is the same everywhere, and that is all that exactness needs.
     bits = min(64, 34 + max(0, int(n).bit_length()))
@@ -91,11 +92,11 @@ def document_sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             token.append(x[first[held]].view(np.int64))
             place.append(held)
             texts.append(text_of[r].as_py() if len(held) else None)
-        return pa.table({"doc_id": t["doc_id"], "key": t["key"], "node": pa.array(node, pa.int64()), "n": pa.array(size, pa.int64()),
+        return pa.table({"doc_id": t["doc_id"], **{n: t[n] for n in names}, "key": t["key"], "node": pa.array(node, pa.int64()), "n": pa.array(size, pa.int64()),
                          "token": pa.array(token, pa.list_(pa.int64())), "place": pa.array(place, pa.list_(pa.int64())), "text": pa.array(texts, pa.string())})
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    return persisted(counted(batched, n, ask, answer, use, f"doc_id {kind}, key bigint, node bigint, n bigint, token array<bigint>, "
+    return persisted(counted(batched, n, ask, answer, use, ", ".join([f"doc_id {kind}", *ddl(own, names)]) + ", key bigint, node bigint, n bigint, token array<bigint>, "
                              "place array<bigint>, text string"), "sets")
 
 
@@ -158,13 +159,14 @@ def _block(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable over links, the row's own where there is none).
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: Sequence[str] = (), group: str | None = None) -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id reachable over links, the row's own where there is none), ``keep``, and as
+    ``group`` a number of the row's component, which rows without an id have too (null without words).
 
     Texts of 1 to 4 words are one shingle; null and wordless texts have none and link with nothing. Equal sets always link.
     Repeated rows are rows of the same component. No link is dropped; pairs are never listed within a group.
     """
-    sets = document_sets(docs, id_col, text)
+    sets = document_sets(docs, id_col, text, keep)
     some = sets.filter("node is not null")
     nodes = some.groupBy("node").agg(F.min("doc_id").alias("least"))
     clusters = persisted(components(meeting(sets)).withColumnRenamed("component", "cluster"), "clusters")
@@ -196,6 +198,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     links = first.filter("linked").select(F.col("node").alias("a"), F.col("cluster").alias("b")).unionByName(further)
     joined = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = persisted(joined.groupBy("component").agg(F.min("least").alias("component_id")), "names")  # large components are split in the join
-    named = joined.join(names, "component").select("node", "component_id")
-    return (sets.select("doc_id", "node", "n").join(named, "node", "left")
-            .select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    named = joined.join(names, "component").select("node", "component_id", "component")
+    return (sets.select("doc_id", "node", "n", *(f"_k{i}" for i in range(len(keep)))).join(named, "node", "left")
+            .select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+                    *(F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)), *([F.col("component").alias(group)] if group else [])))

@@ -82,3 +82,17 @@ def test_run_on_odd_rows(spark, tmp_path):
         got = corpus_pipeline.run(spark, f"{tmp_path}/{at}")
         assert got.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "exact"]
         assert got.count() <= d.count()
+
+
+def test_near_duplicates_of_odd_rows(spark, tmp_path):
+    """One id with two texts, texts without an id, repeated rows and rows without words: exactly these rows stay."""
+    body = " ".join(f"w{i}" for i in range(60))
+    near, other = body.replace("w59", "x"), " ".join(f"v{i}" for i in range(60))
+    given = [(3, body), (5, near), (5, other), (5, other), (None, other), (None, "lone words of one two"), (None, "lone words of one two"), (None, "lone words of one two"),
+             (7, None), (7, None), (None, ""), (8, "few words"), (9, "few words")]
+    spark.createDataFrame([(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(given)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    got = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    stay = [(3, body), (5, other), (None, "lone words of one two"), (7, None), (7, None), (None, ""), (8, "few words")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(stay, key=key)
+    assert len({r.n_chars for r in got}) == len(got)  # rows of the table, none of them twice
