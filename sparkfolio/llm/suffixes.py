@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.corpus import batches_for, counted, keyed
+from sparkfolio.llm.corpus import batches_for, counted, dealt, keyed, released
 from sparkfolio.llm.textnum import INVERSE, U, ddl, mixed, powers, prefix_sums, range_hash, runs_of_rows, text_bytes
 from sparkfolio.session import persisted
 
 SIZE = 400
 RUN = 1 << 19
 MASK = U((1 << 20) - 1)
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 HOT_CONTEXTS = 3_000  # different contexts of one anchor in a shard
 BASE2 = 0xD1342543DE82EF95
 INVERSE2 = pow(BASE2, -1, 1 << 64)
@@ -80,7 +80,8 @@ def contexts(col, size: int = SIZE) -> dict[str, np.ndarray]:
         s, p = start[first], place[first]
         second = prefix_sums(part, BASE2)
         content = mixed(range_hash(second, s, s + more + size, INVERSE2) + ((p - s).astype(U) << U(32)) + more.astype(U))
-        found.append((row[first], s + a - offs[row[first]], more, h[p], content, s + a))
+        anchor = mixed(h[p] ^ U(BASE2))  # smallest hashes are near 0; mixed again, they spread over all key ranges
+        found.append((row[first], s + a - offs[row[first]], more, anchor, content, s + a))
     names = ("row", "start", "more", "anchor", "content", "at")
     kinds = (np.int64, np.int64, np.int64, U, U, np.int64)
     return {n: np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))}
@@ -304,7 +305,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
                                                     ("window", pa.binary())]))
 
     sent = found.filter("context is not null").withColumn("task", F.pmod(F.when(F.col("shard") < 0, -F.col("shard") - 1).otherwise(F.col("shard")), F.lit(shards)))
-    met = persisted(sent.groupBy("task").applyInArrow(lambda t: sort_shard(t), MET), "shards")
+    met = persisted(sent.groupBy("task").applyInArrow(lambda t: released(sort_shard(t)), MET), "shards")
 
     def merge(t: pa.Table) -> pa.Table:
         """Runs of one range, each sorted: a window is repeated if a binary search finds it in another run."""
@@ -324,7 +325,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 out.append({"batch": int(part["batch"][0]), "key": int(part["key"][0]), "spans": _spans(part["start"], part["start"] + size)})
         return pa.Table.from_pylist(out, pa.schema([("batch", pa.int32()), ("key", pa.int64()), ("spans", pa.binary())]))
 
-    merged = met.filter("window is not null").groupBy("piece").applyInArrow(lambda t: merge(t), "batch int, key bigint, spans binary")
+    merged = met.filter("window is not null").groupBy("piece").applyInArrow(lambda t: released(merge(t)), "batch int, key bigint, spans binary")
     spans = [x.filter("spans is not null").select("batch", "key", "spans") for x in (found, met)]
     return spans[0].unionByName(spans[1]).unionByName(merged)
 
@@ -340,7 +341,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     own = keyed(docs.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keep)), F.col(f"`{id_col}`").alias("_id"),
                             F.col(f"`{text}`").alias("text")), "_id")
     n = batches_for(own)
-    batched = own.withColumn("batch", F.pmod("key", F.lit(n)).cast("int")).drop("_id")
+    batched = dealt(own, n).drop("_id")
     spans = repeated_spans(batched.select("key", "text", "batch"), size)
     names = [f"_k{i}" for i in range(len(keep))]
 
@@ -362,6 +363,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pa.table(out | ({"kept_text": pa.array(cols[4], pa.string())} if kept_text else {}))
 
     schema = ", ".join([*ddl(batched, names), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *(["kept_text string"] if kept_text else [])])
-    done = batched.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(cut, schema)
+    done = batched.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(lambda t, s: released(cut(t, s)), schema)
     digest = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return done.select(*(F.col(n).alias(k) for n, k in zip(names, keep, strict=True)), *digest, *([F.col("kept_text").alias(kept_text)] if kept_text else []))
