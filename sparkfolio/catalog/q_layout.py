@@ -129,6 +129,14 @@ def _(t):
     return t.cv_flat.select("doc_id", rec.header_record(lines, F.lit(""))["name"].alias("name"))
 
 
+@query("j9_band_pairs", f"""WITH {_GUT} SELECT a.doc_id, a.page, a.anchor AS left_at, b.anchor AS right_at FROM li a JOIN li b ON a.doc_id = b.doc_id AND a.page = b.page
+   AND a.col = 'left' AND b.col = 'right' AND abs(a.top - b.top) <= 15""")
+def _(t):
+    lines = _lines(t).select("doc_id", "page", "anchor", "col", "top")
+    pairs = lo.band_pairs(lines.filter("col = 'left'"), lines.filter("col = 'right'"), ["doc_id", "page"], "top", 15.0)
+    return pairs.select("left.doc_id", "left.page", F.col("left.anchor").alias("left_at"), F.col("right.anchor").alias("right_at"))
+
+
 # --- flat text and places ---------------------------------------------------------------------
 _FLAT = "lower(name) || ' mail phone ' || replace(body, chr(10), ' ') || ' professional experience ' || lower(e2_bullet) || ' technical skills python docker education ' || lower(d1_degree)"
 
@@ -347,7 +355,10 @@ def _(t):
 
 
 def _log_rows(t):
-    e = t.events
+    return _log_columns(t.events)
+
+
+def _log_columns(e):
     return e.select("ts", F.col("event_type").alias("profile_id"), F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("sector"), F.lit("ocr").alias("extraction_method"),
                     (F.col("value") / 100).alias("detection_confidence"), F.col("value").alias("profile_strength_score"), F.col("user_id").cast("double").alias("word_count"), (F.col("value") * 2).alias("latency_ms"))
 
@@ -369,7 +380,18 @@ def _(t):
 def _(t):
     s = jobs.file_stream(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)
     s = s.withColumn("url", F.concat(F.lit("https://jobs.example.org/"), F.col("user_id").cast("string")))
-    return jobs.run_available(jobs.first_seen_listings(s.select("ts", "url"), delay="3650 days"), "listings").select("url")
+    path = scratch_dir(t.spark, "listings")
+    jobs.stored_first_seen(s.select("ts", "url"), path, scratch_dir(t.spark, "listings-state")).awaitTermination()
+    return t.spark.read.schema("url string").parquet(path).select("url")
+
+
+@query("s13_analysis_log_stream", "SELECT event_type AS profile_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(value), 4) AS strength FROM events GROUP BY ALL")
+def _(t):
+    stream = jobs.file_stream(t.spark, f"{t.sf_dir}/events*.parquet", t.events.schema)
+    path = scratch_dir(t.spark, "analysis-stream")
+    logs.stream_analysis_log(_log_columns(stream), path, scratch_dir(t.spark, "analysis-state")).awaitTermination()
+    rows = t.spark.read.schema(logs.ANALYSIS_LOG + ", day date, run string, batch long").parquet(path)
+    return rows.groupBy("profile_id", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("profile_strength_score"), 4).alias("strength"))
 
 
 @query("r2_windowed_figures", """WITH w AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL)

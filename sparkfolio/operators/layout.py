@@ -6,9 +6,14 @@ so a document or source holding very many words is never gathered whole.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkfolio.functions import contact
+from sparkfolio.functions import text as tx
+
 
 def carry_sections(lines: DataFrame, key: str, line_no: str, mark: Column) -> DataFrame:
     """Lines with the section of the last header above them; header lines removed.
@@ -128,3 +133,31 @@ def document_lines(words: DataFrame) -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.when(F.col("top") <= F.col("head_top"), F.struct(
             F.col("top"), F.col("key"), line.alias("line"))))), lambda x: x["line"]).alias("top_lines"))
     return packed.join(size, "doc_id").join(layout.select("doc_id", "layout"), "doc_id")
+
+
+def band_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, width: float) -> DataFrame:
+    """Pairs of rows with equal ``keys`` whose ``at`` differs by ``width`` at most: columns left and right (structs).
+
+    A right row stands in the bin of its place, a left row asks its own bin and both neighbours, so rows meet by equality and a document with very
+    many lines is split by its bins. Null places pair with nothing.
+    """
+    bin_ = F.floor(F.col(at) / width)
+    a = left.filter(F.col(at).isNotNull()).select(*keys, F.struct(*left.columns).alias("left"), F.explode(F.sequence(bin_ - 1, bin_ + 1)).alias("_bin"))
+    b = right.filter(F.col(at).isNotNull()).select(*keys, F.struct(*right.columns).alias("right"), bin_.alias("_bin"))
+    met = a.join(b, [*keys, "_bin"])
+    return met.filter(F.abs(F.col("left")[at] - F.col("right")[at]) <= width).select("left", "right")
+
+
+def header_names(lines: DataFrame, order: Column, band: float = 15.0) -> DataFrame:
+    """(doc_id, name) from a table of header lines (doc_id, text, size, top, col): the largest line without email or phone, joined with the
+    first line of the other column at its height, as ``header_record`` does within one row. Documents without such a line have no row."""
+    ranked = lines.withColumn("_order", order)
+    named = ranked.filter((tx.strip(F.col("text")) != "") & ~contact.has_contact(F.col("text"), links=False))
+    best = named.groupBy("doc_id").agg(F.min_by(F.struct("text", "top", "col"), F.struct(-F.col("size"), "_order")).alias("n")).select("doc_id", "n.*")
+    split = best.filter(F.col("col").isin("left", "right"))
+    others = ranked.filter((tx.strip(F.col("text")) != "") & ~contact.has_contact(F.col("text"))).select("doc_id", "text", "top", "col", "_order")
+    pairs = band_pairs(split, others, ["doc_id"], "top", band).filter(F.col("right.col") == F.when(F.col("left.col") == "left", "right").otherwise("left"))
+    first = pairs.groupBy(F.col("left.doc_id").alias("doc_id")).agg(F.min_by("right.text", "right._order").alias("other"))
+    base, other = tx.strip(F.col("text")), tx.strip(F.col("other"))
+    name = F.when(F.col("other").isNull(), base).when(F.col("col") == "left", F.concat_ws(" ", base, other)).otherwise(F.concat_ws(" ", other, base))
+    return best.join(first, "doc_id", "left").select("doc_id", name.alias("name"))
