@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
-from sparkfolio.catalog.hashing import vectors_sql
 from sparkfolio.catalog.derived import AS_OF, pick
+from sparkfolio.catalog.hashing import vectors_sql
 from sparkfolio.catalog.q_matching import JOB_TITLE, SKILL_LIST
 from sparkfolio.catalog.q_records import WC
+from sparkfolio.catalog.q_text import HIT, LEX_SQL, ranked_sql
 from sparkfolio.catalog.registry import query
 from sparkfolio.functions import contact
 from sparkfolio.functions import skills as sk
@@ -403,10 +404,17 @@ def _(t):
 
 
 # --- whole pipelines --------------------------------------------------------------------------
-@query("m7_enrich_text", f"SELECT doc_id, {JOB_TITLE} AS job_title, city AS location, postal AS postal_code, n_exp, n_lang FROM cv_flat", uses=("cv_flat",))
+_KEYWORDS = ranked_sql("doc_id", r"""SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM cv_text)""", 50)
+
+
+@query("m7_enrich_text", f"""WITH {LEX_SQL}, sf AS (SELECT doc_id, string_agg(DISTINCT skill, ',' ORDER BY skill) AS skills FROM mk, lex WHERE {HIT} GROUP BY doc_id), {_KEYWORDS.rsplit("SELECT", 1)[0]}, kl AS (SELECT doc_id, string_agg(w, ',' ORDER BY rank) AS keywords FROM rk WHERE rank <= 50 GROUP BY doc_id)
+   SELECT doc_id, {JOB_TITLE} AS job_title, city AS location, postal AS postal_code, n_exp, n_lang, coalesce(skills, '') AS skills, coalesce(keywords, '') AS keywords
+   FROM cv_flat LEFT JOIN kl USING (doc_id) LEFT JOIN sf USING (doc_id)""", uses=("cv_text",))
 def _(t):
     p = rec.parse_text(t.cv_text.select("doc_id", "text"), as_of=AS_OF)
-    return rec.enrich(p).select("doc_id", "job_title", "location", "postal_code", F.size("experience").alias("n_exp"), F.size("languages").alias("n_lang"))
+    return rec.enrich(p).select("doc_id", "job_title", "location", "postal_code", F.size("experience").alias("n_exp"), F.size("languages").alias("n_lang"),
+                                F.array_join(F.array_sort(F.array_distinct("skills_flat")), ",").alias("skills"), F.array_join("keywords", ",").alias("keywords"))
 
 
 @query("udf1_hashed_embedding", f"""WITH {vectors_sql("(SELECT text AS txt FROM documents)", 64, kind="DOUBLE")}, v AS (SELECT tid, unnest(vec) AS v, generate_subscripts(vec, 1) - 1 AS place FROM hv)

@@ -179,8 +179,8 @@ def _(t):
 
 @query("p16_noise_entries", """SELECT doc_id, n_exp AS kept FROM cv_flat""", uses=("cv_flat",))
 def _(t):
-    noisy = F.concat(F.lit("PROFESSIONAL EXPERIENCE\nPEN\n"), F.regexp_replace("text", "(?s)^.*?PROFESSIONAL EXPERIENCE\n", ""))
-    src = t.cv_text.select("doc_id", F.when(F.col("n_exp") >= 1, noisy).otherwise("PROFESSIONAL EXPERIENCE\nPEN").alias("text"))
+    noisy = F.regexp_replace("text", "(^|\n)PROFESSIONAL EXPERIENCE\n", "$1PROFESSIONAL EXPERIENCE\nPEN\n")
+    src = t.cv_text.select("doc_id", F.when(F.col("n_exp") >= 1, noisy).otherwise(F.concat("text", F.lit("\nPROFESSIONAL EXPERIENCE\nPEN"))).alias("text"))
     return rec.parse_text(src, as_of=AS_OF, fields=["experience"]).select("doc_id", F.size("experience").alias("kept"))
 
 
@@ -189,7 +189,7 @@ def _(t):
    UNION ALL SELECT doc_id, 2, p2_name, p2_desc, NULL, '', 'php' FROM cv_flat WHERE n_proj >= 2""", uses=("cv_flat",))
 def _(t):
     return parsed(t, "projects").select("doc_id", F.posexplode("projects").alias("i", "p")).select(
-        "doc_id", (F.col("i") + 1).alias("i"), "p.name", "p.description", "p.url", F.array_join(F.filter("p.metrics", lambda m: ~m.startswith("http")), "|").alias("metric"),
+        "doc_id", (F.col("i") + 1).alias("i"), "p.name", "p.description", "p.url", F.array_join("p.metrics", "|").alias("metric"),
         F.array_join("p.stack", ",").alias("stack"))
 
 
@@ -218,11 +218,15 @@ def _(t):
     return rec.parse_text(src, as_of=AS_OF, fields=["summary"]).select("doc_id", "summary")
 
 
-@query("w3_text_sections", """SELECT doc_id, 'summary' AS section, summary AS text FROM cv_flat WHERE summary IS NOT NULL UNION ALL
-   SELECT doc_id, 'languages', CASE n_lang WHEN 1 THEN '- Français' ELSE '- Français' || chr(10) || '• Anglais' END FROM cv_flat WHERE n_lang >= 1""", uses=("cv_flat",))
+_HEADS = "CASE trim(line) WHEN 'SUMMARY' THEN 'summary' WHEN 'PROFESSIONAL EXPERIENCE' THEN 'experience' WHEN 'EDUCATION' THEN 'education' WHEN 'SKILLS' THEN 'skills' WHEN 'PROJECTS' THEN 'projects' WHEN 'LANGUAGES' THEN 'languages' END"
+
+
+@query("w3_text_sections", rf"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM cv_text)),
+   m AS (SELECT *, {_HEADS} AS h FROM l), s AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM m),
+   g AS (SELECT doc_id, coalesce(sec, 'header') AS section, regexp_replace(string_agg(regexp_replace(line, '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g'), chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS text FROM s WHERE h IS NULL GROUP BY ALL)
+   SELECT * FROM g WHERE text <> ''""", uses=("cv_text",))
 def _(t):
-    return t.cv_text.select("doc_id", F.explode(rec.text_sections(F.col("text"))).alias("section", "text")).filter(
-        F.col("section").isin("summary", "languages"))
+    return t.cv_text.select("doc_id", F.explode(rec.text_sections(F.col("text"))).alias("section", "text"))
 
 
 # --- dates ------------------------------------------------------------------------------------
@@ -372,12 +376,15 @@ def _(t):
 _SKJ = f"array_to_string({SKILL_LIST}, ', ')"
 
 
-@query("e26_section_text", f"""SELECT doc_id, concat_ws(chr(10), name, title, email, phone, city) AS header, CASE WHEN n_skill > 0 THEN {_SKJ} END AS skills,
+@query("e26_section_text", rf"""WITH b AS (SELECT *, list_filter({_BODY_LINES}, lambda x: x <> '') AS bl FROM cv_flat) SELECT doc_id, summary,
+   nullif(concat_ws(chr(10), CASE WHEN n_exp >= 1 THEN concat_ws(chr(10), e1_title || ' — ' || e1_company || ' — ' || split_part('{_EN}', ',', e1_sm) || ' ' || e1_sy || ' – Present', nullif(array_to_string(bl, chr(10)), '')) END,
+     CASE WHEN n_exp >= 2 THEN e2_title || ' — ' || e2_company || ' — ' || split_part('{_EN}', ',', e2_sm) || ' ' || e2_sy || ' - ' || split_part('{_EN}', ',', e2_em) || ' ' || e2_ey || chr(10) || e2_bullet END,
+     CASE WHEN n_exp >= 3 THEN e3_title || ' — ' || e3_company || ' — ' || e3_sy || ' - ' || e3_ey END), '') AS experience, concat_ws(chr(10), name, title, email, phone, city) AS header, CASE WHEN n_skill > 0 THEN {_SKJ} END AS skills,
    CASE n_edu WHEN 1 THEN d1_degree || ' ' || d1_school || ' ' || d1_sy || ' - ' || d1_ey WHEN 2 THEN d1_degree || ' ' || d1_school || ' ' || d1_sy || ' - ' || d1_ey || chr(10) || d2_school || ' ' || d2_sy || ' - ' || d2_ey END AS education,
-   CASE n_proj WHEN 1 THEN p1_name WHEN 2 THEN p1_name || chr(10) || p2_name END AS projects, CASE n_lang WHEN 1 THEN 'Français' WHEN 2 THEN 'Français, Anglais' END AS languages FROM cv_flat""", uses=("cv_flat",))
+   CASE n_proj WHEN 1 THEN p1_name WHEN 2 THEN p1_name || chr(10) || p2_name END AS projects, CASE n_lang WHEN 1 THEN 'Français' WHEN 2 THEN 'Français, Anglais' END AS languages FROM b""", uses=("cv_flat",))
 def _(t):
     s = F.col("sections")
-    return t.cv.select("doc_id", *[F.try_element_at(s, F.lit(k)).alias(k) for k in ("header", "skills", "education", "projects", "languages")])
+    return t.cv.select("doc_id", *[F.try_element_at(s, F.lit(k)).alias(k) for k in ("header", "summary", "experience", "skills", "education", "projects", "languages")])
 
 
 @query("e27_rebuilt_text", rf"""WITH b AS (SELECT *, list_filter({_BODY_LINES}, lambda x: x <> '') AS bl FROM cv_flat) SELECT doc_id, concat_ws(' ', name, title, city, summary, nullif(array_to_string({SKILL_LIST}, ' '), ''),
