@@ -11,6 +11,7 @@ from sparkfolio.functions.embedding import hashed_embedding
 from sparkfolio.operators import matching as mt
 from sparkfolio.operators import nearby
 from sparkfolio.operators import semantic as sm
+from sparkfolio.operators import vectorjoin as vj
 from sparkfolio.sources.vector_store import VectorStore
 
 
@@ -127,3 +128,48 @@ def test_search_radius(spark):
     everywhere = list(range(1, 10))
     assert got == {("59000 Here", 30): [1, 2, 4, 6, 9], ("Here", 30): [1, 2, 6, 9], ("59000 Here", None): [1, 3, 4, 6], ("Atlantis", 30): everywhere, ("France", None): everywhere}
     assert spots.filter("place in ('Atlantis', 'France')").select("area").distinct().count() == 1  # answered once
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.4, -0.2])
+def test_index_gives_the_pairs_of_the_matrix(spark, threshold, monkeypatch):
+    """Clustered vectors, zero vectors, equal ones; small blocks so that rings are cut."""
+    monkeypatch.setattr(vj, "PER_CELL", 20)
+    rnd = random.Random(5)
+    middles = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    near = lambda: [x + rnd.gauss(0, 0.3) for x in rnd.choice(middles)]
+    a = spark.createDataFrame([(i, near()) for i in range(200)] + [(900, [0.0] * 8), (901, middles[0])], "id long, vector array<double>")
+    b = spark.createDataFrame([(i, near()) for i in range(150)] + [(900, [0.0] * 8), (901, middles[0])], "phrase long, vector array<double>")
+    rows = lambda d: sorted((r.id, r.phrase, round(r.sim, 9)) for r in d.collect())
+    assert rows(vj.indexed_pairs(a, b, threshold, block=16)) == rows(vj.similar_pairs(a, b, threshold))
+
+
+def test_a_high_threshold_asks_few_rings(spark, monkeypatch):
+    """Copies of a vector follow the hits, not the number of blocks."""
+    monkeypatch.setattr(vj, "PER_CELL", 8)
+    sent = {}
+    keep = vj.persisted
+    monkeypatch.setattr(vj, "persisted", lambda df, name: sent.setdefault(name, keep(df, name)))
+    angle = lambda i, n: [math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)]
+    a = spark.createDataFrame([(i, angle(i, 64)) for i in range(64)], "id long, vector array<double>")
+    b = spark.createDataFrame([(i, angle(i, 640)) for i in range(640)], "phrase long, vector array<double>")
+    assert vj.indexed_pairs(a, b, 0.9995).count() == 64 * 7
+    assert sent["asks"].count() < 64 * 12 and sent["index"].select("cell", "ring").distinct().count() > 60
+
+
+def test_best_in_blocks(spark):
+    rnd = random.Random(1)
+    a = spark.createDataFrame([(i % 5, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(90)], "owner long, vector array<double>")
+    b = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(30)], "phrase long, vector array<double>")
+    best = lambda d: sorted((r.owner, r.phrase, round(r.sim, 9)) for r in d.collect())
+    want = best(vj.best_per_phrase(a, b))
+    assert best(vj._best_in_blocks(a, b, block=16)) == want
+    hits = [x for x in want if x[2] >= 0.8]
+    assert best(vj.hits_per_phrase(a, b, 0.8)) == best(vj.hits_per_phrase(a, b, 0.8, max_broadcast=3)) == hits
+
+
+def test_skills_from_lines(spark):
+    docs = spark.createDataFrame([(1, "Header\nmanage hospital care team\r\nsells"), (2, "hospital"), (3, None), (4, "hospital care\nmanage team\nproduce sales reports weekly")], "doc_id long, text string")
+    phrases = spark.createDataFrame([(7, "manage hospital care"), (8, "produce sales reports"), (9, "of the")], "phrase long, text string")
+    for bound in (100, 0):
+        got = {(r.owner, r.phrase): round(r.sim, 4) for r in sm.semantic_skills_from_text(docs, phrases, 0.8, max_broadcast=bound).collect()}
+        assert got == {(1, 7): round(3 / math.sqrt(12), 4), (4, 7): round(2 / math.sqrt(6), 4), (4, 8): round(3 / math.sqrt(12), 4)}
