@@ -259,6 +259,14 @@ def _(t):
     return lb.merge_rows([lb.lexicon_rows(_lexicon_json(t), "json", ["p_partkey"])], ["p_partkey", "pos"]).select("category", "skill", "p_partkey")
 
 
+@query("u1_incremental_union", f"""WITH {_LEXROWS} SELECT category, skill, p_partkey, p_partkey % 3 AS batch FROM (SELECT *, row_number() OVER (PARTITION BY category, skill ORDER BY p_partkey % 3, p_partkey, pos) AS r FROM lr) WHERE r = 1""")
+def _(t):
+    rows, path = lb.lexicon_rows(_lexicon_json(t), "json", ["p_partkey"]), scratch_dir(t.spark, "lexicon")
+    for batch in (0, 1, 2):
+        lb.merge_delta(rows.filter(F.col("p_partkey") % 3 == batch), path, batch, ["p_partkey", "pos"])
+    return lb.stored_lexicon(t.spark, path, ["p_partkey", "pos"], "p_partkey long, pos int").select("category", "skill", "p_partkey", "batch")
+
+
 @query("s9_skill_dataset", f"WITH d AS (SELECT DISTINCT lower(trim({_RAW_SKILL})) AS skill FROM part) SELECT skill, {_CAT} AS category FROM d WHERE len(string_split(skill, ' ')) <= 4")
 def _(t):
     return lb.dataset_skills(t.part.select("p_partkey", F.expr(_RAW_SKILL).alias("label")))

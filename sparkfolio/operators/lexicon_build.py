@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
 from sparkfolio.functions.skills import categorise_skill, normalise_skill
 from sparkfolio.functions.text import lit_array
+from sparkfolio.session import persisted
 
 LEXICON = ("skill_categories map<string,array<string>>, job_titles array<string>, action_verbs_en array<string>, "
            "action_verbs_fr array<string>, embedded_skills array<string>, sources array<string>")
@@ -38,6 +39,33 @@ def merge_rows(parts: Sequence[DataFrame], order: Sequence[str], ignore_case: bo
     return both.groupBy(*keys).agg(first).select("r.category", "r.skill", F.col("r._part").alias("part"), *[f"r.{o}" for o in order])
 
 
+STORED = "category string, batch long"
+
+
+def stored_lexicon(spark: SparkSession, path: str, order: Sequence[str], kinds: str) -> DataFrame:
+    """(category, skill, batch, <order>) of a lexicon that ``merge_delta`` keeps; ``kinds`` is the schema of ``order``."""
+    return spark.read.schema(f"skill string, {kinds}, {STORED}").parquet(path).select("category", "skill", "batch", *order)
+
+
+def merge_delta(delta: DataFrame, path: str, batch: int, order: Sequence[str]) -> DataFrame:
+    """Merge (category, skill, <order>) rows into the stored lexicon and return what is new.
+
+    The first sight of a skill in a category stays: of a smaller batch, and within a batch of the smallest ``order``. Only categories of the delta
+    are read, and only files for what is new in them are added, so the cost follows the delta and its categories. A batch that runs again
+    replaces what it had written; batches must come in ascending order. Null categories and skills are left out.
+    """
+    spark = delta.sparkSession
+    once = merge_rows([delta.filter("category is not null and skill is not null")], order).select("category", "skill", *order)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at) and any(s.isDirectory() for s in files.listStatus(at)):
+        known = spark.read.schema(f"skill string, {STORED}").parquet(path).filter(F.col("batch") < batch)
+        once = once.join(known.join(once.select("category").distinct(), "category", "left_semi").select("category", "skill"), ["category", "skill"], "left_anti")
+    new = persisted(once.withColumn("batch", F.lit(batch).cast("long")), "delta")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("category", "batch").parquet(path)
+    return new
+
+
 def new_words(words: DataFrame, known: DataFrame, column: str) -> DataFrame:
     """Rows whose word is not in ``known`` (anti join, planner chooses the strategy)."""
     return words.join(known, column, "left_anti")
