@@ -67,6 +67,19 @@ def _register_rule(name):
 for _name in RULE_SQL:
     _register_rule(_name)
 
+@cr.rule("two_degrees")
+def _two_degrees(_keywords):
+    """A rule as a user adds it."""
+    n = F.size("education")
+    return n >= 2, F.when(n >= 2, F.format_string("%d diplômes", n)).otherwise("moins de deux diplômes")
+
+
+@query("udf2_custom_criterion", """SELECT doc_id, CASE WHEN n_edu >= 2 THEN 100 ELSE 0 END AS score, CASE WHEN n_edu >= 2 THEN n_edu || ' diplômes' ELSE 'moins de deux diplômes' END AS evidence
+   FROM cv_flat""", uses=("cv_flat",))
+def _(t):
+    return t.cv.select("doc_id", cr.rule_result("two_degrees", tx.lit_array([])).alias("r")).select("doc_id", "r.score", "r.evidence")
+
+
 # --- profiles: a small catalogue, stated alike on both sides ----------------------------------
 CATALOGUE = [
     pf.Profile("ml_engineer", "Informatique & Digital", "Machine Learning Engineer", ["ml engineer"], ["machine learning", "python", "docker", "spark", "kafka"], "informatique_digital"),

@@ -171,6 +171,17 @@ def _(t):
     return kw.top_keyword_rows(t.documents, "doc_id", "text", 40)
 
 
+@query("udf3_own_tokens", rf"""WITH tok AS (SELECT doc_id, substr(w, 1, 5) AS w, pos FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
+     FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS ws FROM documents)) WHERE length(w) > 2 AND w NOT IN ({STOPS})),
+   cnt AS (SELECT doc_id, w, count(*) AS n, min(pos) AS p FROM tok GROUP BY doc_id, w),
+   rk AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rank FROM cnt)
+   SELECT doc_id, string_agg(w, ',' ORDER BY rank) AS keywords FROM rk WHERE rank <= 20 GROUP BY doc_id""")
+def _(t):
+    stems = F.transform(tx.content_tokens(F.col("text")), lambda w: F.substring(w, 1, 5))  # in place of the caller's own lemmas
+    found = kw.with_top_keywords(t.documents.select("doc_id", "text"), "text", "keywords", 20, tokens=stems)
+    return found.filter(F.size("keywords") > 0).select("doc_id", F.array_join("keywords", ",").alias("keywords"))
+
+
 @query("t2_content_keywords_top50", "WITH " + ranked_sql("doc_id", r"""SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos
   FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents)""", 50))
 def _(t):
