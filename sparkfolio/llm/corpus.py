@@ -11,7 +11,6 @@ back the same way. So rows grow with the input times that root, not with its squ
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -20,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.textnum import U
+from sparkfolio.llm.textnum import U, release
 
 BATCH_BYTES = 2 << 20
 RANGE_BYTES = 4 << 20  # of text for each key range
@@ -77,10 +76,7 @@ def batches_for(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BY
 
 def released(result: pa.Table) -> pa.Table:
     """``result``, after the memory that making it took is given back: Python workers stay for later stages and would keep it."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    release()
     return result
 
 

@@ -19,7 +19,7 @@ from operator import add
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkfolio.llm.textnum import ddl, slices
+from sparkfolio.llm.textnum import ddl, release, slices
 
 BLANK = "▁"
 CONTROL, UNKNOWN, BYTE, NORMAL = "control", "unknown", "byte", "normal"
@@ -279,6 +279,12 @@ class Codec:
         return text[1:] if own else text
 
 
+    def forget(self) -> None:
+        """Drop what was kept for later texts."""
+        for held in (self.kept, self.older, self.parts, self.pairs):
+            held.clear()
+
+
 _codecs: dict[int, Codec] = {}
 
 
@@ -299,6 +305,8 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", id
             kept = [(n, x) for n, x in zip(b.schema.names, b.columns, strict=True) if n != ids]
             got = pa.array([c.encode(t.as_py()) for t in b.column(text)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([x for _, x in kept] + [got], [n for n, _ in kept] + [ids])
+        c.forget()  # the worker stays for other stages
+        release()
 
     return docs.mapInArrow(run, ", ".join([*ddl(docs, (n for n in docs.columns if n != ids)), f"`{ids}` array<int>"]))
 
@@ -311,6 +319,8 @@ def decode_ids(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: st
             kept = [(n, x) for n, x in zip(b.schema.names, b.columns, strict=True) if n != text]
             got = pa.array([None if (i := x.as_py()) is None else c.decode(i) for x in b.column(ids)], pa.string())
             yield pa.RecordBatch.from_arrays([x for _, x in kept] + [got], [n for n, _ in kept] + [text])
+        c.forget()
+        release()
 
     return df.mapInArrow(run, ", ".join([*ddl(df, (n for n in df.columns if n != text)), f"`{text}` string"]))
 

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.corpus import batches_for, counted, dealt, keyed, summed
+from sparkfolio.llm.corpus import batches_for, counted, dealt, keyed, released, summed
 from sparkfolio.llm.graph import components
-from sparkfolio.llm.textnum import U, ddl, mixed, shingles, slices, word_hashes
+from sparkfolio.llm.textnum import U, ddl, mixed, release, shingles, slices, word_hashes
 from sparkfolio.session import persisted
 
 WORDS, PER_CENT = 5, 80
@@ -114,12 +114,13 @@ def meeting(sets: DataFrame) -> DataFrame:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, cluster, shared and both sizes of each node and its cluster's leader."""
-    for b in slices(batches, 1024):
+    for b in slices(batches, 256):
         left, right = list(sets_of(b.column("text"))), list(sets_of(b.column("leader_text")))
         shared = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("node"), b.column("cluster"), pa.array(shared, pa.int64()),
                                           pa.array([len(x) for x in left], pa.int64()), pa.array([len(x) for x in right], pa.int64())],
                                          ["node", "cluster", "shared", "n", "leader_n"])
+    release()
 
 
 def derived_links(asking: list[np.ndarray], given: list[np.ndarray], leader: np.ndarray) -> np.ndarray:
@@ -194,7 +195,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     leads = (open_.select("cluster", F.ceil(F.col("asking") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("size") / BLOCK).cast("int").alias("columns"))
              .join(leader, "cluster").select("cluster", every("rows").alias("i"), "columns", "leader_text")
              .select("cluster", "i", every("columns").alias("j"), F.lit(2).alias("role"), F.col("cluster").alias("node"), F.col("leader_text").alias("text")))
-    further = asks.unionByName(gives).unionByName(leads).groupBy("cluster", "i", "j").applyInArrow(lambda t: _block(t), "a bigint, b bigint")
+    further = asks.unionByName(gives).unionByName(leads).groupBy("cluster", "i", "j").applyInArrow(lambda t: released(_block(t)), "a bigint, b bigint")
     links = first.filter("linked").select(F.col("node").alias("a"), F.col("cluster").alias("b")).unionByName(further)
     joined = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = persisted(joined.groupBy("component").agg(F.min("least").alias("component_id")), "names")  # large components are split in the join

@@ -5,6 +5,7 @@ All hashes are 64 bits and fixed, so equal words hash alike in every task and jo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the C library can: Python workers stay for later stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ddl(df, names) -> list[str]:
     """Schema of the named columns, in this order, for the Arrow functions."""
     return [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
