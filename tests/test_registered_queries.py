@@ -9,13 +9,13 @@ from tools.check_results import compare
 
 QUERIES, ORACLES = load()
 # Results that are rightly empty on the smallest tables.
-MAY_BE_EMPTY = {"w2_column_gutter", "m1_semantic_skills"}
+MAY_BE_EMPTY = {"w2_column_gutter"}
 
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"udf1_hashed_embedding"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -26,5 +26,5 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["doc_id", "listing_id", "source", "keyword", "structure", "overall", "rank"]
+    assert df.columns == ["doc_id", "listing_id", "source", "semantic", "keyword", "structure", "overall", "rank"]
     assert df.count() > 0
