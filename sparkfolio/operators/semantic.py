@@ -14,6 +14,7 @@ from sparkfolio.functions import text as tx
 from sparkfolio.functions.arrays import int_range, let
 from sparkfolio.functions.embedding import hashed_embedding
 from sparkfolio.operators import vectorjoin as vj
+from sparkfolio.session import persisted
 from sparkfolio.sources.vector_store import VectorStore
 
 MAX_WORDS = 256  # of a piece that a model sees at once
@@ -58,9 +59,10 @@ def embed_texts(texts: DataFrame, embed: Embed = hashed_embedding, max_words: in
 
 
 def vectors_of(texts: DataFrame, embed: Embed = hashed_embedding, max_words: int = MAX_WORDS, store: VectorStore | None = None) -> DataFrame:
-    """(key, vector) of the distinct texts of ``texts`` (key, text), from ``store`` where it has them; what it lacks is added to it."""
+    """(key, vector) of the distinct texts of ``texts`` (key, text), from ``store`` where it has them; what it lacks is added to it. Without a
+    store the vectors are written to the shared folder once, so that no reader embeds a text again."""
     if store is None:
-        return embed_texts(texts.filter("key is not null").dropDuplicates(["key"]), embed, max_words)
+        return persisted(embed_texts(texts.filter("key is not null").dropDuplicates(["key"]), embed, max_words), "vectors")
     store.ensure(texts, lambda lacking: embed_texts(lacking, embed, max_words))
     return store.read()
 
