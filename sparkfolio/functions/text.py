@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
+from sparkfolio.functions.arrays import let
 
 WORD = r"[\p{L}\p{N}_]"
 
@@ -77,15 +78,16 @@ def text_parts(c: Column) -> Column:
 
 def word_grams(parts: Column, max_words: int = 0, lengths: Sequence[int] = ()) -> Column:
     """All 1..max_words word n-grams of ``text_parts`` output (or those of the given ``lengths``), separators kept as written."""
-    n = F.size(parts)
-    first = F.when(F.get(parts, F.lit(0)).rlike(f"^{WORD}"), 1).otherwise(2)
-    starts = F.when(n >= first, F.sequence(first, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    def grams(p):
+        n = F.size(p)
+        first = F.when(F.get(p, F.lit(0)).rlike(f"^{WORD}"), 1).otherwise(2)
+        starts = F.when(n >= first, F.sequence(first, n, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return let(starts, lambda st: F.concat(*[joined(p, n, st, 2 * k - 1) for k in (lengths or range(1, max_words + 1))]))
 
-    def joined(span):
-        fits = F.filter(starts, lambda i: i + span - 1 <= n)
-        return F.transform(fits, lambda i: F.array_join(F.slice(parts, i, span), ""))
+    def joined(p, n, starts, span):
+        return F.transform(F.filter(starts, lambda i: i + span - 1 <= n), lambda i: F.array_join(F.slice(p, i, span), ""))
 
-    return F.concat(*[joined(2 * k - 1) for k in (lengths or range(1, max_words + 1))])
+    return let(parts, grams)  # the parts are taken once, not again for each gram
 
 
 def title_windows(c: Column, sizes: Sequence[int] = (2, 3, 4)) -> Column:

@@ -116,7 +116,7 @@ def answer_searches(searches: DataFrame, listings: DataFrame, max_results: int =
     """
     queries = searches.select("query", "area").distinct()
     lengths = sorted(r.n for r in queries.select((F.floor(F.size(tx.text_parts(F.col("query"))) / 2) + 1).alias("n")).distinct().collect())
-    keys = listing_keys(listings, places)
+    keys = persisted(listing_keys(listings, places), "keys")  # a row for each distinct location and key
     asked = queries.join(place_keys(queries.select("area").distinct(), keys, places), "area")
 
     def grams(c):
