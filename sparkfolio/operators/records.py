@@ -252,7 +252,8 @@ def project_entries(lines: Column, lexicon: dict[str, list[str]]) -> Column:
         joined = F.array_join(b, " ")
         bullets = F.transform(F.filter(F.slice(b, 2, F.greatest(F.size(b), F.lit(1))), lambda t: t.rlike(tx.BULLET)),
                               tx.drop_bullet)
-        metrics = F.transform(F.filter(b, tx.has_metric), tx.strip)
+        # the digits of an address are no figure
+        metrics = F.transform(F.filter(b, lambda t: tx.has_metric(F.regexp_replace(t, contact.URL, " "))), tx.strip)
         return let(bullets, lambda bl: F.struct(
             tx.strip(F.get(b, F.lit(0))).alias("name"),
             F.when(F.size(bl) > 0, F.array_join(bl, " ")).alias("description"),

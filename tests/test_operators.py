@@ -319,3 +319,11 @@ def test_profile_catalogue_round_trip(spark, tmp_path):
 
     spark.createDataFrame([("a", "btp", "BTP", "Maçon", ["maçon"], ["béton"])], SCHEMA).write.parquet(str(tmp_path / "p.parquet"))
     assert profile_list(read_profiles(spark, str(tmp_path / "p.parquet")))[0].keywords == ["béton"]
+
+
+def test_project_address_is_no_metric(spark):
+    text = "PROJECTS\nAtlas\n- maps\nhttps://atlas.example.org/32286\n+ gain 20 %\nsee https://atlas.example.org/9 for 45000 clients"
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    (p,) = rec.parse_text(df, fields=["projects"]).first().projects
+    assert p.url == "https://atlas.example.org/32286"
+    assert p.metrics == ["+ gain 20 %", "see https://atlas.example.org/9 for 45000 clients"]
