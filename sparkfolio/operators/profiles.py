@@ -6,8 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
@@ -18,6 +17,8 @@ from sparkfolio.session import persisted
 CONFIDENT = 0.3
 PART = 50_000  # profiles of a catalogue that a task holds at a time
 BEST = 4  # the best and three others
+SLICE = 256  # rows of a batch whose texts are Python strings at a time
+PAIRS = 100_000  # rows of records times profiles in a batch
 
 
 @dataclass
@@ -83,43 +84,75 @@ def as_table(spark: SparkSession, profiles: Sequence[Profile] | DataFrame) -> Da
 
 
 class _Catalogue:
-    """One automaton for the distinct keywords of a part of a catalogue, and who has which."""
+    """One automaton for the distinct keywords of a part of a catalogue, and the groups of profiles with the same keywords.
+
+    ``rows`` are in the order that decides ties. Groups stand in the order of their first profiles.
+    """
 
     def __init__(self, rows: list):
         import ahocorasick
 
         self.rows = rows
-        kept = [[k.lower() for k in (r["keywords"] or []) if k is not None] for r in rows]
-        self.sizes = np.array([len(k) for k in kept], float)
-        self.always = np.array([k.count("") for k in kept], float)  # the empty keyword stands in every text
-        owners: dict[str, list[int]] = {}
-        for i, keywords in enumerate(kept):
+        groups: dict[tuple, list[int]] = {}
+        for i, r in enumerate(rows):
+            groups.setdefault(tuple(sorted(k.lower() for k in (r["keywords"] or []) if k is not None)), []).append(i)
+        self.members = list(groups.values())
+        self.group = np.zeros(len(rows), np.int64)
+        for g, m in enumerate(self.members):
+            self.group[m] = g
+        self.sizes = np.array([len(k) for k in groups], float)
+        self.always = np.array([k.count("") for k in groups], float)  # the empty keyword stands in every text
+        owners: dict[str, dict[int, int]] = {}
+        for g, keywords in enumerate(groups):
             for k in keywords:
                 if k:
-                    owners.setdefault(k, []).append(i)
-        self.owners = [np.array(v) for v in owners.values()]
+                    held = owners.setdefault(k, {})
+                    held[g] = held.get(g, 0) + 1
+        self.owners = [(np.array(list(h)), np.array(list(h.values()), float)) for h in owners.values()]
         self.found = ahocorasick.Automaton()
         for i, k in enumerate(owners):
             self.found.add_word(k, i)
         if owners:
             self.found.make_automaton()
+        self.at = {r["profile_id"]: i for i, r in enumerate(rows)}
 
     def coverage(self, text: str | None) -> np.ndarray:
-        """Share of each profile's keywords that the lower-cased text contains; 0 without keywords."""
+        """Share of each group's keywords that the lower-cased text contains; 0 without keywords."""
         hits = self.always.copy()
         if self.owners and text:
             for i in {i for _, i in self.found.iter(text)}:
-                np.add.at(hits, self.owners[i], 1)
+                mine, times = self.owners[i]
+                hits[mine] += times
         return np.divide(hits, self.sizes, out=np.zeros(len(hits)), where=self.sizes > 0)
 
-
-def _parts(spark: SparkSession, profiles: Sequence[Profile] | DataFrame):
+    def best(self, skills: str | None, experience: str | None, titles) -> list[tuple[float, int]]:
+        """(score, row) of the best profiles. A profile of the best has fewer than BEST groups before its own, but for groups whose first
+        profiles have a title score; those with one are scored by themselves."""
+        titled = {self.at[k]: v for k, v in titles or () if v and k in self.at}
+        s, e = self.coverage(skills), self.coverage(experience)
+        base, n = 0.0 * 0.4 + s * 0.35 + e * 0.25, BEST + len(titled)
+        if len(base) > n:
+            least = np.partition(base, len(base) - n)[len(base) - n]
+            groups = np.concatenate([np.flatnonzero(base > least), np.flatnonzero(base == least)[:n]])
+        else:
+            groups = range(len(base))
+        out = [(float(base[g]), i) for g in groups for i in self.members[g][:n] if i not in titled]
+        out += [(float(v * 0.4 + s[self.group[i]] * 0.35 + e[self.group[i]] * 0.25), i) for i, v in titled.items()]
+        return sorted(out, key=lambda x: (-x[0], x[1]))[:BEST]
+
+
+def _reduced(table: DataFrame) -> DataFrame:
+    """The first BEST profiles of those with equal keywords: without title scores no other can be among the best."""
+    order = Window.partitionBy(F.sort_array("keywords")).orderBy("ord", "profile_id")
+    return table.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= BEST).drop("_r")
+
+
+def _parts(table: DataFrame) -> list:
     """Broadcast parts of the catalogue, PART profiles each. A part is what the driver and a task hold at a time."""
-    table = as_table(spark, profiles)
     n = max(1, -(-table.count() // PART))
     dealt = persisted(table.withColumn("part", F.pmod(F.xxhash64("profile_id"), F.lit(n))), "catalogue") if n > 1 else table.withColumn("part", F.lit(0))
     for i in range(n):
-        yield spark.sparkContext.broadcast([r.asDict() for r in dealt.filter(F.col("part") == i).orderBy("ord", "profile_id").collect()])
+        yield table.sparkSession.sparkContext.broadcast([r.asDict() for r in dealt.filter(F.col("part") == i).orderBy("ord", "profile_id").collect()])
 
 
 def _texts(cv: DataFrame, title_scores: Column | None) -> DataFrame:
@@ -128,6 +161,13 @@ def _texts(cv: DataFrame, title_scores: Column | None) -> DataFrame:
                      experience_text(F.col("experience"), F.col("sections"), F.col("raw_text")).alias("ex"), titles.cast("map<string,double>").alias("titles"))
 
 
+def _slices(batches, rows: int = SLICE):
+    """A batch's rows a few at a time as Python lists, so that a task holds the texts of a batch once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows).to_pydict()
+
+
 def profile_coverage(cv: DataFrame, profiles: Sequence[Profile] | DataFrame, title_scores: Column | None = None) -> DataFrame:
     """(doc_id, profile_id, title, skills, exp, score) of every record and profile, for a catalogue of any size.
 
@@ -136,26 +176,31 @@ def profile_coverage(cv: DataFrame, profiles: Sequence[Profile] | DataFrame, tit
     """
     schema = "doc_id long, profile_id string, title double, skills double, exp double, score double"
     out = None
-    for part in _parts(cv.sparkSession, profiles):
+    for part in _parts(as_table(cv.sparkSession, profiles)):
         def run(batches, part=part):
+            import pyarrow as pa
+
             catalogue = _Catalogue(part.value)
             ids = [r["profile_id"] for r in part.value]
-            for b in batches:
-                for d, sk, ex, titles in zip(b["doc_id"], b["sk"], b["ex"], b["titles"], strict=True):
-                    t, s, e = _signals(catalogue, ids, sk, ex, titles)
-                    yield pd.DataFrame({"doc_id": d, "profile_id": ids, "title": t, "skills": s, "exp": e, "score": t * 0.4 + s * 0.35 + e * 0.25})
-
-        more = _texts(cv, title_scores).mapInPandas(run, schema)
+            names, width = pa.array(ids, pa.string()), max(1, len(ids))
+            for b in _slices(batches, max(1, min(SLICE, PAIRS // width))):
+                n = len(b["doc_id"])
+                t = np.zeros((n, len(ids)))
+                for row, titles in zip(t, b["titles"], strict=True):
+                    for k, v in titles or ():
+                        if v and k in catalogue.at:
+                            row[catalogue.at[k]] = v
+                s, e = (np.array([catalogue.coverage(x)[catalogue.group] for x in b[c]]).reshape(t.shape) for c in ("sk", "ex"))
+                docs = pa.array(b["doc_id"], pa.int64()).take(pa.array(np.repeat(np.arange(n), len(ids))))
+                yield pa.RecordBatch.from_arrays([docs, names.take(pa.array(np.tile(np.arange(len(ids)), n))),
+                                                  *(pa.array(x.ravel()) for x in (t, s, e, t * 0.4 + s * 0.35 + e * 0.25))],
+                                                 names=["doc_id", "profile_id", "title", "skills", "exp", "score"])
+
+        more = _texts(cv, title_scores).mapInArrow(run, schema)
         out = more if out is None else out.unionByName(more)
     return out
 
 
-def _signals(catalogue: _Catalogue, ids: list[str], skills: str | None, experience: str | None, titles) -> tuple[np.ndarray, ...]:
-    held = dict(titles) if titles is not None else {}
-    title = np.array([held.get(i) or 0.0 for i in ids]) if held else np.zeros(len(ids))
-    return title, catalogue.coverage(skills), catalogue.coverage(experience)
-
-
 def chosen(top: Column) -> Column:
     """struct(profile_id, sector, job_title, confidence, alternatives) from the best profiles, best first."""
     def choose(r):
@@ -176,25 +221,27 @@ def chosen(top: Column) -> Column:
 def detect(cv: DataFrame, profiles: Sequence[Profile] | DataFrame, title_scores: Column | None = None) -> DataFrame:
     """(doc_id, profile_id, sector, job_title, confidence, alternatives) for a catalogue of any size: a list, or a table like ``sources.profiles``.
 
-    Up to PART profiles stay row-local: texts meet an automaton of all keywords in their task, and the best four profiles leave it. Larger
-    catalogues are read in parts of that size, whose best are merged by record. An empty catalogue finds the generic profile.
+    Profiles with the same keywords are scored once, and without title scores only the first few of them are taken at all. Up to PART profiles stay
+    row-local: texts meet an automaton of all keywords in their task, and the best four profiles leave it. Larger catalogues are read in
+    parts of that size, whose best are merged by record; the texts are then written once. An empty catalogue finds the generic profile.
     """
+    table = as_table(cv.sparkSession, profiles)
+    parts = list(_parts(_reduced(table) if title_scores is None else table))
+    texts = _texts(cv, title_scores).withColumn("row", F.monotonically_increasing_id())
+    texts = persisted(texts, "texts") if len(parts) > 1 else texts
     tops = []
-    for part in _parts(cv.sparkSession, profiles):
+    for part in parts:
         def run(batches, part=part):
+            import pyarrow as pa
+
             catalogue = _Catalogue(part.value)
-            ids, order = [r["profile_id"] for r in part.value], np.array([r["ord"] for r in part.value], np.int64)
-            for b in batches:
-                out = []
-                for sk, ex, titles in zip(b["sk"], b["ex"], b["titles"], strict=True):
-                    t, s, e = _signals(catalogue, ids, sk, ex, titles)
-                    score = t * 0.4 + s * 0.35 + e * 0.25
-                    best = np.lexsort((np.arange(len(ids)), -score))[:BEST]
-                    out.append([{"neg": -float(score[i]), "ord": int(order[i]), "id": ids[i], "sector": part.value[i]["sector"], "job_title": part.value[i]["job_title"]}
-                                for i in best])
-                yield pd.DataFrame({"doc_id": b["doc_id"], "row": b["row"], "top": out})
-
-        tops.append(_texts(cv, title_scores).withColumn("row", F.monotonically_increasing_id()).mapInPandas(run, f"doc_id long, row long, top {_TOP}"))
+            kind = pa.list_(pa.struct([("neg", pa.float64()), ("ord", pa.int64()), ("id", pa.string()), ("sector", pa.string()), ("job_title", pa.string())]))
+            for b in _slices(batches):
+                top = [[{"neg": -score, "ord": (r := catalogue.rows[i])["ord"], "id": r["profile_id"], "sector": r["sector"], "job_title": r["job_title"]}
+                        for score, i in catalogue.best(sk, ex, titles)] for sk, ex, titles in zip(b["sk"], b["ex"], b["titles"], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(b["doc_id"], pa.int64()), pa.array(b["row"], pa.int64()), pa.array(top, kind)], names=["doc_id", "row", "top"])
+
+        tops.append(texts.mapInArrow(run, f"doc_id long, row long, top {_TOP}"))
     found = tops[0]
     if len(tops) > 1:
         for more in tops[1:]:

@@ -67,3 +67,16 @@ def test_coverage_rows_and_empty_catalogue(spark):
     assert rows[90, "x"] == (0.0, 0.5) and rows[90, "y"] == (0.0, 0.0) and len(rows) == 8
     none = pf.detect(cv, spark.createDataFrame([], pf.CATALOGUE_SCHEMA)).collect()
     assert {(r.profile_id, r.confidence, len(r.alternatives)) for r in none} == {("non_detecte", 0.0, 0)}
+
+
+def test_profiles_of_equal_keywords_are_scored_once(spark, monkeypatch):
+    cv = records(spark)
+    words = [r["keywords"] for r in [dict(zip(("ord", "id", "sector", "job", "keywords"), x, strict=True)) for x in catalogue(12)]]
+    rows = [(i % 50, f"p{i}", "s", f"t{i}", words[i % 12]) for i in range(600)]
+    table = spark.createDataFrame(rows, pf.CATALOGUE_SCHEMA)
+    assert pf._reduced(table).count() <= 4 * 12
+    want = {r.doc_id: r for r in pf.detect(cv, table, F.create_map(F.lit("p5"), F.lit(0.0))).collect()}  # no title score counts, none is left out
+    got = {r.doc_id: r for r in pf.detect(cv, table).collect()}
+    assert got == want
+    monkeypatch.setattr(pf, "PART", 7)
+    assert {r.doc_id: r for r in pf.detect(cv, table).collect()} == want
