@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio import lexicon as lx
 from sparkfolio.functions import text as tx
+from sparkfolio.functions.arrays import let
 from sparkfolio.operators import report as rp
 from sparkfolio.session import small_or_shuffled
 
@@ -78,7 +79,8 @@ def _check_text() -> Column:
 
 
 def _found(keywords: Column, text_lower: Column) -> Column:
-    return F.filter(keywords, lambda k: F.contains(text_lower, F.lower(k)))
+    """Keywords that stand in the text, which is made once and not again for each keyword."""
+    return let(text_lower, lambda t: F.filter(keywords, lambda k: F.contains(t, F.lower(k))))
 
 
 @rule("has_summary")
