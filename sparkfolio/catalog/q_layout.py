@@ -86,18 +86,7 @@ def _(t):
 
 @query("w5_reading_order", f"""WITH {_GUT} SELECT doc_id, page, anchor, col, row_number() OVER (PARTITION BY doc_id ORDER BY page, CASE col WHEN 'full' THEN 0 WHEN 'left' THEN 1 ELSE 2 END, anchor) AS pos FROM li""")
 def _(t):
-    docs = lo.document_lines(words_of(t)).select("doc_id", F.posexplode("lines").alias("i", "l"))
-    lines = _lines(t).select("doc_id", "page", "anchor", "col", "text", "x0", "top")
-    placed = docs.select("doc_id", (F.col("i") + 1).alias("pos"), F.col("l.text").alias("text"), F.col("l.x0").alias("x0"), F.col("l.top").alias("top"), F.col("l.col").alias("col"))
-    dup = ["doc_id", "col", "x0", "top", "text"]
-    n1 = placed.withColumn("k", F.row_number().over(_w(dup, "pos")))
-    n2 = lines.withColumn("k", F.row_number().over(_w(dup, "page")))
-    return n1.join(n2, dup + ["k"]).select("doc_id", "page", "anchor", "col", "pos")
-
-
-def _w(keys, order):
-    from pyspark.sql import Window
-    return Window.partitionBy(*keys).orderBy(order)
+    return lo.reading_order(_lines(t))
 
 
 @query("a16_body_size", f"""WITH {_GUT}, ls AS (SELECT doc_id, round(size, 1) AS s, count(*) AS n, min(page * 1000000 + CASE col WHEN 'full' THEN 0 WHEN 'left' THEN 100000 ELSE 200000 END + anchor) AS f FROM li GROUP BY ALL)

@@ -100,6 +100,13 @@ def reading_key(body_top: Column | None = None) -> Column:
     return F.struct(F.col("page"), zone.alias("zone"), F.col("anchor"))
 
 
+def reading_order(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, anchor, col, pos): lines numbered in reading order from 1. Only the places of lines are gathered, no text is moved."""
+    order = F.sort_array(F.collect_list(F.struct(reading_key().alias("key"), F.col("col"))))
+    placed = lines.groupBy("doc_id").agg(order.alias("ls")).select("doc_id", F.posexplode("ls").alias("i", "l"))
+    return placed.select("doc_id", F.col("l.key.page").alias("page"), F.col("l.key.anchor").alias("anchor"), F.col("l.col").alias("col"), (F.col("i") + 1).alias("pos"))
+
+
 def body_sizes(lines: DataFrame, order: Column) -> DataFrame:
     """(doc_id, body_size): most frequent line size rounded to 0.1, first seen on ties, 10 if none."""
     counted = lines.filter((F.trim("text") != "") & (F.col("size") > 0)).groupBy(

@@ -334,3 +334,12 @@ def test_keyword_rules_lower_a_text_once(spark):
     found = df.select(cr._found(F.col("kws"), F.lower("raw_text")).alias("f"))
     assert found.first().f == ["caces", "PERMIS"]
     assert "contains(lower(" not in found._jdf.queryExecution().optimizedPlan().toString()  # inside the lambda it would run for each keyword
+
+
+def test_reading_order(spark):
+    rows = [(1, p, a, c, "t" * 9) for p in (1, 0) for a, c in ((30.0, "right"), (10.0, "full"), (30.0, "left"), (20.0, "right"))] + [(2, 0, 5.0, "full", "x")]
+    placed = lo.reading_order(spark.createDataFrame(rows, "doc_id long, page int, anchor double, col string, text string"))
+    got = [(r.page, r.anchor, r.col) for r in placed.filter("doc_id = 1").orderBy("pos").collect()]
+    assert got == [(p, a, c) for p in (0, 1) for a, c in ((10.0, "full"), (30.0, "left"), (20.0, "right"), (30.0, "right"))]
+    assert [r.pos for r in placed.filter("doc_id = 2").collect()] == [1]
+    assert placed.columns == ["doc_id", "page", "anchor", "col", "pos"]
