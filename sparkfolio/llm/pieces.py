@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,6 +28,7 @@ UNKNOWN_TEXT = " ⁇ "
 MAX_SEGMENTS = 300_000  # kept results per task (twice that with the older ones): these bound memory and never change a result
 MAX_PARTS = 100_000
 MAX_PAIRS = 300_000
+FEW_SEGMENTS = 30_000  # where other stages' memory is still held: more time, less memory
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,7 @@ class Codec:
     """Encoder and decoder over one vocabulary."""
 
     vocabulary: Vocabulary
+    most: int = MAX_SEGMENTS
     kept: dict = field(default_factory=dict)
     older: dict = field(default_factory=dict)
     parts: dict = field(default_factory=dict)
@@ -210,7 +213,7 @@ class Codec:
             if back != s.replace(BLANK, " "):
                 got = got, back
         if len(s) < 100:
-            if len(self.kept) >= MAX_SEGMENTS:  # what was not met since the last change is forgotten
+            if len(self.kept) >= self.most:  # what was not met since the last change is forgotten
                 self.older = dict(self.kept)
                 self.kept.clear()
             self.kept[s] = got
@@ -288,11 +291,12 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
-def codec(vocabulary: Vocabulary) -> Codec:
+def codec(vocabulary: Vocabulary, most: int = MAX_SEGMENTS) -> Codec:
     """One codec per worker process and vocabulary."""
     key = hash(vocabulary)
     if key not in _codecs:
         _codecs[key] = Codec(vocabulary)
+    _codecs[key].most = most
     return _codecs[key]
 
 
@@ -325,6 +329,29 @@ def decode_ids(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: st
     return df.mapInArrow(run, ", ".join([*ddl(df, (n for n in df.columns if n != text)), f"`{text}` string"]))
 
 
+def encode_and_compare(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", exact: str = "exact") -> DataFrame:
+    """``docs`` with the ids of each whole text as array<int> and whether decoding them gives the text back; ``text`` is dropped, null is as empty.
+
+    Both in one Python worker a core: chained, the two steps hold two each, and the texts go to the second once more.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocabulary, FEW_SEGMENTS)
+        for b in slices(batches, 128):
+            kept = [(n, x) for n, x in zip(b.schema.names, b.columns, strict=True) if n not in (text, ids, exact)]
+            got, same = [], []
+            for t in b.column(text):
+                whole = t.as_py() or ""
+                i = c.encode(whole)
+                got.append(np.array(i, np.int32))
+                same.append(c.decode(i) == whole)
+            yield pa.RecordBatch.from_arrays([x for _, x in kept] + [pa.array(got, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
+                                             [n for n, _ in kept] + [ids, exact])
+        _codecs.clear()  # with what it kept: the worker stays for other stages
+        release()
+
+    return docs.mapInArrow(run, ", ".join([*ddl(docs, (n for n in docs.columns if n not in (text, ids, exact))), f"`{ids}` array<int>, `{exact}` boolean"]))
+
+
 def token_digests(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep``, n_tokens, and the SHA-256 of the ids joined by commas and of the decoded text, without moving either."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

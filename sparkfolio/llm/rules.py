@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.textnum import SPACE, ddl, slices, mixed, prefix_sums, range_hash, runs_of_rows, text_bytes, U, words
+from sparkfolio.llm.textnum import SPACE, ddl, release, slices, mixed, prefix_sums, range_hash, runs_of_rows, text_bytes, U, words
 
 STATS = ("bytes", "words", "word_bytes", "word_spread", "marks", "digits", "upper", "beyond_ascii", "lines", "line_bytes",
          "distinct_words", "repeated_next", "ended_words", "odd_marks", "distinct_lines", "top_byte")
 
+RUN = 1 << 18  # bytes whose figures are held at a time, some 80 bytes for each
 _KIND = np.zeros((256, 8), np.int32)  # marks, digits, upper, beyond ASCII, line ends, odd marks, letters, spaces
 _KIND[33:48, 0] = _KIND[58:65, 0] = _KIND[91:97, 0] = _KIND[123:127, 0] = 1
 _KIND[48:58, 1] = _KIND[65:91, 2] = _KIND[128:, 3] = _KIND[10, 4] = 1
@@ -42,7 +43,7 @@ def text_stats(col) -> np.ndarray:
     """(rows, len(STATS)) figures of each whole text; null and empty texts have zeros only."""
     buf, offs = text_bytes(col)
     out = np.zeros((len(offs) - 1, len(STATS)))
-    for i, j in runs_of_rows(offs):
+    for i, j in runs_of_rows(offs, RUN):
         b, at = buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
         if not len(b):
             continue
@@ -88,6 +89,7 @@ def with_stats(docs: DataFrame, text: str = "text", prefix: str = "stat_") -> Da
             kept = [(n, c) for n, c in zip(b.schema.names, b.columns, strict=True) if n not in own]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(figures[:, k]) for k in range(len(STATS))],
                                              [n for n, _ in kept] + own)
+        release()
 
     return docs.mapInArrow(run, ", ".join([*ddl(docs, (n for n in docs.columns if n not in own)), *(f"`{c}` double" for c in own)]))
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sparkfolio.llm.pieces import Codec, Vocabulary, decode_ids, encode_texts, token_digests
+from sparkfolio.llm.pieces import Codec, Vocabulary, decode_ids, encode_and_compare, encode_texts, token_digests
 
 P = pytest.importorskip("public_tokenizers")
 SP = pytest.importorskip("sentencepiece")
@@ -69,3 +69,39 @@ def test_columns(spark, both):
     assert d[1].ids_sha256 == hashlib.sha256(",".join(map(str, sp.encode("one two"))).encode()).hexdigest()
     assert d[1].decoded_sha256 == hashlib.sha256(b"one two").hexdigest() and d[None].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert token_digests(df.limit(0), c.vocabulary).count() == 0
+
+
+def test_encoding_and_decoding_share_a_worker(spark, both):
+    """Chained, the two steps held two Python workers a core; few kept segments change no result."""
+    import corpus_pipeline
+    from sparkfolio.llm.pieces import FEW_SEGMENTS, MAX_SEGMENTS
+
+    c, sp = both
+    texts = [*HARD, None, "a\u2581b", "a b"]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    assert corpus_pipeline.encoding(spark, df, "")._jdf.queryExecution().executedPlan().toString().count("MapInArrow ") == 1
+    got = {r.doc_id: r for r in encode_and_compare(df, c.vocabulary).collect()}
+    assert all(got[i].ids == sp.encode(t or "") and got[i].exact == (sp.decode(got[i].ids) == (t or "")) for i, t in enumerate(texts)) and len(got) == len(texts)
+    assert not got[len(texts) - 2].exact and got[len(texts) - 1].exact
+    few = Codec(c.vocabulary, 3)
+    assert FEW_SEGMENTS < MAX_SEGMENTS and all(few.encode(t or "") == c.encode(t or "") for t in texts) and len(few.kept) <= 3
+
+
+def test_workers_keep_no_codec(spark, both):
+    """A worker stays for later stages, so what encoding built goes when its task ends."""
+    import pyarrow as pa
+
+    from sparkfolio.llm import pieces
+
+    c, _ = both
+    docs = spark.createDataFrame([("a b",)], "text string")
+
+    class Shown:
+        columns, schema = docs.columns, docs.schema
+
+        def mapInArrow(self, run, _):
+            return run
+
+    run = encode_and_compare(Shown(), c.vocabulary)
+    out = list(run(iter([pa.RecordBatch.from_pydict({"text": ["a b", None]})])))
+    assert sum(b.num_rows for b in out) == 2 and not pieces._codecs
