@@ -157,13 +157,16 @@ def _skills_map(n):
 
 def _cv(t) -> DataFrame:
     """``cv_flat`` as nested records (the schema of ``sparkfolio.schemas.CV``)."""
-    from sparkfolio.functions.text import clean_blanks, drop_bullet, strip, word_count
+    from sparkfolio.functions.text import clean_blanks, drop_bullet, one_blank, strip, word_count
+    from sparkfolio.functions.arrays import sealed
     from sparkfolio.operators.records import cv_record
 
-    flat = t.cv_text
+    stated = t.cv_text
+    flat = sealed(stated.withColumn("text", clean_blanks(F.col("text"))))  # cleaned once, not in each column that reads it
+    flat = sealed(flat.withColumn("_words", word_count(F.col("text"))))
     ym = lambda y, m: F.format_string("%d-%02d", F.col(y), F.col(m))
     mon = lambda c: F.split_part(F.lit(_MONTHS), F.lit(","), F.col(c))
-    lines = F.transform(F.split(F.regexp_replace(F.col("body"), r"[ \t]+", " "), "\n"),
+    lines = F.transform(F.split(one_blank(F.col("body")), "\n"),
                         lambda x: drop_bullet(F.concat(F.lit("- "), strip(x))))
 
     def exp(i, start, end, months, current, period, bullets):
@@ -210,15 +213,15 @@ def _cv(t) -> DataFrame:
         lambda x: x.isNotNull())
     languages = F.filter(F.array(F.when(F.col("n_lang") >= 1, "Français"), F.when(F.col("n_lang") >= 2, "Anglais")),
                          lambda x: x.isNotNull())
-    raw = clean_blanks(F.col("text"))
+    raw = F.col("text")
     return cv_record(
         flat, doc_id=F.col("doc_id"),
         header=F.struct("name", "title", "email", "phone", F.col("city").alias("location"),
                         F.col("postal").alias("postal_code"), "github", "linkedin"),
         summary=F.col("summary"), skills=_skills_map(F.col("n_skill")), experience=experience,
         education=education, projects=projects, languages=languages, raw_text=raw,
-        layout_detected=F.col("layout"), word_count=word_count(raw), extraction_method=F.col("method"),
-        extraction_confidence=F.round(F.least(F.lit(1.0), word_count(raw) / 450), 2))
+        layout_detected=F.col("layout"), word_count=F.col("_words"), extraction_method=F.col("method"),
+        extraction_confidence=F.round(F.least(F.lit(1.0), F.col("_words") / 450), 2))
 
 
 FRAMES = {"cv": _cv}

@@ -24,7 +24,7 @@ _STRS = "array<string>"
 
 def text_lines(text: Column) -> Column:
     """Lines of a plain text as array<struct<text,size,bold,x0,top,col>> (uniform typography)."""
-    flat = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    flat = F.regexp_replace(tx.one_blank(text), r"\n{3,}", "\n\n")
     return F.transform(F.split(flat, "\n"), lambda t, i: F.struct(
         t.alias("text"), F.lit(12.0).alias("size"), F.lit(False).alias("bold"), F.lit(0.0).alias("x0"),
         (i * 15).cast("double").alias("top"), F.lit("full").alias("col")))
@@ -439,7 +439,7 @@ def enrich(cv: DataFrame, current_year: int = 2026, entities: Column | None = No
     """
     c = F.col
     places = entities if entities is not None else F.array().cast(_STRS)
-    cv = cv.withColumn("raw_text", tx.clean_blanks(c("raw_text")))
+    cv = sealed(cv.withColumn("raw_text", tx.clean_blanks(c("raw_text"))))  # several columns read it
     cv = cv.withColumn("sections", section_map(c("header"), c("summary"), c("experience"), c("education"),
                                                c("skills"), c("projects"), c("languages")))
     months = F.aggregate(c("experience"), F.lit(0), lambda a, e: a + F.coalesce(e["duration_months"], F.lit(0)))

@@ -129,3 +129,23 @@ def test_title_case(spark):
 def test_ranked_terms_like_counter(spark, tokens, k):
     got = one(spark, terms(ranked_terms(F.col("t"), k)), t=tokens)
     assert got == [w for w, _ in Counter(tokens).most_common(k)]
+
+
+def test_blanks_are_cleaned_as_by_plain_patterns(spark):
+    """Only what needs it is replaced: single blanks are no match, and a text without double blanks, tabs or lines is not searched by pattern."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from sparkfolio.functions import text as tx
+
+    texts = ["", " ", "a b", "a  b\t c \t\td", "\t", "a\n\n\n\nb  c", "\n\n\na\n\n", " a\u00a0 b ", "x\n \n\n y", None, "a\t\n\n\n \nb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.clean_blanks(F.col("t")).alias("c"), tx.words(F.col("t")).alias("w"))
+    for r in rows.collect():
+        if r.t is None:
+            assert r.c is None and r.w is None
+            continue
+        assert r.c == re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", r.t)).strip(" \t\n\r\f\x0b")
+        assert r.w == [x for x in re.split(r"[ \t\n\u00a0]+", r.t) if x]
+    plan = spark.range(1).select(tx.words(F.col("id").cast("string")).alias("w"), tx.one_blank(F.lit("a b").cast("string")).alias("b"))
+    assert "translate(" not in plan._jdf.queryExecution().analyzed().toString()
