@@ -165,10 +165,13 @@ def score_candidates(cv: DataFrame, first: DataFrame, listings: DataFrame,
     packed = (first.join(jd.select("listing_id", "keywords"), "listing_id").groupBy("doc_id").agg(
         F.collect_list(F.struct("listing_id", "source", "query_ord", "source_ord", "r", "shown", "keywords",
                                 F.coalesce("semantic", F.lit(0.0)).alias("semantic"))).alias("c")))
-    rec = cv.select("doc_id", F.lower("raw_text").alias("low"),
-                    kw.structure_score(F.col("sections"), F.col("skills_flat")).alias("structure"))
-    rows = packed.join(rec, "doc_id").select("doc_id", "low", "structure", F.explode("c").alias("x"))
-    rows = sealed(rows.select("doc_id", "structure", "x", kw.matched(F.col("x.keywords"), F.col("low")).alias("hit")))
+    structure = F.col("structure") if "structure" in cv.columns else kw.structure_score(F.col("sections"), F.col("skills_flat"))
+    rec = cv.select("doc_id", F.lower("raw_text").alias("low"), structure.alias("structure"))
+    # A keyword that several candidates share is looked for once, and the text does not leave its row.
+    words = F.array_distinct(F.flatten(F.transform("c", lambda x: x["keywords"])))
+    rows = sealed(packed.join(rec, "doc_id").select("doc_id", "structure", "c", kw.matched(words, F.col("low")).alias("found")))
+    rows = rows.select("doc_id", "structure", "found", F.explode("c").alias("x"))
+    rows = sealed(rows.select("doc_id", "structure", "x", F.array_intersect("x.keywords", "found").alias("hit")))
     n = F.size("x.keywords")
     keyword = F.when(n > 0, F.size("hit") / n).otherwise(0.5)
     return rows.select(
@@ -206,12 +209,21 @@ def match_summary(scored: DataFrame, ranked: DataFrame) -> DataFrame:
     return seen.join(counts, "doc_id")
 
 
+def needed_of(cv: DataFrame, region: Column | None = None) -> DataFrame:
+    """What matching reads of a record, with its structure score and the region it searches: a record's long expressions are evaluated once."""
+    region = region if region is not None else F.lit(None).cast("string")
+    return cv.select("doc_id", "job_title", "skills_flat", "sector", "postal_code", "location", "raw_text",
+                     kw.structure_score(F.col("sections"), F.col("skills_flat")).alias("structure"), region.alias("region"))
+
+
 def scored_candidates(cv: DataFrame, listings: DataFrame, max_results: int = 20, region: Column | None = None, fields: tuple[str, ...] = SEARCHED,
                       semantic: DataFrame | None = None, embed: sm.Embed | None = hashed_embedding, store: VectorStore | None = None,
                       places: DataFrame | None = None) -> DataFrame:
     """Scores of the listings that each record's searches show.  The semantic part comes from ``semantic``, or else from texts embedded by
-    ``embed`` (each distinct one once, kept in ``store``); with neither it is 0.  Searches and shown pairs are read several times, so they are written once."""
-    searches = persisted(search_table(cv, max_results, region), "searches")
+    ``embed`` (each distinct one once, kept in ``store``); with neither it is 0.  What is needed of the records, searches and shown pairs are read
+    several times, so they are written once."""
+    cv = persisted(needed_of(cv, region), "records")
+    searches = persisted(search_table(cv, max_results, F.col("region")), "searches")
     searches = persisted(settled(searches, listings, places), "settled")
     first = persisted(first_shown(candidates(searches, answer_searches(searches, listings, max_results, fields, places), listings)), "shown")
     if semantic is None and embed is not None:

@@ -343,3 +343,30 @@ def test_reading_order(spark):
     assert got == [(p, a, c) for p in (0, 1) for a, c in ((10.0, "full"), (30.0, "left"), (20.0, "right"), (30.0, "right"))]
     assert [r.pos for r in placed.filter("doc_id = 2").collect()] == [1]
     assert placed.columns == ["doc_id", "page", "anchor", "col", "pos"]
+
+
+def test_matching_evaluates_records_once(spark, monkeypatch):
+    """A record's long expressions are read for matching once, and a keyword of several candidates is looked for once, in rank order."""
+    from pyspark.sql import functions as F
+
+    from sparkfolio.operators import matching as mt
+
+    written = []
+    plain = mt.persisted
+    monkeypatch.setattr(mt, "persisted", lambda df, name: written.append(name) or plain(df, name))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    cv = spark.createDataFrame([(1, "welder", ["steel"], None, None, "Lyon", "Steel and iron welder", {"skills": "steel"}), (2, "welder", [], None, None, "Lyon", "Tin", {})],
+                               "doc_id long, job_title string, skills_flat array<string>, sector string, postal_code string, location string, raw_text string, sections map<string,string>")
+    cv = cv.withColumn("raw_text", counted.asNondeterministic()("raw_text"))
+    jobs = spark.createDataFrame([(i, "welder", "Lyon", f"iron steel brass iron {w}", f"u{i}", "adzuna") for i, w in enumerate(["zinc", "tin", "zinc"])],
+                                 "listing_id long, title string, location string, description string, url string, source string")
+    got = mt.scored_candidates(cv, jobs, embed=None).collect()
+    assert written[0] == "records" and seen.value == 2
+    assert len(got) == 6 and all(list(r.matched) == (["iron", "steel"] if r.doc_id == 1 else ["tin"] if r.listing_id == 1 else []) for r in got)
+    assert all(len(r.matched) + len(r.missing) == 4 for r in got)
