@@ -75,8 +75,7 @@ def _(t):
 
 
 def _lines(t):
-    w = words_of(t)
-    return lo.assemble_lines(w, lo.gutters(w))
+    return lo.assemble_lines(words_of(t))
 
 
 @query("a18_line_assembly", f"WITH {_GUT} SELECT doc_id, page, anchor, col, text, size, bold, x0, top FROM li")
@@ -98,8 +97,7 @@ def _(t):
 @query("w6_top_lines", f"""WITH {_GUT}, tl AS (SELECT doc_id, list_sort(list(top)) AS ts FROM li GROUP BY doc_id), th AS (SELECT doc_id, ts[1 + CAST(floor(len(ts) * 0.12) AS INT)] AS head_top FROM tl)
    SELECT li.doc_id, page, col, anchor FROM li JOIN th USING (doc_id) WHERE top <= head_top""")
 def _(t):
-    lines = _lines(t)
-    return lines.join(lo.head_threshold(lines), "doc_id").filter(F.col("top") <= F.col("head_top")).select("doc_id", "page", "col", "anchor")
+    return lo.top_lines(_lines(t))
 
 
 @query("s2_word_records", f"WITH {_GUT} SELECT gu.doc_id, CASE WHEN gutter IS NULL THEN 'single_column' ELSE 'two_columns' END AS layout, {WC.replace('text', 'd.text')} AS word_count FROM gu JOIN documents d ON d.doc_id = gu.doc_id")

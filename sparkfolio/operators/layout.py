@@ -1,7 +1,7 @@
 """Line and word tables: sections, columns, reading order.
 
-Per-document facts come from partial aggregates over distinct coordinates, which a page bounds,
-so a document or source holding very many words is never gathered whole.
+The layout alone comes from partial aggregates over distinct coordinates, which a page bounds. Lines are assembled in one row
+for each document, so that words are moved once; a document's words are taken to fit a row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions import contact
 from sparkfolio.functions import text as tx
+from sparkfolio.functions.arrays import cut_at, int_range, let, ranked_terms, sealed, terms
 
 
 def carry_sections(lines: DataFrame, key: str, line_no: str, mark: Column) -> DataFrame:
@@ -73,25 +74,79 @@ def line_anchors(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
         "doc_id", "page", F.col("z.tops").alias("top"), F.col("z.anchors").alias("anchor"))
 
 
-def assemble_lines(words: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+def with_layout(words: DataFrame) -> DataFrame:
+    """(doc_id, ws, gutter, body_top, layout): the words of each document in one row, by page, height and place, with the layout that ``gutters`` tells.
+
+    Words are moved once; what is known of a document then stands in its row and meets its words there. Words without a document are left out.
+    """
+    bold = F.contains(F.lower(F.coalesce("fontname", F.lit(""))), F.lit("bold"))
+    word = F.struct("page", "top", "x0", "text", "size", bold.alias("bold"))
+    placed = words.filter("doc_id is not null").select("doc_id", word.alias("w"), F.coalesce("x1", "x0").alias("right"), F.coalesce("bottom", F.col("top") + 12).alias("bottom"))
+    docs = placed.repartition("doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list("w")).alias("ws"), F.max("right").alias("width"), (F.max("bottom") * 0.20).alias("body_top"))
+    starts = F.transform(F.filter("ws", lambda w: w["top"] > F.col("body_top")), lambda w: F.round(w["x0"], 1))
+    docs = sealed(docs.select("doc_id", "ws", "body_top", let(starts, lambda xs: gutter_of(xs, F.col("width"))).alias("gutter")))
+    return docs.withColumn("layout", F.when(F.col("gutter").isNotNull(), "two_columns").otherwise("single_column"))
+
+
+def gutter_of(xs: Column, width: Column, min_gap: float = 25.0) -> Column:
+    """The gutter that ``gutters`` finds for word starts ``xs`` below the page head; null for a single column."""
+    def wide(c):
+        gaps = F.transform(int_range(F.lit(1), F.size(c) - 1), lambda i: F.struct(
+            F.round(F.get(c, i) - F.get(c, i - 1), 6).alias("gap"), (-F.get(c, i - 1)).alias("first"), ((F.get(c, i - 1) + F.get(c, i)) / 2).alias("middle")))
+        return let(F.array_max(gaps), lambda g: F.when(g["gap"] >= min_gap, g["middle"]))
+
+    def both(g):
+        left = F.size(F.filter(xs, lambda x: x < g))
+        return F.when((F.size(xs) >= 5) & (left >= F.size(xs) * 0.10) & (F.size(xs) - left >= F.size(xs) * 0.10), g)
+
+    central = F.array_sort(F.array_distinct(F.filter(xs, lambda x: (x >= width * 0.15) & (x <= width * 0.85))))
+    return let(let(central, wide), both)
+
+
+def lines_of_page(ws: Column, tolerance: float = 3.0) -> Column:
+    """array<array<word>>: the sorted words of a page cut into lines, as ``line_anchors`` tells them apart."""
+    begin = F.struct(F.lit(None).cast("double").alias("a"), F.lit(1).alias("i"), F.array().cast("array<int>").alias("at"))
+
+    def step(s, w):
+        t = w["top"]
+        new = s["a"].isNull() | ((t - s["a"] > tolerance) & (t != s["a"]))
+        return F.when(new, F.struct(t.alias("a"), (s["i"] + 1).alias("i"), F.concat(s["at"], F.array(s["i"])).alias("at"))).otherwise(
+            F.struct(s["a"].alias("a"), (s["i"] + 1).alias("i"), s["at"].alias("at")))
+
+    return let(F.aggregate(ws, begin, step)["at"], lambda at: cut_at(ws, at))
+
+
+def cut_lines(ws: Column, gutter: Column, body_top: Column) -> Column:
+    """array<struct<page, anchor, col, ws>>: the lines of a document's sorted words; those below the page head are cut at the gutter into left and
+    right. Words without page or height are in no line."""
+    def pages(w):
+        return let(F.filter(int_range(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1)["page"] != F.get(w, i - 2)["page"])), lambda at: cut_at(w, at))
+
+    def sides(x):
+        first = F.get(x, F.lit(0))
+        part = lambda col, ws: F.struct(first["page"].alias("page"), first["top"].alias("anchor"), F.lit(col).alias("col"), ws.alias("ws"))
+        in_left = lambda w: F.coalesce(w["x0"] < gutter, F.lit(False))
+        cut = F.array(part("left", F.filter(x, in_left)), part("right", F.filter(x, lambda w: ~in_left(w))))
+        return F.when(gutter.isNull() | (first["top"] < body_top), F.array(part("full", x))).otherwise(F.filter(cut, lambda p: F.size(p["ws"]) > 0))
+
+    lines = let(F.filter(ws, lambda w: w["page"].isNotNull() & w["top"].isNotNull()), lambda w: F.flatten(F.transform(pages(w), lambda p: lines_of_page(p))))
+    return F.flatten(F.transform(lines, sides))
+
+
+def line_fields(ws: Column) -> dict[str, Column]:
+    """text, size, bold, x0, top of a line from its words, joined left to right."""
+    parts = F.sort_array(F.transform(ws, lambda w: F.struct(w["x0"], w["top"], w["text"].alias("text"))))
+    return {"text": F.trim(F.array_join(parts["text"], " ")), "size": F.coalesce(F.array_max(ws["size"]), F.lit(10.0)),
+            "bold": F.exists(ws, lambda w: w["bold"]), "x0": F.array_min(ws["x0"]), "top": F.array_min(ws["top"])}
+
+
+def assemble_lines(words: DataFrame) -> DataFrame:
     """(doc_id, page, anchor, col, text, size, bold, x0, top): words of a line joined left to right.
 
-    With a layout, lines below the page head are cut at the gutter into left and right.
+    Lines below the page head are cut at the document's gutter into left and right.
     """
-    w = words.join(line_anchors(words), ["doc_id", "page", "top"])
-    if layout is not None:
-        w = w.join(layout.select("doc_id", "gutter", "body_top"), "doc_id")
-        col = F.when(F.col("gutter").isNull() | (F.col("anchor") < F.col("body_top")), "full").when(
-            F.col("x0") < F.col("gutter"), "left").otherwise("right")
-    else:
-        col = F.lit("full")
-    w = w.withColumn("col", col)
-    parts = F.sort_array(F.collect_list(F.struct("x0", "top", "text")))
-    return w.groupBy("doc_id", "page", "anchor", "col").agg(
-        F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("text"),
-        F.coalesce(F.max("size"), F.lit(10.0)).alias("size"),
-        F.bool_or(F.contains(F.lower(F.coalesce("fontname", F.lit(""))), F.lit("bold"))).alias("bold"),
-        F.min("x0").alias("x0"), F.min("top").alias("top"))
+    lines = with_layout(words).select("doc_id", F.inline(cut_lines(F.col("ws"), F.col("gutter"), F.col("body_top"))))
+    return lines.select("doc_id", "page", "anchor", "col", *(c.alias(n) for n, c in line_fields(F.col("ws")).items()))
 
 
 def reading_key(body_top: Column | None = None) -> Column:
@@ -124,22 +179,40 @@ def head_threshold(lines: DataFrame, share: float = 0.12) -> DataFrame:
     return cum.filter(F.col("c") >= F.floor(F.col("total") * share) + 1).groupBy("doc_id").agg(F.min("top").alias("head_top"))
 
 
+def top_lines(lines: DataFrame, share: float = 0.12) -> DataFrame:
+    """(doc_id, page, col, anchor) of the lines at the top of their document (``head_threshold``). Only the places of lines are gathered."""
+    placed = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("top", "page", "col", "anchor"))).alias("ls"))
+    return placed.select("doc_id", F.inline(at_top(F.col("ls"), share))).select("doc_id", "page", "col", "anchor")
+
+
+def at_top(lines: Column, share: float = 0.12) -> Column:
+    """Of one document's lines, sorted by ``top``, those up to the height that ``head_threshold`` tells."""
+    head = F.array_min(F.slice(lines["top"], F.floor(F.size(lines) * share).cast("int") + 1, F.size(lines)))
+    return let(head, lambda h: F.filter(lines, lambda x: x["top"] <= h))
+
+
 def document_lines(words: DataFrame) -> DataFrame:
-    """(doc_id, lines, head_lines, body_size, layout): each document's lines in reading order.
+    """(doc_id, lines, top_lines, body_size, layout): each document's lines in reading order.
 
     A document is one record, so its assembled lines are gathered in one row for parsing;
-    ``head_lines`` are the header candidates of two-column documents, by height.
+    ``top_lines`` are the header candidates of two-column documents, by height.
     """
-    layout = gutters(words)
-    lines = assemble_lines(words, layout).withColumn("key", reading_key())
-    head = head_threshold(lines)
-    size = body_sizes(lines, F.col("key"))
-    line = F.struct(F.col("text"), F.col("size"), F.col("bold"), F.col("x0"), F.col("top"), F.col("col"))
-    packed = lines.join(head, "doc_id").groupBy("doc_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col("key"), line.alias("line")))), lambda x: x["line"]).alias("lines"),
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("top") <= F.col("head_top"), F.struct(
-            F.col("top"), F.col("key"), line.alias("line"))))), lambda x: x["line"]).alias("top_lines"))
-    return packed.join(size, "doc_id").join(layout.select("doc_id", "layout"), "doc_id")
+    def placed(x):
+        f = {n: c.alias(n) for n, c in line_fields(x["ws"]).items()}
+        zone = F.when(x["col"] == "full", 0).when(x["col"] == "left", 1).otherwise(2)
+        return F.struct(F.struct(x["page"].alias("page"), zone.alias("zone"), x["anchor"].alias("anchor")).alias("key"),
+                        F.struct(f["text"], f["size"], f["bold"], f["x0"], f["top"], x["col"].alias("col")).alias("line"))
+
+    cut = F.transform(cut_lines(F.col("ws"), F.col("gutter"), F.col("body_top")), placed)
+    docs = sealed(with_layout(words).select("doc_id", "layout", F.sort_array(cut).alias("ls"))).filter(F.size("ls") > 0)
+    by_height = F.sort_array(F.transform("ls", lambda x: F.struct(x["line"]["top"].alias("top"), x["key"].alias("key"), x["line"].alias("line"))))
+    return sealed(docs.select("doc_id", F.col("ls.line").alias("lines"), at_top(by_height)["line"].alias("top_lines"), body_size_of(F.col("ls.line")).alias("body_size"), "layout"))
+
+
+def body_size_of(lines: Column) -> Column:
+    """What ``body_sizes`` tells of one document's lines in reading order."""
+    sizes = F.transform(F.filter(lines, lambda x: (F.trim(x["text"]) != "") & (x["size"] > 0)), lambda x: F.round(x["size"], 1))
+    return F.coalesce(F.get(terms(ranked_terms(sizes, 1)), F.lit(0)), F.lit(10.0))
 
 
 def band_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, width: float) -> DataFrame:

@@ -370,3 +370,31 @@ def test_matching_evaluates_records_once(spark, monkeypatch):
     assert written[0] == "records" and seen.value == 2
     assert len(got) == 6 and all(list(r.matched) == (["iron", "steel"] if r.doc_id == 1 else ["tin"] if r.listing_id == 1 else []) for r in got)
     assert all(len(r.matched) + len(r.missing) == 4 for r in got)
+
+
+def test_words_move_once_to_their_lines(spark):
+    schema = "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double, size double, fontname string"
+    rows = []
+    for page in (0, 1):
+        for i in range(12):
+            rows += [(1, page, f"l{i}", 50.0, 60.0, 100.0 + 20 * i, 110.0 + 20 * i, 10.0, None), (1, page, f"r{i}", 300.0, 420.0, 102.0 + 20 * i, 112.0 + 20 * i, 12.0, "X-Bold"),
+                     (1, page, f"m{i}", 120.0, 130.0, 101.0 + 20 * i, 111.0 + 20 * i, 10.0, None)]
+    rows += [(1, 0, "nowhere", 60.0, 70.0, None, None, 10.0, None), (1, None, "loose", 60.0, 70.0, 110.0, 120.0, 10.0, None), (2, 0, "alone", None, None, 10.0, 20.0, None, None)]
+    words = spark.createDataFrame(rows, schema)
+    lines = lo.assemble_lines(words)
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.doc_id, r.page, r.anchor, r.col): (r.text, r.size, r.bold, r.x0, r.top) for r in lines.collect()}
+    want = {(2, 0, 10.0, "full"): ("alone", 10.0, False, None, 10.0)}
+    for page in (0, 1):
+        for i in range(12):
+            want[1, page, 100.0 + 20 * i, "left"] = (f"l{i} m{i}", 10.0, False, 50.0, 100.0 + 20 * i)
+            want[1, page, 100.0 + 20 * i, "right"] = (f"r{i}", 12.0, True, 300.0, 102.0 + 20 * i)
+    assert got == want
+    head = {tuple(r) for r in lo.top_lines(lines).collect()}
+    by_hand = {tuple(r) for r in lines.join(lo.head_threshold(lines), "doc_id").filter("top <= head_top").select("doc_id", "page", "col", "anchor").collect()}
+    assert head == by_hand and len(head) == 1 + 6
+    docs = lo.document_lines(words)
+    assert docs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    doc = {r.doc_id: r for r in docs.collect()}
+    assert [x.text for x in doc[1].lines] == [t for page in (0, 1) for side in ("l{0} m{0}", "r{0}") for t in map(side.format, range(12))]
+    assert doc[1].layout == "two_columns" and doc[1].body_size == 10.0 and doc[2].layout == "single_column"
