@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from sparkfolio.functions import text as tx
 from sparkfolio.functions.arrays import int_range, let
 from sparkfolio.functions.embedding import hashed_embedding
+from sparkfolio.functions.vectors import dot
 from sparkfolio.operators import vectorjoin as vj
 from sparkfolio.session import persisted
 from sparkfolio.sources.vector_store import VectorStore
@@ -67,10 +65,10 @@ def vectors_of(texts: DataFrame, embed: Embed = hashed_embedding, max_words: int
     return store.read()
 
 
-@F.pandas_udf(DoubleType())
-def _dot(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([float(np.dot(x.astype(np.float64), y.astype(np.float64))) if x is not None and y is not None and len(x) == len(y) else 0.0
-                      for x, y in zip(a, b, strict=True)])
+def _dot(a: Column, b: Column) -> Column:
+    """Dot product of a row's vectors, where they stand: pairs are many and their vectors long, so none goes to Python. 0 where one is null or their
+    lengths differ."""
+    return F.when(F.size(a) == F.size(b), dot(a, b)).otherwise(F.lit(0.0))
 
 
 def pair_similarity(pairs: DataFrame, cv: DataFrame, listings: DataFrame, embed: Embed = hashed_embedding, max_words: int = MAX_WORDS,
@@ -88,7 +86,7 @@ def pair_similarity(pairs: DataFrame, cv: DataFrame, listings: DataFrame, embed:
     keyed = pairs.join(jobs.select("listing_id", F.col("key").alias("job_key")), "listing_id").join(docs.select("doc_id", F.col("key").alias("doc_key")), "doc_id")
     met = (keyed.join(vectors.select(F.col("key").alias("job_key"), F.col("vector").alias("b")), "job_key", "left")
            .join(vectors.select(F.col("key").alias("doc_key"), F.col("vector").alias("a")), "doc_key", "left"))
-    return met.select("doc_id", "listing_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot("a", "b"))).alias("semantic"))
+    return met.select("doc_id", "listing_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(F.col("a"), F.col("b")))).alias("semantic"))
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 2) -> DataFrame:

@@ -173,3 +173,15 @@ def test_skills_from_lines(spark):
     for bound in (100, 0):
         got = {(r.owner, r.phrase): round(r.sim, 4) for r in sm.semantic_skills_from_text(docs, phrases, 0.8, max_broadcast=bound).collect()}
         assert got == {(1, 7): round(3 / math.sqrt(12), 4), (4, 7): round(2 / math.sqrt(6), 4), (4, 8): round(3 / math.sqrt(12), 4)}
+
+
+def test_dot_products_stay_in_the_row(spark):
+    """Lengths may differ from row to row, rows may be null, empty or of two lengths; no pair's vectors go to Python."""
+    from pyspark.sql import functions as F
+
+    from sparkfolio.operators.semantic import _dot
+
+    rows = [(1, [1.0, 2.0], [3.0, 4.0]), (2, None, [1.0]), (3, [], []), (4, [1.0, 2.0], [1.0]), (5, [0.5], [4.0]), (6, [1.0, 0.0, 2.0], [5.0, 7.0, -1.0]), (7, None, None)]
+    shown = spark.createDataFrame(rows, "i int, a array<float>, b array<float>").select("i", _dot(F.col("a"), F.col("b")).alias("d"))
+    assert "EvalPython" not in shown._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: r.d for r in shown.collect()} == {1: 11.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 2.0, 6: 3.0, 7: 0.0}
