@@ -65,3 +65,31 @@ def test_edges(spark):
     same = [(i, 1, [1.0, 2.0]) for i in range(50)] + [(50, 2, [1.0, 2.0]), (51, None, None)]
     got = {r.vec_id: tuple(r)[1:] for r in vectors.near_vectors(spark.createDataFrame(same, schema)).collect()}
     assert got == {**{i: (49, 0, i == 0) for i in range(50)}, 50: (0, 50, True), 51: (0, 51, True)}
+
+
+def test_copies_follow_blocks(spark, monkeypatch):
+    """Random vectors, where no cell can be ruled out: each is sent once for each block of its label, and no block is larger than BLOCK."""
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    g, keep, sent = np.random.default_rng(7), vectors._met, spark.sparkContext.accumulator(0)
+
+    def counting(t, threshold):
+        assert len(t) <= 2 * 100 * 1.5  # parts are dealt by a hash
+        sent.add(len(t))
+        return keep(t, threshold)
+
+    monkeypatch.setattr(vectors, "_met", counting)
+    rows = [(i, "a", [float(x) for x in g.normal(size=32)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    assert sorted(tuple(r) for r in vectors.near_vectors(df, cell=200).collect()) == brute(rows)
+    assert sent.value <= 600 * 9
+
+
+def test_links_across_blocks_and_tiles(spark, monkeypatch):
+    """Floats, one label, one great cluster beside loose vectors; blocks and tiles far smaller than the label."""
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    monkeypatch.setattr(vectors, "TILE", (7, 5))
+    g = np.random.default_rng(8)
+    centre = g.normal(size=16)
+    rows = [(i, "a", [float(np.float32(x)) for x in (centre + g.normal(size=16) * 0.2 if i % 2 else g.normal(size=16))]) for i in range(160)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    assert sorted(tuple(r) for r in vectors.near_vectors(df, cell=40).collect()) == brute(rows)
