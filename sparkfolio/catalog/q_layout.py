@@ -14,6 +14,7 @@ from sparkfolio.catalog.registry import query
 from sparkfolio.functions import contact
 from sparkfolio.functions import skills as sk
 from sparkfolio.functions import text as tx
+from sparkfolio.operators import keywords as kw
 from sparkfolio.operators import layout as lo
 from sparkfolio.operators import lexicon_build as lb
 from sparkfolio.operators import records as rec
@@ -170,7 +171,7 @@ def _(t):
 @query("u7_ordered_distinct", r"""WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(replace(text, chr(160), ' '), '\S+') AS ws FROM documents)),
    f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY doc_id, w) SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id""")
 def _(t):
-    return t.documents.select("doc_id", F.array_join(F.array_distinct(tx.words(F.col("text"))), " ").alias("words"))
+    return kw.ordered_distinct(t.documents)
 
 
 _ACT = ", ".join("'" + w.replace("'", "''") + "'" for w in lx.action_words())

@@ -398,3 +398,17 @@ def test_words_move_once_to_their_lines(spark):
     doc = {r.doc_id: r for r in docs.collect()}
     assert [x.text for x in doc[1].lines] == [t for page in (0, 1) for side in ("l{0} m{0}", "r{0}") for t in map(side.format, range(12))]
     assert doc[1].layout == "two_columns" and doc[1].body_size == 10.0 and doc[2].layout == "single_column"
+
+
+def test_ordered_distinct_words_of_odd_rows(spark, tmp_path):
+    """As the SQL has it: keys without words have no row, texts of a repeated key count as one, a vertical tab is no blank."""
+    import duckdb
+
+    from sparkfolio.catalog import load
+
+    runs, sql = (x["u7_ordered_distinct"] for x in load())
+    rows = [(1, "b a b\tc"), (2, None), (3, ""), (4, " \u00a0\n"), (5, "x\x0by x\x0by \x85 z"), (6, "k l k m"), (6, "k l n m o o p"), (None, "r s"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(sql.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in runs(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and (6, "k l n m o p") in got and len(got) == 4
