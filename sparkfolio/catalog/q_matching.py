@@ -263,35 +263,39 @@ def _places(t):
     return t.spark.createDataFrame([(name, *rest) for name, *rest in TOWNS], "name string, department string, lat double, lon double").withColumn("id", F.col("name"))
 
 
-def _match_parts(t):
-    return mt.match_report(t.cv, t.listing, embed=_embed, places=_places(t))
+def _matches(t):
+    return mt.find_matching_jobs(t.cv, t.listing, embed=_embed, places=_places(t))
+
+
+def _scored(t):
+    return mt.scored_candidates(t.cv, t.listing, embed=_embed, places=_places(t))
 
 
 @query("m4_find_matching_jobs", f"""WITH {MATCH} SELECT doc_id, listing_id, source, round(semantic, 5) AS semantic, round(keyword, 6) AS keyword,
    round(structure, 6) AS structure, overall, rank FROM fm""", uses=("cv_text", "listing"))
 def _(t):
-    return mt.find_matching_jobs(t.cv, t.listing, embed=_embed, places=_places(t)).select(
+    return _matches(t).select(
         "doc_id", "listing_id", "source", F.round("semantic", 5).alias("semantic"), F.round("keyword", 6).alias("keyword"), F.round("structure", 6).alias("structure"), "overall", "rank")
 
 
 @query("j5_scored_pairs", f"WITH {MATCH} SELECT doc_id, listing_id, overall FROM so", uses=("cv_text", "listing"))
 def _(t):
-    return _match_parts(t)[0].select("doc_id", "listing_id", "overall")
+    return _scored(t).select("doc_id", "listing_id", "overall")
 
 
 @query("w10_rank_listings", f"WITH {MATCH} SELECT doc_id, listing_id, rank FROM ra", uses=("cv_text", "listing"))
 def _(t):
-    return mt.rank_matches(_match_parts(t)[0], min_score=-1.0).select("doc_id", "listing_id", "rank")
+    return mt.rank_matches(_scored(t), min_score=-1.0).select("doc_id", "listing_id", "rank")
 
 
 @query("p20_min_score_fallback", f"WITH {MATCH} SELECT doc_id, listing_id, overall FROM fm", uses=("cv_text", "listing"))
 def _(t):
-    return _match_parts(t)[1].select("doc_id", "listing_id", "overall")
+    return _matches(t).select("doc_id", "listing_id", "overall")
 
 
 @query("t7_top_matches", f"WITH {MATCH} SELECT doc_id, listing_id, rank, overall FROM fm WHERE rank <= 10", uses=("cv_text", "listing"))
 def _(t):
-    return mt.top_matches(_match_parts(t)[1]).select("doc_id", "listing_id", "rank", "overall")
+    return mt.top_matches(_matches(t)).select("doc_id", "listing_id", "rank", "overall")
 
 
 @query("a14_match_summary", f"""WITH {MATCH}, a AS (SELECT doc_id, CAST(sum(shown) - count(*) AS BIGINT) AS duplicates_removed,
@@ -300,7 +304,7 @@ def _(t):
    SELECT doc_id, duplicates_removed, few_results, matches, n_adzuna, n_jooble FROM a JOIN b USING (doc_id)""", uses=("cv_text", "listing"))
 def _(t):
     m = F.col("source_counts")
-    return _match_parts(t)[2].select("doc_id", "duplicates_removed", "few_results", "matches",
+    return mt.match_report(t.cv, t.listing, embed=_embed, places=_places(t))[2].select("doc_id", "duplicates_removed", "few_results", "matches",
         F.coalesce(F.try_element_at(m, F.lit("adzuna")), F.lit(0)).alias("n_adzuna"), F.coalesce(F.try_element_at(m, F.lit("jooble")), F.lit(0)).alias("n_jooble"))
 
 

@@ -2,6 +2,8 @@
 
 Records never meet every listing.  Equal searches (query, area) are answered once, each
 answer is cut to the page size the search asks for, and only those listings are scored.
+Records that ask the same are shown the same: what they are shown is found once, with its
+keywords and vectors, and pairs of a record and a listing exist only when they are scored.
 """
 
 from __future__ import annotations
@@ -11,12 +13,12 @@ from pyspark.sql import functions as F
 
 from sparkfolio.functions import contact, search
 from sparkfolio.functions import text as tx
-from sparkfolio.functions.arrays import sealed
+from sparkfolio.functions.arrays import int_range, sealed
 from sparkfolio.functions.embedding import hashed_embedding
 from sparkfolio.operators import keywords as kw
 from sparkfolio.operators import semantic as sm
 from sparkfolio.operators.nearby import within
-from sparkfolio.session import persisted
+from sparkfolio.session import persisted, repeated_apart, small_or_shuffled
 from sparkfolio.sources.listings import source_order
 from sparkfolio.sources.vector_store import VectorStore
 
@@ -26,21 +28,30 @@ TOWN, UNMEASURED = "@", "?"  # keys of a town with coordinates, and of listings
 SEARCHED = ("title", "description")
 
 
-def search_table(cv: DataFrame, max_results: int = 20, region: Column | None = None) -> DataFrame:
-    """(doc_id, query_ord, query, place, distance, area, page) for every search of every record.
+def asking(cv: DataFrame, max_results: int = 20, region: Column | None = None) -> DataFrame:
+    """The records of ``cv`` that search, with ``ask``: their queries in order, place, distance and the page each search gets.
 
     Records without place or query make no search.
     """
     region = region if region is not None else F.lit(None).cast("string")
-    base = cv.select(
-        "doc_id", search.query_variants(F.col("job_title"), F.col("skills_flat"), F.col("sector")).alias("q"),
-        search.search_place(region, F.col("postal_code"), F.col("location")).alias("p"))
-    base = sealed(base)
-    page = F.greatest(F.lit(5), F.floor(F.lit(max_results) / F.size("q"))).cast("int")
-    return (base.filter((F.size("q") > 0) & F.col("p.place").isNotNull())
-            .select("doc_id", "p", page.alias("page"), F.posexplode("q").alias("query_ord", "query"))
-            .select("doc_id", "query_ord", F.lower("query").alias("query"), F.col("p.place").alias("place"), F.col("p.distance").alias("distance"),
-                    search.search_area(F.col("p.place")).alias("area"), "page"))
+    base = sealed(cv.withColumn("_q", search.query_variants(F.col("job_title"), F.col("skills_flat"), F.col("sector")))
+                  .withColumn("_p", search.search_place(region, F.col("postal_code"), F.col("location"))))
+    page = F.greatest(F.lit(5), F.floor(F.lit(max_results) / F.size("_q"))).cast("int")
+    ask = F.struct(F.transform("_q", F.lower).alias("queries"), F.col("_p.place").alias("place"), F.col("_p.distance").alias("distance"), page.alias("page"))
+    return base.filter((F.size("_q") > 0) & F.col("_p.place").isNotNull()).withColumn("ask", ask).drop("_q", "_p")
+
+
+def searches_of(asks: DataFrame) -> DataFrame:
+    """(doc_id, query_ord, query, place, distance, area, page) for every search of ``asks`` (doc_id, ask)."""
+    return (asks.select("doc_id", "ask", F.posexplode("ask.queries").alias("query_ord", "query"))
+            .select("doc_id", "query_ord", "query", F.col("ask.place").alias("place"), F.col("ask.distance").alias("distance"),
+                    search.search_area(F.col("ask.place")).alias("area"), F.col("ask.page").alias("page")))
+
+
+def search_table(cv: DataFrame, max_results: int = 20, region: Column | None = None) -> DataFrame:
+    """(doc_id, query_ord, query, place, distance, area, page) for every search of every record; see ``asking``."""
+    rows = cv.select("doc_id", "job_title", "skills_flat", "sector", "postal_code", "location", *([region.alias("_region")] if region is not None else []))
+    return searches_of(asking(rows, max_results, F.col("_region") if region is not None else None).select("doc_id", "ask"))
 
 
 def towns_named(texts: DataFrame, places: DataFrame) -> DataFrame:
@@ -115,6 +126,7 @@ def answer_searches(searches: DataFrame, listings: DataFrame, max_results: int =
     records, or a title shared by a third of all listings, stays bounded.  Fields that listings lack as columns are passed over.
     """
     queries = searches.select("query", "area").distinct()
+    wanted = small_or_shuffled(queries.select("query").distinct())  # else every phrase of every listing is shuffled
     lengths = sorted(r.n for r in queries.select((F.floor(F.size(tx.text_parts(F.col("query"))) / 2) + 1).alias("n")).distinct().collect())
     keys = persisted(listing_keys(listings, places), "keys")  # a row for each distinct location and key
     asked = queries.join(place_keys(queries.select("area").distinct(), keys, places), "area")
@@ -128,7 +140,7 @@ def answer_searches(searches: DataFrame, listings: DataFrame, max_results: int =
         phrases = more if phrases is None else phrases.unionByName(more)
     if phrases is None:
         phrases = listings.select("listing_id", "source", text, F.lit("").alias("query"), F.lit(0).alias("part")).limit(0)
-    held = phrases.join(queries.select("query").distinct(), "query", "left_semi").join(keys, "text")
+    held = phrases.join(wanted, "query", "left_semi").join(keys, "text")
     found = held.join(asked, ["query", "at"]).groupBy("query", "area", "source", "listing_id").agg(F.min("part").alias("part"))
     order = Window.partitionBy("query", "area", "source").orderBy("part", "listing_id")
     return (found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_results)
@@ -171,14 +183,18 @@ def score_candidates(cv: DataFrame, first: DataFrame, listings: DataFrame,
     words = F.array_distinct(F.flatten(F.transform("c", lambda x: x["keywords"])))
     rows = sealed(packed.join(rec, "doc_id").select("doc_id", "structure", "c", kw.matched(words, F.col("low")).alias("found")))
     rows = rows.select("doc_id", "structure", "found", F.explode("c").alias("x"))
-    rows = sealed(rows.select("doc_id", "structure", "x", F.array_intersect("x.keywords", "found").alias("hit")))
+    return _scores(sealed(rows.select("doc_id", "structure", "x", F.col("x.semantic").alias("semantic"), F.array_intersect("x.keywords", "found").alias("hit"))))
+
+
+def _scores(rows: DataFrame) -> DataFrame:
+    """Scores of (doc_id, structure, x, semantic, hit): x a listing shown, hit those of its keywords that the record holds."""
     n = F.size("x.keywords")
     keyword = F.when(n > 0, F.size("hit") / n).otherwise(0.5)
     return rows.select(
         "doc_id", F.col("x.listing_id").alias("listing_id"), F.col("x.source").alias("source"),
         F.struct("x.query_ord", "x.source_ord", "x.r").alias("seen_ord"), F.col("x.shown").alias("shown"),
-        keyword.alias("keyword"), "structure", F.col("x.semantic").alias("semantic"),
-        kw.overall_score(F.col("x.semantic"), keyword, F.col("structure")).alias("overall"),
+        keyword.alias("keyword"), "structure", "semantic",
+        kw.overall_score(F.col("semantic"), keyword, F.col("structure")).alias("overall"),
         F.slice("hit", 1, 20).alias("matched"),
         F.slice(F.array_except("x.keywords", "hit"), 1, 20).alias("missing"))
 
@@ -216,19 +232,80 @@ def needed_of(cv: DataFrame, region: Column | None = None) -> DataFrame:
                      kw.structure_score(F.col("sections"), F.col("skills_flat")).alias("structure"), region.alias("region"))
 
 
+MAX_WORDS = 1_000_000  # keywords that are broadcast, some 20 MB
+
+
+def _broadcast_below(df: DataFrame, words: str) -> DataFrame:
+    """Broadcast hint only while the lists of ``words`` have few words in all; otherwise the planner decides."""
+    return F.broadcast(df) if (df.agg(F.sum(F.size(words))).first()[0] or 0) <= MAX_WORDS else df
+
+
+def shown_lists(first: DataFrame, listings: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """(ask, c, words): for each ``doc_id`` of ``first`` its listings with keywords and vector, and the distinct keywords of all of them."""
+    jobs = kw.with_top_keywords(listings, "description", "keywords", 40)
+    if vectors is not None:
+        jobs = jobs.join(vectors.select(F.col("key").alias("_key"), "vector"), sm.text_id(F.col("description")) == F.col("_key"), "left")
+    else:
+        jobs = jobs.withColumn("vector", F.lit(None).cast("array<float>"))
+    packed = (first.join(jobs.select("listing_id", "keywords", "vector"), "listing_id").groupBy(F.col("doc_id").alias("ask_id")).agg(
+        F.collect_list(F.struct("listing_id", "source", "query_ord", "source_ord", "r", "shown", "keywords", "vector")).alias("c")))
+    return packed.withColumn("words", F.array_distinct(F.flatten(F.transform("c", lambda x: x["keywords"]))))
+
+
 def scored_candidates(cv: DataFrame, listings: DataFrame, max_results: int = 20, region: Column | None = None, fields: tuple[str, ...] = SEARCHED,
                       semantic: DataFrame | None = None, embed: sm.Embed | None = hashed_embedding, store: VectorStore | None = None,
                       places: DataFrame | None = None) -> DataFrame:
     """Scores of the listings that each record's searches show.  The semantic part comes from ``semantic``, or else from texts embedded by
-    ``embed`` (each distinct one once, kept in ``store``); with neither it is 0.  What is needed of the records, searches and shown pairs are read
-    several times, so they are written once."""
-    cv = persisted(needed_of(cv, region), "records")
-    searches = persisted(search_table(cv, max_results, F.col("region")), "searches")
-    searches = persisted(settled(searches, listings, places), "settled")
-    first = persisted(first_shown(candidates(searches, answer_searches(searches, listings, max_results, fields, places), listings)), "shown")
-    if semantic is None and embed is not None:
-        semantic = sm.pair_similarity(first, cv, listings, embed, store=store)
-    return score_candidates(cv, first, listings, semantic)
+    ``embed`` (each distinct one once, kept in ``store``); with neither it is 0.
+
+    What is needed of the records is written once; they are answered by what they ask, which many have in common. Records that share an id, and
+    records with a given ``semantic``, are answered and scored pair by pair. A null id has no pairs.
+    """
+    needed = asking(needed_of(cv.filter("doc_id is not null"), region), max_results, F.col("region"))
+    records = persisted(needed.select("doc_id", "raw_text", "structure", "ask", F.md5(F.to_json("ask").cast("binary")).alias("ask_id"),
+                                      sm.text_id(F.col("raw_text")).alias("key")), "records")
+    alone, several = repeated_apart(records, "doc_id")
+    answered = lambda asks: _answered(asks, listings, max_results, fields, places)
+    if semantic is not None:
+        return score_candidates(records, answered(records)[0], listings, semantic)
+    scored = _scored_by_ask(alone, *answered(alone.select(F.col("ask_id").alias("doc_id"), "ask").distinct()), embed, store)
+    if several.isEmpty():
+        return scored
+    first, listed = answered(several)
+    pairs = sm.pair_similarity(first, several, listed, embed, store=store) if embed is not None else None
+    return scored.unionByName(score_candidates(several, first, listed, pairs))
+
+
+def _answered(asks: DataFrame, listings: DataFrame, max_results: int, fields: tuple[str, ...], places: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """What ``asks`` (doc_id, ask) are shown, as of ``first_shown``, and the listings shown."""
+    searches = persisted(settled(persisted(searches_of(asks), "searches"), listings, places), "settled")
+    answers = persisted(answer_searches(searches, listings, max_results, fields, places), "answers")
+    listed = persisted(listings.join(small_or_shuffled(answers.select("listing_id").distinct()), "listing_id", "left_semi")
+                       .select("listing_id", "url", "source", "description"), "listed")
+    return persisted(first_shown(candidates(searches, answers, listed)), "shown"), listed
+
+
+def _scored_by_ask(records: DataFrame, first: DataFrame, listed: DataFrame, embed: sm.Embed | None, store: VectorStore | None) -> DataFrame:
+    """Scores of ``records`` with what their ``ask_id`` is shown. A text meets the keywords of what its record is shown, then stays behind: the record
+    goes on with the places of the keywords it holds, and meets keywords and vectors of the listings again where it is scored."""
+    vectors = None
+    if embed is not None:
+        texts = records.join(small_or_shuffled(first.select(F.col("doc_id").alias("ask_id")).distinct()), "ask_id", "left_semi").select("key", F.col("raw_text").alias("text"))
+        jobs = listed.join(small_or_shuffled(first.select("listing_id").distinct()), "listing_id", "left_semi")
+        vectors = sm.vectors_of(texts.unionByName(jobs.select(sm.text_id(F.col("description")).alias("key"), F.col("description").alias("text"))), embed, store=store)
+    lists = persisted(shown_lists(first, listed, vectors), "lists")
+    low = records.select("doc_id", "ask_id", "structure", "key", F.lower("raw_text").alias("low"))
+    met = low.join(_broadcast_below(lists.select("ask_id", "words"), "words"), "ask_id")
+    # A keyword that several candidates share is looked for once.
+    at = F.filter(int_range(F.lit(0), F.size("words") - 1), lambda i: F.contains("low", F.get("words", i)))
+    rows = met.select("doc_id", "ask_id", "structure", "key", at.alias("at"))
+    own = F.lit(None).cast("array<float>") if vectors is None else F.col("vector")
+    if vectors is not None:
+        rows = rows.join(vectors, "key", "left")
+    rows = rows.select("doc_id", "ask_id", "structure", "at", own.alias("own")).join(lists, "ask_id")
+    rows = rows.select("doc_id", "structure", "own", F.transform("at", lambda i: F.get("words", i)).alias("found"), F.explode("c").alias("x"))
+    return _scores(sealed(rows.select("doc_id", "structure", "x", sm.likeness(F.col("own"), F.col("x.vector")).alias("semantic"),
+                                      F.array_intersect("x.keywords", "found").alias("hit"))))
 
 
 def find_matching_jobs(cv: DataFrame, listings: DataFrame, max_results: int = 20, region: Column | None = None,

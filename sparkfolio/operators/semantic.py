@@ -12,7 +12,7 @@ from sparkfolio.functions.arrays import int_range, let
 from sparkfolio.functions.embedding import hashed_embedding
 from sparkfolio.functions.vectors import dot
 from sparkfolio.operators import vectorjoin as vj
-from sparkfolio.session import persisted
+from sparkfolio.session import persisted, repeated_apart
 from sparkfolio.sources.vector_store import VectorStore
 
 MAX_WORDS = 256  # of a piece that a model sees at once
@@ -58,9 +58,10 @@ def embed_texts(texts: DataFrame, embed: Embed = hashed_embedding, max_words: in
 
 def vectors_of(texts: DataFrame, embed: Embed = hashed_embedding, max_words: int = MAX_WORDS, store: VectorStore | None = None) -> DataFrame:
     """(key, vector) of the distinct texts of ``texts`` (key, text), from ``store`` where it has them; what it lacks is added to it. Without a
-    store the vectors are written to the shared folder once, so that no reader embeds a text again."""
+    store the vectors are written to the shared folder once, so that no reader embeds a text again; only texts that repeat are shuffled."""
     if store is None:
-        return persisted(embed_texts(texts.filter("key is not null").dropDuplicates(["key"]), embed, max_words), "vectors")
+        alone, several = repeated_apart(texts.filter("key is not null"), "key")
+        return persisted(embed_texts(alone.unionByName(several.dropDuplicates(["key"])), embed, max_words), "vectors")
     store.ensure(texts, lambda lacking: embed_texts(lacking, embed, max_words))
     return store.read()
 
@@ -71,6 +72,11 @@ def _dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), dot(a, b)).otherwise(F.lit(0.0))
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """Cosine of two unit vectors, clipped to [0, 1]."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(a, b)))
+
+
 def pair_similarity(pairs: DataFrame, cv: DataFrame, listings: DataFrame, embed: Embed = hashed_embedding, max_words: int = MAX_WORDS,
                     store: VectorStore | None = None, text: str = "raw_text", description: str = "description") -> DataFrame:
     """(doc_id, listing_id, semantic) of ``pairs`` (doc_id, listing_id): cosine of record and description, clipped to [0, 1].
@@ -86,7 +92,7 @@ def pair_similarity(pairs: DataFrame, cv: DataFrame, listings: DataFrame, embed:
     keyed = pairs.join(jobs.select("listing_id", F.col("key").alias("job_key")), "listing_id").join(docs.select("doc_id", F.col("key").alias("doc_key")), "doc_id")
     met = (keyed.join(vectors.select(F.col("key").alias("job_key"), F.col("vector").alias("b")), "job_key", "left")
            .join(vectors.select(F.col("key").alias("doc_key"), F.col("vector").alias("a")), "doc_key", "left"))
-    return met.select("doc_id", "listing_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), _dot(F.col("a"), F.col("b")))).alias("semantic"))
+    return met.select("doc_id", "listing_id", likeness(F.col("a"), F.col("b")).alias("semantic"))
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 2) -> DataFrame:

@@ -412,3 +412,37 @@ def test_ordered_distinct_words_of_odd_rows(spark, tmp_path):
     want = duckdb.sql(sql.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
     got = [tuple(r) for r in runs(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and (6, "k l n m o p") in got and len(got) == 4
+
+
+def test_records_that_ask_the_same_are_shown_the_same(spark, monkeypatch):
+    """What is shown is found once for each ask, no vector or keyword is written for a pair, and the scores are those of the pairs one by one."""
+    from sparkfolio.functions.embedding import hashed_embedding
+    from sparkfolio.operators import semantic as sm
+
+    plain, written = mt.persisted, {}
+
+    def keep(df, name):
+        out = plain(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(mt, "persisted", keep)
+    embed = lambda rows, text, out: hashed_embedding(rows, text, out, 16)
+    towns = ["59000 Lille", "69001 Lyon"]
+    rows = [(i, ["welder", "baker"][i % 2], towns[i // 2 % 2], ["Steel and iron welder", "Bread and tin", None, "zinc brass wanted"][i % 4]) for i in range(120)]
+    rows += [(None, "welder", towns[0], "steel"), (500, "welder", towns[0], "steel"), (500, "baker", towns[1], "tin"), (501, "welder", "Atlantis", "steel tin"), (502, "pilot", towns[0], "x")]
+    cv = spark.createDataFrame(rows, "doc_id long, job_title string, location string, raw_text string").select(
+        "*", F.array().cast("array<string>").alias("skills_flat"), F.lit(None).cast("string").alias("sector"), F.lit(None).cast("string").alias("postal_code"),
+        F.create_map(F.lit("skills"), F.lit("x")).alias("sections"))
+    jobs = spark.createDataFrame([(i, ["welder", "baker"][i % 2], towns[i // 2 % 2], f"iron steel brass tin {w} welder", f"u{i % 9}", ["adzuna", "jooble"][i % 3 == 0])
+                                  for i, w in enumerate(["zinc", "tin", "bread", ""] * 6)],
+                                 "listing_id long, title string, location string, description string, url string, source string")
+    got = mt.scored_candidates(cv, jobs, embed=embed)
+    asked, pairs = got.filter("doc_id < 500").select("doc_id").distinct().count(), got.filter("doc_id < 500").count()
+    assert asked == 120 and pairs > 5 * written["shown"][0]
+    asks = mt.settled(mt.search_table(cv.filter("doc_id is not null")), jobs)
+    first = mt.first_shown(mt.candidates(asks, mt.answer_searches(asks, jobs), jobs))
+    want = mt.score_candidates(cv, first, jobs, sm.pair_similarity(first, cv, jobs, embed))
+    as_rows = lambda df: sorted((r.doc_id, r.listing_id, r.source, tuple(r.seen_ord), r.shown, r.keyword, r.structure, round(r.semantic, 9), r.overall, tuple(r.matched), tuple(r.missing))
+                                for r in df.collect())
+    assert as_rows(got) == as_rows(want)
